@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
-from . import gif, licenses, packing, pieces, quality, secrets, simhash
+from . import extraction, gif, licenses, packing, pieces, quality, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -43,7 +47,11 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_secrets, op3_licenses, op4_quality, op7_sentencepiece, op8_simhash, op9_gif)
+    f.__name__: f for f in (op1_packing, op2_secrets, op3_licenses, op4_quality, op5_html, op7_sentencepiece, op8_simhash, op9_gif, op10_warc)
 }
 ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
