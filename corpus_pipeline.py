@@ -1,10 +1,71 @@
-"""Corpus preparation as stages over documents."""
+"""Corpus preparation: five stages, each an operator over all that the stage before kept.
+
+1. ``quality``: documents that the base rule or the risk-controlled cutoffs reject go.
+2. ``near_duplicates``: one document of each SimHash component stays, the one with the least id.
+3. ``substrings``: a passage that repeats across documents stays in the first one only.
+4. ``secrets``: found secrets are replaced by a mark.
+5. ``packing``: the texts become pieces of sequences.
+
+Every stage but the last returns the columns of ``documents`` (n_chars follows the text).  A stage's
+result is written as Parquet and read again as the next one's input.  Rows with nulls, empty texts,
+repeated rows and empty tables go through as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factpanel import ship
+from factpanel.llm import packing, quality, secrets, simhash, substring
+from factpanel.llm.components import use_checkpoint_dir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring.without_passages(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: Thresholds, components and chains have no form in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; what lies between them goes to the shared folder."""
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

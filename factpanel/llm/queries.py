@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
-from . import extraction, gif, licenses, packing, pieces, quality, secrets, simhash, warc
+from . import extraction, gif, licenses, packing, pieces, quality, secrets, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -52,6 +56,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_secrets, op3_licenses, op4_quality, op5_html, op7_sentencepiece, op8_simhash, op9_gif, op10_warc)
+    f.__name__: f for f in (op1_packing, op2_secrets, op3_licenses, op4_quality, op5_html, op6_substring, op7_sentencepiece, op8_simhash, op9_gif, op10_warc)
 }
 ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
