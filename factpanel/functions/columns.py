@@ -230,10 +230,14 @@ def differs(actual: Column | str, expected: Column | str, tolerance: float) -> C
 def six_digits(c: Column | str) -> Column:
     """A double with six significant digits, as %.6g writes it; null as the empty text.
 
-    Values exactly between two such numbers go up, where %.6g may go down.
+    A value exactly between two such numbers goes to the even one.  What only its shortest decimal
+    form puts between them goes up, where %.6g may go down.
     """
     c = col(c).cast("double")
-    e = F.format_string("%.5e", F.abs(c))
+    exact = F.format_string("%.16e", F.abs(c))  # the shortest decimal form, filled with zeros
+    between_two = F.regexp_replace(exact, r"\.", "").rlike(r"^\d{5}[02468]50{10}e") & (c * 1024 == F.floor(c * 1024))
+    down = F.concat(F.substring(exact, 1, 7), F.lit("e"), F.substring_index(exact, "e", -1))
+    e = F.when(between_two, down).otherwise(F.format_string("%.5e", F.abs(c)))
     digits = F.regexp_replace(F.substring_index(e, "e", 1), r"\.", "")
     power = F.substring_index(e, "e", -1).cast("int")
     cut = lambda x: F.regexp_replace(x, r"\.?0*\z", "")

@@ -1,4 +1,639 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with its SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The published inputs aren't at hand, so the operators run on the star schema: a company is a
+customer, a fact is a line of an order (its dates the period's end and the filing, its priority the
+form, its status the fiscal period), a rule maps line status and return flag to a variable.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import ship
+from ..functions import columns as C
+from ..operators import classify, derive, inventory, panel, quality, reports, select
+from ..operators.numbering import numbered
+from ..sources import facts as documents
+from ..sources import schemas, tables
+from ..sources.config import Rule, Scope, rules_frame
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- facts of lines
+
+SCOPE = Scope(forms=("1-URGENT", "2-HIGH", "3-MEDIUM"), start_year=1996, end_year=2000)
+RULES = [
+    Rule("revenues", "tier_1", 1, "F", "A", 1, 0),
+    Rule("revenues", "tier_2", 2, "F", "R", 2, 1),
+    Rule("assets", "tier_1", 1, "O", "N", 1, 2),
+    Rule("assets", "tier_2", 2, "F", "N", 2, 3),
+    Rule("ebit", "tier_1", 1, "O", "A", 1, 4),
+    Rule("operating_costs", "tier_1", 1, "O", "R", 1, 5),
+]
+FLOWS = ["revenues", "ebit", "operating_costs"]
+RULES_SQL = "rules(variable, tier, tier_rank, namespace, tag, tag_priority, rule_order) AS (VALUES " + ", ".join(f"('{r.variable}', '{r.tier}', {r.tier_rank}, '{r.namespace}', '{r.tag}', {r.tag_priority}, {r.rule_order})" for r in RULES) + ")"
+
+
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    year, n = F.year("o_orderdate").cast("string"), F.col("l_linenumber")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return joined.select(
+        C.zero_pad("o_custkey", 10).alias("cik10"),
+        F.col("l_linestatus").alias("namespace"),
+        F.col("l_returnflag").alias("tag"),
+        F.when(n == 7, "EUR").otherwise("USD").alias("unit"),
+        F.when(F.col("l_tax") >= 0.08, "").otherwise(F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).alias("val"),
+        F.when(n % 3 != 0, year).alias("fy"),
+        F.when(F.col("o_orderstatus") == "F", "FY").when(F.col("o_orderstatus") == "O", "Q1").otherwise("fy").alias("fp"),
+        F.col("o_orderpriority").alias("form"),
+        day("l_shipdate").alias("filed"),
+        F.col("l_orderkey").cast("string").alias("accn"),
+        F.when(n % 4 == 0, F.concat(F.lit("CY"), year)).when(n % 4 == 1, F.concat(F.lit("CY"), year, F.lit("Q4I"))).when(n % 4 == 2, F.concat(F.lit("CY"), year, F.lit("Q1"))).alias("frame"),
+        day(F.date_sub(F.to_date("o_orderdate"), F.col("l_quantity").cast("int") * 12)).alias("start"),
+        day("o_orderdate").alias("end"),
+    )
+
+
+FACTS_SQL = """facts AS (
+  SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik10, l_linestatus AS namespace, l_returnflag AS tag,
+    CASE WHEN l_linenumber = 7 THEN 'EUR' ELSE 'USD' END AS unit,
+    CASE WHEN l_tax >= 0.08 THEN '' ELSE CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) END AS val,
+    CASE WHEN l_linenumber % 3 <> 0 THEN CAST(year(o_orderdate) AS VARCHAR) END AS fy,
+    CASE o_orderstatus WHEN 'F' THEN 'FY' WHEN 'O' THEN 'Q1' ELSE 'fy' END AS fp,
+    o_orderpriority AS form, strftime(l_shipdate, '%Y-%m-%d') AS filed, CAST(l_orderkey AS VARCHAR) AS accn,
+    CASE l_linenumber % 4 WHEN 0 THEN 'CY' || year(o_orderdate) WHEN 1 THEN 'CY' || year(o_orderdate) || 'Q4I'
+      WHEN 2 THEN 'CY' || year(o_orderdate) || 'Q1' END AS frame,
+    strftime(CAST(o_orderdate AS DATE) - CAST(l_quantity AS INTEGER) * 12, '%Y-%m-%d') AS start,
+    strftime(o_orderdate, '%Y-%m-%d') AS "end"
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+_FORMS = ", ".join(f"'{f}'" for f in SCOPE.forms)
+JUDGED_SQL = f"""{RULES_SQL}, {FACTS_SQL},
+mapped AS (SELECT f.*, r.variable, r.tier, r.tier_rank, r.tag_priority, r.rule_order
+  FROM facts f JOIN rules r ON f.namespace = r.namespace AND f.tag = r.tag),
+parsed AS (SELECT *, CAST(start AS DATE) AS d0, CAST("end" AS DATE) AS d1, CAST(filed AS DATE) AS d2,
+    CASE WHEN regexp_full_match(frame, 'CY[0-9]{{4}}(Q4I)?') THEN substr(frame, 3, 4) END AS fyear FROM mapped),
+dated AS (SELECT *, coalesce(fy, fyear, CAST(year(d1) AS VARCHAR)) AS company_year, CAST(d1 - d0 + 1 AS INTEGER) AS days,
+    CASE WHEN d2 >= d1 THEN CAST(d2 - d1 AS INTEGER) ELSE 999999 END AS filing_lag_days,
+    variable IN ('revenues', 'ebit', 'operating_costs') AS flow FROM parsed),
+ranks AS (SELECT *,
+    CASE WHEN flow THEN CASE WHEN days BETWEEN 300 AND 400 THEN 0 ELSE 99 END WHEN upper(fp) = 'FY' THEN 0
+      WHEN days BETWEEN 300 AND 400 THEN 1 WHEN fyear IS NOT NULL THEN 2 ELSE 99 END AS annual_rank,
+    CASE form WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS form_rank,
+    CASE WHEN upper(fp) = 'FY' THEN 0 ELSE 1 END AS fp_rank,
+    CASE WHEN fy = company_year AND fyear = company_year THEN 0 WHEN fy = company_year THEN 1
+      WHEN fyear = company_year THEN 2 WHEN fy IS NULL AND fyear IS NULL THEN 3 ELSE 4 END AS period_match_rank,
+    CASE WHEN fy IS NULL THEN 1 WHEN fy = company_year THEN 0 ELSE 2 END AS fy_match_rank,
+    CASE WHEN fyear IS NULL THEN 1 WHEN fyear = company_year THEN 0 ELSE 2 END AS frame_match_rank FROM dated),
+judged AS (SELECT *, CASE
+    WHEN unit <> 'USD' THEN 'facts_rejected_unit'
+    WHEN form NOT IN ({_FORMS}) THEN 'facts_rejected_form'
+    WHEN val = '' THEN 'facts_without_value'
+    WHEN company_year = '' THEN 'facts_without_company_year'
+    WHEN CAST(company_year AS INTEGER) NOT BETWEEN 1996 AND 2000 THEN 'facts_rejected_company_year'
+    WHEN year(d1) > year(d2) + 1 OR coalesce(year(d1) > CAST(fy AS INTEGER) + 1, false) THEN 'facts_rejected_invalid_end_year'
+    WHEN filing_lag_days > 240 THEN 'facts_rejected_excessive_filing_lag'
+    WHEN year(d2) > CAST(company_year AS INTEGER) + 1 THEN 'facts_rejected_filing_year'
+    WHEN flow AND NOT days BETWEEN 300 AND 400 THEN 'facts_rejected_invalid_flow_period'
+    WHEN annual_rank = 99 THEN 'facts_rejected_nonannual' END AS reject_reason FROM ranks)"""
+BEST_SQL = f"""{JUDGED_SQL},
+best AS (SELECT * FROM judged WHERE reject_reason IS NULL QUALIFY row_number() OVER (PARTITION BY cik10, variable, company_year
+  ORDER BY annual_rank, form_rank, fp_rank, period_match_rank, filing_lag_days, fy_match_rank, frame_match_rank, tier_rank,
+    tag_priority, d2, d1 DESC, accn, namespace, tag, val, start) = 1)"""
+
+
+def judged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = select.map_to_rules(line_facts(spark, sf_dir), rules_frame(spark, RULES), len(RULES))
+    return select.judge(mapped, SCOPE, flows=FLOWS)
+
+
+def best_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.best_candidates(judged_lines(spark, sf_dir), met=["start"])
+
+
+@query(f"WITH {FACTS_SQL}, {RULES_SQL} SELECT r.variable, r.tier, CAST(r.tag_priority AS INTEGER) AS tag_priority, count(*) AS facts FROM facts f JOIN rules r ON f.namespace = r.namespace AND f.tag = r.tag GROUP BY ALL")
+def tag_rules_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = select.map_to_rules(line_facts(spark, sf_dir), rules_frame(spark, RULES), len(RULES))
+    return mapped.groupBy("variable", "tier", "tag_priority").agg(F.count("*").alias("facts"))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT coalesce(reject_reason, 'candidate_facts') AS outcome, count(*) AS facts FROM judged GROUP BY ALL")
+def reject_waterfall_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.reject_counts(judged_lines(spark, sf_dir))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT CAST(annual_rank AS INTEGER) AS annual_rank, flow, count(*) AS facts FROM judged GROUP BY ALL")
+def annual_rank_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judged_lines(spark, sf_dir)
+    return judged.groupBy("annual_rank", F.col("variable").isin(FLOWS).alias("flow")).agg(F.count("*").alias("facts"))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT CAST(form_rank AS INTEGER) AS form_rank, CAST(fp_rank AS INTEGER) AS fp_rank, CAST(period_match_rank AS INTEGER) AS period_match_rank, CAST(fy_match_rank AS INTEGER) AS fy_match_rank, CAST(frame_match_rank AS INTEGER) AS frame_match_rank, count(*) AS facts FROM judged GROUP BY ALL")
+def match_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_lines(spark, sf_dir).groupBy("form_rank", "fp_rank", "period_match_rank", "fy_match_rank", "frame_match_rank").agg(F.count("*").alias("facts"))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT company_year, fy IS NULL AS without_fy, fyear IS NULL AS without_frame, count(*) AS facts FROM judged GROUP BY ALL")
+def company_year_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judged_lines(spark, sf_dir)
+    return judged.groupBy("company_year", F.col("fy").isNull().alias("without_fy"), C.frame_year("frame").isNull().alias("without_frame")).agg(F.count("*").alias("facts"))
+
+
+@query(f"""WITH {FACTS_SQL}, d AS (SELECT accn, start, "end", filed, CAST(start AS DATE) AS d0, CAST("end" AS DATE) AS d1, CAST(filed AS DATE) AS d2 FROM facts)
+SELECT accn, start, "end", filed, CAST(d1 - d0 + 1 AS INTEGER) AS days, CAST(d2 - d1 AS INTEGER) AS lag,
+  CASE WHEN d2 >= d1 THEN CAST(d2 - d1 AS INTEGER) ELSE 999999 END AS known_lag, CAST(year(d1) * 10000 + month(d1) * 100 + day(d1) AS INTEGER) AS end_number FROM d""")
+def period_and_lag_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_facts(spark, sf_dir).select(
+        "accn", "start", "end", "filed", C.period_days("start", "end").alias("days"), C.lag_days("filed", "end").alias("lag"), C.known_lag_days("filed", "end").alias("known_lag"), C.date_number("end").alias("end_number")
+    )
+
+
+@query(f'WITH {BEST_SQL} SELECT cik10, variable, company_year, val, namespace, tag, tier, accn, form, fp, filed, "end" FROM best')
+def best_candidate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_lines(spark, sf_dir).select("cik10", "variable", "company_year", "val", "namespace", "tag", "tier", "accn", "form", "fp", "filed", "end")
+
+
+@query("""WITH duplicated AS (SELECT l_orderkey, l_linenumber, CAST(min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS first_price FROM lineitem GROUP BY ALL) SELECT * FROM duplicated""")
+def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priced = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("first_price"))
+    return tables.keep_first(priced, ["l_orderkey", "l_linenumber"], ["first_price"])
+
+
+@query(f"WITH {FACTS_SQL}, {RULES_SQL} SELECT namespace, tag, count(*) AS facts FROM facts f WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.namespace = f.namespace AND r.tag = f.tag AND r.tier = 'tier_1') GROUP BY ALL")
+def rules_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = rules_frame(spark, [r for r in RULES if r.tier == "tier_1"]).select("namespace", "tag")
+    return line_facts(spark, sf_dir).join(F.broadcast(first), ["namespace", "tag"], "left_anti").groupBy("namespace", "tag").agg(F.count("*").alias("facts"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS group_size FROM lineitem QUALIFY group_size > 1")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.duplicate_members(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS group_size FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.duplicate_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# ---------------------------------------------------------------- sources of best facts
+
+@query(f"""WITH {BEST_SQL} SELECT cik10, company_year, string_agg(DISTINCT variable, ';' ORDER BY variable) AS variables,
+  count(DISTINCT accn) AS filings, count(DISTINCT "end") AS ends FROM best GROUP BY ALL HAVING count(DISTINCT accn) > 1 OR count(DISTINCT "end") > 1""")
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = best_lines(spark, sf_dir).groupBy("cik10", "company_year").agg(C.distinct_join("variable").alias("variables"), F.count_distinct("accn").alias("filings"), F.count_distinct("end").alias("ends"))
+    return grouped.where("filings > 1 or ends > 1")
+
+
+@query(f"""WITH {FACTS_SQL} SELECT cik10, substr("end", 1, 4) AS company_year, string_agg(DISTINCT form, ';' ORDER BY form) AS forms, count(*) AS facts
+FROM facts WHERE form NOT IN ({_FORMS}) GROUP BY ALL""")
+def form_outside_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foreign = line_facts(spark, sf_dir).where(~F.upper(C.strip(C.text("form"))).isin(*SCOPE.forms))
+    return foreign.groupBy("cik10", F.substring("end", 1, 4).alias("company_year")).agg(C.distinct_join("form").alias("forms"), F.count("*").alias("facts"))
+
+
+@query(f"""WITH {FACTS_SQL}, d AS (SELECT *, CAST("end" AS DATE) - CAST(start AS DATE) + 1 AS days FROM facts WHERE namespace = 'F')
+SELECT accn, start, "end", fp, frame, CAST(days AS INTEGER) AS days FROM d
+WHERE NOT days BETWEEN 300 AND 400 OR (upper(fp) IN ('Q1', 'Q2', 'Q3') AND NOT coalesce(regexp_full_match(frame, 'CY[0-9]{{4}}(Q4I)?'), false) AND NOT days BETWEEN 300 AND 400)""")
+def quarterly_period_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = C.period_days("start", "end")
+    annual = C.between(days, *C.ANNUAL_DAYS)
+    by_period = F.upper(C.text("fp")).isin("Q1", "Q2", "Q3") & ~C.is_annual_frame("frame") & ~annual
+    return line_facts(spark, sf_dir).where("namespace = 'F'").where((days.isNotNull() & ~annual) | by_period).select("accn", "start", "end", "fp", "frame", days.alias("days"))
+
+
+USAGE_SQL = "count(*) AS selected_observations, count(DISTINCT cik10) AS {0}, count(DISTINCT (cik10, company_year)) AS {1}, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, string_agg(DISTINCT form, ';' ORDER BY form) AS forms"
+
+
+@query(f"""WITH {BEST_SQL}, used AS (SELECT variable, {USAGE_SQL.format("companies_with_value", "company_years_with_value")} FROM best GROUP BY ALL),
+configured AS (SELECT variable, count(*) AS configured_tag_count FROM rules GROUP BY ALL UNION ALL SELECT 'cash', 0),
+n AS (SELECT (SELECT count(*) FROM customer) AS companies, (SELECT count(DISTINCT (cik10, company_year)) FROM best) AS years)
+SELECT c.variable, configured_tag_count, coalesce(selected_observations, 0) AS selected_observations, coalesce(companies_with_value, 0) AS companies_with_value,
+  coalesce(company_years_with_value, 0) AS company_years_with_value, round(coalesce(companies_with_value, 0) / companies, 6) AS company_coverage_ratio,
+  round(coalesce(company_years_with_value, 0) / years, 6) AS company_year_coverage_ratio, coalesce(units, '') AS units, coalesce(forms, '') AS forms
+FROM configured c LEFT JOIN used u ON c.variable = u.variable, n""")
+def variable_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = best_lines(spark, sf_dir)
+    companies = table(spark, sf_dir, "customer").count()
+    years = best.select("cik10", "company_year").distinct().count()
+    return reports.variable_coverage(best, ["revenues", "assets", "ebit", "operating_costs", "cash"], rules_frame(spark, RULES), companies, years)
+
+
+@query(f"""WITH {BEST_SQL}, used AS (SELECT variable, tier, tag_priority, namespace, tag, {USAGE_SQL.format("companies_with_selected_value", "company_years_with_selected_value")} FROM best GROUP BY ALL)
+SELECT r.variable, r.tier, CAST(r.tag_priority AS INTEGER) AS tag_priority, r.namespace, r.tag, coalesce(selected_observations, 0) AS selected_observations, coalesce(companies_with_selected_value, 0) AS companies_with_selected_value,
+  coalesce(company_years_with_selected_value, 0) AS company_years_with_selected_value, coalesce(units, '') AS units, coalesce(forms, '') AS forms
+FROM rules r LEFT JOIN used u ON r.variable = u.variable AND r.namespace = u.namespace AND r.tag = u.tag""")
+def tag_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.tag_usage(best_lines(spark, sf_dir), rules_frame(spark, RULES))
+
+
+MISSING_VARIABLES = ["revenues", "assets", "ebit", "operating_costs", "cash"]
+
+
+@query(f"""WITH {BEST_SQL}, u AS (SELECT cik10, count(DISTINCT company_year) AS company_year_count, count(*) AS selected_observations, list(DISTINCT variable) AS present FROM best GROUP BY ALL),
+j AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik10, c_name AS company_name, coalesce(company_year_count, 0) AS company_year_count, coalesce(selected_observations, 0) AS selected_observations,
+  list_filter(['revenues', 'assets', 'ebit', 'operating_costs', 'cash'], lambda x: NOT list_contains(coalesce(present, []), x)) AS absent
+  FROM customer LEFT JOIN u ON u.cik10 = lpad(CAST(c_custkey AS VARCHAR), 10, '0'))
+SELECT cik10, company_name, company_year_count, selected_observations, 5 - len(absent) AS variables_with_any_value, len(absent) AS variables_missing_any_value, array_to_string(absent, ';') AS missing_variables FROM j""")
+def missing_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.missing_by_company(best_lines(spark, sf_dir), companies(spark, sf_dir), MISSING_VARIABLES)
+    return out.select("cik10", "company_name", "company_year_count", "selected_observations", "variables_with_any_value", "variables_missing_any_value", "missing_variables")
+
+
+# ---------------------------------------------------------------- companies
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = C.zero_pad("c_custkey", 10)
+    named = {"research_universe_id": F.col("c_custkey").cast("string"), "cik": F.col("c_custkey").cast("string"), "cik10": key, "company_name": F.col("c_name"), "primary_ticker": F.lit(""), "research_sector": F.col("c_mktsegment"), "fiscal_year_end": F.lit("1231")}
+    return table(spark, sf_dir, "customer").select(*[v.alias(k) for k, v in named.items()])
+
+
+@query("SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS strict_key, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS from_prefix, CAST(NULL AS VARCHAR) AS from_text FROM customer")
+def key_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", C.company_key(key, strict=True).alias("strict_key"), C.company_key(F.concat(F.lit(" cik"), key, F.lit(" "))).alias("from_prefix"), C.company_key("c_name").alias("from_text")
+    )
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS first_word, array_to_string(string_split(p_name, ' '), ';') AS joined FROM part")
+def first_list_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = C.join_items(F.split("p_name", " "))
+    return table(spark, sf_dir, "part").select("p_partkey", C.first_item(F.concat(F.lit(" ;"), joined)).alias("first_word"), joined.alias("joined"))
+
+
+GROUPS_SQL = "CASE " + " ".join(f"WHEN code BETWEEN {a} AND {b} THEN '{x}'" for a, b, x in classify.MAJOR_GROUPS) + " ELSE 'Unknown' END"
+
+
+@query(f"WITH c AS (SELECT p_partkey, CAST(p_size * 197 AS INTEGER) AS code FROM part) SELECT p_partkey, code AS sic_int, {GROUPS_SQL} AS sic_major_group, code BETWEEN 2000 AND 3999 AS manufacturing FROM c")
+def parse_code_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = C.industry_code(F.concat((F.col("p_size") * 197).cast("string"), F.lit(".7")))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("sic_int"), C.label_of_range(code, classify.MAJOR_GROUPS, "Unknown").alias("sic_major_group"), C.between(code, 2000, 3999).alias("manufacturing"))
+
+
+def part_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as companies: size makes the code, type and name the words, retail price the entity type."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    odd = F.when(key % 11 == 0, "error").otherwise("Success ")
+    entity = F.when(key % 7 == 0, "other").when(key % 13 == 0, "").otherwise("operating")
+    words = F.when(key % 5 == 0, "Aerospace").when(key % 17 == 0, "Software tools").otherwise("Plain goods")
+    return p.select(
+        key.alias("cik"), key.cast("string").alias("cik10"), F.col("p_name").alias("name_from_ticker_map"), F.lit("").alias("name_from_sec"), entity.alias("entity_type"), (F.col("p_size") * 197).cast("string").alias("sic"),
+        words.alias("sic_description"), F.lit("930").alias("fiscal_year_end"), F.concat_ws(";", F.lit(" "), "p_brand").alias("tickers"), F.when(key % 3 == 0, "").otherwise(F.col("p_type")).alias("exchanges"),
+        F.lit("").alias("source_url"), F.lit("").alias("cache_path"), odd.alias("download_status"), F.lit("").alias("downloaded_at"), F.lit("").alias("error_message"),
+    )
+
+
+def _any(words: list[str], text: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_TECHNOLOGY = " OR ".join(f"code BETWEEN {a} AND {b}" for a, b in classify.TECHNOLOGY)
+_EXTENDED = "CASE " + " ".join(f"WHEN code BETWEEN {a} AND {b} THEN '{x}'" for a, b, x in classify.EXTENDED) + " END"
+CLASSIFIED_SQL = f"""m AS (SELECT p_partkey AS cik, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS cik10, p_name AS company_name, CAST(p_size * 197 AS INTEGER) AS code,
+    CASE WHEN p_partkey % 7 = 0 THEN 'other' WHEN p_partkey % 13 = 0 THEN '' ELSE 'operating' END AS entity_type, p_partkey % 11 = 0 AS failed,
+    CASE WHEN p_partkey % 5 = 0 THEN 'aerospace' WHEN p_partkey % 17 = 0 THEN 'software tools' ELSE 'plain goods' END AS described, p_brand AS primary_ticker,
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS primary_exchange FROM part),
+w AS (SELECT *, described || ' ' || lower(company_name) AS words, {_EXTENDED} AS extended, {GROUPS_SQL} AS sic_major_group FROM m),
+k AS (SELECT *, CASE WHEN failed THEN 1 WHEN code IS NULL THEN 2 WHEN entity_type NOT IN ('', 'operating') THEN 3 WHEN code = 6770 OR {_any(classify.SPAC_WORDS, "words")} THEN 4
+    WHEN code = 6798 OR {_any(classify.REIT_WORDS, "words")} THEN 5 WHEN code IN (6722, 6726, 6732, 6733) OR {_any(classify.FUND_WORDS, "words")} THEN 6 WHEN code BETWEEN 6000 AND 6799 THEN 7
+    WHEN code BETWEEN 4900 AND 4999 THEN 8 WHEN {_TECHNOLOGY} OR {_any(classify.TECHNOLOGY_WORDS, "described")} THEN 9 WHEN code BETWEEN 5200 AND 5999 THEN 10
+    WHEN code BETWEEN 2000 AND 3999 THEN 11 WHEN extended IS NOT NULL THEN 12 ELSE 13 END AS rule FROM w),
+classified AS (SELECT *, ['Unknown', 'Unknown', 'Excluded_NonOperating_Entity', 'Excluded_SPAC_Blank_Check', 'Excluded_REIT', 'Excluded_Fund_ETF_Trust', 'Excluded_Financials_Insurance_RealEstate',
+    'Excluded_Utilities', 'Technology', 'Retail', 'Industrials_Manufacturing', 'Extended_Candidate', 'Other_Out_Of_Scope'][rule] AS research_sector, rule BETWEEN 9 AND 12 AS included,
+    ['metadata_download_error', 'missing_sic', 'non_operating_entity_type', 'spac_or_blank_check_company', 'reit_excluded', 'fund_etf_or_trust_excluded', 'financials_insurance_real_estate_excluded',
+    'utilities_excluded', '', '', '', '', 'out_of_scope_sector'][rule] AS exclude_reason FROM k),
+universe AS (SELECT * FROM classified WHERE included AND entity_type = 'operating')"""
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT cik10, code AS sic_int, sic_major_group, research_sector, included AS include_in_research_universe, exclude_reason, '0930' AS fiscal_year_end FROM classified")
+def classify_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(part_metadata(spark, sf_dir)).select("cik10", "sic_int", "sic_major_group", "research_sector", "include_in_research_universe", "exclude_reason", "fiscal_year_end")
+
+
+def part_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.normalized(classify.classify(part_metadata(spark, sf_dir)))
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT CAST(row_number() OVER (ORDER BY research_sector, code, company_name, cik10) AS INTEGER) AS research_universe_id, cik10, company_name, primary_ticker, research_sector, code AS sic_int FROM universe")
+def universe_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.universe(part_companies(spark, sf_dir)).select("research_universe_id", "cik10", "company_name", "primary_ticker", "research_sector", "sic_int")
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT cik10, company_name, research_sector, included AS include_in_research_universe, exclude_reason FROM classified WHERE NOT included")
+def universe_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.excluded(part_companies(spark, sf_dir)).select("cik10", "company_name", "research_sector", "include_in_research_universe", "exclude_reason")
+
+
+@query(f"""WITH {CLASSIFIED_SQL}
+SELECT 'input_rows' AS metric, count(*) AS value FROM classified
+UNION ALL SELECT 'research_universe_rows', count(*) FROM universe
+UNION ALL SELECT 'excluded_or_out_of_scope_rows', (SELECT count(*) FROM classified) - (SELECT count(*) FROM universe)
+UNION ALL SELECT 'unique_ciks_in_research_universe', count(DISTINCT cik10) FROM universe
+UNION ALL SELECT 'unique_primary_tickers_in_research_universe', count(DISTINCT nullif(primary_ticker, '')) FROM universe
+UNION ALL SELECT 'missing_primary_ticker_in_research_universe', count(*) FILTER (primary_ticker = '') FROM universe
+UNION ALL SELECT 'missing_primary_exchange_in_research_universe', count(*) FILTER (primary_exchange = '') FROM universe
+UNION ALL SELECT 'sector_count__' || research_sector, count(*) FROM universe GROUP BY research_sector
+UNION ALL SELECT 'sic_major_group_count__' || sic_major_group, count(*) FROM universe GROUP BY sic_major_group
+UNION ALL SELECT 'primary_exchange_count__' || coalesce(nullif(primary_exchange, ''), 'missing'), count(*) FROM universe GROUP BY primary_exchange""")
+def universe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.universe_summary(part_companies(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- documents
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, length(props) AS size FROM events")
+def json_scalar_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = C.integer(F.get_json_object("props", "$.k"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.length("props").cast("long").alias("size"))
+
+
+@query("""WITH f AS (SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS cik10, event_type AS tag, CASE WHEN event_id % 5 = 0 THEN 'EUR' ELSE 'USD' END AS unit,
+  'form' || (event_id % 3) AS form, CAST(year(ts) AS VARCHAR) AS year FROM events)
+SELECT 'events' AS namespace, tag, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, string_agg(DISTINCT form, ';' ORDER BY form) AS forms,
+  count(DISTINCT cik10) AS company_count, count(DISTINCT (cik10, year)) AS company_year_count, count(*) AS fact_count FROM f GROUP BY tag""")
+def json_explode_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as one company document per user, then inventoried by tag."""
+    e = table(spark, sf_dir, "events")
+    fact = F.struct(F.year("ts").alias("fy"), F.concat(F.lit("form"), (F.col("event_id") % 3).cast("string")).alias("form"), F.col("value").alias("val"))
+    unit = F.when(F.col("event_id") % 5 == 0, "EUR").otherwise("USD")
+    by_unit = e.groupBy("user_id", "event_type", unit.alias("unit")).agg(F.collect_list(fact).alias("items"))
+    by_tag = by_unit.groupBy("user_id", "event_type").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("unit", "items"))).alias("units")).alias("payload"))
+    by_user = by_tag.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "payload"))).alias("events"))
+    text = F.to_json(F.struct(F.col("user_id").alias("cik"), F.struct("events").alias("facts")))
+    docs = by_user.select(F.concat(F.lit("CIK"), C.zero_pad("user_id", 10), F.lit(".json")).alias("source_file"), text.alias("text"))
+    return inventory.tag_inventory(documents.open_documents(docs)).drop("label", "description")
+
+
+# ---------------------------------------------------------------- wide panel of orders
+
+WIDE_VARIABLES = ["assets", "liabilities", "liabilities_and_equity", "equity", "cash", "inventory", "revenues", "net_income", "cost_of_revenue", "operating_costs", "ebit"]
+
+
+def _cents(condition=None):
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return F.sum(cents if condition is None else F.when(condition, cents)) / 100
+
+
+def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company-year per customer and order year; statuses and priorities make the variables."""
+    o = table(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    made = {
+        "assets": _cents(status == "F"),
+        "liabilities": _cents(status == "O"),
+        "liabilities_and_equity": _cents(),
+        "equity": -_cents(status == "P"),
+        "cash": _cents((status == "F") & (priority == "1")),
+        "inventory": _cents(priority == "2"),
+        "revenues": _cents(priority == "3"),
+        "net_income": _cents(priority == "4") - _cents(priority == "5"),
+        "cost_of_revenue": _cents((status == "O") & (priority == "1")),
+        "operating_costs": _cents(priority == "5"),
+        "ebit": _cents((status == "F") & (priority == "3")),
+    }
+    grouped = o.groupBy(C.zero_pad("o_custkey", 10).alias("cik10"), F.year("o_orderdate").cast("string").alias("company_year"))
+    return grouped.agg(*[v.alias(k) for k, v in made.items()])
+
+
+def _sum(condition: str = "true") -> str:
+    return f"CAST(sum(CASE WHEN {condition} THEN CAST(round(o_totalprice * 100) AS BIGINT) END) AS BIGINT) / 100.0"
+
+
+WIDE_SQL = f"""wide AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik10, CAST(year(o_orderdate) AS VARCHAR) AS company_year,
+  {_sum("o_orderstatus = 'F'")} AS assets, {_sum("o_orderstatus = 'O'")} AS liabilities, {_sum()} AS liabilities_and_equity, -({_sum("o_orderstatus = 'P'")}) AS equity,
+  {_sum("o_orderstatus = 'F' AND o_orderpriority[1] = '1'")} AS cash, {_sum("o_orderpriority[1] = '2'")} AS inventory, {_sum("o_orderpriority[1] = '3'")} AS revenues,
+  {_sum("o_orderpriority[1] = '4'")} - {_sum("o_orderpriority[1] = '5'")} AS net_income, {_sum("o_orderstatus = 'O' AND o_orderpriority[1] = '1'")} AS cost_of_revenue,
+  {_sum("o_orderpriority[1] = '5'")} AS operating_costs, {_sum("o_orderstatus = 'F' AND o_orderpriority[1] = '3'")} AS ebit FROM orders GROUP BY 1, 2)"""
+
+
+def company_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.prepare_wide(orders_wide(spark, sf_dir).join(companies(spark, sf_dir), "cik10"))
+
+
+def _long_sql(variables: list[str], source: str = "wide") -> str:
+    return " UNION ALL ".join(f"SELECT cik10, company_year, '{v}' AS variable, {v} AS value FROM {source} WHERE {v} IS NOT NULL" for v in variables)
+
+
+@query(f"WITH {WIDE_SQL} SELECT cik10, company_year, assets, liabilities, equity FROM wide WHERE assets IS NOT NULL OR liabilities IS NOT NULL OR equity IS NOT NULL")
+def pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["assets", "liabilities", "equity"]
+    long = panel.long(orders_wide(spark, sf_dir), names)
+    return panel.wide(long, names)
+
+
+@query(f"WITH {WIDE_SQL} {_long_sql(WIDE_VARIABLES)}")
+def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.long(orders_wide(spark, sf_dir), WIDE_VARIABLES)
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' panel as selected facts, with the columns that derivation carries along."""
+    names = [v for v in derive.SOURCES if v in WIDE_VARIABLES]
+    long = panel.long(orders_wide(spark, sf_dir), names, value="number")
+    ranks = {r: F.lit(i) for i, r in enumerate(select.RANKS)}
+    return long.select("cik10", "company_year", "variable", F.col("number").cast("string").alias("val"), "number", F.lit("n").alias("namespace"), F.col("variable").alias("tag"), F.lit("tier_1").alias("tier"), F.lit(1).alias("tag_priority"), *[v.alias(k) for k, v in ranks.items()])
+
+
+def _derived(spark: SparkSession, sf_dir: str, variable: str) -> DataFrame:
+    selected = _selected(spark, sf_dir)
+    full = derive.with_derived(selected, derive.outcomes(derive.side_by_side(selected)))
+    return full.where(F.col("variable") == variable).select("cik10", "company_year", F.round("number", 2).alias("value"), "namespace")
+
+
+@query(f"WITH {WIDE_SQL} SELECT cik10, company_year, round(coalesce(assets, liabilities_and_equity), 2) AS value, CASE WHEN assets IS NULL THEN 'derived' ELSE 'n' END AS namespace FROM wide")
+def derived_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "assets")
+
+
+@query(f"""WITH {WIDE_SQL} SELECT cik10, company_year, round(coalesce(liabilities, liabilities_and_equity - equity), 2) AS value, CASE WHEN liabilities IS NULL THEN 'derived' ELSE 'n' END AS namespace
+FROM wide WHERE liabilities IS NOT NULL OR liabilities_and_equity - equity >= 0""")
+def derived_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "liabilities")
+
+
+@query(f"""WITH {WIDE_SQL}, d AS (SELECT *, CASE WHEN revenues - ebit >= 0 THEN revenues - ebit END AS made FROM wide)
+SELECT cik10, company_year, round(coalesce(made, operating_costs), 2) AS value, CASE WHEN made IS NOT NULL THEN 'derived' ELSE 'n' END AS namespace FROM d WHERE made IS NOT NULL OR operating_costs IS NOT NULL""")
+def derived_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "operating_costs")
+
+
+@query(f"""WITH {WIDE_SQL} SELECT count(*) FILTER (assets IS NULL) AS derived_assets, 0::BIGINT AS derived_assets_rejected, count(*) FILTER (liabilities IS NULL AND liabilities_and_equity - equity >= 0) AS derived_liabilities,
+  count(*) FILTER (liabilities IS NULL AND liabilities_and_equity - equity < 0) AS derived_liabilities_rejected, count(*) FILTER (revenues - ebit >= 0 AND operating_costs IS NULL) AS derived_operating_costs,
+  count(*) FILTER (revenues - ebit >= 0 AND operating_costs IS NOT NULL) AS derived_operating_costs_replaced, count(*) FILTER (revenues - ebit < 0) AS derived_operating_costs_rejected FROM wide""")
+def derived_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.counters(derive.outcomes(derive.side_by_side(_selected(spark, sf_dir))))
+
+
+@query(f"""WITH {WIDE_SQL}, o AS (SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik10, CAST(year(o_orderdate) AS VARCHAR) AS company_year FROM orders WHERE o_orderstatus = 'F')
+SELECT 'wide' AS side, cik10, company_year FROM (SELECT cik10, company_year FROM wide EXCEPT SELECT cik10, company_year FROM o)
+UNION ALL SELECT 'orders', cik10, company_year FROM (SELECT cik10, company_year FROM o EXCEPT SELECT cik10, company_year FROM wide WHERE liabilities IS NOT NULL)""")
+def wide_long_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = orders_wide(spark, sf_dir)
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(C.zero_pad("o_custkey", 10).alias("cik10"), F.year("o_orderdate").cast("string").alias("company_year"))
+    first = panel.missing_keys(wide, finished).select(F.lit("wide").alias("side"), "cik10", "company_year")
+    return first.unionByName(panel.missing_keys(finished, wide.where("liabilities is not null")).select(F.lit("orders").alias("side"), "cik10", "company_year"))
+
+
+@query(f"""WITH {WIDE_SQL}, a AS ({_long_sql(["assets", "liabilities"])}), b AS (SELECT cik10, company_year, variable, round(value / 1000, 0) * 1000 AS other FROM a WHERE value > 100000)
+SELECT cik10, company_year, variable, value AS wide_value FROM a LEFT JOIN b USING (cik10, company_year, variable) WHERE other IS NULL OR abs(value - other) > 250""")
+def wide_long_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = panel.long(orders_wide(spark, sf_dir), ["assets", "liabilities"], value="wide_value")
+    right = left.where("wide_value > 100000").withColumn("other", F.round(F.col("wide_value") / 1000, 0) * 1000).drop("wide_value")
+    off = panel.mismatches(left, right, keys=["cik10", "company_year", "variable"], left_value="wide_value", right_value="other", tolerance=250)
+    return off.select("cik10", "company_year", "variable", "wide_value")
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0 AS lines FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_totalprice, lines FROM orders JOIN l ON l_orderkey = o_orderkey WHERE abs(o_totalprice - lines) > greatest(abs(lines), 1.0) * 0.05""")
+def tolerance_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100).alias("lines"))
+    joined = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.where(C.differs("o_totalprice", "lines", 0.05)).select("o_orderkey", "o_totalprice", "lines")
+
+
+@query("SELECT event_id, props, regexp_matches(event_type, '^[0-9]+$') = false AS type_invalid, CAST(NULL AS DOUBLE) AS type_number, CAST(event_id AS DOUBLE) AS id_number FROM events")
+def invalid_numeric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "props", C.invalid_number("event_type").alias("type_invalid"), C.number("event_type").alias("type_number"), C.number(F.concat(F.lit(" "), F.col("event_id").cast("string"))).alias("id_number"))
+
+
+# ---------------------------------------------------------------- checks
+
+def _held(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Warnings of the named checks over the orders' panel."""
+    wide = company_panel(spark, sf_dir).withColumn("__copies", F.lit(1))
+    checks = [c for c in quality.wide_checks(wide, Scope(start_year=1996, end_year=2000), 1999) if c.name in names]
+    return quality.run_checks(wide, checks).select("severity", "check_name", "cik10", "company_year", "variable")
+
+
+def _checks_sql(rows: list[tuple[str, str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS severity, '{n}' AS check_name, cik10, company_year, '{v}' AS variable FROM wide WHERE {c}" for n, s, v, c in rows)
+
+
+COMPONENT_ROWS = [
+    ("cash_above_assets", "medium", "cash", "assets > 0 AND cash > assets * 1.05"),
+    ("inventory_above_assets", "medium", "inventory", "assets > 0 AND inventory > assets * 1.05"),
+    ("cost_of_revenue_above_operating_costs", "medium", "cost_of_revenue", "operating_costs > 0 AND cost_of_revenue > operating_costs * 1.05"),
+    ("assets_differs_from_liabilities_and_equity", "medium", "assets", "abs(assets - liabilities_and_equity) > greatest(abs(liabilities_and_equity), 1.0) * 0.05"),
+    ("large_assets_liabilities_equity_gap", "low", "assets", "abs(assets) > 0 AND abs(assets - liabilities - equity) > abs(assets) * 0.5"),
+]
+NEGATIVE_ROWS = [(f"{v}_negative", s, v, f"{v} < 0") for v, s in (("assets", "high"), ("liabilities", "medium"), ("cash", "medium"), ("revenues", "medium"), ("cost_of_revenue", "low"), ("operating_costs", "low"))]
+RATIO_ROWS = [
+    (f"net_{kind}_relative_to_{base}", "medium", "net_income", f"net_income {sign} 0 AND abs({base}) > 0 AND abs(net_income) / abs({base}) > {most}")
+    for base, most in (("revenues", 2.0), ("assets", 1.5))
+    for kind, sign in (("loss_abs_large", "<"), ("profit_large", ">"))
+]
+YEAR_ROWS = [
+    ("company_year_in_future", "high", "company_year", "CAST(company_year AS INTEGER) > 1999"),
+    ("company_year_outside_configured_dataset_range", "low", "company_year", "CAST(company_year AS INTEGER) NOT BETWEEN 1996 AND 2000"),
+]
+EXCEPTION_ROWS = [("liabilities_absurdly_above_assets", "high", "liabilities", "assets > 0 AND liabilities > assets * 1.5 AND NOT coalesce(equity < 0 AND abs(assets - liabilities - equity) <= abs(assets) * 0.1, false)")]
+SPARSE_ROWS = [("sparse_company_year", "low", "", " + ".join(f"({v} IS NOT NULL)::INT" for v in WIDE_VARIABLES) + " <= 3")]
+ALL_ROWS = COMPONENT_ROWS + NEGATIVE_ROWS + RATIO_ROWS + YEAR_ROWS + EXCEPTION_ROWS + SPARSE_ROWS
+
+
+def _names(rows: list[tuple[str, str, str, str]]) -> list[str]:
+    return [r[0] for r in rows]
+
+
+@query(f"WITH {WIDE_SQL} {_checks_sql(COMPONENT_ROWS)}")
+def component_above_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, _names(COMPONENT_ROWS))
+
+
+@query(f"WITH {WIDE_SQL} {_checks_sql(NEGATIVE_ROWS)} UNION ALL SELECT 'account', 'account_negative', lpad(CAST(c_custkey AS VARCHAR), 10, '0'), '', 'c_acctbal' FROM customer WHERE c_acctbal < 0")
+def negative_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("account").alias("severity"), F.lit("account_negative").alias("check_name"), C.zero_pad("c_custkey", 10).alias("cik10"), F.lit("").alias("company_year"), F.lit("c_acctbal").alias("variable"))
+    return _held(spark, sf_dir, _names(NEGATIVE_ROWS)).unionByName(accounts)
+
+
+@query(f"WITH {WIDE_SQL} {_checks_sql(RATIO_ROWS)}")
+def ratio_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, _names(RATIO_ROWS))
+
+
+@query(f"WITH {WIDE_SQL} {_checks_sql(EXCEPTION_ROWS)}")
+def liabilities_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, _names(EXCEPTION_ROWS))
+
+
+@query(f"WITH {WIDE_SQL} {_checks_sql(SPARSE_ROWS)}")
+def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, _names(SPARSE_ROWS))
+
+
+@query(f"WITH {WIDE_SQL} {_checks_sql(YEAR_ROWS)}")
+def year_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, _names(YEAR_ROWS))
+
+
+@query(f"""WITH {WIDE_SQL}, c AS (SELECT cik10, count(*) AS years, count(assets) AS assets, count(liabilities) AS liabilities, count(revenues) AS revenues, count(net_income) AS net_income, count(equity) AS equity FROM wide GROUP BY 1 HAVING count(*) >= 5)
+SELECT cik10, variable || '_missing_for_majority_of_years' AS check_name, CAST(n AS VARCHAR) AS value, CAST(years AS VARCHAR) AS reference_value
+FROM (UNPIVOT c ON assets, liabilities, revenues, net_income, equity INTO NAME variable VALUE n) WHERE n / years < 0.5""")
+def coverage_majority_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.coverage_warnings(company_panel(spark, sf_dir)).select("cik10", "check_name", "value", "reference_value")
+
+
+_ORDER = "CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, check_name, cik10, company_year, variable"
+
+
+@query(f"WITH {WIDE_SQL}, w AS ({_checks_sql(ALL_ROWS)}) SELECT row_number() OVER (ORDER BY {_ORDER}) AS warning_id, * FROM w")
+def warnings_union_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _held(spark, sf_dir, _names(ALL_ROWS))
+    return numbered(held, [quality._severity_rank(), *map(F.col, ("check_name", "cik10", "company_year", "variable"))], "warning_id")
+
+
+@query(f"""WITH {WIDE_SQL}, w AS ({_checks_sql(ALL_ROWS)}), n AS (SELECT row_number() OVER (ORDER BY {_ORDER}) AS warning_id, * FROM w)
+SELECT severity, check_name, count(*) AS warning_count, count(DISTINCT cik10) AS company_count, count(DISTINCT (cik10, company_year)) AS company_year_count, min(warning_id) AS first_warning_id FROM n GROUP BY 1, 2""")
+def warnings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(warnings_union_ranked(spark, sf_dir))
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.6g', l_quantity / 3) AS third, printf('%.6g', l_extendedprice * 12345 / 7) AS large, printf('%.6g', l_tax / 70001) AS small FROM lineitem")
+def format_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.six_digits(F.col("l_quantity") / 3).alias("third"), C.six_digits(F.col("l_extendedprice") * 12345 / 7).alias("large"), C.six_digits(F.col("l_tax") / 70001).alias("small"))
+
+
+@query("SELECT o_orderpriority AS label, count(*) AS value, CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS INTEGER) AS place FROM orders GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("value"))
+    # one row per label: the ranking window holds the aggregate, not the orders
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("value").desc(), "label")))
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik10 FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def still_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = tables.wanted_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cik10")))
+    landed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(C.zero_pad("o_custkey", 10).alias("cik10"))
+    return tables.still_wanted(wanted, landed)
+
+
+@query("SELECT count(*) AS columns_present FROM (DESCRIBE SELECT * FROM lineitem) WHERE column_name IN ('l_orderkey', 'l_tax')")
+def column_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["l_orderkey", "l_tax"]
+    schemas.require_columns(table(spark, sf_dir, "lineitem"), names, "lineitem")
+    return spark.range(len(names)).agg(F.count("*").alias("columns_present"))
