@@ -10,12 +10,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import ship
+
 #: Rows of a batch are worked on in slices of about this many characters.
 SLICE_CHARS = 4_000_000
+#: A batch becomes Python objects so many rows at a time.
+SLICE_ROWS = 256
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Sends the package to the executors and keeps Arrow batches of long texts small.
+
+    A batch size that the session has set itself stays.
+    """
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(BATCH_BYTES, "8MB")
 
 
 def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -55,12 +70,12 @@ def append_columns(
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = work(*[batch.column(n_kept + i).to_pylist() for i in range(len(args))])
-            arrays = [pa.array(v, type=out.field(n_kept + i).type) for i, v in enumerate(columns)]
-            front = [c if c.type == out.field(i).type else c.cast(out.field(i).type) for i, c in enumerate(batch.columns[:n_kept])]
-            yield pa.RecordBatch.from_arrays(front + arrays, schema=out)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                columns = work(*[part.column(n_kept + i).to_pylist() for i in range(len(args))])
+                arrays = [pa.array(v, type=out.field(n_kept + i).type) for i, v in enumerate(columns)]
+                front = [c if c.type == out.field(i).type else c.cast(out.field(i).type) for i, c in enumerate(part.columns[:n_kept])]
+                yield pa.RecordBatch.from_arrays(front + arrays, schema=out)
 
     return source.mapInArrow(run, schema)
 
@@ -78,9 +93,9 @@ def explode_columns(
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            for columns in work(*[batch.column(i).to_pylist() for i in range(len(inputs))]):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                for columns in work(*[part.column(i).to_pylist() for i in range(len(inputs))]):
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
 
     return df.select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]).mapInArrow(run, schema)
