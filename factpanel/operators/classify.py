@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources import schemas
+from .numbering import numbered
 
 # Ranges of industry codes, words and labels of the published classification.
 MAJOR_GROUPS = [
@@ -127,13 +128,10 @@ def in_universe() -> Column:
 
 
 def universe(companies: DataFrame) -> DataFrame:
-    """Companies of the universe, numbered in order of sector, code, name and key.
-
-    The numbers need the rows in one order; the result is a list of companies, not of facts.
-    """
+    """Companies of the universe, numbered in order of sector, code, name and key."""
     order = [F.col(c).asc_nulls_last() for c in ("research_sector", "sic_int", "company_name", "cik10")]
-    kept = companies.where(in_universe())
-    return kept.withColumn("research_universe_id", F.row_number().over(Window.orderBy(*order))).select(*schemas.UNIVERSE)
+    kept = numbered(companies.where(in_universe()), order, "research_universe_id")
+    return kept.withColumn("research_universe_id", F.col("research_universe_id").cast("int")).select(*schemas.UNIVERSE)
 
 
 def excluded(companies: DataFrame) -> DataFrame:

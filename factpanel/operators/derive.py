@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from .select import RANKS
@@ -75,12 +76,13 @@ def counters(found: DataFrame) -> DataFrame:
     return found.agg(*[F.count_if(c).alias(c) for c in COUNTERS])
 
 
-def _made(found: DataFrame, variable: str, tag: str, sources: list[str], columns: list[str]) -> DataFrame:
-    first = F.col(sources[0])
+def _made(variable: str, tag: str, sources: list[str], fields: list[T.StructField]) -> Column:
+    """A derived row as a struct, null where nothing is derived."""
+    first, value = F.col(sources[0]), F.col(f"derived_{variable}_value")
     changed = {
         "variable": F.lit(variable),
-        "val": F.col(f"derived_{variable}_value").cast("string"),
-        "number": F.col(f"derived_{variable}_value"),
+        "val": value.cast("string"),
+        "number": value,
         "namespace": F.lit("derived"),
         "tag": F.lit(tag),
         "tier": F.lit("derived"),
@@ -90,26 +92,23 @@ def _made(found: DataFrame, variable: str, tag: str, sources: list[str], columns
     for rank in RANKS[:-1]:
         parts = [F.col(s)[rank] for s in sources]
         changed[rank] = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    keys = {"cik10", "company_year"}
-    return found.where(F.col(f"derived_{variable}_value").isNotNull()).select(
-        *[F.col(c) if c in keys else changed.get(c, first[c] if c not in keys else None).alias(c) for c in columns]
-    )
+    row = F.struct(*[changed.get(f.name, first[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    return F.when(value.isNotNull(), row)
 
 
 def with_derived(selected: DataFrame, found: DataFrame) -> DataFrame:
     """The selected rows, less replaced operating costs, and the derived rows.
 
-    A derived row takes everything but its own values from its first source.
+    A derived row takes everything but its own values from its first source.  The variables that the
+    rules look at come from the company-years in ``found``, all others from ``selected`` as they are.
     """
     columns = selected.columns
-    replaced = found.where("derived_operating_costs_replaced").select("cik10", "company_year", F.lit("operating_costs").alias("variable"))
-    kept = selected.join(replaced, ["cik10", "company_year", "variable"], "left_anti").select(*columns)
-    made = [
-        _made(found, "assets", ASSETS_TAG, ["liabilities_and_equity"], columns),
-        _made(found, "liabilities", LIABILITIES_TAG, ["liabilities_and_equity", "equity"], columns),
-        _made(found, "operating_costs", COSTS_TAG, ["revenues", "ebit"], columns),
+    fields = [f for f in selected.schema.fields if f.name not in ("cik10", "company_year")]
+    rows = [F.col(v) if v != "operating_costs" else F.when(~F.col("derived_operating_costs_replaced"), F.col(v)) for v in SOURCES]
+    rows += [
+        _made("assets", ASSETS_TAG, ["liabilities_and_equity"], fields),
+        _made("liabilities", LIABILITIES_TAG, ["liabilities_and_equity", "equity"], fields),
+        _made("operating_costs", COSTS_TAG, ["revenues", "ebit"], fields),
     ]
-    out = kept
-    for m in made:
-        out = out.unionByName(m)
-    return out
+    looked_at = found.select("cik10", "company_year", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("cik10", "company_year", "r.*")
+    return selected.where(~F.col("variable").isin(SOURCES)).unionByName(looked_at.select(*columns))
