@@ -25,6 +25,12 @@ class Panel:
     usage: DataFrame
     missing: DataFrame
     stats: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees what the run keeps on the executors' disks; the tables would be computed anew."""
+        for df in self.held:
+            df.unpersist()
 
 
 def universe_of(metadata: DataFrame, *, compat_nan: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,6 +84,7 @@ def build_panel(companies: DataFrame, documents: DataFrame, rules: Sequence[Rule
         reports.tag_usage(full, table),
         reports.missing_by_company(full, companies, variables),
         counts,
+        (listed, judged, full),
     )
 
 
