@@ -29,6 +29,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of ids up to so many rows (some 25 MB) are sent to the executors; larger ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` with the hint to broadcast it if it has at most ``limit`` rows, else as it is.
+
+    ``ids`` should be cheap to read again, such as a checkpoint.
+    """
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+
+
 def _near_min(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and everything in u's rows."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

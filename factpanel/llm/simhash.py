@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append_columns
-from .components import checkpoint, connected_components
+from .components import BROADCAST_IDS, checkpoint, connected_components, small
 
 BITS = 64
 SEED = 42
@@ -211,15 +211,18 @@ def near_duplicates(
     return prints.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """``docs`` without near-duplicates: the document with a component's least id stays.
 
-    A repeated id stays once.  Rows without an id stay if no named document is near them.
+    A repeated id stays once.  Rows without an id, which nothing can name, stay.
     """
-    found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col, **options))
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("component_id").alias("__first"))
-    stay = ids.where("doc_id <=> __first").select(F.col("doc_id").alias("__id"), F.col("__rows"))
-    kept = docs.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")))
-    once = kept.where("__rows = 1 or __id is null").select(docs.columns)
-    many = kept.where("__rows > 1 and __id is not null").dropDuplicates([id_col]).select(docs.columns)
-    return once.unionByName(many)
+    found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col, **options)).where("doc_id is not null")
+    ids = checkpoint(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.min("component_id").alias("__first")))
+    gone = small(ids.where("__id <> __first").select("__id"), broadcast_ids)
+    same_id = F.col(f"`{id_col}`").cast("long") == F.col("__id")
+    kept = docs.join(gone, same_id, "left_anti")
+    again = ids.where("__id = __first and __rows > 1").select("__id")
+    if again.isEmpty():
+        return kept
+    again = small(again, broadcast_ids)
+    return kept.join(again, same_id, "left_anti").unionByName(kept.join(again, same_id, "left_semi").dropDuplicates([id_col]))
