@@ -29,7 +29,7 @@ def ready(spark: SparkSession) -> None:
     A batch size that the session has set itself stays.
     """
     ship(spark)
-    if spark.conf.get(BATCH_BYTES) in ("67108864b", "67108864", "64MB", "64m"):
+    if spark.conf.get(BATCH_BYTES, "") in ("", "67108864b", "67108864", "64MB", "64m"):
         spark.conf.set(BATCH_BYTES, "8MB")
 
 
