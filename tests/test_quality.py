@@ -160,3 +160,13 @@ def test_dataset_checks_and_numbers(spark):
     assert summary["long_facts_not_available"]["company_year_count"] is None
     with pytest.raises(ValueError):
         quality.all_warnings(wide, empty.drop("accn"), SCOPE, RULES)
+    nothing = quality.ranked(quality.all_warnings(wide, empty, SCOPE, RULES, this_year=2026).where(F.lit(False)))
+    assert nothing.count() == 0 and quality.summary(nothing).count() == 0
+
+
+def test_numbers_are_dense_over_many_partitions(spark):
+    from factpanel.operators.numbering import numbered
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x")).repartition(9)
+    got = [(r["x"], r["n"]) for r in numbered(df, [F.col("x")], "n").collect()]
+    assert sorted(got) == [(x, i + 1) for i, x in enumerate(sorted(x for x, _ in got))]
