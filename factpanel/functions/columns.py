@@ -227,6 +227,11 @@ def differs(actual: Column | str, expected: Column | str, tolerance: float) -> C
     return is_true(F.abs(actual - expected) > F.greatest(F.abs(expected), F.lit(1.0)) * tolerance)
 
 
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def six_digits(c: Column | str) -> Column:
     """A double with six significant digits, as %.6g writes it; null as the empty text.
 
@@ -234,18 +239,34 @@ def six_digits(c: Column | str) -> Column:
     form puts between them goes up, where %.6g may go down.
     """
     c = col(c).cast("double")
-    exact = F.format_string("%.16e", F.abs(c))  # the shortest decimal form, filled with zeros
-    between_two = F.regexp_replace(exact, r"\.", "").rlike(r"^\d{5}[02468]50{10}e") & (c * 1024 == F.floor(c * 1024))
-    down = F.concat(F.substring(exact, 1, 7), F.lit("e"), F.substring_index(exact, "e", -1))
-    e = F.when(between_two, down).otherwise(F.format_string("%.5e", F.abs(c)))
-    digits = F.regexp_replace(F.substring_index(e, "e", 1), r"\.", "")
-    power = F.substring_index(e, "e", -1).cast("int")
-    cut = lambda x: F.regexp_replace(x, r"\.?0*\z", "")
-    science = F.concat(cut(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    whole = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+    # the shortest decimal form, filled with zeros: one digit, the point, sixteen digits, the power
+    whole = F.struct(c.alias("c"), F.format_string("%.16e", F.abs(c)).alias("exact"))
+    return F.when(c.isNull(), "").when(c == 0, "0").otherwise(once(whole, _rounded))
+
+
+def _rounded(x: Column) -> Column:
+    c, exact = x["c"], x["exact"]
+    digits = F.concat(F.substring(exact, 1, 1), F.substring(exact, 3, 16))
+    head, rest = F.substring(digits, 1, 6).cast("long"), F.substring(digits, 7, 11)
+    half = F.lit("50000000000")
+    tie_down = (rest == half) & (head % 2 == 0) & (c * 1024 == F.floor(c * 1024))
+    up = (rest >= half) & ~tie_down
+    power = F.substring(exact, 20, 5).cast("int")  # behind the e
+    number = head + F.when(up, 1).otherwise(0)
+    carried = number == 1_000_000
+    row = F.struct((c < 0).alias("negative"), F.when(carried, "100000").otherwise(number.cast("string")).alias("digits"), (power + F.when(carried, 1).otherwise(0)).alias("power"))
+    return once(row, _shown)
+
+
+def _shown(x: Column) -> Column:
+    digits, power = x["digits"], x["power"]
+    cut = lambda t: F.regexp_replace(t, r"\.?0*\z", "")
+    size = F.abs(power).cast("string")
+    science = F.concat(cut(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.when(power < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+    plain = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    shown = F.when((power < -4) | (power >= 6), science).when(power < 0, cut(small)).otherwise(cut(whole))
-    return F.when(c.isNull(), "").when(c == 0, "0").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), shown))
+    shown = F.when((power < -4) | (power >= 6), science).when(power < 0, cut(small)).otherwise(cut(plain))
+    return F.concat(F.when(x["negative"], "-").otherwise(""), shown)
 
 
 def year_of_utc_now() -> Column:

@@ -38,8 +38,7 @@ def map_to_rules(rows: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     return rows.join(F.broadcast(rules) if n_rules <= BROADCAST_RULES else rules, ["namespace", "tag"])
 
 
-def year_in_scope(year: Column | str, scope: Scope) -> Column:
-    value = C.integer(year)
+def _year_in_scope(value: Column, scope: Scope) -> Column:
     held = value.isNotNull()
     if scope.start_year is not None:
         held = held & (value >= scope.start_year)
@@ -48,6 +47,11 @@ def year_in_scope(year: Column | str, scope: Scope) -> Column:
     return C.is_true(held)
 
 
+def year_in_scope(year: Column | str, scope: Scope) -> Column:
+    """Whether a year in text form is a number within the scope's bounds."""
+    return _year_in_scope(C.integer(year), scope)
+
+
 def end_year_too_late(end: Column | str, filed: Column | str, fy: Column | str) -> Column:
     year = F.year(C.iso_date(end))
     return C.is_true(year > F.year(C.iso_date(filed)) + MAX_END_YEAR_LEAD) | C.is_true(year > C.integer(fy) + MAX_END_YEAR_LEAD)
@@ -69,33 +73,62 @@ def judge(rows: DataFrame, scope: Scope, *, flows: Sequence[str] = schemas.FLOWS
     """
     flow = F.col("variable").isin(*flows)
     forms = list(scope.forms)
-    ranked = rows.withColumn("company_year", C.company_year("fy", "frame", "end")).withColumns(
+    # texts are parsed once, into columns that all that follows reads
+    parsed = rows.withColumns(
+        {
+            "start_date": C.iso_date("start"),
+            "end_date": C.iso_date("end"),
+            "filed_date": C.iso_date("filed"),
+            "fiscal_year": C.integer("fy"),
+            "framed_year": C.frame_year("frame"),
+            "upper_form": F.upper(C.text("form")),
+            "is_fy": F.upper(C.text("fp")) == "FY",
+        }
+    )
+    fiscal, framed, end, filed = (F.col(c) for c in ("fiscal_year", "framed_year", "end_date", "filed_date"))
+    lag = F.datediff(filed, end)
+    dated = parsed.withColumns(
+        {
+            "company_year": F.coalesce(fiscal.cast("string"), framed, F.year(end).cast("string"), C.text("fy")),
+            "annual": C.between(F.datediff(end, F.col("start_date")) + 1, *C.ANNUAL_DAYS),
+            "filing_lag_days": F.coalesce(F.when(lag >= 0, lag), F.lit(C.LAG_UNKNOWN)),
+        }
+    )
+    year, annual = F.col("company_year"), F.col("annual")
+    instant = F.col("upper_form").isin(*forms) & (C.text("end") != "") & (C.text("start") == "")
+    by_fy, by_frame = C.is_true(fiscal.cast("string") == year), C.is_true(framed == year)
+    at = F.array_position(F.array(*[F.lit(f) for f in forms]), F.col("upper_form")).cast("int")
+    ranked = dated.withColumn("year_number", C.integer(year)).withColumns(
         {
-            "annual_rank": C.annual_rank(flow, "fp", "start", "end", "frame", "form", forms),
-            "form_rank": C.form_rank("form", forms),
-            "fp_rank": C.fp_rank("fp"),
-            "period_match_rank": C.period_match_rank("fy", "frame", "company_year"),
-            "filing_lag_days": C.known_lag_days("filed", "end"),
-            "fy_match_rank": C.fy_match_rank("fy", "company_year"),
-            "frame_match_rank": C.frame_match_rank("frame", "company_year"),
+            "annual_rank": F.when(flow, F.when(annual, 0).otherwise(C.NON_ANNUAL))
+            .when(F.col("is_fy"), 0)
+            .when(annual, 1)
+            .when(framed.isNotNull(), 2)
+            .when(instant, 3)
+            .otherwise(C.NON_ANNUAL),
+            "form_rank": F.when(at > 0, at - 1).otherwise(len(forms)),
+            "fp_rank": F.when(F.col("is_fy"), 0).otherwise(1),
+            "period_match_rank": F.when(by_fy & by_frame, 0).when(by_fy, 1).when(by_frame, 2).when(fiscal.isNull() & framed.isNull(), 3).otherwise(4),
+            "fy_match_rank": F.when(fiscal.isNull(), 1).when(by_fy, 0).otherwise(2),
+            "frame_match_rank": F.when(framed.isNull(), 1).when(by_frame, 0).otherwise(2),
         }
     )
     tests = [
         ~F.col("unit").isin(*units),
-        ~F.upper(C.strip(C.text("form"))).isin(*forms),
+        ~C.strip("upper_form").isin(*forms),
         C.text("val") == "",
-        F.col("company_year") == "",
-        ~year_in_scope("company_year", scope),
-        end_year_too_late("end", "filed", "fy"),
+        year == "",
+        ~_year_in_scope(F.col("year_number"), scope),
+        C.is_true(F.year(end) > F.year(filed) + MAX_END_YEAR_LEAD) | C.is_true(F.year(end) > fiscal + MAX_END_YEAR_LEAD),
         F.col("filing_lag_days") > MAX_LAG_DAYS,
-        filing_year_too_late("filed", "company_year"),
-        flow & ~C.is_annual_period("start", "end"),
+        C.is_true(F.year(filed) > F.col("year_number") + MAX_FILING_YEAR_LEAD),
+        flow & ~annual,
         F.col("annual_rank") == C.NON_ANNUAL,
     ]
     reason = F.lit(None).cast("string")
     for name, test in list(zip(REASONS, tests, strict=True))[::-1]:
         reason = F.when(test, name).otherwise(reason)
-    return ranked.withColumn("reject_reason", reason)
+    return ranked.withColumn("reject_reason", reason).drop("start_date", "fiscal_year", "framed_year", "upper_form", "is_fy", "annual", "year_number")
 
 
 def reject_counts(judged: DataFrame) -> DataFrame:
@@ -108,8 +141,8 @@ def order_key() -> list[Column]:
     return [
         *[F.col(c) for c in RANKS],
         F.col("tag_priority"),
-        C.date_number("filed"),
-        -C.date_number("end"),
+        F.col("filed_date").asc_nulls_first(),  # the earliest filing
+        F.col("end_date").desc_nulls_last(),  # of the latest period
         C.text("accn"),
         F.col("namespace"),
         F.col("tag"),
