@@ -17,6 +17,8 @@ LAG_UNKNOWN = 999_999
 ANNUAL_DAYS = (300, 400)
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 INTEGER = r"^[+-]?\d+(\.0*)?\z"
+#: What counts as white space in text.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def col(c: Column | str) -> Column:
@@ -25,7 +27,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col(c).cast("string"), r"^\s+|\s+\z", "")
+    return F.btrim(col(c).cast("string"), F.lit(SPACES))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -94,7 +96,7 @@ def invalid_number(c: Column | str) -> Column:
 def integer(c: Column | str) -> Column:
     """A whole number as a long, or null; 2020 and 2020.0 are whole."""
     stripped = strip(c)
-    return F.when(stripped.rlike(INTEGER), F.regexp_replace(stripped, r"\.0*\z", "").try_cast("long"))
+    return F.when(stripped.rlike(INTEGER), F.substring_index(stripped, ".", 1).try_cast("long"))
 
 
 def industry_code(c: Column | str) -> Column:
@@ -125,7 +127,7 @@ def contains_any(c: Column | str, words: Iterable[str]) -> Column:
 def iso_date(c: Column | str) -> Column:
     """A date from YYYY-MM-DD, else null.  Compact and week forms aren't taken."""
     stripped = strip(c)
-    return F.when(stripped.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(stripped, "yyyy-MM-dd"))
+    return F.when(stripped.rlike(r"^\d{4}-\d{2}-\d{2}\z"), stripped.try_cast("date"))
 
 
 def date_number(c: Column | str) -> Column:

@@ -236,7 +236,7 @@ SELECT c.variable, configured_tag_count, coalesce(selected_observations, 0) AS s
   round(coalesce(company_years_with_value, 0) / years, 6) AS company_year_coverage_ratio, coalesce(units, '') AS units, coalesce(forms, '') AS forms
 FROM configured c LEFT JOIN used u ON c.variable = u.variable, n""")
 def variable_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = best_lines(spark, sf_dir)
+    best = best_lines(spark, sf_dir).persist()  # read for the years and for the report
     companies = table(spark, sf_dir, "customer").count()
     years = best.select("cik10", "company_year").distinct().count()
     return reports.variable_coverage(best, ["revenues", "assets", "ebit", "operating_costs", "cash"], rules_frame(spark, RULES), companies, years)
