@@ -243,17 +243,18 @@ def six_digits(c: Column | str) -> Column:
     c = col(c).cast("double")
     # the shortest decimal form, filled with zeros: one digit, the point, sixteen digits, the power
     whole = F.struct(c.alias("c"), F.format_string("%.16e", F.abs(c)).alias("exact"))
-    return F.when(c.isNull(), "").when(c == 0, "0").otherwise(once(whole, _rounded))
+    odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.when(c.isNull(), "").when(c == 0, "0").otherwise(F.coalesce(odd, once(whole, _rounded)))
 
 
 def _rounded(x: Column) -> Column:
     c, exact = x["c"], x["exact"]
     digits = F.concat(F.substring(exact, 1, 1), F.substring(exact, 3, 16))
-    head, rest = F.substring(digits, 1, 6).cast("long"), F.substring(digits, 7, 11)
+    head, rest = F.substring(digits, 1, 6).try_cast("long"), F.substring(digits, 7, 11)
     half = F.lit("50000000000")
     tie_down = (rest == half) & (head % 2 == 0) & (c * 1024 == F.floor(c * 1024))
     up = (rest >= half) & ~tie_down
-    power = F.substring(exact, 20, 5).cast("int")  # behind the e
+    power = F.substring(exact, 20, 5).try_cast("int")  # behind the e
     number = head + F.when(up, 1).otherwise(0)
     carried = number == 1_000_000
     row = F.struct((c < 0).alias("negative"), F.when(carried, "100000").otherwise(number.cast("string")).alias("digits"), (power + F.when(carried, 1).otherwise(0)).alias("power"))

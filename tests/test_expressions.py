@@ -56,6 +56,8 @@ def test_six_digits_follow_python(spark):
     got = values(spark, rows, "x double", C.six_digits("x"))
     assert [g for g, r in zip(got, rows, strict=True) if g != f"{r:.6g}"] == []
     assert values(spark, [None], "x double", C.six_digits("x")) == [""]
+    odd = [float("nan"), float("inf"), float("-inf"), 999999.5, 9999995.0, 8209425.0, 8209435.0]
+    assert values(spark, odd, "x double", C.six_digits("x")) == [f"{x:.6g}" for x in odd]
 
 
 def test_tolerance_is_strict(spark):
