@@ -3,7 +3,11 @@
 A text is brought to a canonical form: lower case, copyright lines dropped, punctuation and white
 space as one space, equivalent spellings as one.  The SHA-256 of the whole canonical text is joined
 by hash to the digests of known licence texts; each canonical line is looked up among the digests of
-known one-line notices.  ``ORACLE_SQL`` is the same for DuckDB.
+known one-line notices.
+
+What begins a line depends on where a text is wrapped, so licences are joined by a second digest: of the
+text as one line, without the lines that are notices of copyright and not words of a licence on its holders
+or notices.  ``oracle_sql`` gives DuckDB the first form alone; it agrees but for texts that are known by the second.
 
 Cases: a null text is the empty text, which is no licence; repeated rows are scanned alike; texts of
 any length are digested whole; an empty table gives no rows; extra columns are ignored.
@@ -132,6 +136,11 @@ SPELLINGS: list[tuple[str, str]] = [
 ]
 
 COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A notice: what follows the word isn't a licence's text, wherever that is wrapped.
+NOTICE = (
+    r"(^|\n)[ \t*#/;.-]*(copyright\b(?![\s*#/;.-]+(holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|and|or|in|to)\b|\s*$)"
+    r"|\(c\)|©|all rights reserved)[^\n]*"
+)
 PUNCTUATION = r"[\x00-\x09\x0b-\x20!-/:-@\[-`{-~“”‘’«»–—•©\x{a0}]+"
 LINES = r" *\n[ \n]*"
 EDGES = r"^[ \n]+|[ \n]+$"
@@ -158,6 +167,23 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, LINES, "\n"), EDGES, "")
 
 
+def _unwrapped_digest(text: str) -> str:
+    text = re.sub(NOTICE, r"\1", text.lower())
+    text = re.sub(f"(?:{PUNCTUATION}|\n)+".replace(r"\x{a0}", "\xa0"), " ", text)
+    for a, b in SPELLINGS:
+        text = text.replace(a, b)
+    return hashlib.sha256(text.strip(" ").encode()).hexdigest()
+
+
+def unwrapped(text: Column) -> Column:
+    """The text as one line without notices of copyright, alike for any wrapping."""
+    text = F.regexp_replace(F.lower(text), NOTICE, "$1")
+    text = F.regexp_replace(text, f"(?:{PUNCTUATION}|\n)+", " ")
+    for a, b in SPELLINGS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.trim(text)
+
+
 def known(texts: list[tuple[str, str]] = LICENSES) -> dict[str, str]:
     return {_digest(text): name for name, text in texts}
 
@@ -175,7 +201,7 @@ def scan(
     ``license`` names the licence that the whole text is (null if none); ``notices`` the licences
     that its lines name, in order of name.
     """
-    table = known(licenses)
+    table = {_unwrapped_digest(text): name for name, text in licenses}
     right = docs.sparkSession.createDataFrame(list(table.items()), "known_sha256 string, license string")
     if len(table) <= BROADCAST_TEXTS:
         right = F.broadcast(right)
@@ -183,9 +209,10 @@ def scan(
     names = F.create_map(*[F.lit(x) for pair in known(notices).items() for x in pair])
     lines = F.filter(F.split("canonical", "\n"), lambda x: F.array_contains(lengths, F.length(x)))
     named = F.filter(F.transform(lines, lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
-    scanned = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("canonical"))
-    digests = scanned.select("doc_id", F.sha2(F.replace("canonical", F.lit("\n"), F.lit(" ")), 256).alias("text_sha256"), named.alias("found"))
-    joined = digests.join(right, digests["text_sha256"] == right["known_sha256"], "left")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    scanned = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(text).alias("canonical"), F.sha2(unwrapped(text), 256).alias("unwrapped_sha256"))
+    digests = scanned.select("doc_id", F.sha2(F.replace("canonical", F.lit("\n"), F.lit(" ")), 256).alias("text_sha256"), "unwrapped_sha256", named.alias("found"))
+    joined = digests.join(right, digests["unwrapped_sha256"] == right["known_sha256"], "left")
     return joined.select(
         "doc_id",
         "text_sha256",

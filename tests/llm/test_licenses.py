@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from factpanel.llm import licenses, queries
@@ -19,6 +21,30 @@ def test_every_known_text_is_found(spark):
     assert [got[i] for i in range(len(rows))] == [n for n, _ in licenses.LICENSES]
 
 
+def test_licenses_in_any_wrapping(spark):
+    rows, want = [], []
+    for name, text in licenses.LICENSES:
+        paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+        for head in ("Copyright (c) 2020 Foo Bar", "Copyright The Foo Authors\nAll rights reserved.", "© 2019-2021 Foo\n(c) Copyright Bar", "Copyright: 2020, Foo", "Copyright Orange SA", "(c) Foo", ""):
+            for width in (None, 12, 20, *range(58, 82, 2), 100):
+                body = [p if width is None else textwrap.fill(p, width, break_long_words=False) for p in paragraphs]
+                rows.append((len(rows), head + "\n\n" + "\n\n".join(body)))
+                want.append(name)
+        rows.append((len(rows), "// (c) 2001 X\n" + "\n".join(" * " + x for p in paragraphs for x in textwrap.wrap(p, 70))))
+        want.append(name)
+    isc = """ISC License
+
+Copyright (c) 2010 Foo
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""" + licenses._ISC_WARRANTY
+    rows += [(len(rows), isc), (len(rows) + 1, isc.replace("copyright notice and", "copyright notice or"))]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, got[i], n) for i, n in enumerate([*want, "ISC", None]) if got[i] != n] == []
+
+
 def test_query_matches_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{data}/documents.parquet'")
