@@ -4,7 +4,8 @@ A page's containers are scored: a text block gives its length without links to t
 holds it, half of that to the next one out, and so on; articles and main elements count more.  The
 shares are votes for the containers' generalised paths (tags with classes, digits as one sign), added
 up per host in Spark.  Each page is then read again and its text taken from the elements on its
-host's winning path; a page without text there uses its own best container.
+host's winning path, each widened to the article or else the main element that it is in, as headlines
+and leads stand beside a body; a page without text there uses its own best container.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are known by element, role or class words; inside an article's own header only headings count.
@@ -99,16 +100,37 @@ def votes(page: markup.Page) -> dict[str, float]:
     return {p: s / total for p, s in by_path.items()} if total else {}
 
 
+def _widened(page: markup.Page, i: int) -> int:
+    """The nearest article that an element is or is in, else the nearest main element, else itself."""
+    at, found = i, i
+    while at >= 0:
+        tag = page.elements[at].tag
+        if tag == "article":
+            return at
+        if tag == "main" and page.elements[found].tag != "main":
+            found = at
+        at = page.elements[at].parent
+    return found
+
+
 def extract(html: str | None, path: str | None) -> tuple[str, str | None, bool]:
     """(text, path used, whether that was ``path``)."""
     page = markup.read(html, is_noise)
     kept = _kept(page)
     if path is not None:
         inside: dict[int, bool] = {-1: False}
+        winners = [i for i, e in enumerate(page.elements) if e.path == path and e.tag in markup.CONTAINERS]
+        # a winner without text of its own doesn't widen, else a page without text there wouldn't use its own best container
+        full = set()
+        for owner, _, _ in kept:
+            while owner >= 0 and owner not in full:
+                full.add(owner)
+                owner = page.elements[owner].parent
+        roots = {_widened(page, i) for i in winners if i in full}
 
         def within(i: int) -> bool:
             if i not in inside:
-                inside[i] = page.elements[i].path == path and page.elements[i].tag in markup.CONTAINERS or within(page.elements[i].parent)
+                inside[i] = i in roots or within(page.elements[i].parent)
             return inside[i]
 
         text = " ".join([t for owner, t, _ in kept if within(owner)])

@@ -37,6 +37,20 @@ def test_hosts_agree(spark):
     assert out[10]["text"] == "no host" and out[11]["text"] == out[12]["text"] == "" and out[12]["n_chars"] == 0
 
 
+def test_text_beside_the_winning_body(spark):
+    def page(i, outer):
+        body = f'<div class="body"><p>Body {i} {"words " * 300}</p></div>'
+        beside = f'<p class="lead">Lead {i}</p>{body}<div class="ad">Buy</div><section><p>More {i}</p></section><div class="share">Tell</div>'
+        return f'<body><nav>Menu</nav><main><{outer}><header><h1>Head {i}</h1><p>By me</p></header>{beside}</{outer}></main><p>Outside</p></body>'
+
+    rows = [(i, f"http://{outer}.example/{i}", page(i, outer)) for outer, at in (("article", 0), ("div", 10)) for i in range(at, at + 5)]
+    rows = [(i, url, html if "article" in url else html.replace("<header>", "").replace("</header>", "").replace("<p>By me</p>", "")) for i, url, html in rows]
+    for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"]
+        assert r["by_consensus"] and r["path"].endswith("div.body")
+        assert r["text"] == f"Head {i} Lead {i} Body {i} {'words ' * 300}More {i}"
+
+
 def test_query_against_the_article_element(spark, data):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     rows = queries.op5_html(spark, data).collect()
