@@ -9,17 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def use_shared_folder(spark: SparkSession) -> None:
+def use_shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; a temporary one in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
-        return
+        return sc.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the shared folder at once, so a lost executor costs no earlier step."""
+    use_shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -28,8 +35,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     The sorted rows are written once; each partition's rows are numbered by their place in it and
     the number of rows before it, of which there is one per partition.
     """
-    use_shared_folder(df.sparkSession)
-    ordered = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ordered = checkpoint(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
