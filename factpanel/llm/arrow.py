@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tu
         yield start, len(texts)
 
 
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from ``columns`` in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column without nulls, as views of one array."""
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else []
+
+
+def record_batch(schema: T.StructType, columns: dict) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -59,7 +84,7 @@ def append_columns(
     """
     made = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in made]
-    args = [f"__in{i}" for i in range(len(inputs))]
+    args = fresh(kept, *[f"in{i}" for i in range(len(inputs))])
     source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, args, strict=True)])
     types = {f.name: f.dataType for f in source.schema.fields}
     schema = T.StructType([T.StructField(c, types[c]) for c in kept] + list(fields))
@@ -89,13 +114,10 @@ def explode_columns(
     """Rows that ``work`` makes of a batch.  It yields dicts of equally long arrays or lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out = to_arrow_schema(schema)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 for columns in work(*[part.column(i).to_pylist() for i in range(len(inputs))]):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+                    yield record_batch(schema, columns)
 
-    return df.select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(inputs)]).mapInArrow(run, schema)

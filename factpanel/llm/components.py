@@ -1,36 +1,14 @@
-"""Connected components over links, and the shared folder for checkpoints."""
+"""Connected components over links, and tables that are small enough to be sent to the executors."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-
-
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the shared folder that the cluster names; a temporary one in local mode only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get(SETTING, None)
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError(f"{SETTING} must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(named)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder at once, so a lost executor costs no earlier step."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+from ..operators.numbering import checkpoint
 
-#: Tables of ids up to so many rows (some 25 MB) are sent to the executors; larger ones are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Tables of ids up to so many rows (some 100 MB) are sent to the executors; larger ones are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
