@@ -14,6 +14,7 @@ null; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,8 @@ from .arrow import explode_columns, slices
 MAX_LENGTH = 1024
 END_ID = 0
 END_OF_TEXT = "<|endoftext|>"
+#: Runs of white space (Unicode's, as the pattern's) from this length on are cut out of a text that the pattern can't pass.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 
 
 def default_ranks() -> str:
@@ -36,24 +39,45 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def _encoder(ranks_path: str):
-    """The vocabulary of byte_bpe_50k.json as ranks, whose ids are the same and which is faster."""
+@lru_cache(maxsize=4)
+def _encoder(ranks_path: str, whole: bool = False):
+    """The vocabulary of byte_bpe_50k.json as ranks, whose ids are the same and which is faster; ``whole`` takes a text as one piece."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+    return tiktoken.Encoding("bytes", pat_str=r"(?s).+" if whole else public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
 
 
 def encode(text: str | None, ranks_path: str, end_id: int = END_ID) -> np.ndarray:
     """The ids of a text and the end id, as little-endian unsigned 32-bit integers."""
-    ids = _encoder(ranks_path).encode(text, allowed_special="all") if text else []
+    ids: list[int] = []
+    if text:
+        try:
+            ids = _encoder(ranks_path).encode(text, allowed_special="all")
+        except ValueError:  # the pattern looks ahead behind white space and gives up on a run of a million characters
+            ids = _encode_around_space(text, _encoder(ranks_path), _encoder(ranks_path, True))
     ids.append(end_id)
     return np.array(ids, dtype="<u4")
 
 
+def _encode_around_space(text: str, encoder, whole) -> list[int]:
+    """The ids of a text with long runs of white space.
+
+    The pattern takes such a run as one piece, without its last character unless the text or what stands before a special token ends there;
+    what stands before and behind that piece is cut as if it stood alone.
+    """
+    ids, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        ends = m.end() == len(text) or text.startswith(END_OF_TEXT, m.end())
+        end = m.end() if ends else m.end() - 1
+        ids += encoder.encode(text[at : m.start()], allowed_special="all")
+        ids += whole.encode_ordinary(text[m.start() : end])
+        at = end
+    return ids + encoder.encode(text[at:], allowed_special="all")
+
+
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     """The powers of two, none above ``max_length``, that add up to ``n``, largest first."""
     whole, rest = divmod(n, max_length)

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -22,6 +23,20 @@ def test_ids_are_those_of_the_tokenizers_library(text):
     assert packing.encode(text, packing.default_ranks()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.sampled_from([" ", "\n", " \t", "\u2003", "\x1c "]), st.integers(10_000, 10_100), TEXTS)
+def test_long_space_is_cut_as_the_pattern_cuts_it(before, space, n, after):
+    text = before + (space * n)[:n] + after
+    whole = packing._encoder(packing.default_ranks(), True)
+    got = packing._encode_around_space(text, packing._encoder(packing.default_ranks()), whole)
+    assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 2_000_000, "\n" * 2_000_000, " \t\n" * 500_000 + "x", "a" * 2_000_000, "é." * 500_000 + "\u3000" * 1_200_000 + "y"])
+def test_no_text_is_too_long(text):
+    assert packing.encode(text, packing.default_ranks()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(1) == [1] and packing.piece_lengths(1024) == [1024] and packing.piece_lengths(0) == []
     for n in random.Random(1).sample(range(1, 10_000), 200):
