@@ -18,6 +18,7 @@ empty table leave the base rule alone; extra columns are ignored by ``judge`` an
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append_columns
-from .components import checkpoint
+from ..operators.numbering import checkpoint
+from .arrow import append_columns, fresh
+from .components import small
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -119,16 +121,34 @@ def _bin(share: Column) -> Column:
     return F.least(F.floor(share * 100).cast("int"), F.lit(TOP_BIN))
 
 
+def beta_cdf(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz's method): a few hundred steps for any size."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            value *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * value
+
+
 def upper_bound(k: int, n: int, delta: float) -> float:
-    """The largest rate at which k or fewer of n happen with probability ``delta`` or more."""
+    """The largest rate at which k or fewer of n happen with probability ``delta`` or more: a quantile of the beta distribution."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
 
     def chance(p: float) -> float:
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
+        return beta_cdf(n - k, k + 1, 1 - p)
 
     low, high = k / n, 1.0
     for _ in range(60):
@@ -191,16 +211,15 @@ def cutoffs(counted: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delt
     return checkpoint(bins.groupBy("stratum").applyInPandas(select, schema))
 
 
-def _with_kept(counted: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame:
+def _with_kept(counted: DataFrame, limits: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
     """Adds base_failed and kept; ``limits`` is sent to the executors where it is small."""
-    limits = limits.select(F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"__{r}") for r in rules()])
+    names = fresh([*counted.columns, f"{prefix}base_failed", f"{prefix}kept"], "limit_stratum", *[f"limit_{r}" for r in rules()])
+    limits = limits.select(*[F.col(c).alias(n) for c, n in zip(["stratum", *rules()], names, strict=True)])
     if limits.count() <= BROADCAST_STRATA:
         limits = F.broadcast(limits)
-    joined = counted.join(limits, F.col(f"{prefix}stratum").eqNullSafe(F.col("__stratum")), "left")
-    over = [F.coalesce(_bin(v) >= F.col(f"__{r}"), F.lit(False)) for r, v in rules(prefix).items()]
-    bad = over[0]
-    for x in over[1:]:
-        bad = bad | x
+    joined = counted.join(limits, F.col(f"`{stratum}`").eqNullSafe(F.col(names[0])), "left")
+    over = [F.coalesce(_bin(v) >= F.col(n), F.lit(False)) for n, v in zip(names[1:], rules(prefix).values(), strict=True)]
+    bad = reduce(lambda a, b: a | b, over)
     return joined.withColumn(f"{prefix}base_failed", base_failed(prefix)).withColumn(f"{prefix}kept", ~base_failed(prefix) & ~bad)
 
 
@@ -209,14 +228,20 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"), F.col(f"`{text_col}`").alias("text"))
     counted = checkpoint(with_counts(plain, "text", ["doc_id", "stratum"]))
     limits = cutoffs(counted, labels, **options)
-    return _with_kept(counted, limits).select("doc_id", *COUNTS[:-1], "base_failed", "kept")
+    return _with_kept(counted, limits, "stratum").select("doc_id", *COUNTS[:-1], "base_failed", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns; each row is judged where it is read."""
+    """The rows of ``docs`` that pass, with their columns; each row is judged where it is read.
+
+    Only documents with a label are counted to select cutoffs; all are counted to be judged.
+    """
     columns = docs.columns
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"), F.col(f"`{text_col}`").alias("text"))
-    limits = cutoffs(with_counts(plain, "text", ["doc_id", "stratum"]), labels, **options)
-    again = docs.withColumn("__stratum_of", F.col(f"`{stratum_col}`").cast("string"))
-    counted = with_counts(again, text_col, None, "__q_").withColumnRenamed("__stratum_of", "__q_stratum")
-    return _with_kept(counted, limits, "__q_").where("__q_kept").select(*[F.col(f"`{c}`") for c in columns])
+    marked = small(checkpoint(labels.select("doc_id").where("doc_id is not null").distinct()))
+    limits = cutoffs(with_counts(plain.join(marked, "doc_id", "left_semi"), "text", ["doc_id", "stratum"]), labels, **options)
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    again = docs.withColumn(f"{prefix}stratum", F.col(f"`{stratum_col}`").cast("string"))
+    return _with_kept(with_counts(again, text_col, None, prefix), limits, f"{prefix}stratum", prefix).where(f"{prefix}kept").select(*[F.col(f"`{c}`") for c in columns])

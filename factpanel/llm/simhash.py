@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append_columns
-from .components import BROADCAST_IDS, checkpoint, connected_components, small
+from ..operators.numbering import checkpoint
+from .arrow import append_columns, fresh
+from .components import BROADCAST_IDS, connected_components, small
 
+DIGEST = "text_sha256"
 BITS = 64
 SEED = 42
 SHINGLE = 4
@@ -186,6 +188,23 @@ def links(fingerprints: DataFrame, *, radius: int = RADIUS, large_bucket: int =
     return pairs if hot.isEmpty() else pairs.unionByName(large_links(hot, radius))
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, large_bucket: int) -> DataFrame:
+    """(doc_id, text_sha256, f, class, component_id): ``class`` is one fingerprint of those that are linked."""
+
+    def work(texts: list) -> list:
+        return [[signed(fingerprint(t, width)) for t in texts]]
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias(DIGEST))
+    prints = checkpoint(append_columns(ids, ["text"], [T.StructField("f", T.LongType())], work, ["doc_id", DIGEST]))
+    distinct = prints.groupBy("f").agg(F.min("doc_id").alias("first_id"))
+    classes = connected_components(links(distinct.select("f"), radius=radius, large_bucket=large_bucket))
+    joined = distinct.join(classes.withColumnRenamed("node", "f"), "f", "left").withColumnRenamed("component", "class")
+    least = joined.where("class is not null").groupBy("class").agg(F.min("first_id").alias("least_id"))
+    named = joined.join(least, "class", "left").select("f", F.coalesce("class", "f").alias("class"), F.coalesce("least_id", "first_id").alias("component_id"))
+    return prints.join(named, "f")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -196,33 +215,39 @@ def near_duplicates(
     large_bucket: int = LARGE_BUCKET,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each document."""
-
-    def work(texts: list) -> list:
-        return [[signed(fingerprint(t, width)) for t in texts]]
-
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    prints = checkpoint(append_columns(ids, ["text"], [T.StructField("f", T.LongType())], work, ["doc_id"]))
-    distinct = prints.groupBy("f").agg(F.min("doc_id").alias("first_id"))
-    classes = connected_components(links(distinct.select("f"), radius=radius, large_bucket=large_bucket))
-    joined = distinct.join(classes.withColumnRenamed("node", "f"), "f", "left")
-    linked = joined.where("component is not null")
-    least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = joined.join(least, "component", "left").select("f", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _classed(docs, id_col, text_col, radius, width, large_bucket)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
-    """``docs`` without near-duplicates: the document with a component's least id stays.
+def keep_one(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = RADIUS,
+    width: int = SHINGLE,
+    large_bucket: int = LARGE_BUCKET,
+    broadcast_ids: int = BROADCAST_IDS,
+) -> DataFrame:
+    """``docs`` without near-duplicates: of linked rows the one with the least id, and then digest of its text, stays.
 
-    A repeated id stays once.  Rows without an id, which nothing can name, stay.
+    Rows with equal id and text are one; texts that aren't linked stay, whatever their ids.  Rows
+    without an id, which nothing can name, stay.
     """
-    found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col, **options)).where("doc_id is not null")
-    ids = checkpoint(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.min("component_id").alias("__first")))
-    gone = small(ids.where("__id <> __first").select("__id"), broadcast_ids)
-    same_id = F.col(f"`{id_col}`").cast("long") == F.col("__id")
+    found = checkpoint(_classed(docs, id_col, text_col, radius, width, large_bucket)).where("doc_id is not null")
+    key, digest = fresh(docs.columns, "id", DIGEST)
+    ids = checkpoint(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"), F.min("component_id").alias("first")))
+    again = ids.where("rows > 1").select(key)
+    gone = small(ids.where(f"rows > 1 or {key} <> first").select(key), broadcast_ids)
+    same_id = F.col(f"`{id_col}`").cast("long") == F.col(key)
     kept = docs.join(gone, same_id, "left_anti")
-    again = ids.where("__id = __first and __rows > 1").select("__id")
     if again.isEmpty():
         return kept
-    again = small(again, broadcast_ids)
-    return kept.join(again, same_id, "left_anti").unionByName(kept.join(again, same_id, "left_semi").dropDuplicates([id_col]))
+    # the texts of a repeated id are told apart by their digests
+    first = found.groupBy("class").agg(F.min(F.struct("doc_id", DIGEST)).alias("x")).select(F.col("x.doc_id").alias(key), F.col(f"x.{DIGEST}").alias(digest))
+    winners = checkpoint(first.join(again, key))
+    texts = docs.join(small(again, broadcast_ids), same_id, "left_semi").withColumn(digest, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+    rows = texts.withColumnRenamed(digest, f"{digest}_").join(winners, same_id & (F.col(f"{digest}_") == F.col(digest)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = rows.groupBy(F.col(f"`{id_col}`").cast("long"), f"{digest}_").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("x"))
+    return kept.unionByName(one.select("x.*"))

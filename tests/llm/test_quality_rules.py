@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factpanel.llm import quality, queries
 
@@ -46,6 +48,62 @@ def test_upper_bound_is_exact():
     assert quality.upper_bound(5, 5, 0.05) == 1.0 and quality.upper_bound(0, 0, 0.05) == 1.0
 
 
+def test_upper_bound_of_many_labels_is_quick():
+    at = time.time()
+    for k, n in ((5_000, 1_000_000), (200_000, 100_000_000)):
+        p = quality.upper_bound(k, n, 0.001)
+        sd = math.sqrt(k) / n
+        assert k / n + 3 * sd < p < k / n + 3.3 * sd
+    assert time.time() - at < 2
+
+
+def brute_kept(docs, labels, alpha=0.02, delta=0.05, weight=20.0):
+    """The verdicts by plain sums: (id, text, stratum) and (id, quality), ids and labels without contradictions."""
+    marks, shares, failed = dict(labels), {}, {}
+    for i, text, stratum in docs:
+        c = brute(text)
+        lines = max(1, sum(1 for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")))
+        n = max(1, c[0])
+        shares[i] = [min(400, math.floor(v * 100)) for v in (c[2] / n, c[3] / lines, c[4] / n, c[1] / n / 20)]
+        failed[i] = c[0] < 10 or 100 * c[4] > 20 * c[0]
+    strata = {s for i, _, s in docs if i in marks and not failed[i]}
+    tests, cut = 4 * len(strata), {}
+    for s in strata:
+        ids = [i for i, _, x in docs if x == s and i in marks and not failed[i]]
+        n = sum(marks[i] for i in ids)
+        for rule in range(4):
+            best = 0.0
+            for b in sorted({shares[i][rule] for i in ids} - {0}, reverse=True):
+                k = sum(marks[i] for i in ids if shares[i][rule] >= b)
+                caught = sum(not marks[i] for i in ids if shares[i][rule] >= b)
+                limit = alpha / 4
+                if k >= n or k / n > limit or binomial(k, n, limit) > delta / tests:  # the bound is above the limit
+                    break
+                if caught - weight * k > best:
+                    best, cut[s, rule] = caught - weight * k, b
+    return {i: not failed[i] and not any(shares[i][r] >= cut.get((s, r), 10**9) for r in range(4)) for i, _, s in docs}
+
+
+def test_verdicts_against_plain_sums(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(9000):
+        words = [f"w{rng.randrange(3000)}" for _ in range(30)]
+        bad = rng.random() < 0.3
+        for j in range(rng.choice([0, 0, 0, 1, 9, 14]) if bad else rng.choice([0] * 60 + [1, 2, 5])):
+            words[j] += "#" * rng.randint(1, 2)
+        text = " ".join(words) + ("\nsame line\nsame line" if rng.random() < (0.4 if bad else 0.001) else "")
+        docs.append((i, text, rng.choice(["en", "en", "en", "de", None])))
+        if i % 10:
+            labels.append((i, int(not bad)))
+    want = brute_kept(docs, labels)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("limit_stratum", F.lit("?")).withColumn("q_n_words", F.lit("?"))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame, marks).collect()}
+    assert got == want and 500 < sum(not k for k in want.values()) < 4000
+    assert {r["doc_id"] for r in quality.keep(frame, marks).collect()} == {i for i in want if want[i]}
+
+
 def test_cutoffs_never_pass_the_bound():
     rng = random.Random(3)
     for _ in range(200):

@@ -126,3 +126,15 @@ def test_odd_rows(odd_documents, no_documents):
     assert kept.schema == odd_documents.schema
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "8", "None"]
     assert simhash.keep_one(no_documents).count() == 0
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    p, q, z = (" ".join(f"{c}{i}" for i in range(80)) for c in "pqz")
+    rows = [(1, p, "a"), (5, p, "b"), (5, q, "c"), (7, z, "d"), (7, z, "e"), (7, "other words " + q, "f"), (8, None, "g"), (8, "", "h"), (None, p, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, f string").selectExpr("*", "1 as rows", "2 as first", "3 as id", "4 as text_sha256", "5 as class", "6 as x")
+    kept = [sorted(r["f"] for r in simhash.keep_one(df.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and [x for x in kept[0] if x not in "degh"] == ["a", "c", "f", "i"]
+    assert len([x for x in kept[0] if x in "de"]) == 1 and len([x for x in kept[0] if x in "gh"]) == 1
+    assert simhash.keep_one(df).columns == df.columns
+    split = spark.createDataFrame([(5, z), (5, q)], "doc_id long, text string")
+    assert simhash.keep_one(split).count() == 2
