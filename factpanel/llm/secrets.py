@@ -4,15 +4,16 @@ Base kinds are patterns with positions.  The method adds kind ``random``: long r
 characters are read in the encoding that fits them best (hex, base32, letters and digits, base64) and
 tested for chi-squared uniformity over its alphabet, runs about the alphabet's middle and lag-one
 serial correlation.  The score is the largest of the three deviations in standard units; a small one
-looks random.  The corpus's own sentences, with everything but their letters left out, are the null
-cases: a run's p-value is the part of null cases of its length class that score as low.  Each length
-class has its own Benjamini-Hochberg threshold at ``q``, found on histograms of scores of bounded
-size.  Runs of letters alone are words and never flagged.
+looks random.  The corpus's own sentences and, for longer runs, lines, with everything but their letters
+left out, are the null cases: a run's p-value is the part of null cases of its length class that score
+as low.  Each length class has its own Benjamini-Hochberg threshold at ``q``, found on histograms of
+scores of bounded size.
 
 Positions are code points, ends exclusive.  They come from ``split``, whose parts between matches are
 as long as what the matches leave out.
 
-Cases: a null text is the empty text; texts without a match have zero counts and an empty list;
+Cases: a null text is the empty text; texts without a match have zero counts and an empty list; runs of
+equal scores are flagged or not together;
 repeated rows are scanned alike; too few null cases to reach ``q`` add nothing; an empty table gives no rows;
 extra columns are ignored by ``scan`` and kept by ``redact``.
 """
@@ -24,17 +25,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import checkpoint
+from ..operators.numbering import checkpoint
+from .arrow import fresh
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more characters with its first four
 HEX = r"[0-9a-f]{24,}"
 LONG = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-PLAIN = r"^[A-Za-z]?[a-z]+$"
 ASSIGN_VALUE = 6
 KINDS = ["assign", "access", "hex", "random"]
-LENGTHS = [20, 24, 32, 48, 64]  #: lower ends of the length classes
-LONGEST_NULL = 95  #: letters of a sentence that counts for the last class
+LENGTHS = [20, 24, 32, 48, 64, 96, 128, 192, 256, 512]  #: lower ends of the length classes
+LINES_FROM = 96  #: null cases from so many letters on are lines, shorter ones sentences
+BLOCK = 64  #: matches whose places are added up together
 TOP_BIN = 1200
 BINS_PER_UNIT = 20
 Q = 0.01
@@ -65,9 +67,21 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.concat(acc["spans"], one).alias("spans"))
 
+    def of_blocks(blocks: Column) -> Column:
+        """Blocks' own places moved by the lengths of the blocks before, so that no fold copies all matches again and again."""
+        none = F.array().cast("array<int>")
+        add = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["offsets"], F.array(acc["at"])).alias("offsets"))
+        offsets = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("offsets")), add, lambda acc: acc["offsets"])
+        move = lambda by: lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+        return F.flatten(F.zip_with(blocks, offsets, lambda x, by: F.transform(x["spans"], move(by))))
+
+    def of_rows(rows: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(rows), F.lit(BLOCK))
+        fold = lambda at: F.aggregate(F.slice(rows, at, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
+        return _let(F.transform(starts, fold), of_blocks)
+
     rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("part"), found.alias("match"), values.alias("value"))
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(rows, of_rows)).otherwise(empty)
 
 
 def score(run: Column) -> Column:
@@ -147,23 +161,24 @@ def _classed(found: Column, length: Column) -> list[Column]:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, class, bin>> of the long runs of a text that aren't plain words."""
+    """array<struct<start, end, class, bin>> of the long runs of a text."""
 
     def tested(x: Column) -> Column:
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), *_classed(score(x["value"]), x["end"] - x["start"]))
 
-    return F.transform(F.filter(matches(text, LONG, "random"), lambda x: ~x["value"].rlike(PLAIN)), tested)
+    return F.transform(matches(text, LONG, "random"), tested)
 
 
 def null_cases(texts: DataFrame) -> DataFrame:
-    """(class, bin) of the sentences of ``texts`` (column text), letters only.
+    """(class, bin) of the sentences and the longer lines of ``texts`` (column text), letters only.
 
     The same sums as for runs, taken with text functions instead of a fold: how often a letter comes
     up, how often a low one follows a high one, and only the products of neighbours letter by letter.
     """
-    sentences = F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z.!?\n]+", "")), r"[.!?\n]+")
-    rows = texts.select(F.explode(sentences).alias("letters")).withColumn("size", F.length("letters").cast("double"))
-    rows = rows.where(F.col("size").between(LENGTHS[0], LONGEST_NULL))
+    kept = F.lower(F.regexp_replace("text", r"[^A-Za-z.!?\n]+", ""))
+    sentences = F.filter(F.split(kept, r"[.!?\n]+"), lambda x: F.length(x).between(LENGTHS[0], LINES_FROM - 1))
+    lines = F.filter(F.split(F.regexp_replace(kept, "[.!?]+", ""), r"\n+"), lambda x: F.length(x) >= LINES_FROM)
+    rows = texts.select(F.explode(F.concat(sentences, lines)).alias("letters")).withColumn("size", F.length("letters").cast("double"))
 
     def times(what: str, of: str) -> Column:
         return (F.col("size") - F.length(F.replace(F.col(of), F.lit(what), F.lit("")))) / len(what)
@@ -274,11 +289,12 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
 def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", q: float = Q, mark: str = MARK) -> DataFrame:
     """``docs`` with every span replaced by ``mark``; a null text stays null."""
     text = F.col(f"`{text_col}`")
+    base, found, changed = fresh(docs.columns, "base", "spans", "redacted")
     texts = docs.select(F.coalesce(text, F.lit("")).alias("text"))
     limits = thresholds(texts.select(F.explode(candidates(F.col("text"))).alias("x")).select("x.*"), texts, q)
-    spans = docs.withColumn("__base", _base(text)).withColumn("__spans", _added(F.col("__base"), candidates(text), limits))
-    out = spans.withColumn("__text", F.when(F.size("__spans") > 0, _without(text, F.col("__spans"), mark)).otherwise(text))
-    named = {text_col: F.col("__text")}
+    spans = docs.withColumn(base, _base(text)).withColumn(found, _added(F.col(base), candidates(text), limits))
+    out = spans.withColumn(changed, F.when(F.size(found) > 0, _without(text, F.col(found), mark)).otherwise(text))
+    named = {text_col: F.col(changed)}
     if chars_col and chars_col in docs.columns:
-        named[chars_col] = F.when(F.size("__spans") > 0, F.length("__text")).otherwise(F.col(f"`{chars_col}`")).cast(docs.schema[chars_col].dataType)
+        named[chars_col] = F.when(F.size(found) > 0, F.length(changed)).otherwise(F.col(f"`{chars_col}`")).cast(docs.schema[chars_col].dataType)
     return out.select(*[named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -80,12 +82,93 @@ def test_random_keys_are_found_and_words_are_not(spark):
 def test_null_cases_score_like_runs(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choices(string.ascii_lowercase[: rng.randint(1, 26)], k=rng.randint(15, 100))) for _ in range(400)]
-    df = spark.createDataFrame([(t,) for t in texts if 20 <= len(t) <= 95], "text string")
+    df = spark.createDataFrame([(t,) for t in texts if 20 <= len(t) <= 90], "text string")
     by_fold = df.where("not text rlike '^[0-9a-f]+$'").select(secrets._length_class(F.length("text")), F.least(F.floor(F.greatest(secrets.score(F.col("text")), F.lit(0.0)) * 20).cast("int"), F.lit(secrets.TOP_BIN)))
     by_text = secrets.null_cases(df.where("not text rlike '^[0-9a-f]+$'").select(F.concat(F.lit("É1 "), "text", F.lit(" 2. short.")).alias("text")))
     assert sorted(map(tuple, by_fold.collect())) == sorted(map(tuple, by_text.collect()))
 
 
+ALPHABETS = [
+    ("0-9a-f", "0123456789abcdef"), ("0-9A-F", "0123456789ABCDEF"), ("a-z", string.ascii_lowercase),
+    ("A-Z2-7", string.ascii_uppercase + "234567="), ("A-Za-z", string.ascii_letters), ("A-Za-z0-9", string.digits + string.ascii_uppercase + string.ascii_lowercase),
+]
+
+
+def plain_bin(run, alphabet=None):
+    """The score's bin by the textbook: chi-squared by Wilson and Hilferty, runs about the middle, lag-one correlation."""
+    if alphabet is None:
+        alphabet = next((a for p, a in ALPHABETS if re.fullmatch(f"[{p}]+" + "=*" * (p == "A-Z2-7"), run)), "0123456789+/_-=" + string.ascii_uppercase + string.ascii_lowercase)
+    v, k, n = [alphabet.index(c) + 1 for c in run], len(alphabet), len(run)
+    chi, df = sum(v.count(x) ** 2 for x in set(v)) * k / n - n, k - 1
+    uniform = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [x > k / 2 for x in v]
+    h, changes = sum(high), sum(a != b for a, b in zip(high[:-1], high[1:], strict=True))
+    pairs = 2 * h * (n - h)
+    spread = math.sqrt(max(pairs * (pairs - n), 0) / (n * n * (n - 1)))
+    runs = abs(1 + changes - 1 - pairs / n) / spread if spread > 0 else n
+    mean = sum(v) / n
+    variance = sum((x - mean) ** 2 for x in v)
+    lag = sum((a - mean) * (b - mean) for a, b in zip(v[:-1], v[1:], strict=True))
+    serial = abs(lag / variance + 1 / n) * math.sqrt(n) if variance > 0 else n
+    return min(1200, math.floor(max(0.0, uniform, runs, serial) * 20 + 1e-9))
+
+
+def class_of(n):
+    return sum(n >= low for low in secrets.LENGTHS) - 1
+
+
+def plain_scan(texts, q):
+    """All spans by plain Python: the battery, the null cases and the thresholds."""
+    open_, null, runs = Counter(), Counter(), {}
+    for i, t in texts.items():
+        runs[i] = [(m.start(), m.end(), class_of(len(m[0])), plain_bin(m[0])) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t)]
+        open_.update((c, b) for _, _, c, b in runs[i])
+        letters = re.sub(r"[^A-Za-z.!?\n]+", "", t).lower()
+        cases = [x for x in re.split(r"[.!?\n]+", letters) if 20 <= len(x) < 96] + [x for x in re.sub("[.!?]+", "", letters).split("\n") if len(x) >= 96]
+        null.update((class_of(len(x)), plain_bin(x, string.ascii_lowercase)) for x in cases)
+    limits = {}
+    for c in {c for c, _ in open_ | null}:
+        total, m = sum(v for (k, _), v in null.items() if k == c), sum(v for (k, _), v in open_.items() if k == c)
+        for b in sorted({b for k, b in open_ | null if k == c}):
+            p = (1 + sum(v for (k, x), v in null.items() if k == c and x <= b)) / (1 + total)
+            rank = sum(v for (k, x), v in open_.items() if k == c and x <= b)
+            if m and p <= q * rank / m:
+                limits[c] = b
+    out = {}
+    for i, t in texts.items():
+        found = base(t)
+        more = [(s, 3, e) for s, e, c, b in runs[i] if b <= limits.get(c, -1) and not any(x < e and s < y for x, _, y in found)]
+        out[i] = line(sorted(found + more))
+    return out
+
+
+def test_spans_against_a_plain_battery(spark):
+    rng = random.Random(8)
+    syllables = ["the", "on", "er", "ing", "ti", "re", "an", "th", "q", "ou"]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n)).capitalize()
+    texts = {}
+    for i in range(500):
+        parts = [prose(rng.choice([3, 8, 20, 60, 150])) + ". " + rng.choice(["", "\n"]) for _ in range(8)]
+        if i % 4 == 0:
+            alphabet = rng.choice([string.ascii_letters + string.digits, string.ascii_lowercase, "0123456789ABCDEF", string.ascii_uppercase + "234567"])
+            parts.insert(3, "see " + "".join(rng.choices(alphabet, k=rng.choice([24, 40, 100, 300, 700]))) + " there ")
+        if i % 5 == 0:
+            parts.insert(1, "".join(rng.choices(syllables, k=rng.choice([9, 30, 200]))) + " ")
+        texts[i] = "".join(parts)
+    rows = secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), q=0.05).collect()
+    want = plain_scan(texts, 0.05)
+    assert {r["doc_id"]: r["spans"] for r in rows} == want
+    found = [s for spans in want.values() for s in spans.split(",") if s.startswith("random")]
+    assert len(found) > 60 and any(int(s.split(":")[2]) - int(s.split(":")[1]) >= 300 for s in found)
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"token={i:06d}" for i in range(20_000))
+    rows = secrets.scan(spark.createDataFrame([(0, text), (1, "x")], "doc_id long, text string")).collect()
+    check(rows, {0: text, 1: "x"})
+    assert max(r["n_assign"] for r in rows) == 20_000
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = secrets.scan(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(r["spans"] == "" for r in rows)
