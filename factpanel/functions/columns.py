@@ -6,10 +6,10 @@ text that doesn't parse is null, whatever spark.sql.ansi.enabled says.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NON_ANNUAL = 99
@@ -229,47 +229,57 @@ def differs(actual: Column | str, expected: Column | str, tolerance: float) -> C
     return is_true(F.abs(actual - expected) > F.greatest(F.abs(expected), F.lit(1.0)) * tolerance)
 
 
-def once(value: Column, then) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` uses it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def six_digits(c: Column | str) -> Column:
-    """A double with six significant digits, as %.6g writes it; null as the empty text.
+def with_six_digits(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """``df`` with doubles as texts of six significant digits, as %.6g writes them; null as the empty text.
 
     A value exactly between two such numbers goes to the even one.  What only its shortest decimal
-    form puts between them goes up, where %.6g may go down.
+    form puts between them goes up, where %.6g may go down.  Each step is a projection of its own, so
+    that nothing is computed twice and all of it is compiled.
     """
-    c = col(c).cast("double")
-    # the shortest decimal form, filled with zeros: one digit, the point, sixteen digits, the power
-    whole = F.struct(c.alias("c"), F.format_string("%.16e", F.abs(c)).alias("exact"))
-    odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
-    return F.when(c.isNull(), "").when(c == 0, "0").otherwise(F.coalesce(odd, once(whole, _rounded)))
-
-
-def _rounded(x: Column) -> Column:
-    c, exact = x["c"], x["exact"]
-    digits = F.concat(F.substring(exact, 1, 1), F.substring(exact, 3, 16))
-    head, rest = F.substring(digits, 1, 6).try_cast("long"), F.substring(digits, 7, 11)
-    half = F.lit("50000000000")
-    tie_down = (rest == half) & (head % 2 == 0) & (c * 1024 == F.floor(c * 1024))
-    up = (rest >= half) & ~tie_down
-    power = F.substring(exact, 20, 5).try_cast("int")  # behind the e
-    number = head + F.when(up, 1).otherwise(0)
-    carried = number == 1_000_000
-    row = F.struct((c < 0).alias("negative"), F.when(carried, "100000").otherwise(number.cast("string")).alias("digits"), (power + F.when(carried, 1).otherwise(0)).alias("power"))
-    return once(row, _shown)
-
-
-def _shown(x: Column) -> Column:
-    digits, power = x["digits"], x["power"]
-    cut = lambda t: F.regexp_replace(t, r"\.?0*\z", "")
-    size = F.abs(power).cast("string")
-    science = F.concat(cut(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.when(power < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
-    plain = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    shown = F.when((power < -4) | (power >= 6), science).when(power < 0, cut(small)).otherwise(cut(plain))
-    return F.concat(F.when(x["negative"], "-").otherwise(""), shown)
+    columns = df.columns
+    prefix = "six"
+    while any(c.startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    at = {name: f"{prefix}_{i}_" for i, name in enumerate(values)}
+
+    def step(df: DataFrame, make) -> DataFrame:
+        return df.withColumns({p + part: c for name, p in at.items() for part, c in make(lambda part, p=p: F.col(p + part), name).items()})
+
+    def exact(x, name: str) -> dict[str, Column]:
+        # the shortest decimal form, filled with zeros: one digit, the point, sixteen digits, the power
+        c = values[name].cast("double")
+        return {"c": c, "exact": F.format_string("%.16e", F.abs(c))}
+
+    def parts(x, name: str) -> dict[str, Column]:
+        digits = F.concat(F.substring(x("exact"), 1, 1), F.substring(x("exact"), 3, 16))
+        return {"head": F.substring(digits, 1, 6).try_cast("long"), "rest": F.substring(digits, 7, 11), "power": F.substring(x("exact"), 20, 5).try_cast("int")}  # behind the e
+
+    def rounded(x, name: str) -> dict[str, Column]:
+        c, half = x("c"), F.lit("50000000000")
+        tie_down = (x("rest") == half) & (x("head") % 2 == 0) & (c * 1024 == F.floor(c * 1024))
+        return {"number": x("head") + F.when((x("rest") >= half) & ~tie_down, 1).otherwise(0)}
+
+    def carried(x, name: str) -> dict[str, Column]:
+        over = x("number") == 1_000_000
+        return {"digits": F.when(over, "100000").otherwise(x("number").cast("string")), "place": x("power") + F.when(over, 1).otherwise(0)}
+
+    def shown(x, name: str) -> dict[str, Column]:
+        digits, power = x("digits"), x("place")
+        cut = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))  # noqa: E731  of a text with a point
+        size = F.abs(power).cast("string")
+        science = F.concat(cut(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.when(power < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+        plain = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        return {"text": F.when((power < -4) | (power >= 6), science).when(power < 0, cut(small)).otherwise(cut(plain))}
+
+    def signed(x) -> Column:
+        c = x("c")
+        odd = F.when(c.isNull(), "").when(c == 0, "0").when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+        return odd.when(c < 0, F.concat(F.lit("-"), x("text"))).otherwise(x("text"))
+
+    for make in (exact, parts, rounded, carried, shown):
+        df = step(df, make)
+    return df.select(*[F.col(f"`{c}`") for c in columns if c not in values], *[signed(lambda part, p=p: F.col(p + part)).alias(name) for name, p in at.items()])
 
 
 def year_of_utc_now() -> Column:

@@ -40,36 +40,48 @@ FUND_WORDS = ["etf", "fund", "trust", "portfolio", "shares", "physical gold", "p
 TARGET_SECTORS = ["Technology", "Retail", "Industrials_Manufacturing", "Extended_Candidate"]
 
 
-def classification(code: Column, description: Column, entity: Column, name: Column, status: Column) -> Column:
-    """struct<sector, include, reason, rule>: the first of thirteen rules that holds.
+#: (sector, reason for leaving it out, rule) in the order in which they are tried; the twelfth's rule is the range's label.
+OUTCOMES = [
+    ("Unknown", "metadata_download_error", "download_status_not_success"),
+    ("Unknown", "missing_sic", "sic_missing_or_invalid"),
+    ("Excluded_NonOperating_Entity", "non_operating_entity_type", "entity_type_not_operating"),
+    ("Excluded_SPAC_Blank_Check", "spac_or_blank_check_company", "sic_6770_or_blank_check_keyword"),
+    ("Excluded_REIT", "reit_excluded", "sic_6798_or_reit_keyword"),
+    ("Excluded_Fund_ETF_Trust", "fund_etf_or_trust_excluded", "fund_etf_trust_keyword_or_sic"),
+    ("Excluded_Financials_Insurance_RealEstate", "financials_insurance_real_estate_excluded", "sic_6000_6799"),
+    ("Excluded_Utilities", "utilities_excluded", "sic_4900_4999"),
+    ("Technology", "", "technology_sic_range_or_keyword"),
+    ("Retail", "", "sic_5200_5999"),
+    ("Industrials_Manufacturing", "", "sic_2000_3999_non_technology"),
+    ("Extended_Candidate", "", ""),
+    ("Other_Out_Of_Scope", "out_of_scope_sector", "not_in_target_research_sectors"),
+]
 
-    Words are looked for anywhere, within other words too: "aerospace" holds "spac".
-    """
-    described = F.lower(C.text(description))
-    words = F.concat_ws(" ", described, F.lower(C.text(name)))
-    kind = F.lower(C.strip(C.text(entity)))
-    extended = C.label_of_range(code, EXTENDED)
 
-    def out(sector: str, reason: str, rule: Column | str) -> Column:
-        rule = F.lit(rule) if isinstance(rule, str) else rule
-        return F.struct(F.lit(sector).alias("sector"), F.lit(reason == "").alias("include"), F.lit(reason).alias("reason"), rule.alias("rule"))
+def first_rule(code: Column, described: Column, words: Column, kind: Column, status: Column) -> Column:
+    """The number, from 1, of the first of OUTCOMES that holds.
 
+    Words are looked for anywhere, within other words too: "aerospace" holds "spac".
+    """
     technology = reduce(lambda a, b: a | b, [C.between(code, *r) for r in TECHNOLOGY]) | C.contains_any(described, TECHNOLOGY_WORDS)
-    return (
-        F.when(F.lower(C.strip(C.text(status))) != "success", out("Unknown", "metadata_download_error", "download_status_not_success"))
-        .when(code.isNull(), out("Unknown", "missing_sic", "sic_missing_or_invalid"))
-        .when((kind != "") & (kind != "operating"), out("Excluded_NonOperating_Entity", "non_operating_entity_type", "entity_type_not_operating"))
-        .when((code == 6770) | C.contains_any(words, SPAC_WORDS), out("Excluded_SPAC_Blank_Check", "spac_or_blank_check_company", "sic_6770_or_blank_check_keyword"))
-        .when((code == 6798) | C.contains_any(words, REIT_WORDS), out("Excluded_REIT", "reit_excluded", "sic_6798_or_reit_keyword"))
-        .when(code.isin(6722, 6726, 6732, 6733) | C.contains_any(words, FUND_WORDS), out("Excluded_Fund_ETF_Trust", "fund_etf_or_trust_excluded", "fund_etf_trust_keyword_or_sic"))
-        .when(C.between(code, 6000, 6799), out("Excluded_Financials_Insurance_RealEstate", "financials_insurance_real_estate_excluded", "sic_6000_6799"))
-        .when(C.between(code, 4900, 4999), out("Excluded_Utilities", "utilities_excluded", "sic_4900_4999"))
-        .when(technology, out("Technology", "", "technology_sic_range_or_keyword"))
-        .when(C.between(code, 5200, 5999), out("Retail", "", "sic_5200_5999"))
-        .when(C.between(code, 2000, 3999), out("Industrials_Manufacturing", "", "sic_2000_3999_non_technology"))
-        .when(extended.isNotNull(), out("Extended_Candidate", "", extended))
-        .otherwise(out("Other_Out_Of_Scope", "out_of_scope_sector", "not_in_target_research_sectors"))
-    )
+    tests = [
+        F.lower(C.strip(C.text(status))) != "success",
+        code.isNull(),
+        (kind != "") & (kind != "operating"),
+        (code == 6770) | C.contains_any(words, SPAC_WORDS),
+        (code == 6798) | C.contains_any(words, REIT_WORDS),
+        code.isin(6722, 6726, 6732, 6733) | C.contains_any(words, FUND_WORDS),
+        C.between(code, 6000, 6799),
+        C.between(code, 4900, 4999),
+        technology,
+        C.between(code, 5200, 5999),
+        C.between(code, 2000, 3999),
+        C.label_of_range(code, EXTENDED).isNotNull(),
+    ]
+    out = F.lit(len(OUTCOMES))
+    for number, test in list(enumerate(tests, 1))[::-1]:
+        out = F.when(test, number).otherwise(out)
+    return out
 
 
 def classify(metadata: DataFrame, *, compat_nan: bool = False) -> DataFrame:
@@ -82,9 +94,13 @@ def classify(metadata: DataFrame, *, compat_nan: bool = False) -> DataFrame:
     if compat_nan:
         entity, sec = (F.coalesce(C.blank_to_null(c), F.lit("nan")) for c in (entity, sec))
     name = F.coalesce(F.nullif(sec, F.lit("")), F.nullif(F.col("name_from_ticker_map"), F.lit("")), F.lit(""))
-    code = C.industry_code("sic")
-    c = F.col("__c")
-    with_class = metadata.withColumn("__c", classification(code, F.col("sic_description"), entity, name, F.col("download_status")))
+    # steps of their own: code, words and rule are computed once, and what is generated stays small
+    described = F.lower(C.text("sic_description"))
+    words = {"sic_int": C.industry_code("sic"), "described": described, "words": F.concat_ws(" ", described, F.lower(C.text(name))), "kind": F.lower(C.strip(C.text(entity)))}
+    worded = metadata.withColumns({f"__{k}": v for k, v in words.items()})
+    code = F.col("__sic_int")
+    with_class = worded.withColumn("__rule", first_rule(code, F.col("__described"), F.col("__words"), F.col("__kind"), F.col("download_status")))
+    sector, reason, rule = (F.element_at(F.array(*[F.lit(o[i]) for o in OUTCOMES]), F.col("__rule")) for i in range(3))
     return with_class.select(
         "cik",
         C.zero_pad("cik10", 10).alias("cik10"),
@@ -95,10 +111,10 @@ def classify(metadata: DataFrame, *, compat_nan: bool = False) -> DataFrame:
         code.alias("sic_int"),
         "sic_description",
         C.label_of_range(code, MAJOR_GROUPS, "Unknown").alias("sic_major_group"),
-        c["sector"].alias("research_sector"),
-        c["include"].alias("include_in_research_universe"),
-        c["reason"].alias("exclude_reason"),
-        c["rule"].alias("classification_rule"),
+        sector.alias("research_sector"),
+        (reason == "").alias("include_in_research_universe"),
+        reason.alias("exclude_reason"),
+        F.when(rule == "", C.label_of_range(code, EXTENDED)).otherwise(rule).alias("classification_rule"),
         C.zero_pad("fiscal_year_end", 4).alias("fiscal_year_end"),
         "tickers",
         "exchanges",
@@ -147,15 +163,8 @@ def excluded(companies: DataFrame) -> DataFrame:
     return out.orderBy(*order).select(*schemas.EXCLUDED)
 
 
-def _counts(df: DataFrame, column: str, prefix: str, missing: str | None = None) -> DataFrame:
-    label = F.col(column) if missing is None else F.when(F.col(column) == "", missing).otherwise(F.col(column))
-    counted = df.where(F.col(column).isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("value"))
-    return counted.select(F.concat(F.lit(f"{prefix}__"), "label").alias("metric"), "value")
-
-
 def universe_summary(companies: DataFrame) -> DataFrame:
     """(metric, value): totals, missing values, and counts by sector, group and exchange."""
-    kept = companies.where(in_universe())
     is_in = in_universe()
 
     def where(c: Column) -> Column:
@@ -171,9 +180,7 @@ def universe_summary(companies: DataFrame) -> DataFrame:
         F.count_if(is_in & (F.col("primary_exchange") == "")).alias("missing_primary_exchange_in_research_universe"),
     )
     long = totals.unpivot([], totals.columns, "metric", "value")
-    parts = [
-        _counts(kept, "research_sector", "sector_count"),
-        _counts(kept, "sic_major_group", "sic_major_group_count"),
-        _counts(kept, "primary_exchange", "primary_exchange_count", "missing"),
-    ]
-    return reduce(DataFrame.unionByName, parts, long)
+    exchange = F.when(F.col("primary_exchange") == "", "missing").otherwise(F.col("primary_exchange"))
+    labels = {"sector_count": F.col("research_sector"), "sic_major_group_count": F.col("sic_major_group"), "primary_exchange_count": exchange}
+    metrics = F.array_compact(F.array(*[F.concat(F.lit(f"{k}__"), v) for k, v in labels.items()]))
+    return long.unionByName(companies.where(is_in).select(F.explode(metrics).alias("metric")).groupBy("metric").agg(F.count("*").alias("value")))

@@ -19,7 +19,7 @@ from ..sources import schemas
 from ..sources.config import Rule, Scope, rules_frame
 from . import derive, panel
 from .numbering import numbered
-from .select import MAX_FILING_YEAR_LEAD, MAX_LAG_DAYS, UNITS
+from .select import BROADCAST_RULES, MAX_FILING_YEAR_LEAD, MAX_LAG_DAYS, UNITS
 
 # Thresholds and lists of the published checks.
 MIN_YEARS, MIN_COVERAGE = 5, 0.5
@@ -35,12 +35,16 @@ NEGATIVES = [("assets", "high"), ("liabilities_and_equity", "high"), ("liabiliti
 SEVERITIES = ["high", "medium", "low"]
 
 CONTEXT = ["research_universe_id", "cik", "cik10", "company_name", "primary_ticker", "research_sector", "company_year"]
+NUMBERS = ["value_number", "reference_number"]
 BODY = ["severity", "check_name", "scope", "variable", "value", "reference_variable", "reference_value", "details"]
 
 
 @dataclass(frozen=True)
 class Check:
-    """A condition on a row, and what the warning says: the value and what it was held against."""
+    """A condition on a row, and what the warning says: the value and what it was held against.
+
+    With ``numbers`` both are doubles, which get six digits once the condition has held.
+    """
 
     name: str
     severity: str
@@ -50,14 +54,17 @@ class Check:
     reference: str = ""
     reference_value: Column | None = None
     details: Column | str = ""
+    numbers: bool = False
 
     def body(self, scope: str = "company_year") -> Column:
         def text(x: Column | str) -> Column:
             return F.lit(x) if isinstance(x, str) else C.text(x)
 
-        held = F.lit("") if self.reference_value is None else self.reference_value
-        parts = [F.lit(self.severity), F.lit(self.name), F.lit(scope), text(self.variable), C.text(self.value), F.lit(self.reference), C.text(held), text(self.details)]
-        return F.when(C.is_true(self.condition), F.struct(*[p.alias(n) for n, p in zip(BODY, parts, strict=True)]))
+        values = [self.value, F.lit(None) if self.reference_value is None else self.reference_value]
+        texts = [F.lit(None).cast("string") if self.numbers else C.text(v) for v in values]
+        numbers = [v.cast("double") if self.numbers else F.lit(None).cast("double") for v in values]
+        parts = [F.lit(self.severity), F.lit(self.name), F.lit(scope), text(self.variable), texts[0], F.lit(self.reference), texts[1], text(self.details), *numbers]
+        return F.when(C.is_true(self.condition), F.struct(*[p.alias(n) for n, p in zip(BODY + NUMBERS, parts, strict=True)]))
 
 
 def _context(df: DataFrame) -> list[Column]:
@@ -69,13 +76,20 @@ def run_checks(df: DataFrame, checks: Sequence[Check], extra: Sequence[Column] =
     bodies = F.array_compact(F.array(*[c.body(scope) for c in checks])) if checks else None
     parts = [*([bodies] if bodies is not None else []), *extra]
     rows = df.select(*_context(df), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("w"))
-    return rows.select(*CONTEXT, "w.*")
+    return _shown(rows.select(*CONTEXT, "w.*"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Warnings with their numbers as texts."""
+    shown = C.with_six_digits(rows, {n: F.col(n) for n in NUMBERS})
+    named = {"value": F.coalesce("value", NUMBERS[0]), "reference_value": F.coalesce("reference_value", NUMBERS[1])}
+    return shown.select(*CONTEXT, *[named.get(c, F.col(c)).alias(c) for c in BODY])
 
 
 def dataset_warning(df: DataFrame, name: str, severity: str, condition: Column, value: Column | None = None, reference: str = "", reference_value: Column | None = None, details: Column | str = "") -> DataFrame:
     """A warning without company, from a table of one row."""
     check = Check(name, severity, condition, "", F.lit("") if value is None else value, reference, reference_value, details)
-    return df.select(*[F.lit("").alias(c) for c in CONTEXT], F.explode(F.array_compact(F.array(check.body("dataset")))).alias("w")).select(*CONTEXT, "w.*")
+    return df.select(*[F.lit("").alias(c) for c in CONTEXT], F.explode(F.array_compact(F.array(check.body("dataset")))).alias("w")).select(*CONTEXT, *[f"w.{c}" for c in BODY])
 
 
 def prepare_wide(wide: DataFrame) -> DataFrame:
@@ -93,7 +107,6 @@ def wide_checks(wide: DataFrame, scope: Scope, this_year: int | Column) -> list[
     """The checks of one row of the wide panel, for the columns that it has."""
     has = set(wide.columns)
     year, at = F.col("year"), F.col("company_year")
-    shown = C.six_digits
     out = [
         Check("wide_duplicate_company_year", "high", F.col("__copies") > 1, "company_year", at, details="more than one row for the company and year"),
         Check("company_year_not_numeric", "high", (C.strip(C.text(at)) != "") & year.isNull(), "company_year", at, details="the year isn't a number"),
@@ -109,8 +122,8 @@ def wide_checks(wide: DataFrame, scope: Scope, this_year: int | Column) -> list[
 
     def add(name: str, severity: str, needs: Sequence[str], condition, variable: str, reference: str = "", details: str = "") -> None:
         if set(needs) <= has:
-            ref = shown(reference) if reference else None
-            out.append(Check(name, severity, condition(*[F.col(n) for n in needs]), variable, shown(variable), reference, ref, details))
+            ref = F.col(reference) if reference else None
+            out.append(Check(name, severity, condition(*[F.col(n) for n in needs]), variable, F.col(variable), reference, ref, details, numbers=True))
 
     for variable, severity in NEGATIVES:
         add(f"{variable}_negative", severity, [variable], lambda v: v < 0, variable, details=f"{variable} is below zero")
@@ -125,13 +138,13 @@ def wide_checks(wide: DataFrame, scope: Scope, this_year: int | Column) -> list[
             e = F.col("equity")
             explained = C.is_true((e < 0) & (a > 0) & (F.abs(a - b - e) <= F.abs(a) * NEGATIVE_EQUITY_GAP))
         condition = (a > 0) & (b > a * LIABILITIES_TO_ASSETS) & ~explained
-        out.append(Check("liabilities_absurdly_above_assets", "high", condition, "liabilities", shown(b), "assets", shown(a), f"above {LIABILITIES_TO_ASSETS} times assets, and negative equity doesn't explain it"))
+        out.append(Check("liabilities_absurdly_above_assets", "high", condition, "liabilities", b, "assets", a, f"above {LIABILITIES_TO_ASSETS} times assets, and negative equity doesn't explain it", numbers=True))
     for part, total in COMPONENTS:
         add(f"{part}_above_{total}", "medium", [part, total], lambda p, t: (t > 0) & (p > t * COMPONENT_TO_TOTAL), part, total, f"above {COMPONENT_TO_TOTAL} times {total}")
     if {"assets", "liabilities", "equity"} <= has:
         a, b, e = F.col("assets"), F.col("liabilities"), F.col("equity")
         gap = (F.abs(a) > 0) & (F.abs(a - b - e) > F.abs(a) * BALANCE_GAP)
-        out.append(Check("large_assets_liabilities_equity_gap", "low", gap, "assets", shown(a), "liabilities", shown(b), "assets are far from liabilities and equity; equity may be defined otherwise"))
+        out.append(Check("large_assets_liabilities_equity_gap", "low", gap, "assets", a, "liabilities", b, "assets are far from liabilities and equity; equity may be defined otherwise", numbers=True))
     add("revenues_negative", "medium", ["revenues"], lambda v: v < 0, "revenues", details="revenues are below zero")
     for base, most in (("revenues", RESULT_TO_REVENUES), ("assets", RESULT_TO_ASSETS)):
         add(
@@ -155,14 +168,20 @@ def wide_checks(wide: DataFrame, scope: Scope, this_year: int | Column) -> list[
     return out
 
 
+def with_copies(wide: DataFrame) -> DataFrame:
+    """How often a row's company and year come up."""
+    return wide.withColumn("__copies", F.count("*").over(Window.partitionBy("cik10", "company_year")))
+
+
 def wide_warnings(wide: DataFrame, scope: Scope, this_year: int | Column) -> DataFrame:
     """Warnings of single rows of a prepared wide panel."""
-    counted = wide.withColumn("__copies", F.count("*").over(Window.partitionBy("cik10", "company_year")))
+    counted = with_copies(wide)
     odd = F.transform(
         "invalid",
         lambda x: F.struct(
             F.lit("high").alias("severity"), F.lit("non_numeric_financial_value").alias("check_name"), F.lit("company_year").alias("scope"), x["variable"].alias("variable"),
             C.text(x["raw"]).alias("value"), F.lit("").alias("reference_variable"), F.lit("").alias("reference_value"), F.lit("the value isn't a number").alias("details"),
+            *[F.lit(None).cast("double").alias(n) for n in NUMBERS],
         ),
     )
     return run_checks(counted, wide_checks(wide, scope, this_year), [odd])
@@ -188,7 +207,7 @@ def coverage_warnings(wide: DataFrame) -> DataFrame:
     return run_checks(rows, checks, scope="company")
 
 
-def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None) -> DataFrame:
+def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None, n_rules: int = 0) -> DataFrame:
     """Warnings of single rows of the long panel."""
     derived = F.col("namespace") == "derived"
     value, at = F.col("value").cast("string"), F.col("variable")
@@ -211,8 +230,8 @@ def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None) -> DataFra
     ]
     if rules is not None:
         keys = ["variable", "namespace", "tag"]
-        known = F.broadcast(rules.select(*keys).distinct().withColumn("__known", F.lit(True)))
-        long = long.join(known, keys, "left")
+        known = rules.select(*keys).distinct().withColumn("__known", F.lit(True))
+        long = long.join(F.broadcast(known) if n_rules <= BROADCAST_RULES else known, keys, "left")
         named = F.concat_ws(":", "namespace", "tag")
         checks.append(Check("source_tag_not_in_sec_tags_config", "high", ~C.is_true(derived) & F.col("__known").isNull(), at, named, "sec_tags_config", F.lit("tag rules"), "no rule has this variable, namespace and tag"))
     return run_checks(long, checks)
@@ -260,7 +279,7 @@ def consistency_warnings(wide: DataFrame, long: DataFrame) -> DataFrame:
     melted = panel.long(wide, present, value="wide_value")
     selected = long.select(*keys, "variable", C.number("value").alias("long_value"))
     off = panel.mismatches(melted, selected, keys=[*keys, "variable"], left_value="wide_value", right_value="long_value", tolerance=WIDE_LONG_GAP)
-    check = Check("wide_value_differs_from_long", "high", F.lit(True), F.col("variable"), C.six_digits("wide_value"), "long_value", C.six_digits("long_value"), "the two panels don't hold the same value")
+    check = Check("wide_value_differs_from_long", "high", F.lit(True), F.col("variable"), F.col("wide_value"), "long_value", F.col("long_value"), "the two panels don't hold the same value", numbers=True)
     return reduce(DataFrame.unionByName, parts, run_checks(off, [check]))
 
 
@@ -278,7 +297,7 @@ def formula_warnings(wide: DataFrame, long: DataFrame) -> DataFrame | None:
             continue
         made = long.where((F.col("variable") == variable) & (F.col("namespace") == "derived") & (F.col("tag") == tag)).select(*keys).distinct()
         joined = made.join(wide.select(*schemas.COMPANY, "company_year", variable, *sources), keys, "left")
-        check = Check(f"derived_{variable}_formula_mismatch", "high", C.differs(variable, formula(*[F.col(s) for s in sources]), FORMULA_GAP), variable, C.six_digits(variable), sources[0], C.six_digits(sources[0]), "the derived value isn't what its sources give")
+        check = Check(f"derived_{variable}_formula_mismatch", "high", C.differs(variable, formula(*[F.col(s) for s in sources]), FORMULA_GAP), variable, F.col(variable), sources[0], F.col(sources[0]), "the derived value isn't what its sources give", numbers=True)
         parts.append(run_checks(joined, [check]))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -295,7 +314,7 @@ def all_warnings(wide: DataFrame, long: DataFrame, scope: Scope, rules: Sequence
         parts.append(dataset_warning(one, "long_facts_not_available", "low", F.lit(True), details="no long facts: their checks were left out"))
     else:
         table = rules_frame(spark, list(rules)) if rules else None
-        parts += [consistency_warnings(typed, long), long_rows(long, scope, table), long_groups(long, scope)]
+        parts += [consistency_warnings(typed, long), long_rows(long, scope, table, len(rules)), long_groups(long, scope)]
         formulas = formula_warnings(typed, long)
         if formulas is not None:
             parts.append(formulas)

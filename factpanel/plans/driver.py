@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..functions import columns as C
 from ..operators import classify, derive, inventory, panel, quality, reports, select
-from ..operators.numbering import numbered
+from ..operators.numbering import checkpoint, numbered
 from ..sources import facts as documents
 from ..sources import schemas, tables
 from ..sources.config import Rule, Scope, rules_frame
@@ -58,11 +58,12 @@ RULES_SQL = "rules(variable, tier, tier_rank, namespace, tag, tag_priority, rule
 def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # dealt out by company while the rows are narrow: what follows groups by company and more
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("cik10", C.zero_pad("o_custkey", 10)).repartition("cik10")
     year, n = F.year("o_orderdate").cast("string"), F.col("l_linenumber")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return joined.select(
-        C.zero_pad("o_custkey", 10).alias("cik10"),
+        "cik10",
         F.col("l_linestatus").alias("namespace"),
         F.col("l_returnflag").alias("tag"),
         F.when(n == 7, "EUR").otherwise("USD").alias("unit"),
@@ -236,7 +237,7 @@ SELECT c.variable, configured_tag_count, coalesce(selected_observations, 0) AS s
   round(coalesce(company_years_with_value, 0) / years, 6) AS company_year_coverage_ratio, coalesce(units, '') AS units, coalesce(forms, '') AS forms
 FROM configured c LEFT JOIN used u ON c.variable = u.variable, n""")
 def variable_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = best_lines(spark, sf_dir).persist()  # read for the years and for the report
+    best = checkpoint(best_lines(spark, sf_dir).select("cik10", "company_year", "variable", "unit", "form"))  # read for the years and for the report
     companies = table(spark, sf_dir, "customer").count()
     years = best.select("cik10", "company_year").distinct().count()
     return reports.variable_coverage(best, ["revenues", "assets", "ebit", "operating_costs", "cash"], rules_frame(spark, RULES), companies, years)
@@ -377,15 +378,16 @@ def json_scalar_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'events' AS namespace, tag, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, string_agg(DISTINCT form, ';' ORDER BY form) AS forms,
   count(DISTINCT cik10) AS company_count, count(DISTINCT (cik10, year)) AS company_year_count, count(*) AS fact_count FROM f GROUP BY tag""")
 def json_explode_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as one company document per user, then inventoried by tag."""
+    """Events written as documents of users, then inventoried by tag; a user's events are cut into several documents, which bounds each."""
     e = table(spark, sf_dir, "events")
     fact = F.struct(F.year("ts").alias("fy"), F.concat(F.lit("form"), (F.col("event_id") % 3).cast("string")).alias("form"), F.col("value").alias("val"))
     unit = F.when(F.col("event_id") % 5 == 0, "EUR").otherwise("USD")
-    by_unit = e.groupBy("user_id", "event_type", unit.alias("unit")).agg(F.collect_list(fact).alias("items"))
-    by_tag = by_unit.groupBy("user_id", "event_type").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("unit", "items"))).alias("units")).alias("payload"))
-    by_user = by_tag.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "payload"))).alias("events"))
+    part = F.floor(F.col("event_id") / 1000).alias("part")
+    by_unit = e.groupBy("user_id", part, "event_type", unit.alias("unit")).agg(F.collect_list(fact).alias("items"))
+    by_tag = by_unit.groupBy("user_id", "part", "event_type").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("unit", "items"))).alias("units")).alias("payload"))
+    by_user = by_tag.groupBy("user_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "payload"))).alias("events"))
     text = F.to_json(F.struct(F.col("user_id").alias("cik"), F.struct("events").alias("facts")))
-    docs = by_user.select(F.concat(F.lit("CIK"), C.zero_pad("user_id", 10), F.lit(".json")).alias("source_file"), text.alias("text"))
+    docs = by_user.select(F.concat(F.col("part").cast("string"), F.lit("/CIK"), C.zero_pad("user_id", 10), F.lit(".json")).alias("source_file"), text.alias("text"))
     return inventory.tag_inventory(documents.open_documents(docs)).drop("label", "description")
 
 
@@ -525,7 +527,7 @@ def invalid_numeric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _held(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """Warnings of the named checks over the orders' panel."""
-    wide = company_panel(spark, sf_dir).withColumn("__copies", F.lit(1))
+    wide = quality.with_copies(company_panel(spark, sf_dir))
     checks = [c for c in quality.wide_checks(wide, Scope(start_year=1996, end_year=2000), 1999) if c.name in names]
     return quality.run_checks(wide, checks).select("severity", "check_name", "cik10", "company_year", "variable")
 
@@ -615,7 +617,9 @@ def warnings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, printf('%.6g', l_quantity / 3) AS third, printf('%.6g', l_extendedprice * 12345 / 7) AS large, printf('%.6g', l_tax / 70001) AS small FROM lineitem")
 def format_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.six_digits(F.col("l_quantity") / 3).alias("third"), C.six_digits(F.col("l_extendedprice") * 12345 / 7).alias("large"), C.six_digits(F.col("l_tax") / 70001).alias("small"))
+    lines = table(spark, sf_dir, "lineitem")
+    values = {"third": F.col("l_quantity") / 3, "large": F.col("l_extendedprice") * 12345 / 7, "small": F.col("l_tax") / 70001}
+    return C.with_six_digits(lines, values).select("l_orderkey", "l_linenumber", *values)
 
 
 @query("SELECT o_orderpriority AS label, count(*) AS value, CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS INTEGER) AS place FROM orders GROUP BY 1")
@@ -632,8 +636,19 @@ def still_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.still_wanted(wanted, landed)
 
 
-@query("SELECT count(*) AS columns_present FROM (DESCRIBE SELECT * FROM lineitem) WHERE column_name IN ('l_orderkey', 'l_tax')")
+_HAS = "n.name IN (SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem))"
+
+
+@query(f"SELECT n.name, {_HAS} AS present, CASE WHEN {_HAS} THEN '' ELSE 'lineitem lacks columns: [' || chr(39) || n.name || chr(39) || ']' END AS refusal FROM (VALUES ('l_orderkey'), ('l_tax'), ('l_unknown'), ('L_TAX')) n(name)")
 def column_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["l_orderkey", "l_tax"]
-    schemas.require_columns(table(spark, sf_dir, "lineitem"), names, "lineitem")
-    return spark.range(len(names)).agg(F.count("*").alias("columns_present"))
+    """Which of four columns a table has, and what a step that needs one says."""
+    lines, rows = table(spark, sf_dir, "lineitem"), []
+    for name in ("l_orderkey", "l_tax", "l_unknown", "L_TAX"):
+        try:
+            rows.append((name, name in schemas.require_columns(lines, [name], "lineitem").columns, ""))
+        except ValueError as error:
+            rows.append((name, False, str(error)))
+    return spark.createDataFrame(rows, "name string, present boolean, refusal string")
+
+
+from . import checks  # noqa: E402, F401  registers its queries
