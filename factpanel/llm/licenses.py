@@ -1,13 +1,13 @@
 """License scans by canonical digest lookup, in DataFrame functions only.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, punctuation and white
-space as one space, equivalent spellings as one.  The SHA-256 of the whole canonical text is joined
-by hash to the digests of known licence texts; each canonical line is looked up among the digests of
-known one-line notices.
+A text is brought to a canonical form: lower case, notices of copyright dropped, punctuation and white
+space as one space, equivalent spellings as one.  The SHA-256 of the whole canonical text as one line is
+joined by hash to the digests of known licence texts; each canonical line is looked up among the digests
+of known one-line notices.
 
-What begins a line depends on where a text is wrapped, so licences are joined by a second digest: of the
-text as one line, without the lines that are notices of copyright and not words of a licence on its holders
-or notices.  ``oracle_sql`` gives DuckDB the first form alone; it agrees but for texts that are known by the second.
+A notice of copyright is a line that begins with the word or the sign, unless what follows, there or on
+the next line, are words of a licence on its holders, notices and so on: a digest doesn't depend on
+where a text is wrapped.
 
 Cases: a null text is the empty text, which is no licence; repeated rows are scanned alike; texts of
 any length are digested whole; an empty table gives no rows; extra columns are ignored.
@@ -101,6 +101,29 @@ LICENSES: list[tuple[str, str]] = [
     ("Zlib", "zlib License\n\n" + _ZLIB),
 ]
 
+# Digests of the canonical form of longer licences as published, with what follows their terms and without.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "b4fb601cd1d708fd4d48958cfaecb8bb919d60af95b4704afb85d1a886f8b303"),
+    ("MPL-2.0", "12274540925f246f7614a52b7ebddfbe0463ff1ab194088c554c73552c45582d"),
+]
+
 # One-line notices in common use.
 NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -135,84 +158,89 @@ SPELLINGS: list[tuple[str, str]] = [
     ("https", "http"),
 ]
 
-COPYRIGHT = r"(^|\n)[ \t*#/;.-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-#: A notice: what follows the word isn't a licence's text, wherever that is wrapped.
-NOTICE = (
-    r"(^|\n)[ \t*#/;.-]*(copyright\b(?![\s*#/;.-]+(holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|and|or|in|to)\b|\s*$)"
-    r"|\(c\)|©|all rights reserved)[^\n]*"
+#: What begins like a notice of copyright and is a licence's own text gets MARK behind that beginning.
+LEGAL = (
+    r"(^|\n)([ \t*#/;.-]*)(copyright[\s*#/;,.-]+(?:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|and|or|in|to|patents?|trademarks?|permissions?|protection|status|is|on|as|for|under|by|if|treaty|treat(?:y|ies)|disclaimers?|works?|title|act|exceptions?|with|of|does|means|that|will|resulting|restrictions?|control|ownership|moral|related|statutes?|doctrines?|representations|the software|the library|the program)\b"
+    r"|copyright\s*\z|\(c\)\s+(?:you|the|under|for|to|in|any|if|that|such|with|changes|modifications|representations|accompany|provide|by|must|give|is|it|each)\b)"
 )
+MARK = "\x01"
+NOTICE = r"(^|\n)[ \t*#/;.-]*(?:copyright[^\x01a-z0-9_\n][^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\n]*)"
 PUNCTUATION = r"[\x00-\x09\x0b-\x20!-/:-@\[-`{-~“”‘’«»–—•©\x{a0}]+"
 LINES = r" *\n[ \n]*"
 EDGES = r"^[ \n]+|[ \n]+$"
 
 
-def canonical_text(text: str) -> str:
-    """The canonical form of a known text, lines kept."""
-    text = re.sub(COPYRIGHT, r"\1", text.lower())
-    text = re.sub(PUNCTUATION.replace(r"\x{a0}", "\xa0"), " ", text)
+def _python(pattern: str) -> str:
+    return pattern.replace(r"\x{a0}", "\xa0").replace(r"\z", r"\Z")
+
+
+def _plain(text: str) -> str:
+    text = re.sub(_python(LEGAL), rf"\1{MARK}\2\3", text.lower())
+    text = re.sub(NOTICE, r"\1", text)
+    return re.sub(EDGES, "", re.sub(LINES, "\n", re.sub(_python(PUNCTUATION), " ", text)))
+
+
+def _spelled(text: str) -> str:
     for a, b in SPELLINGS:
         text = text.replace(a, b)
-    return re.sub(EDGES, "", re.sub(LINES, "\n", text))
+    return text
 
 
-def _digest(text: str) -> str:
-    return hashlib.sha256(canonical_text(text).replace("\n", " ").encode()).hexdigest()
+def canonical_text(text: str) -> str:
+    """The canonical form of a known text, lines kept."""
+    return _spelled(_plain(text))
 
 
-def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
-    text = F.regexp_replace(text, PUNCTUATION, " ")
-    for a, b in SPELLINGS:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(text, LINES, "\n"), EDGES, "")
+def _digest(text: str) -> str:
+    return hashlib.sha256(_spelled(_plain(text).replace("\n", " ")).encode()).hexdigest()
 
 
-def _unwrapped_digest(text: str) -> str:
-    text = re.sub(NOTICE, r"\1", text.lower())
-    text = re.sub(f"(?:{PUNCTUATION}|\n)+".replace(r"\x{a0}", "\xa0"), " ", text)
-    for a, b in SPELLINGS:
-        text = text.replace(a, b)
-    return hashlib.sha256(text.strip(" ").encode()).hexdigest()
+def plain(text: Column) -> Column:
+    """The canonical form but for spellings, lines kept."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), LEGAL, f"$1{MARK}$2$3"), NOTICE, "$1")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PUNCTUATION, " "), LINES, "\n"), EDGES, "")
 
 
-def unwrapped(text: Column) -> Column:
-    """The text as one line without notices of copyright, alike for any wrapping."""
-    text = F.regexp_replace(F.lower(text), NOTICE, "$1")
-    text = F.regexp_replace(text, f"(?:{PUNCTUATION}|\n)+", " ")
+def spelled(text: Column) -> Column:
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(text)
+    return text
 
 
 def known(texts: list[tuple[str, str]] = LICENSES) -> dict[str, str]:
     return {_digest(text): name for name, text in texts}
 
 
+def known_licenses() -> dict[str, str]:
+    return known() | {digest: name for name, digest in DIGESTS}
+
+
 def scan(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    licenses: list[tuple[str, str]] = LICENSES,
+    digests: dict[str, str] | None = None,
     notices: list[tuple[str, str]] = NOTICES,
 ) -> DataFrame:
     """(doc_id, text_sha256, license, notices, n_notice_lines), a row for each document.
 
     ``license`` names the licence that the whole text is (null if none); ``notices`` the licences
-    that its lines name, in order of name.
+    that its lines name, in order of name.  ``digests`` has licences by digest (default: the known ones).
     """
-    table = {_unwrapped_digest(text): name for name, text in licenses}
+    table = known_licenses() if digests is None else digests
     right = docs.sparkSession.createDataFrame(list(table.items()), "known_sha256 string, license string")
     if len(table) <= BROADCAST_TEXTS:
         right = F.broadcast(right)
     lengths = F.array(*[F.lit(n) for n in sorted({len(canonical_text(t)) for _, t in notices})])
     names = F.create_map(*[F.lit(x) for pair in known(notices).items() for x in pair])
-    lines = F.filter(F.split("canonical", "\n"), lambda x: F.array_contains(lengths, F.length(x)))
+    lines = F.filter(F.split(spelled(F.col("plain")), "\n"), lambda x: F.array_contains(lengths, F.length(x)))
     named = F.filter(F.transform(lines, lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    scanned = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(text).alias("canonical"), F.sha2(unwrapped(text), 256).alias("unwrapped_sha256"))
-    digests = scanned.select("doc_id", F.sha2(F.replace("canonical", F.lit("\n"), F.lit(" ")), 256).alias("text_sha256"), "unwrapped_sha256", named.alias("found"))
-    joined = digests.join(right, digests["unwrapped_sha256"] == right["known_sha256"], "left")
+    scanned = docs.select(F.col(f"`{id_col}`").alias("doc_id"), plain(text).alias("plain"))
+    whole = F.sha2(spelled(F.replace("plain", F.lit("\n"), F.lit(" "))), 256)
+    found = scanned.select("doc_id", whole.alias("text_sha256"), named.alias("found"))
+    joined = found.join(right, found["text_sha256"] == right["known_sha256"], "left")
     return joined.select(
         "doc_id",
         "text_sha256",
@@ -228,19 +256,22 @@ def oracle_sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    text = f"regexp_replace(lower(coalesce(text, '')), {quoted(COPYRIGHT)}, '\\1', 'g')"
-    text = f"regexp_replace({text}, {quoted(PUNCTUATION)}, ' ', 'g')"
-    for a, b in SPELLINGS:
-        text = f"replace({text}, {quoted(a)}, {quoted(b)})"
+    def spelled(text: str) -> str:
+        for a, b in SPELLINGS:
+            text = f"replace({text}, {quoted(a)}, {quoted(b)})"
+        return text
+
+    text = f"regexp_replace(lower(coalesce(text, '')), {quoted(LEGAL)}, '\\1' || chr(1) || '\\2\\3', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {quoted(NOTICE)}, '\\1', 'g'), {quoted(PUNCTUATION)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {quoted(LINES)}, chr(10), 'g'), {quoted(EDGES)}, '', 'g')"
-    rows = {k: ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in known(v).items()) for k, v in (("l", LICENSES), ("n", NOTICES))}
+    rows = {k: ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in v.items()) for k, v in (("l", known_licenses()), ("n", known(NOTICES)))}
     return f"""
 WITH licenses(known_sha256, license) AS (VALUES {rows["l"]}),
 notices(line_sha256, notice) AS (VALUES {rows["n"]}),
-scanned AS (SELECT row_number() OVER () AS row_id, doc_id, {text} AS canonical FROM documents),
-lines AS (SELECT row_id, sha256(unnest(string_split(canonical, chr(10)))) AS line_sha256 FROM scanned),
+scanned AS (SELECT row_number() OVER () AS row_id, doc_id, {text} AS plain FROM documents),
+lines AS (SELECT row_id, sha256(unnest(string_split({spelled('plain')}, chr(10)))) AS line_sha256 FROM scanned),
 found AS (SELECT row_id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n
           FROM lines JOIN notices USING (line_sha256) GROUP BY row_id),
-digests AS (SELECT row_id, doc_id, sha256(replace(canonical, chr(10), ' ')) AS text_sha256 FROM scanned)
+digests AS (SELECT row_id, doc_id, sha256({spelled("replace(plain, chr(10), ' ')")}) AS text_sha256 FROM scanned)
 SELECT doc_id, text_sha256, license, coalesce(f.notices, '') AS notices, coalesce(f.n, 0) AS n_notice_lines
 FROM digests LEFT JOIN licenses ON text_sha256 = known_sha256 LEFT JOIN found f USING (row_id)"""

@@ -1,6 +1,8 @@
 import textwrap
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from factpanel.llm import licenses, queries
 
@@ -45,6 +47,30 @@ copyright notice and this permission notice appear in all copies.
     assert [(i, got[i], n) for i, n in enumerate([*want, "ISC", None]) if got[i] != n] == []
 
 
+PUBLISHED = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not PUBLISHED.is_dir(), reason="published texts aren't here")
+def test_longer_licenses_as_published(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], []
+    for file, name in files.items():
+        text = (PUBLISHED / file).read_text()
+        shown = [text, text.replace("\n", "\r\n"), text.upper(), "\n".join(f" * {x}" for x in text.split("\n"))]
+        if name in ("Apache-2.0", "MPL-2.0"):
+            paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+            shown += ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs) for w in (60, 72, 80, 10_000)]
+        rows += [(len(rows) + i, t) for i, t in enumerate(shown)]
+        want += [name] * len(shown)
+    rows.append((len(rows), (PUBLISHED / "GPL-2").read_text().replace("freedom", "liberty")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [*want, None]
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    assert {r[0]: r[2] for r in con.execute(licenses.oracle_sql()).fetchall()} == got
+
+
 def test_query_matches_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{data}/documents.parquet'")
