@@ -5,10 +5,12 @@ holds it, half of that to the next one out, and so on; articles and main element
 shares are votes for the containers' generalised paths (tags with classes, digits as one sign), added
 up per host in Spark.  Each page is then read again and its text taken from the elements on its
 host's winning path, each widened to the article or else the main element that it is in, as headlines
-and leads stand beside a body; a page without text there uses its own best container.
+and leads stand beside a body, or else to what holds its siblings; a page without text there uses its own
+best container.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are known by element, role or class words; inside an article's own header only headings count.
+are known by element, role or class words, within an article by whole names; inside an article's own
+header only headings count.
 
 Cases: null and empty pages have the empty text; a null or odd address belongs to the host "";
 repeated rows vote and are extracted alike; broken markup is read as far as it goes; an empty table
@@ -38,6 +40,12 @@ NOISE_WORDS = frozenset(
     respond footer masthead nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar topbar search form
     complementary contentinfo alert copyright tracking outbrain taboola hidden""".split()
 )
+#: Words that stand beside them in a name that marks the same; within an article a name must be made of nothing else.
+PARTS = frozenset(
+    """area bar bars block blocks body bottom box btn button buttons center col column container content count counts entries feed footer grid group header icon icons
+    inline inner item items left link links list main meta middle module outer panel post posts right row section slot stories story text title tools top unit wrap wrapper
+    thread reply form field fields label input submit user users reader readers site page web by this the in us follow""".split()
+)
 KEPT_TAGS = frozenset("html body main article".split())
 #: Beyond so many hosts the winners are joined by a shuffle instead of sent to each executor.
 BROADCAST_HOSTS = 200_000
@@ -54,8 +62,12 @@ def is_noise(tag: str, attribute_text: str, in_article: bool) -> str | None:
     named = markup.attributes(attribute_text)
     if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
         return "noise"
-    words = {w.lower() for k in ("class", "id", "role") for w in markup.WORDS.findall(named.get(k, ""))}
-    if words & NOISE_WORDS:
+    names = [[w.lower() for w in markup.WORDS.findall(n)] for k in ("class", "id", "role") for n in named.get(k, "").split()]
+    words = {w for name in names for w in name}
+    if in_article:
+        if any(set(name) & NOISE_WORDS and set(name) <= NOISE_WORDS | PARTS for name in names):
+            return "noise"
+    elif words & NOISE_WORDS:
         return "noise"
     return ("header" if in_article else "noise") if "header" in words and "h1" not in tag else None
 
@@ -80,13 +92,12 @@ def scores(page: markup.Page) -> dict[int, float]:
     """Scores of the containers that hold main text, by element."""
     found: dict[int, float] = {}
     for owner, text, links in _kept(page):
-        weight, i = float(len(text) - links), owner
+        weight, i = float(len(text) - links), page.elements[owner].container
         while i >= 0 and weight >= 1:
-            tag = page.elements[i].tag
-            if tag in markup.CONTAINERS:
-                found[i] = found.get(i, 0.0) + weight * (1.5 if tag in ("article", "main") else 1.0)
-                weight /= 2
-            i = page.elements[i].parent
+            found[i] = found.get(i, 0.0) + weight * (1.5 if page.elements[i].tag in ("article", "main") else 1.0)
+            weight /= 2
+            above = page.elements[i].parent
+            i = page.elements[above].container if above >= 0 else -1
     return found
 
 
@@ -100,47 +111,60 @@ def votes(page: markup.Page) -> dict[str, float]:
     return {p: s / total for p, s in by_path.items()} if total else {}
 
 
-def _widened(page: markup.Page, i: int) -> int:
-    """The nearest article that an element is or is in, else the nearest main element, else itself."""
-    at, found = i, i
-    while at >= 0:
-        tag = page.elements[at].tag
-        if tag == "article":
-            return at
-        if tag == "main" and page.elements[found].tag != "main":
-            found = at
-        at = page.elements[at].parent
-    return found
+def _roots(page: markup.Page, path: str) -> set[int]:
+    """The elements to take the text of: those on the path, widened.
+
+    An element is widened to the nearest article that it is in, else the nearest main element; on a
+    page with neither to the containers around it, as long as what they add is less than it holds
+    and mostly not links.  Elements without text don't count.
+    """
+    n = len(page.elements)
+    held, linked = [0] * n, [0] * n
+    for owner, text, links in _kept(page):
+        held[owner] += len(text)
+        linked[owner] += links
+    article, main = [-1] * n, [-1] * n
+    for i, e in enumerate(page.elements):  # parents come before children
+        article[i] = i if e.tag == "article" else article[e.parent] if e.parent >= 0 else -1
+        main[i] = i if e.tag == "main" else main[e.parent] if e.parent >= 0 else -1
+    for i in range(n - 1, 0, -1):
+        held[page.elements[i].parent] += held[i]
+        linked[page.elements[i].parent] += linked[i]
+    roots, seen = set(), set()
+    for i, e in enumerate(page.elements):
+        if e.path != path or e.tag not in markup.CONTAINERS or not held[i]:
+            continue
+        if article[i] >= 0 or main[i] >= 0:
+            roots.add(article[i] if article[i] >= 0 else main[i])
+            continue
+        while i > 0 and i not in seen:
+            seen.add(i)
+            above = page.elements[page.elements[i].parent].container
+            more, more_links = held[above] - held[i], linked[above] - linked[i]
+            if more >= held[i] or 2 * more_links > more:
+                break
+            i = above
+        roots.add(i)
+    return roots
+
+
+def _text(page: markup.Page, path: str) -> str:
+    roots = _roots(page, path)
+    inside = [False] * len(page.elements)
+    for i, e in enumerate(page.elements):
+        inside[i] = i in roots or (e.parent >= 0 and inside[e.parent])
+    return " ".join([t for owner, t, _ in _kept(page) if inside[owner]])
 
 
 def extract(html: str | None, path: str | None) -> tuple[str, str | None, bool]:
     """(text, path used, whether that was ``path``)."""
     page = markup.read(html, is_noise)
-    kept = _kept(page)
-    if path is not None:
-        inside: dict[int, bool] = {-1: False}
-        winners = [i for i, e in enumerate(page.elements) if e.path == path and e.tag in markup.CONTAINERS]
-        # a winner without text of its own doesn't widen, else a page without text there wouldn't use its own best container
-        full = set()
-        for owner, _, _ in kept:
-            while owner >= 0 and owner not in full:
-                full.add(owner)
-                owner = page.elements[owner].parent
-        roots = {_widened(page, i) for i in winners if i in full}
-
-        def within(i: int) -> bool:
-            if i not in inside:
-                inside[i] = i in roots or within(page.elements[i].parent)
-            return inside[i]
-
-        text = " ".join([t for owner, t, _ in kept if within(owner)])
-        if text:
-            return text, path, True
+    if path is not None and (text := _text(page, path)):
+        return text, path, True
     own = votes(page)
     if own:
         best = min(own, key=lambda p: (-own[p], p))
-        if best != path:
-            return extract(html, best)[0], best, False
+        return _text(page, best), best, False
     return "", None, False
 
 

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var
+    math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mprescripts none mpadded mphantom menclose
+    mtable mtr mtd""".split()
 )
+#: What stands in these elements isn't text of the page.
+RAW = "script style noscript template title svg iframe object select textarea button canvas audio video annotation annotation-xml".split()
 CONTAINERS = frozenset("body main article section div td center".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article section main div body".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|iframe|object|select|textarea|button|math|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+LONGEST_PATH = 300
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+RUN = re.compile(r"[^'\"<>]*")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 DIGITS = re.compile(r"[0-9]+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -31,11 +35,14 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Element:
     tag: str
     parent: int
-    path: str
+    path: str  #: the names from the root on; a long one ends in a digest of them
     attributes: str
     noise: bool = False  #: itself or an ancestor isn't part of the main text
     header: bool = False  #: inside the header of an article: only its headings count
     heading: bool = False
+    article: bool = False  #: in an article or main element
+    block: int = 0  #: the nearest element, itself included, that isn't inline
+    container: int = 0  #: the nearest container, itself included
 
 
 @dataclass
@@ -53,14 +60,71 @@ def squeeze(text: str) -> str:
     return " ".join(unescape(text).split()) if text else ""
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attribute text) of tags and of what is skipped.
+
+    The slash of an element that is skipped with its content is "raw"; comments have no name.
+
+    Any text is read in one pass: a tag ends at its ">" outside quotes, and one that meets "<" or the
+    end before is text; a quote that isn't closed anywhere is looked for once.
+    """
+    at, open_quotes = 0, set()
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if html.startswith(("<!", "<?"), start):
+            end = html.find(">", start)
+            if end < 0:
+                return
+            at = end + 1
+            yield start, at, "", "", ""
+            continue
+        m = NAME.match(html, start)
+        if not m:
+            continue
+        i = m.end()
+        while i < len(html):
+            i = RUN.match(html, i).end()
+            quote = html[i : i + 1]
+            if quote not in ("'", '"'):
+                break
+            if quote in open_quotes:
+                quote = ""
+                break
+            end = html.find(quote, i + 1)
+            if end < 0:
+                open_quotes.add(quote)
+                quote = ""
+                break
+            i = end + 1
+        else:
+            quote = ""
+        if quote != ">":
+            continue
+        at, name = i + 1, m[2].lower()
+        if not m[1] and name in RAW_END:
+            if html[i - 1] != "/":
+                end = RAW_END[name].search(html, at)
+                at = end.end() if end else len(html)
+            yield start, at, "raw", name, html[m.end() : i]
+        else:
+            yield start, at, m[1], name, html[m.end() : i]
+
+
 def read(html: str | None, is_noise=None) -> Page:
     """Elements and text blocks.  Unclosed elements end where HTML ends them; stray ends are ignored.
 
-    ``is_noise(tag, attribute text, in_article)`` marks elements whose text isn't main text.
+    ``is_noise(tag, attribute text, in_article)`` marks elements whose text isn't main text.  Work and
+    memory grow with the length of the page, however deep its elements are.
     """
     page = Page()
     elements, blocks = page.elements, page.blocks
     elements.append(Element("body", -1, "body", ""))
+    opened: Counter[str] = Counter()
     stack = [0]
     texts: list[str] = []
     owner = 0
@@ -81,9 +145,7 @@ def read(html: str | None, is_noise=None) -> Page:
         if not texts:
             if text.isspace():
                 return
-            owner = stack[-1]
-            while elements[owner].tag in INLINE:
-                owner = elements[owner].parent
+            owner = elements[stack[-1]].block
         texts.append(text)
         if in_link:
             links += len(text)
@@ -91,21 +153,22 @@ def read(html: str | None, is_noise=None) -> Page:
     def pop_to(depth: int) -> None:
         nonlocal in_link
         for i in stack[depth:]:
+            opened[elements[i].tag] -= 1
             if elements[i].tag == "a":
                 in_link -= 1
         del stack[depth:]
 
     html = html or ""
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            take(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, end, slash, tag, attribute_text in tokens(html):
+        if start > at:
+            take(html[at:start])
+        at = end
+        if not tag or slash == "raw":
             continue
-        tag = tag.lower()
-        if m[2]:
+        if slash:
+            if not opened[tag]:
+                continue
             inline = tag in INLINE
             for depth in range(len(stack) - 1, 0, -1):
                 other = elements[stack[depth]].tag
@@ -125,37 +188,44 @@ def read(html: str | None, is_noise=None) -> Page:
             if tag == "a":
                 in_link += 1
             top = elements[stack[-1]]
-            elements.append(Element(tag, stack[-1], top.path, m[4], top.noise, top.header, top.heading))
+            elements.append(Element(tag, stack[-1], top.path, attribute_text, top.noise, top.header, top.heading, top.article, top.block, top.container))
             stack.append(len(elements) - 1)
+            opened[tag] += 1
             continue
         flush()
         if tag in ("html", "head", "body"):
             if tag == "body":
-                elements[0].attributes = m[4]
+                elements[0].attributes = attribute_text
             continue
         ends = CLOSES.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
-            other = elements[stack[depth]].tag
-            if other == "p" or other in ends:
-                pop_to(depth)
-                if other != "p":
+        if opened["p"] or any(opened[e] for e in ends):
+            for depth in range(len(stack) - 1, 0, -1):
+                other = elements[stack[depth]].tag
+                if other == "p" or other in ends:
+                    pop_to(depth)
+                    if other != "p":
+                        break
+                elif other in SCOPES:
                     break
-            elif other in SCOPES:
-                break
         if tag in VOID:
             continue
-        parent = elements[stack[-1]]
+        parent, here = elements[stack[-1]], len(elements)
         name = tag
-        if m[4] and "class" in m[4].lower():
-            classes = attributes(m[4]).get("class", "").split()
+        if attribute_text and "class" in attribute_text.lower():
+            classes = attributes(attribute_text).get("class", "").split()
             name = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
-        element = Element(tag, stack[-1], f"{parent.path}/{name}", m[4], parent.noise, parent.header, parent.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        path = f"{parent.path}/{name}"
+        if len(path) > LONGEST_PATH:
+            path = f".../{name[:100]}@{hashlib.blake2b(path.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+        heading = parent.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        element = Element(tag, stack[-1], path, attribute_text, parent.noise, parent.header, heading, parent.article or tag in ("article", "main"), here, here if tag in CONTAINERS else parent.container)
         if is_noise is not None and not element.noise:
-            verdict = is_noise(tag, m[4], "/article" in parent.path or "/main" in parent.path)
+            verdict = is_noise(tag, attribute_text, parent.article)
             element.noise = verdict == "noise"
             element.header = element.header or verdict == "header"
         elements.append(element)
-        stack.append(len(elements) - 1)
+        stack.append(here)
+        opened[tag] += 1
     if at < len(html):
         take(html[at:])
     flush()

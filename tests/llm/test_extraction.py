@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from factpanel.llm import extraction, markup, queries
@@ -67,3 +68,28 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     rows = [(1, "http://a/", PAGE, "?", "?", "?", 1)] * 3 + [(2, "http://a/", "<p>" + "long " * 100_000, "?", "?", "?", 1)]
     out = extraction.main_text(spark.createDataFrame(rows, schema)).collect()
     assert len(out) == 4 and len({r["text"] for r in out if r["page_id"] == 1}) == 1
+
+
+def test_work_grows_with_the_page_alone():
+    for html in (
+        "<div>x" * 100_000, "<b>x" * 100_000, "<x-a>x" * 100_000 + "</x-b>" * 100_000, "<a " * 300_000, "<p \"" * 100_000, "<p '\"" * 100_000,
+        "<li>" + "<i>" * 50_000 + "<li>x" * 50_000, "<!-- " * 200_000, "<" * 500_000, "<ul>" * 50_000 + "<li>x" * 50_000, "<p>" * 100_000 + "text",
+    ):
+        began = time.time()
+        text = extraction.extract("<article><p>Hello.</p></article>" + html, None)[0]
+        assert time.time() - began < 20, html[:20]
+        assert text.startswith("Hello.")
+
+
+def test_names_within_an_article_are_taken_whole():
+    kept = ['<p class="related-work">', '<p class="alert-level">', '<p class="share-price">', '<section id="search-algorithms">', '<div id="ad-hoc">', '<div class="post-content menuetto">']
+    gone = ['<div class="related-posts">', '<div class="share-buttons">', '<div class="ad">', '<div id="comments-list">', '<div class="newsletter-signup">', '<div class="ad-slot-3">']
+    body = "".join(f"{k}kept {i}.</{k[1:].split()[0]}>" for i, k in enumerate(kept)) + "".join(f"{g}gone</div>" for g in gone)
+    text = extraction.extract(f"<body><article><p>Begin.</p>{body}</article></body>", None)[0]
+    assert text == "Begin. " + " ".join(f"kept {i}." for i in range(len(kept)))
+
+
+def test_siblings_without_an_article_and_math():
+    page = '<body><div class="nav"><a href="/">Home</a></div><div id="page"><div class="intro">A lead of some words.</div><div class="body"><p>The long body of the page, with more words than its lead.</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></div></div><div class="links"><a href="a">one link</a> <a href="b">and another one that is long</a></div></body>'
+    text = extraction.extract(page, None)[0]
+    assert text == "A lead of some words. The long body of the page, with more words than its lead. Let x=2 be."
