@@ -14,11 +14,11 @@ records; broken headers are kept as far as they read; an empty table gives no ro
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +30,8 @@ from .arrow import append_columns, explode_columns, slices
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of addresses, RFC 4122
 DATE = "1970-01-01T00:00:00Z"
-TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-META = re.compile(r"<meta\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.I)
-LINK = re.compile(r"<(a|link|img|script|iframe|area|form)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.I)
+LINKED = frozenset("a link img script iframe area form".split())
+Headers = list[tuple[str, str]]
 
 
 def digest(data: bytes) -> str:
@@ -56,32 +55,78 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
             block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
             name = record_id("response", page, url, date)
             headers = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Target-URI": url or "", "WARC-Date": date, "WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
-            for column, value in zip(columns, (name, url or "", date, json.dumps(headers), block), strict=True):
+            for column, value in zip(columns, (name, url or "", date, json.dumps(list(headers.items())), block), strict=True):
                 column.append(value)
         return columns
 
     return append_columns(pages, [id_col, url_col, html_col], RESPONSE.fields, work, [id_col])
 
 
-def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+def value_of(headers: Headers, name: str) -> str | None:
+    return next((v for k, v in headers if k.lower() == name.lower()), None)
+
+
+def _headers(lines: list[str]) -> Headers:
+    """Headers in order, repeated ones too; a line that begins with white space goes on with the one before."""
+    out: Headers = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif line.strip():
+            k, _, v = line.partition(":")
+            out.append((k.strip(), v.strip()))
+    return out
+
+
+def parse_http(block: bytes) -> tuple[str, Headers, bytes]:
     """Status line, headers and payload; a block that isn't HTTP is all payload."""
     if not block.startswith(b"HTTP/"):
         return "", [], block
     head, _, payload = block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
-    return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
+    return lines[0], _headers(lines[1:]), payload
+
+
+def _unchunked(data: bytes) -> bytes:
+    """A body of chunks put together; one that isn't of chunks stays as it is."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].partition(b";")[0].strip(), 16)
+        except ValueError:
+            return data if not out else b"".join(out)
+        if size == 0:
+            break
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out or data.startswith(b"0") else data
+
+
+def entity(headers: Headers, payload: bytes) -> bytes:
+    """The payload without its transfer and content encodings; what can't be decoded stays as far as it reads."""
+    if "chunked" in (value_of(headers, "Transfer-Encoding") or "").lower():
+        payload = _unchunked(payload)
+    for name in reversed([x.strip().lower() for k, v in headers if k.lower() == "content-encoding" for x in v.split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(name, ()):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
 
 
 def page_metadata(html: str) -> dict:
-    title = TITLE.search(html)
-    metas = [a for a in (markup.attributes(m[1]) for m in META.finditer(html)) if a]
-    links = []
-    for m in LINK.finditer(html):
-        named = markup.attributes(m[2])
-        for key in ("href", "src", "action"):
-            if key in named:
-                links.append({"path": f"{m[1].upper()}@/{key}", "url": named[key]})
-    return {"Head": {"Title": markup.squeeze(title[1]) if title else "", "Metas": metas}, "Links": links}
+    title, metas, links = "", [], []
+    for start, end, slash, tag, attribute_text in markup.tokens(html):
+        if tag == "title" and slash == "raw" and not title:
+            title = markup.squeeze(re.sub(r"</title\s*>\Z", "", html[start:end].partition(">")[2], flags=re.I))
+        named = markup.attributes(attribute_text) if tag == "meta" or tag in LINKED and slash != "/" else {}
+        if tag == "meta" and named:
+            metas.append(named)
+        elif named:
+            links += [{"path": f"{tag.upper()}@/{key}", "url": named[key]} for key in ("href", "src", "action") if key in named]
+    return {"Head": {"Title": title, "Metas": metas}, "Links": links}
 
 
 DERIVED = T.StructType(
@@ -104,12 +149,13 @@ DERIVED = T.StructType(
 
 def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes) -> list[dict]:
     status, headers, payload = parse_http(block)
-    charset = next((m[1] for k, v in headers if k.lower() == "content-type" and (m := re.search(r"charset=([\w-]+)", v))), "utf-8")
+    charset = re.search(r"charset=[\"']?([\w-]+)", value_of(headers, "Content-Type") or "")
+    body = entity(headers, payload)
     try:
-        html = payload.decode(charset, "replace")
+        html = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        html = payload.decode("utf-8", "replace")
-    source = json.loads(warc_headers or "{}")
+        html = body.decode("utf-8", "replace")
+    source = json.loads(warc_headers or "[]")
     payload_digest, block_digest = digest(payload), digest(block)
     envelope = {
         "Envelope": {
@@ -119,7 +165,7 @@ def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes)
                 "Actual-Content-Type": "application/http; msgtype=response",
                 "HTTP-Response-Metadata": {
                     "Response-Message": status,
-                    "Headers": dict(headers),
+                    "Headers": headers,
                     "Entity-Length": len(payload),
                     "Entity-Digest": payload_digest,
                     "HTML-Metadata": page_metadata(html),
@@ -157,7 +203,7 @@ def derive(records: DataFrame, *, id_col: str = "page_id") -> DataFrame:
         for a, b in slices(columns[-1]):
             out: dict[str, list] = {n: [] for n in DERIVED.names}
             for page, name, uri, date, headers, block in zip(ids[a:b], *[c[a:b] for c in columns], strict=True):
-                for row in derived_of(name or "", uri or "", date or "", headers or "{}", block or b""):
+                for row in derived_of(name or "", uri or "", date or "", headers or "[]", block or b""):
                     out["page_id"].append(page)
                     for k, v in row.items():
                         out[k].append(v)
@@ -182,31 +228,58 @@ def record_bytes(row: dict) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def _members(data: bytes) -> Iterator[bytes]:
+    """The members of a compressed file, one at a time; anything else as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            yield member.decompress(memoryview(data)[at:])
+        except zlib.error:
+            return  # a broken member ends the file
+        at = len(data) - len(member.unused_data)
+        if not member.eof:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length") or 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+
+
+def parse_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """(headers, block) of each record of a WARC file, compressed by record or as a whole or not.
+
+    A record whose length isn't a number ends where the next one begins.
+    """
+    for part in _members(data):
+        at = 0
+        while (at := part.find(b"WARC/", at)) >= 0:
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            headers = _headers(part[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+            length, start = value_of(headers, "Content-Length") or "", end + 4
+            if length.isdecimal():
+                stop = start + int(length)
+            else:
+                follows = part.find(b"\r\n\r\nWARC/", start)
+                stop = len(part) if follows < 0 else follows
+            yield headers, part[start:stop]
+            at = stop
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, one file a task; ``page_id`` numbers a file's records."""
+    """Response records of WARC files; ``page_id`` numbers a file's records.
+
+    A task reads one file, which must be below 2 GB (they are made to be about 1 GB), and unpacks a
+    record at a time.
+    """
     schema = T.StructType([T.StructField("page_id", T.LongType()), *RESPONSE.fields])
 
     def work(files: list) -> Iterator[dict]:
         for data in files:
             for i, (headers, block) in enumerate(parse_records(bytes(data))):
-                if headers.get("WARC-Type") == "response":
-                    values = (i, headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), json.dumps(headers), block)
-                    yield {k: [v] for k, v in zip(schema.names, values, strict=True)}
+                if value_of(headers, "WARC-Type") == "response":
+                    named = (value_of(headers, f"WARC-{n}") for n in ("Record-ID", "Target-URI", "Date"))
+                    yield {k: [v] for k, v in zip(schema.names, (i, *named, json.dumps(headers), block), strict=True)}
 
     return explode_columns(spark.read.format("binaryFile").load(path), ["content"], schema, work)

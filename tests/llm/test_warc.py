@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import json
+import zlib
 
 from factpanel.llm import queries, warc
 
@@ -23,9 +24,9 @@ def test_query_links_records(spark, data):
     for page_id, pair in by_page.items():
         assert pair["metadata"]["refers_to"] == pair["conversion"]["refers_to"]
         envelope = json.loads(pair["metadata"]["block"])["Envelope"]
-        assert envelope["WARC-Header-Metadata"]["WARC-Record-ID"] == pair["metadata"]["refers_to"]
+        assert dict(envelope["WARC-Header-Metadata"])["WARC-Record-ID"] == pair["metadata"]["refers_to"]
         response = envelope["Payload-Metadata"]["HTTP-Response-Metadata"]
-        assert response["Entity-Digest"] == pair["metadata"]["source_payload_digest"] and response["Headers"]["Content-Type"].startswith("text/html")
+        assert response["Entity-Digest"] == pair["metadata"]["source_payload_digest"] and dict(response["Headers"])["Content-Type"].startswith("text/html")
         assert "<p>" not in pair["conversion"]["block"] and "track(" not in pair["conversion"]["block"]
         assert len(response["HTML-Metadata"]["Links"]) == pages[page_id]["html"].count("<a ")
 
@@ -46,7 +47,7 @@ def test_files_are_read_and_written(spark, tmp_path):
     assert meta["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Head"]["Title"] == "Tï"
     written = b"".join(warc.record_bytes(r.asDict()) for r in out)
     again = list(warc.parse_records(written))
-    assert [(h["WARC-Type"], h["WARC-Refers-To"], b.decode()) for h, b in again] == [(r["record_type"], r["refers_to"], r["block"]) for r in out]
+    assert [(h["WARC-Type"], h["WARC-Refers-To"], b.decode()) for h, b in ((dict(h), b) for h, b in again)] == [(r["record_type"], r["refers_to"], r["block"]) for r in out]
 
 
 def test_odd_rows(spark):
@@ -57,3 +58,23 @@ def test_odd_rows(spark):
     assert len(out) == 10 and sum(r["block"] == "" for r in out) == 2
     assert warc.derive(warc.responses(df)).count() == 10
     assert warc.derive(warc.responses(df.where("false"))).count() == 0
+
+
+def test_encoded_bodies_and_all_headers():
+    html = b"<html><title>T</title><p>Caf\xc3\xa9 one</p><p>two</p></html>"
+    packed = gzip.compress(html)
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    for body, more in ((packed, b"Content-Encoding: gzip\r\n"), (chunked, b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n"), (zlib.compress(html), b"content-encoding: deflate\r\n"), (html, b"Content-Encoding: gzip\r\n")):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Long: x\r\n y\r\n" + more + b"\r\n" + body
+        metadata, conversion = warc.derived_of("r", "u", "d", "[]", block)
+        assert conversion["block"] == "Café one\ntwo" and conversion["source_payload_digest"] == sha1(body)
+        headers = json.loads(metadata["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]
+        assert [v for k, v in headers if k == "Set-Cookie"] == ["a=1", "b=2"] and ["X-Long", "x y"] in headers
+
+
+def test_broken_records_are_read_as_far_as_they_go():
+    good = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    odd = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nd e\r\n\r\n"
+    assert [b for _, b in warc.parse_records(odd + good)] == [b"d e", b"abc"]
+    assert [b for _, b in warc.parse_records(gzip.compress(good) * 3 + gzip.compress(odd)[:20])][:3] == [b"abc"] * 3
+    assert list(warc.parse_records(b"\x1f\x8bbroken")) == [] and list(warc.parse_records(b"")) == []
