@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+from collections import Counter
 
 import sentencepiece
 from hypothesis import given, settings
@@ -8,6 +11,7 @@ from factpanel.llm import pieces, queries
 
 MODEL = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
 TABLE = pieces.ChunkTable(pieces.default_model(), max_chunks=50)
+TABLE.entries = {c: TABLE.segment(c) for c in ("", "a", "word", "ing", " word")}
 TEXTS = st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(list(" \n\t▁abé<s>")), max_size=60) | st.lists(
     st.sampled_from([" ", "  ", "   ", "▁", "word", "ing", "\n", "é", "<0x41>", "</s>", "😀", "漢"]), max_size=25
 ).map("".join)
@@ -35,6 +39,22 @@ def test_query_against_the_library(spark, data):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected(texts[r["doc_id"]])
 
 
+def test_each_distinct_chunk_is_in_the_table_once(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["aa", "bb", "", "c▁d", "x" * 70, f"n{rng.randrange(400)}"]) for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, "", "aa aa"]], "text string").repartition(5)
+    want = Counter(c for t in [*texts, "aa aa"] for c in re.findall(" +[^ ]*", " " + t.replace("▁", " ")) if t)
+    for most in (3, 10**6):
+        got = {r["chunk"]: r["n"] for r in pieces.distinct_chunks(docs, max_chunks=most).collect()}
+        assert got == {c[1:]: n for c, n in want.items() if len(c) <= 65}
+    often = sorted([c for c, n in got.items() if n > 1], key=lambda c: (-got[c], c))
+    for most in (7, 10**6):
+        rows = pieces.chunk_table(docs, "text", pieces.default_model(), most).collect()
+        assert sorted(r["chunk"] for r in rows) == sorted(often[:most]) and len(rows) == len({r["chunk"] for r in rows})
+        out = pieces.encode_decode(docs, table_chunks=most).collect()
+        assert all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected(r["text"]) for r in out) and len(out) == 203
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = pieces.encode_decode(odd_documents, with_ids=True, with_text=True).collect()
     assert len(rows) == odd_documents.count()
