@@ -2,11 +2,11 @@
 
 ``decode`` reads any GIF87a or GIF89a: global and local palettes, interlacing, transparency,
 disposal (keep, background, previous), frame delays.  ``encode_samples`` stores bytes losslessly as
-8-bit palette indexes: frames of 64 samples a row, the grey palette, and a code stream of literals
-with a clear code before the code width would grow.
+8-bit palette indexes: timed frames of 64 by 64 samples, each cleared before the next, a palette of
+256 colours (three bits of red and green, two of blue), and LZW code streams with a full dictionary.
 
-Cases: a null text is the empty text (64 zero bytes); a payload beyond one frame's 64 * 65,535
-samples goes on in further frames; equal texts give equal values; repeated rows stay; an empty
+Cases: a null text is the empty text (64 zero bytes); equal texts give equal values; repeated rows
+stay; a null or broken file, or one whose images are beyond ``MAX_PIXELS``, has null columns; an empty
 table gives no rows; other columns are kept, those named as a result are replaced.
 """
 
@@ -24,10 +24,16 @@ from pyspark.sql import types as T
 from .arrow import append_columns
 
 WIDTH = 64
-MAX_HEIGHT = 65_535
-LITERALS = 250  #: literals between clear codes; 254 would widen the codes to ten bits
+HEIGHT = 64
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
-CLEAR, END, CODE_BITS = 256, 257, 9
+_I = np.arange(256)
+COLOURS = np.column_stack([(_I >> 5) * 255 // 7, (_I >> 2 & 7) * 255 // 7, (_I & 3) * 255 // 3]).astype(np.uint8)
+CLEAR, END, FULL = 256, 257, 4096
+MAX_PIXELS = 1 << 26  #: of an image or a canvas that is drawn
+BINS = 64  #: of a colour histogram: two bits of each channel
+#: Bits of the codes between two clear codes: the n-th comes when the decoder's table has 256 + n entries, one less before it has two codes.
+CODE_BITS = np.array([max(9, (256 + n).bit_length()) for n in range(1, FULL - 255)])
+CODE_BITS[0] = 9
 
 
 @dataclass
@@ -64,31 +70,44 @@ def _blocks(data: bytes) -> bytes:
     return rows.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    """A code stream of nine-bit literals, with clear codes between."""
-    n = len(samples)
-    groups = -(-n // LITERALS)
-    codes = np.full((groups, LITERALS + 1), END, np.uint16)
-    codes[:, 0] = CLEAR
-    flat = np.full(groups * LITERALS, END, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(groups, LITERALS)
-    codes = np.append(codes.reshape(-1)[: n + groups], np.uint16(END))
-    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little", count=CODE_BITS)
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+def lzw_encode(samples: bytes) -> bytes:
+    """A code stream of 8-bit samples: the longest known run each time, the dictionary begun anew when it is full."""
+    blocks: list[list[int]] = [[]]
+    table: dict[int, int] = {}
+    size, block = END + 1, blocks[0]
+    prefix = samples[0]
+    for c in samples[1:]:
+        key = prefix << 8 | c
+        code = table.get(key)
+        if code is not None:
+            prefix = code
+            continue
+        block.append(prefix)
+        table[key] = size
+        size += 1
+        if size == FULL:
+            block.append(CLEAR)
+            table, size, block = {}, END + 1, []
+            blocks.append(block)
+        prefix = c
+    block += [prefix, END]
+    codes = np.array([CLEAR, *(c for b in blocks for c in b)], "<u2")
+    width = np.concatenate([[9], *[CODE_BITS[: len(b)] for b in blocks]])
+    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little", count=12)
+    return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
 
 def encode_samples(payload: bytes, delay: int = 10) -> bytes:
     """A GIF whose frames hold the payload as samples; its length must be a multiple of 64."""
     if not payload or len(payload) % WIDTH:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
-    most = WIDTH * MAX_HEIGHT
+    most = WIDTH * HEIGHT
     parts = [payload[i : i + most] for i in range(0, len(payload), most)]
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, len(parts[0]) // WIDTH, 0xF7, 0, 0), GREY.tobytes()]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, len(parts[0]) // WIDTH, 0xF7, 0, 0), COLOURS.tobytes()]
     for part in parts:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0")
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2, delay, 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
-        out.append(_blocks(_literal_stream(np.frombuffer(part, np.uint8))))
+        out.append(_blocks(lzw_encode(part)))
     return b"".join(out) + b"\x3b"
 
 
@@ -100,32 +119,16 @@ def _codes(bits: np.ndarray, at: int, width: int, count: int) -> np.ndarray:
     return packed[:, 0].astype(np.int32) if width <= 8 else packed[:, 0] + (packed[:, 1].astype(np.int32) << 8)
 
 
-def _literals_only(bits: np.ndarray, min_bits: int) -> np.ndarray | None:
-    """The samples of a stream that never leaves its first code width and has literals only."""
-    clear, width = 1 << min_bits, min_bits + 1
-    codes = _codes(bits, 0, width, len(bits))
-    ends = np.flatnonzero(codes == clear + 1)
-    if not len(ends) or not len(codes) or codes[0] != clear:
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == clear)
-    if np.diff(np.append(clears, len(codes))).max() > clear - 1 or (codes > clear).any():
-        return None
-    return codes[codes < clear].astype(np.uint8)
-
-
 def lzw_decode(data: bytes, min_bits: int, count: int) -> np.ndarray:
     """``count`` samples of a code stream; too short a stream leaves zeros behind."""
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    quick = _literals_only(bits, min_bits)
-    if quick is None:
-        quick = np.frombuffer(_lzw_general(bits, min_bits, count), np.uint8)
+    found = np.frombuffer(_lzw_samples(bits, min_bits, count), np.uint8)
     out = np.zeros(count, np.uint8)
-    out[: min(count, len(quick))] = quick[:count]
+    out[: min(count, len(found))] = found[:count]
     return out
 
 
-def _lzw_general(bits: np.ndarray, min_bits: int, count: int) -> bytes:
+def _lzw_samples(bits: np.ndarray, min_bits: int, count: int) -> bytes:
     clear, end = 1 << min_bits, (1 << min_bits) + 1
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out, size, at = [], 0, 0
@@ -206,6 +209,8 @@ def decode(data: bytes) -> Gif:
                 colours = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
                 at += 3 * n
             min_bits = data[at]
+            if w * h > MAX_PIXELS or not 1 <= min_bits <= 8:
+                raise ValueError("the image is too large or its codes are")
             body, at = sub_blocks(at + 1)
             samples = lzw_decode(body, min_bits, w * h).reshape(h, w)
             samples = _deinterlace(samples) if flags & 0x40 else samples
@@ -220,6 +225,8 @@ def compose(gif: Gif):
     """(delay, canvas) of each frame in turn: red, green, blue, alpha, after transparency and disposal."""
     height = max([gif.height] + [f.top + f.height for f in gif.frames])
     width = max([gif.width] + [f.left + f.width for f in gif.frames])
+    if height * width > MAX_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -234,31 +241,21 @@ def compose(gif: Gif):
             canvas = before
 
 
-def histogram(gif: Gif, bins: int = 16) -> list[tuple[int, list[int]]]:
-    """(delay, pixels by brightness) of each frame; transparent pixels count nowhere.
+def colours(canvas: np.ndarray) -> np.ndarray:
+    """Pixels of a canvas by colour, two bits of red, green and blue; transparent ones count nowhere."""
+    bins = (canvas[..., 0] >> 6 << 4) | (canvas[..., 1] >> 6 << 2) | (canvas[..., 2] >> 6)
+    return np.bincount(bins[canvas[..., 3] > 0], minlength=BINS)
 
-    A frame that covers the canvas opaquely is counted by palette index without drawing it.
-    """
-    out = []
-    plain = all(f.transparent is None and (f.left, f.top) == (0, 0) and f.width >= gif.width for f in gif.frames) and len(gif.frames) == 1
-    if plain:
-        for f in gif.frames:
-            light = (f.palette.astype(np.uint32) @ np.array([77, 150, 29], np.uint32)) >> 8
-            counts = np.bincount(f.samples.reshape(-1), minlength=256)[: len(light)]
-            out.append((f.delay, np.bincount(light * bins // 256, weights=counts, minlength=bins).astype(int).tolist()))
-        return out
-    for delay, canvas in compose(gif):
-        seen = canvas[canvas[..., 3] > 0]
-        light = (seen[:, :3].astype(np.uint32) @ np.array([77, 150, 29], np.uint32)) >> 8
-        out.append((delay, np.bincount(light * bins // 256, minlength=bins).tolist()))
-    return out
+
+def histogram(gif: Gif) -> list[tuple[int, np.ndarray]]:
+    """(delay, pixels by colour) of each frame as it is shown."""
+    return [(delay, colours(canvas)) for delay, canvas in compose(gif)]
 
 
-def feature(gif: Gif) -> str:
-    """Size, frames and the mean brightness histogram of the shown frames, as one line."""
-    shown = histogram(gif)
-    total = np.sum([h for _, h in shown], axis=0) if shown else np.zeros(16, int)
-    return f"{gif.width}x{gif.height};frames={len(shown)};ms={10 * sum(d for d, _ in shown)};light=" + ",".join(str(int(x)) for x in total)
+def feature(gif: Gif, shown: list[tuple[int, np.ndarray]]) -> str:
+    """Size, frames, their time and the colour histogram over all of them, as one line."""
+    total = np.sum([h for _, h in shown], axis=0) if shown else np.zeros(BINS, int)
+    return f"{gif.width}x{gif.height};frames={len(shown)};ms={10 * sum(d for d, _ in shown)};rgb=" + ",".join(map(str, total.tolist()))
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -275,6 +272,9 @@ FIELDS = [
     T.StructField("media_bytes", T.LongType()),
     T.StructField("media_sha256", T.StringType()),
     T.StructField("feature", T.StringType()),
+    T.StructField("n_frames", T.LongType()),
+    T.StructField("duration_ms", T.LongType()),
+    T.StructField("colours", T.ArrayType(T.LongType())),
 ]
 
 
@@ -289,7 +289,10 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", keep: list[str] | No
             media = encode_samples(payload)
             gif = decode(media)
             back = b"".join(f.samples.tobytes() for f in gif.frames)
-            values = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(gif)]
+            shown = histogram(gif)
+            total = np.sum([h for _, h in shown], axis=0)
+            values = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(gif, shown)]
+            values += [len(shown), 10 * sum(d for d, _ in shown), total]
             for column, value in zip(columns, values + [media] * with_media, strict=True):
                 column.append(value)
         return columns
@@ -297,7 +300,7 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", keep: list[str] | No
     return append_columns(docs, [text_col], fields, work, keep)
 
 
-FRAMES = T.ArrayType(T.StructType([T.StructField("at_ms", T.LongType()), T.StructField("delay_ms", T.LongType()), T.StructField("light", T.ArrayType(T.LongType())), T.StructField("rgba", T.BinaryType())]))
+FRAMES = T.ArrayType(T.StructType([T.StructField("at_ms", T.LongType()), T.StructField("delay_ms", T.LongType()), T.StructField("colours", T.ArrayType(T.LongType())), T.StructField("rgba", T.BinaryType())]))
 
 
 def decode_media(media: DataFrame, *, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -312,9 +315,9 @@ def decode_media(media: DataFrame, *, media_col: str = "media", keep: list[str]
         for data in files:
             try:
                 gif = decode(bytes(data))
-                light, at, frames = histogram(gif), 0, []
-                for (delay, canvas), (_, h) in zip(compose(gif), light, strict=True):
-                    frames.append({"at_ms": at, "delay_ms": 10 * delay, "light": h, "rgba": canvas.tobytes()})
+                at, frames = 0, []
+                for delay, canvas in compose(gif):
+                    frames.append({"at_ms": at, "delay_ms": 10 * delay, "colours": colours(canvas).tolist(), "rgba": canvas.tobytes()})
                     at += 10 * delay
                 row = [gif.width, gif.height, frames]
             except (ValueError, TypeError, IndexError, struct.error):

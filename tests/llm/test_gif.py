@@ -60,14 +60,21 @@ def test_round_trip(raw):
     payload = raw + b"\0" * (-len(raw) % 64)
     back = gif.decode(gif.encode_samples(payload))
     assert b"".join(f.samples.tobytes() for f in back.frames) == payload
-    bits = np.unpackbits(np.frombuffer(gif._literal_stream(np.frombuffer(payload, np.uint8)), np.uint8), bitorder="little")
-    assert gif._lzw_general(bits, 8, len(payload)) == payload
+    assert gif.lzw_encode(payload) == compress(payload, 8)
+
+
+@pytest.mark.parametrize("n", [3838, 3839, 3840, 20_000])
+def test_full_dictionaries_begin_anew(n):
+    rng = random.Random(n)
+    for samples in (bytes(rng.randrange(256) for _ in range(n)), bytes(rng.randrange(3) for _ in range(20 * n)), b"\7" * n):
+        data = gif.lzw_encode(samples)
+        assert data == compress(samples, 8) and gif.lzw_decode(data, 8, len(samples)).tobytes() == samples
 
 
 def test_long_payloads_take_several_frames():
-    payload = bytes(range(256)) * (64 * 70_000 // 256)
+    payload = bytes(range(256)) * 40
     back = gif.decode(gif.encode_samples(payload))
-    assert [f.height for f in back.frames] == [65_535, 4_465]
+    assert [f.height for f in back.frames] == [64, 64, 32] and {(f.delay, f.disposal) for f in back.frames} == {(10, 2)}
     assert b"".join(f.samples.tobytes() for f in back.frames) == payload
 
 
@@ -102,14 +109,32 @@ def test_disposal_transparency_palettes_and_interlacing():
     assert gif.decode(rows).frames[0].samples.reshape(-1).tolist() == want.tolist()
 
 
-def test_histogram_counts_what_is_shown():
+def plain_feature(payload):
+    """The feature of a stored payload by hand: frames of 4,096 samples, none of which lasts into the next."""
+    parts, counts = [payload[i : i + 4096] for i in range(0, len(payload), 4096)], [0] * 64
+    for b in payload:
+        r, g, blue = (b >> 5) * 255 // 7, (b >> 2 & 7) * 255 // 7, (b & 3) * 255 // 3
+        counts[(r // 64) * 16 + (g // 64) * 4 + blue // 64] += 1
+    return f"64x{len(parts[0]) // 64};frames={len(parts)};ms={100 * len(parts)};rgb=" + ",".join(map(str, counts))
+
+
+def test_histograms_count_what_is_shown():
     payload = bytes([0] * 64 + [255] * 64)
-    (delay, light), = gif.histogram(gif.decode(gif.encode_samples(payload, delay=3)))
-    assert delay == 3 and light[0] == 64 and light[-1] == 64 and sum(light) == 128
+    (delay, counts), = gif.histogram(gif.decode(gif.encode_samples(payload, delay=3)))
+    assert delay == 3 and counts[0] == 64 and counts[-1] == 64 and sum(counts) == 128
     drawn = [int(c[..., 0].sum()) for _, c in gif.compose(gif.decode(gif.encode_samples(payload)))]
     assert drawn == [255 * 64]
 
 
+def test_hostile_sizes_are_refused(spark):
+    table = bytes(12)
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65_535, 65_535, 0x80 | 1, 0, 0) + table + image(0, 0, 1, 1, [0]) + b";"
+    wide = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80 | 1, 0, 0) + table + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65_535, 65_535, 0) + b"\x02\0;"
+    odd = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80 | 1, 0, 0) + table + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\xff\0;"
+    rows = gif.decode_media(spark.createDataFrame([(bytearray(x),) for x in (huge, wide, odd)], "media binary")).collect()
+    assert all(r["frames"] is None for r in rows)
+
+
 def test_query(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = queries.op9_gif(spark, data).collect()
@@ -119,6 +144,7 @@ def test_query(spark, data):
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["feature"] == plain_feature(payload) and r["n_frames"] == -(-len(payload) // 4096) and sum(r["colours"]) == len(payload)
 
 
 def test_odd_rows_and_media_columns(spark, odd_documents, no_documents):
