@@ -6,6 +6,7 @@ steps Parquet is the better form; CSV is for the published edge.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from pathlib import Path
 
@@ -21,9 +22,9 @@ MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 
 
 def require_path(path: str | Path, hint: str = "") -> str:
-    """The path, or an error that names the step which makes it.  Remote paths are left to Spark."""
+    """The path, or an error that names the step which makes it.  Paths with a scheme are left to Spark."""
     text = str(path)
-    if "://" not in text and not Path(text).exists():
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", text) and not Path(text).exists():
         raise FileNotFoundError(f"missing input: {text}. {hint}".strip())
     return text
 
