@@ -229,14 +229,14 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path, ["cik10", "text"], compat_missing=True)
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) END AS parsed,
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed,
   CASE WHEN o_orderkey % 5 < 2 THEN year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) ELSE 0 END AS number, lpad(CAST(o_orderkey % 1300 AS VARCHAR), 4, '0') AS year_end FROM orders""")
 def odd_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates that parse or not, as dates and as numbers; ends of fiscal years with zeros in front."""
     k, day = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyy-MM-dd")
     text = F.when(k == 0, day).when(k == 1, F.concat(F.lit(" "), day, F.lit("\t"))).when(k == 2, F.date_format("o_orderdate", "yyyyMMdd")).when(k == 3, F.concat(F.substring(day, 1, 4), F.lit("-02-30")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
-    return rows.select("o_orderkey", C.iso_date("t").alias("parsed"), C.date_number("t").alias("number"), C.zero_pad((F.col("o_orderkey") % 1300).cast("string"), 4).alias("year_end"))
+    return rows.select("o_orderkey", C.iso_date("t").cast("string").alias("parsed"), C.date_number("t").alias("number"), C.zero_pad((F.col("o_orderkey") % 1300).cast("string"), 4).alias("year_end"))
 
 
 @query(f"WITH {CLASSIFIED_SQL} SELECT row_number() OVER (ORDER BY exclude_reason, research_sector, company_name, cik10) AS place, cik10, exclude_reason FROM classified WHERE NOT included")
