@@ -235,7 +235,7 @@ def keep_one(
     without an id, which nothing can name, stay.
     """
     found = checkpoint(_classed(docs, id_col, text_col, radius, width, large_bucket)).where("doc_id is not null")
-    key, digest = fresh(docs.columns, "id", DIGEST)
+    key, digest, own = fresh(docs.columns, "id", DIGEST, "own_sha256")
     ids = checkpoint(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"), F.min("component_id").alias("first")))
     again = ids.where("rows > 1").select(key)
     gone = small(ids.where(f"rows > 1 or {key} <> first").select(key), broadcast_ids)
@@ -246,8 +246,8 @@ def keep_one(
     # the texts of a repeated id are told apart by their digests
     first = found.groupBy("class").agg(F.min(F.struct("doc_id", DIGEST)).alias("x")).select(F.col("x.doc_id").alias(key), F.col(f"x.{DIGEST}").alias(digest))
     winners = checkpoint(first.join(again, key))
-    texts = docs.join(small(again, broadcast_ids), same_id, "left_semi").withColumn(digest, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
-    rows = texts.withColumnRenamed(digest, f"{digest}_").join(winners, same_id & (F.col(f"{digest}_") == F.col(digest)), "left_semi")
+    texts = docs.join(small(again, broadcast_ids), same_id, "left_semi").withColumn(own, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+    rows = texts.join(winners, same_id & (F.col(own) == F.col(digest)), "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = rows.groupBy(F.col(f"`{id_col}`").cast("long"), f"{digest}_").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("x"))
+    one = rows.groupBy(F.col(f"`{id_col}`").cast("long"), own).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("x"))
     return kept.unionByName(one.select("x.*"))

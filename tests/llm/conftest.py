@@ -14,6 +14,9 @@ ROWS = [
     (None, "a row without an id", "en"),
 ]
 CLASH = ["ids", "start", "length", "bucket", "f", "component_id", "spans", "words", "stratum", "kept", "n_words", "canonical", "license", "host", "path", "frames", "h", "pos", "first", "source", "offset", "sequence_id"]
+# names that the operators give their own columns
+CLASH += ["in0", "in1", "base", "redacted", "id", "rows", "text_sha256", "own_sha256", "class", "x", "doc", "cuts", "kept_text", "limit_stratum", "limit_symbols", "q_n_words", "q_stratum", "q_kept", "base_failed", "n_lines", "chunk", "n", "plain", "found", "h", "salt", "part", "docs", "places", "words", "ranges", "names", "media", "n_frames", "colours", "known_sha256", "url", "html", "block"]
+CLASH = list(dict.fromkeys(CLASH))
 
 
 @pytest.fixture(scope="session")

@@ -104,3 +104,24 @@ def test_odd_rows_go_through(spark, odd_documents, no_documents, data):
             if name != "packing":
                 assert docs.schema == documents.schema
         docs.collect()
+
+
+def test_repeated_ids_and_long_texts_lose_nothing(spark, data, tmp_path):
+    """Texts of one id are told apart by every stage, and long white space gets to the end."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, words("p", 90)), (2, words("p", 90)), (2, words("z", 90)), (5, words("q", 90)), (5, words("y", 90)), (7, words("v", 60) + " " * 1_200_000 + words("u", 60)), (8, words("t", 150) + " " + words("p", 90))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    runs = []
+    for n in (1, 4):
+        docs, seen = frame.repartition(n), []
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, data).write.parquet(str(tmp_path / f"{name}{n}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{n}"))
+            seen.append(sorted(map(tuple, docs.select("doc_id", "text").collect())) if name != "packing" else sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32").collect())))
+        runs.append(seen)
+    assert runs[0] == runs[1]
+    kept = {(1, rows[0][1]), (2, rows[2][1]), (5, rows[3][1]), (5, rows[4][1]), (7, rows[5][1]), (8, rows[6][1])}
+    assert set(runs[0][1]) == kept
+    assert set(runs[0][2]) == (kept - {(8, rows[6][1])}) | {(8, words("t", 150) + " ")}
+    check_pieces(docs.collect(), [])
+    assert {r[0] for r in runs[0][4]} == {1, 2, 5, 7, 8}
