@@ -125,8 +125,20 @@ def distinct_chunks(docs: DataFrame, text_col: str = "text", max_chunks: int = M
 
 
 def chunk_table(docs: DataFrame, text_col: str, path: str, table_chunks: int = TABLE_CHUNKS) -> DataFrame:
-    """(chunk, size, ids, decoded) of the chunks seen most often, twice at least; each is segmented once."""
-    often = checkpoint(distinct_chunks(docs, text_col).where("n > 1").orderBy(F.desc("n"), "chunk").limit(table_chunks))
+    """(chunk, size, ids, decoded) of the chunks seen most often, twice at least; each is segmented once.
+
+    How often a chunk must be seen is read from a histogram of bounded size, so that the table has
+    ``table_chunks`` rows at most.
+    """
+    counts = checkpoint(distinct_chunks(docs, text_col).where("n > 1"))
+    at = F.when(F.col("n") < 1000, F.col("n")).otherwise(1000 + F.floor(16 * F.log2(F.col("n") / 1000)))
+    total, least = 0, None
+    for row in sorted(counts.groupBy(at.alias("at")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > table_chunks:
+            break
+        least = row["at"]
+    often = counts.where(at >= least if least is not None else F.lit(False))
 
     def work(chunks: list) -> Iterator[dict]:
         found = [model_of(path).segment(c) for c in chunks]
