@@ -2,7 +2,7 @@
 
 ``decode`` reads any GIF87a or GIF89a: global and local palettes, interlacing, transparency,
 disposal (keep, background, previous), frame delays.  ``encode_samples`` stores bytes losslessly as
-8-bit palette indexes: timed frames of 64 by 64 samples, each cleared before the next, a palette of
+8-bit palette indexes: timed frames of 64 by 256 samples at most, each cleared before the next, a palette of
 256 colours (three bits of red and green, two of blue), and LZW code streams with a full dictionary.
 
 Cases: a null text is the empty text (64 zero bytes); equal texts give equal values; repeated rows
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .arrow import append_columns
 
 WIDTH = 64
-HEIGHT = 64
+HEIGHT = 256
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 _I = np.arange(256)
 COLOURS = np.column_stack([(_I >> 5) * 255 // 7, (_I >> 2 & 7) * 255 // 7, (_I & 3) * 255 // 3]).astype(np.uint8)
@@ -72,25 +72,26 @@ def _blocks(data: bytes) -> bytes:
 
 def lzw_encode(samples: bytes) -> bytes:
     """A code stream of 8-bit samples: the longest known run each time, the dictionary begun anew when it is full."""
-    blocks: list[list[int]] = [[]]
-    table: dict[int, int] = {}
-    size, block = END + 1, blocks[0]
-    prefix = samples[0]
+    # a node has the longer runs by their next sample, and its own code at -1
+    blocks: list[list[int]] = []
+    roots = [{-1: i} for i in range(256)]
+    block: list[int] = []
+    node, size, put = roots[samples[0]], END + 1, block.append
     for c in samples[1:]:
-        key = prefix << 8 | c
-        code = table.get(key)
-        if code is not None:
-            prefix = code
+        longer = node.get(c)
+        if longer is not None:
+            node = longer
             continue
-        block.append(prefix)
-        table[key] = size
+        put(node[-1])
+        node[c] = {-1: size}
         size += 1
         if size == FULL:
-            block.append(CLEAR)
-            table, size, block = {}, END + 1, []
+            put(CLEAR)
             blocks.append(block)
-        prefix = c
-    block += [prefix, END]
+            block = []
+            roots, size, put = [{-1: i} for i in range(256)], END + 1, block.append
+        node = roots[c]
+    blocks.append([*block, node[-1], END])
     codes = np.array([CLEAR, *(c for b in blocks for c in b)], "<u2")
     width = np.concatenate([[9], *[CODE_BITS[: len(b)] for b in blocks]])
     bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little", count=12)
@@ -131,36 +132,40 @@ def lzw_decode(data: bytes, min_bits: int, count: int) -> np.ndarray:
 def _lzw_samples(bits: np.ndarray, min_bits: int, count: int) -> bytes:
     clear, end = 1 << min_bits, (1 << min_bits) + 1
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    out, size, at = [], 0, 0
+    out: list[bytes] = []
+    at, done, enough = 0, 0, 0
     table, width, last = list(roots), min_bits + 1, b""
-    while size < count:
+    while enough < count:
         # the width stays for as many codes as the table needs to reach its next power of two
-        room = (1 << width) - len(table) if len(table) < 4096 else 1 << 14
+        room = (1 << width) - len(table) if len(table) < FULL else 1 << 14
         codes = _codes(bits, at, width, max(1, room + (not last)))
         if not len(codes):
             break
-        for code in codes.tolist():
-            at += width
-            if code == clear:
-                table, width, last = list(roots), min_bits + 1, b""
-                break
-            if code == end:
-                return b"".join(out)
-            if code < len(table):
+        signs = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(signs[0]) if len(signs) else len(codes)
+        for code in codes[:stop].tolist():
+            size = len(table)
+            if code < size:
                 entry = table[code]
-                if last and len(table) < 4096:
+                if last and size < FULL:
                     table.append(last + entry[:1])
-            elif last and code == len(table) and len(table) < 4096:
+            elif last and code == size < FULL:
                 entry = last + last[:1]
                 table.append(entry)
             else:
                 return b"".join(out)  # a broken stream ends here
             out.append(entry)
-            size += len(entry)
             last = entry
-            if len(table) == 1 << width and width < 12:
-                width += 1
+        at += width * stop
+        if stop < len(codes):
+            if codes[stop] == end:
                 break
+            at += width
+            table, width, last = list(roots), min_bits + 1, b""
+        elif len(table) == 1 << width and width < 12:
+            width += 1
+        enough += sum(map(len, out[done:]))
+        done = len(out)
     return b"".join(out)
 
 
@@ -231,9 +236,14 @@ def compose(gif: Gif):
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
         part = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
-        shown = np.ones(f.samples.shape, bool) if f.transparent is None else f.samples != f.transparent
-        colours = np.vstack([f.palette, np.zeros((256 - len(f.palette), 3), np.uint8)])
-        part[shown] = np.column_stack([colours[f.samples[shown]], np.full(int(shown.sum()), 255, np.uint8)])
+        rgba = np.zeros((256, 4), np.uint8)
+        rgba[: len(f.palette), :3] = f.palette
+        rgba[:, 3] = 255
+        if f.transparent is None:
+            part[:] = rgba[f.samples]
+        else:
+            shown = f.samples != f.transparent
+            part[shown] = rgba[f.samples[shown]]
         yield f.delay, canvas.copy()
         if f.disposal == 2:
             part[:] = 0
@@ -244,7 +254,8 @@ def compose(gif: Gif):
 def colours(canvas: np.ndarray) -> np.ndarray:
     """Pixels of a canvas by colour, two bits of red, green and blue; transparent ones count nowhere."""
     bins = (canvas[..., 0] >> 6 << 4) | (canvas[..., 1] >> 6 << 2) | (canvas[..., 2] >> 6)
-    return np.bincount(bins[canvas[..., 3] > 0], minlength=BINS)
+    seen = canvas[..., 3] > 0
+    return np.bincount(bins.reshape(-1) if seen.all() else bins[seen], minlength=BINS)
 
 
 def histogram(gif: Gif) -> list[tuple[int, np.ndarray]]:

@@ -72,9 +72,9 @@ def test_full_dictionaries_begin_anew(n):
 
 
 def test_long_payloads_take_several_frames():
-    payload = bytes(range(256)) * 40
+    payload = bytes(range(256)) * 160
     back = gif.decode(gif.encode_samples(payload))
-    assert [f.height for f in back.frames] == [64, 64, 32] and {(f.delay, f.disposal) for f in back.frames} == {(10, 2)}
+    assert [f.height for f in back.frames] == [256, 256, 128] and {(f.delay, f.disposal) for f in back.frames} == {(10, 2)}
     assert b"".join(f.samples.tobytes() for f in back.frames) == payload
 
 
@@ -110,8 +110,8 @@ def test_disposal_transparency_palettes_and_interlacing():
 
 
 def plain_feature(payload):
-    """The feature of a stored payload by hand: frames of 4,096 samples, none of which lasts into the next."""
-    parts, counts = [payload[i : i + 4096] for i in range(0, len(payload), 4096)], [0] * 64
+    """The feature of a stored payload by hand: frames of 16,384 samples, none of which lasts into the next."""
+    parts, counts = [payload[i : i + 16_384] for i in range(0, len(payload), 16_384)], [0] * 64
     for b in payload:
         r, g, blue = (b >> 5) * 255 // 7, (b >> 2 & 7) * 255 // 7, (b & 3) * 255 // 3
         counts[(r // 64) * 16 + (g // 64) * 4 + blue // 64] += 1
@@ -144,7 +144,7 @@ def test_query(spark, data):
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
-        assert r["feature"] == plain_feature(payload) and r["n_frames"] == -(-len(payload) // 4096) and sum(r["colours"]) == len(payload)
+        assert r["feature"] == plain_feature(payload) and r["n_frames"] == -(-len(payload) // 16_384) and sum(r["colours"]) == len(payload)
 
 
 def test_odd_rows_and_media_columns(spark, odd_documents, no_documents):
