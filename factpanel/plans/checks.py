@@ -213,10 +213,10 @@ def all_checks_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NUMBERED_SQL}, s AS (SELECT severity, check_name, count(*) AS warning_count, count(DISTINCT nullif(cik10, '')) AS company_count,
-  nullif(count(DISTINCT CASE WHEN cik10 <> '' AND company_year <> '' THEN (cik10, company_year) END), 0) AS company_year_count, min(warning_id) AS first_warning_id FROM n GROUP BY 1, 2)
+  count(DISTINCT CASE WHEN cik10 <> '' AND company_year <> '' THEN (cik10, company_year) END) AS company_year_count, min(warning_id) AS first_warning_id FROM n GROUP BY 1, 2)
 SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, warning_count DESC, check_name) AS place FROM s""")
 def all_checks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed(quality.summary(odd_warnings(spark, sf_dir)))
+    return placed(quality.summary(odd_warnings(spark, sf_dir))).na.fill(0, ["company_year_count"])
 
 
 def placed(df: DataFrame) -> DataFrame:
