@@ -72,28 +72,32 @@ def _blocks(data: bytes) -> bytes:
 
 def lzw_encode(samples: bytes) -> bytes:
     """A code stream of 8-bit samples: the longest known run each time, the dictionary begun anew when it is full."""
-    # a node has the longer runs by their next sample, and its own code at -1
-    blocks: list[list[int]] = []
-    roots = [{-1: i} for i in range(256)]
-    block: list[int] = []
-    node, size, put = roots[samples[0]], END + 1, block.append
+    # a run with one more sample is its code times 256 and that sample; ``longer`` has that run's own code times 256
+    longer: dict[int, int] = {}
+    rows: list[list[int]] = []
+    node, size, row = samples[0] << 8, END + 1 << 8, []
+    put, full = row.append, FULL << 8
     for c in samples[1:]:
-        longer = node.get(c)
-        if longer is not None:
-            node = longer
+        key = node + c
+        if key in longer:
+            node = longer[key]
             continue
-        put(node[-1])
-        node[c] = {-1: size}
-        size += 1
-        if size == FULL:
-            put(CLEAR)
-            blocks.append(block)
-            block = []
-            roots, size, put = [{-1: i} for i in range(256)], END + 1, block.append
-        node = roots[c]
-    blocks.append([*block, node[-1], END])
-    codes = np.array([CLEAR, *(c for b in blocks for c in b)], "<u2")
-    width = np.concatenate([[9], *[CODE_BITS[: len(b)] for b in blocks]])
+        put(key)
+        longer[key] = size
+        size += 256
+        node = c << 8
+        if size == full:
+            rows.append(row)
+            longer, row, size = {}, [], END + 1 << 8
+            put = row.append
+    rows.append(row)
+    parts, width = [[CLEAR]], [[9]]
+    for i, row in enumerate(rows):
+        last = i == len(rows) - 1
+        codes = [*(np.array(row, np.int64) >> 8), *([node >> 8, END] if last else [CLEAR])]
+        parts.append(codes)
+        width.append(CODE_BITS[: len(codes)])
+    codes, width = np.concatenate(parts).astype("<u2"), np.concatenate(width)
     bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little", count=12)
     return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
@@ -131,42 +135,58 @@ def lzw_decode(data: bytes, min_bits: int, count: int) -> np.ndarray:
 
 def _lzw_samples(bits: np.ndarray, min_bits: int, count: int) -> bytes:
     clear, end = 1 << min_bits, (1 << min_bits) + 1
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    out: list[bytes] = []
-    at, done, enough = 0, 0, 0
-    table, width, last = list(roots), min_bits + 1, b""
-    while enough < count:
-        # the width stays for as many codes as the table needs to reach its next power of two
-        room = (1 << width) - len(table) if len(table) < FULL else 1 << 14
-        codes = _codes(bits, at, width, max(1, room + (not last)))
-        if not len(codes):
-            break
-        signs = np.flatnonzero((codes == clear) | (codes == end))
-        stop = int(signs[0]) if len(signs) else len(codes)
-        for code in codes[:stop].tolist():
-            size = len(table)
-            if code < size:
-                entry = table[code]
-                if last and size < FULL:
-                    table.append(last + entry[:1])
-            elif last and code == size < FULL:
-                entry = last + last[:1]
-                table.append(entry)
-            else:
-                return b"".join(out)  # a broken stream ends here
-            out.append(entry)
-            last = entry
-        at += width * stop
-        if stop < len(codes):
-            if codes[stop] == end:
+    out, at, done, ended = [], 0, 0, False
+    while done < count and not ended:  # codes up to a clear code
+        parts, n, width, cleared = [], 0, min_bits + 1, False
+        while not cleared and not ended:
+            # the table has end + n entries when the n-th code has been read; it is widened as it reaches a power of two
+            room = (1 << width) - end - n if width < 12 else 1 << 14
+            codes = _codes(bits, at, width, max(1, room))
+            if not len(codes):
+                ended = True
                 break
-            at += width
-            table, width, last = list(roots), min_bits + 1, b""
-        elif len(table) == 1 << width and width < 12:
-            width += 1
-        enough += sum(map(len, out[done:]))
-        done = len(out)
-    return b"".join(out)
+            signs = np.flatnonzero((codes == clear) | (codes == end))
+            stop = int(signs[0]) if len(signs) else len(codes)
+            parts.append(codes[:stop])
+            n += stop
+            at += width * (stop + (stop < len(codes)))
+            if stop < len(codes):
+                cleared, ended = codes[stop] == clear, codes[stop] == end
+            elif width < 12:
+                width += 1
+        codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        found, whole = _expanded(codes, clear)
+        out.append(found)
+        done += len(found)
+        ended = ended or not whole
+    return np.concatenate(out).tobytes() if out else b""
+
+
+def _expanded(codes: np.ndarray, clear: int) -> tuple[np.ndarray, bool]:
+    """The samples of the codes between two clear codes, and whether all of them are known.
+
+    The table's entry number e is what the e-th code stands for and the sample behind it, so a code's
+    samples are those that begin where the e-th code's do.  Lengths and samples are found by following
+    such references in doubling steps.
+    """
+    index = np.arange(len(codes))
+    root = codes < clear
+    e = np.where(root, index, codes - clear - 2)
+    bad = np.flatnonzero(~root & ((e >= index) | (e < 0)))
+    if len(bad):
+        codes, index, root, e = (x[: bad[0]] for x in (codes, index, root, e))
+    length, to = (~root).astype(np.int64), e
+    while length[to].any():
+        length, to = length + length[to], to[to]
+    length += 1
+    start = np.cumsum(length) - length
+    n = int(length.sum())
+    source = np.arange(n) + np.repeat(start[e] - start, length)
+    while len(source) and (source != (further := source[source])).any():
+        source = further
+    samples = np.zeros(n, np.uint8)
+    samples[start[root]] = codes[root]
+    return samples[source], not len(bad)
 
 
 def _deinterlace(samples: np.ndarray) -> np.ndarray:
