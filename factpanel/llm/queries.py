@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, gif, licenses, packing, pieces, quality, secrets, simhash, substring, warc
+from . import embeddings, extraction, fim, gif, licenses, packing, pieces, quality, runs, secrets, simhash, substring, warc
 from .arrow import ready
 
 
@@ -55,7 +55,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_secrets, op3_licenses, op4_quality, op5_html, op6_substring, op7_sentencepiece, op8_simhash, op9_gif, op10_warc)
+    f.__name__: f
+    for f in (op1_packing, op2_secrets, op3_licenses, op4_quality, op5_html, op6_substring, op7_sentencepiece, op8_simhash, op9_gif, op10_warc, op11_periodic_runs, op12_embeddings, op13_fim)
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op13_fim": fim.oracle_sql()}
