@@ -13,8 +13,12 @@ long gaps and aligned word by word between and beyond their seeds; a part counts
 ``min_words`` words and a similarity (twice the aligned equal words over the words of both sides) of
 ``similarity`` or more.
 
+Every chain is aligned, but for those that could only give what lies within a passage of the document
+found before; passages within others of their document are left out at the end, so the result doesn't
+hang on how Spark deals out the chains.
+
 Equal texts are one unit; only its first row is searched, and the others have the whole text as their
-passage.  What one task gathers is bounded: the counts of a part of the hashes, a seed's places (a seed
+passage.  What one task gathers is bounded: the counts of a part of the hashes (about four million seeds), a seed's places (a seed
 with more than ``hot`` of them is dealt out to several keys, whose first documents are then linked), or
 the matches of one document.
 
@@ -22,7 +26,8 @@ Cases: null ids have no result; null and short texts have no passages; rows with
 one; an id with several texts has each text searched, and the passages of each name its digest; ties
 between occurrences go to the least id and its first position; repeats within one document are left
 alone; an empty table gives no rows; extra columns are ignored by ``passages`` and kept by
-``without_passages``.
+``without_passages``; a very long text is read, chained and aligned whole, in memory that grows with
+its words.
 """
 
 from __future__ import annotations
@@ -46,8 +51,9 @@ WIDTH = 5
 WINDOW = 4  #: at most 16
 BITMAP_HASHES = 1 << 28  #: beyond so many repeated seeds all seeds are shuffled again, not those that a bitmap lets through
 CHUNK = 1 << 20  #: seeds that a task counts before it passes them on
+PART_SEEDS = 1 << 22  #: seeds of a part of the hashes that a task adds up at once; beyond it they are grouped one by one
 HOT = 50_000  #: places of a seed that one key takes
-HOT_SEEDS = 100_000  #: so many of the hottest seeds are dealt out to several keys
+HOT_SEEDS = 100_000  #: so many of the hottest seeds have a number of keys of their own; other hot ones share one
 GRID = 8  #: ranges of words begin and end at multiples of this, so that chains share them
 LENGTHS = (16, 36, 40)  #: words from a seed on whose first occurrences are partners too
 MIN_WORDS = 40
@@ -158,11 +164,13 @@ COUNTS = T.StructType([T.StructField("part", T.LongType())] + [T.StructField(n,
 REPEATED = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "docs", "places")])
 
 
-def repeated_seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+def repeated_seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, chunk: int = CHUNK, n_words: int = 0) -> DataFrame:
     """(h, docs, places): seeds of more than one of the documents (doc, text), with how many have it and how often.
 
     A task adds up what it reads, ``chunk`` seeds at a time, so a seed of very many documents is sent
-    once a chunk; a row holds the seeds of one part of the hashes.
+    once a chunk; a row holds the seeds of one part of the hashes, and a part's rows are added up
+    together.  ``n_words`` of all documents tell how many seeds a part can have; where that may be too
+    many for a task's memory, Spark groups the seeds by hash, which can go to disk.
     """
     parts = np.uint64(4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -215,7 +223,11 @@ def repeated_seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, ch
         if held:
             yield flush()
 
-    return docs.mapInArrow(count, COUNTS).repartition("part").sortWithinPartitions("part").mapInArrow(add, REPEATED)
+    counts = docs.mapInArrow(count, COUNTS)
+    if n_words > PART_SEEDS * int(parts):
+        each = counts.select(F.explode(F.arrays_zip("h", "docs", "places")).alias("s")).groupBy(F.col("s.h").alias("h"))
+        return each.agg(*[F.sum(F.col(f"s.{n}").cast("long")).alias(n) for n in ("docs", "places")]).where("docs > 1")
+    return counts.repartition("part").sortWithinPartitions("part").mapInArrow(add, REPEATED)
 
 
 def bitmap(hashes: DataFrame, limit: int = BITMAP_HASHES) -> Broadcast | None:
@@ -238,13 +250,19 @@ SEEDS = T.StructType(
 )
 
 
-def seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, only: Broadcast | None = None, hot: dict[int, int] | None = None) -> DataFrame:
+def seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, only: Broadcast | None = None, hot: dict[int, int] | None = None, warm: tuple[Broadcast, int] | None = None) -> DataFrame:
     """(h, salt, doc, pos, runs) of documents (doc, text), without most of those that aren't in the bitmap ``only``.
 
     ``run16`` and so on are hashes of so many words from the seed on, null where the text ends before.
-    ``salt`` is the document's share of a seed in ``hot``, which has the number of its keys; else zero.
+    ``salt`` is the document's share of a seed in ``hot``, which has the number of its keys, or in the
+    bitmap of ``warm``, whose seeds have one number of keys; else zero.
     """
     dealt = sorted((hot or {}).items())
+
+    def within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+        place = h & np.uint64(8 * len(bits) - 1)
+        return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
     hot_hashes, hot_keys = np.array([h for h, _ in dealt], np.int64), np.array([n for _, n in dealt], np.int64)
 
     def work(ids: list, texts: list) -> Iterator[dict]:
@@ -255,12 +273,14 @@ def seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, only: Broad
                 h = shingle_hashes(words, width)
                 at = winnow(h, window)
                 if only is not None:
-                    place = h[at] & np.uint64(8 * len(only.value) - 1)
-                    at = at[(only.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-                found, salt = h[at].view(np.int64), np.zeros(len(at), np.int32)
+                    at = at[within(only.value, h[at])]
+                found, keys = h[at].view(np.int64), np.zeros(len(at), np.int64)
+                if warm is not None:
+                    keys[within(warm[0].value, h[at])] = warm[1]
                 if len(hot_hashes):
                     k = np.minimum(np.searchsorted(hot_hashes, found), len(hot_hashes) - 1)
-                    salt = np.where(hot_hashes[k] == found, 1 + (doc * 0x9E3779B1 >> 7 & 0x7FFFFFFF) % hot_keys[k], 0).astype(np.int32)
+                    keys = np.where(hot_hashes[k] == found, hot_keys[k], keys)
+                salt = np.where(keys > 0, 1 + (doc * 0x9E3779B1 >> 7 & 0x7FFFFFFF) % np.maximum(keys, 1), 0).astype(np.int32)
                 runs = [run_hashes(words, at, n) for n in LENGTHS]
                 for part, values in zip(parts, (found, salt, np.full(len(at), doc, np.int64), at.astype(np.int32), *runs), strict=True):
                     part.append(values)
@@ -324,12 +344,19 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def matches(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def matches(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, hot: int = HOT, n_words: int = 0) -> DataFrame:
     """(doc, pos, source, at): seeds of a document that an earlier one has too, with their place there."""
-    repeated = checkpoint(repeated_seeds(docs, width, window))
-    dealt = repeated.where(F.col("places") > hot).orderBy(F.desc("places"), "h").limit(HOT_SEEDS)
-    keys = {r["h"]: 1 + r["places"] // hot for r in dealt.collect()}
-    found = seeds(docs, width, window, bitmap(repeated), keys)
+    repeated = checkpoint(repeated_seeds(docs, width, window, n_words=n_words))
+    dealt = repeated.where(F.col("places") > hot)
+    listed = dealt.orderBy(F.desc("places"), "h").limit(HOT_SEEDS).collect()
+    keys, warm = {r["h"]: 1 + r["places"] // hot for r in listed}, None
+    if len(listed) == HOT_SEEDS:  # those that aren't listed are in a bitmap; they have no more places than the last one that is
+        most = listed[-1]["places"]
+        bits = bitmap(dealt.where((F.col("places") < most) | (F.col("places") == most) & (F.col("h") > listed[-1]["h"])))
+        if bits is None:
+            raise ValueError("too many hot seeds: raise hot")
+        warm = (bits, 1 + most // hot)
+    found = seeds(docs, width, window, bitmap(repeated), keys, warm)
     if keys:
         found = checkpoint(found)
     out = found.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_link, MATCHES)
@@ -444,29 +471,48 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, width: int
     return to
 
 
+class Widest:
+    """The first of the largest values of a range, by a table over powers of two."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.table = values, [np.arange(len(values))]
+        while (1 << len(self.table)) <= len(values):
+            last, half = self.table[-1], 1 << len(self.table) - 1
+            left, right = last[:-half], last[half:]
+            self.table.append(np.where(values[right] > values[left], right, left))
+
+    def __call__(self, start: int, end: int) -> int:
+        k = (end - start).bit_length() - 1
+        left, right = int(self.table[k][start]), int(self.table[k][end - (1 << k)])
+        return right if self.values[right] > self.values[left] else left
+
+
 def similar_parts(to: np.ndarray, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
     """(start, end, source start, source end, equal words) of an alignment's similar parts.
 
-    A part that isn't similar enough is cut at its longest stretch without equal words.
+    A part that isn't similar enough is cut at its longest stretch without equal words, the first of equally long ones.
     """
     out = []
     equal = np.flatnonzero(to >= 0)
+    theirs, widest = to[equal], None
     todo = [(0, len(equal))]
     while todo:
         s, e = todo.pop()
         if e - s < 1:
             continue
-        at = equal[s:e]
-        first, last = int(at[0]), int(at[-1]) + 1
-        low, high = int(to[at[0]]), int(to[at[-1]]) + 1
+        first, last = int(equal[s]), int(equal[e - 1]) + 1
+        low, high = int(theirs[s]), int(theirs[e - 1]) + 1
         if max(last - first, high - low) < min_words:
             continue
         if 2 * (e - s) >= similarity * (last - first + high - low):
             if last - first >= min_words:
                 out.append((first, last, low, high, e - s))
             continue
-        gaps = np.diff(at) + np.abs(np.diff(to[at]))
-        middle = s + int(gaps.argmax()) + 1
+        if e - s < 2:
+            continue
+        if widest is None:
+            widest = Widest(np.diff(equal) + np.abs(np.diff(theirs)))
+        middle = widest(s, e - 1) + 1
         todo += [(s, middle), (middle, e)]
     return sorted(out)
 
@@ -532,11 +578,40 @@ def _words(docs: DataFrame) -> DataFrame:
     return append_columns(docs, ["text"], [field], lambda texts: [[(word_hashes(t) >> np.uint64(48)).astype(np.uint16).view(np.int16) for t in texts]], ["doc"])
 
 
+def reach(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[int, int]:
+    """The words of ``a`` that an alignment of a chain can touch: from the first match to the last, and what ``align`` adds at either end."""
+    i, j = int(x[0]), int(y[0])
+    n = min(i, j)
+    before = _extend((a[i - n : i] == b[j - n : j])[::-1])
+    k, m = int(x[-1]) + width, int(y[-1]) + width
+    n = max(0, min(len(a) - k, len(b) - m))
+    return i - before, k + _extend(a[k : k + n] == b[m : m + n])
+
+
+class Passages:
+    """Passages of one document, of which none lies within another; of equal ranges the one with the least source stays."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def holds(self, start: int, end: int, source: int) -> bool:
+        """Whether whatever lies from ``start`` to ``end`` and comes from ``source`` is within a passage that would stay."""
+        return any(r[1] <= start and end <= r[2] and ((r[1], r[2]) != (start, end) or r[3] < source) for r in self.rows)
+
+    def add(self, row: tuple) -> None:
+        start, end = row[1:3]
+        if any(r[1] <= start and end <= r[2] and ((r[1], r[2]) != (start, end) or r[3:] <= row[3:]) for r in self.rows):
+            return
+        self.rows = [r for r in self.rows if not (start <= r[1] and r[2] <= end)]
+        self.rows.append(row)
+
+
 def _aligned(found: DataFrame, docs: DataFrame, width: int, min_words: int, similarity: float, broadcast_ids: int) -> DataFrame:
-    """The passages of chains.
+    """The passages of chains, without some of those that lie within others.
 
-    A document's chains are aligned from the longest on; one whose matches all lie in passages that
-    are found already is left out.
+    Every chain is aligned, unless all that its alignment could touch lies within a passage of the
+    document that is found already.  Which chains of a document come together hangs on the plan; what
+    is left when ``widest`` has dropped all that lies within others doesn't.
     """
     ids = checkpoint(found.select("doc").unionByName(found.select(F.col("source").alias("doc"))).distinct())
     words = _words(docs.join(small(ids, broadcast_ids), "doc", "left_semi"))  # the texts are cut down to those with chains, where their ids are few
@@ -548,25 +623,24 @@ def _aligned(found: DataFrame, docs: DataFrame, width: int, min_words: int, simi
     margin = max(MARGIN, min_words)
 
     def of_document(rows: list[tuple]) -> list[tuple]:
-        out, a = [], rows[0][6]
-        covered = np.zeros(len(a) + 1, bool)
-        for doc, source, ya, x, y, b, _ in sorted(rows, key=lambda r: (r[3][0] - r[3][-1], -len(r[3]), r[1], r[3][0], r[4][0])):
-            if covered[x[0] : x[-1] + width].all():
-                continue
+        kept, a = Passages(), rows[0][6]
+        for doc, source, ya, x, y, b, _ in sorted(rows, key=lambda r: (r[3][0] - r[3][-1], r[1], r[3][0], r[4][0])):
             xa = max(0, int(x[0]) - margin)
             mine, x, y = a[xa : int(x[-1]) + width + margin], x - xa, y - ya
             if len(x) == 1 and not _may_hold(mine, b, int(x[0]), int(y[0]), width, min_words, similarity):
                 continue
+            start, end = reach(mine, b, x, y, width)
+            if end - start < min_words or kept.holds(xa + start, xa + end, source):
+                continue
             for s, e, low, high, equal in similar_parts(align(mine, b, x, y, width), similarity, min_words):
-                covered[xa + s : xa + e] = True
-                out.append((doc, xa + s, xa + e, source, ya + low, ya + high, equal, 2 * equal / (e - s + high - low)))
-        return out
+                kept.add((doc, xa + s, xa + e, source, ya + low, ya + high, equal, 2 * equal / (e - s + high - low)))
+        return kept.rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found_in(rows: list[tuple]) -> pa.RecordBatch:
             return record_batch(PASSAGES, dict(zip(PASSAGES.names, zip(*rows, strict=True) if rows else [[]] * len(PASSAGES), strict=True)))
 
-        held: list[tuple] = []  # the chains of one document, which come one behind the other
+        held: list[tuple] = []  # the chains of one document that come one behind the other
         for batch in batches:
             out, last = [], None
             words = batch.column(6)
@@ -584,6 +658,28 @@ def _aligned(found: DataFrame, docs: DataFrame, width: int, min_words: int, simi
     return both.mapInArrow(work, PASSAGES)
 
 
+def widest(found: DataFrame) -> DataFrame:
+    """Passages without those that lie within another one of the document; of equal ranges the one with the least source stays.
+
+    In order of their starts, longer ones first, a passage lies within another if it ends before the furthest end so far.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, furthest = None, -1
+        for batch in batches:
+            kept = []
+            for i, (d, end) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if d != doc:
+                    doc, furthest = d, -1
+                if end > furthest:
+                    furthest = end
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    order = ["doc", "start_word", F.desc("end_word"), "source", "source_start_word", "source_end_word", "equal_words"]
+    return found.repartition("doc").sortWithinPartitions(*order).mapInArrow(work, found.schema)
+
+
 def _may_hold(a: np.ndarray, b: np.ndarray, x: int, y: int, width: int, min_words: int, similarity: float) -> bool:
     """Whether a lone match can be in a passage: its own diagonal, which is all that is aligned then, must hold enough equal words."""
     n, m = min(x, y), min(len(a) - x, len(b) - y)
@@ -597,8 +693,8 @@ def _digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Texts (doc, text) that stand first, copies (doc, source, n_words), and the names of numbers.
+def units(docs: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """Texts (doc, text) that stand first, copies (doc, source, n_words), the names of numbers, and how many words there are in all.
 
     Where no id has several texts, ids are used as they are and the names are None.  Else ``doc`` is
     a number in the order of id and digest, and the names are (doc, doc_id, text_sha256).
@@ -620,16 +716,17 @@ def units(docs: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> tu
         plain = plain.join(ids, "doc", "left_anti").unionByName(plain.join(ids, "doc", "left_semi").distinct())
     first = rows.groupBy(DIGEST).agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source <> last").select(DIGEST, "source")
     copies = checkpoint(rows.join(first, DIGEST).where("doc <> source").select("doc", "source", "n_words").distinct())
-    return plain.join(small(copies.select("doc"), broadcast_ids), "doc", "left_anti"), copies, names
+    n_words = rows.agg(F.sum("n_words")).first()[0] or 0
+    return plain.join(small(copies.select("doc"), broadcast_ids), "doc", "left_anti"), copies, names, n_words
 
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, width: int, window: int, min_words: int, similarity: float, broadcast_ids: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
     """Passages by unit, and the units' names if they aren't ids."""
-    texts, copies, names = units(docs, id_col, text_col, broadcast_ids)
-    found = checkpoint(chains(matches(texts, width, window, hot), width, min_words))
+    texts, copies, names, n_words = units(docs, id_col, text_col, broadcast_ids)
+    found = checkpoint(chains(matches(texts, width, window, hot, n_words), width, min_words))
     zero = F.lit(0).cast("long")
     whole = copies.where(F.col("n_words") >= min_words).select("doc", zero.alias("start_word"), F.col("n_words").alias("end_word"), "source", zero.alias("source_start_word"), F.col("n_words").alias("source_end_word"), F.col("n_words").alias("equal_words"), F.lit(1.0).alias("similarity"))
-    return _aligned(found, texts, width, min_words, similarity, broadcast_ids).unionByName(whole).distinct(), names
+    return widest(_aligned(found, texts, width, min_words, similarity, broadcast_ids)).unionByName(whole), names
 
 
 def passages(

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -140,6 +141,104 @@ def test_passages_with_many_changes(spark):
     assert len(planted) > 100 and caught >= 0.97 * len(planted), (caught, len(planted))
 
 
+#: Plans that deal out a document's chains in different ways.
+PLANS = [
+    {},
+    {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+    {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"},
+    {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "13"},
+]
+
+
+def under(spark, plan, f):
+    before = {k: spark.conf.get(k, None) for k in plan}
+    try:
+        for k, v in plan.items():
+            spark.conf.set(k, v)
+        return f()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tails_beyond_a_passage_in_every_plan(spark):
+    """60 words in a first document, with a tail in a second, with the tail changed at every fourth word in a third."""
+    rng, rows, thirds = random.Random(21), [], []
+    for k in range(20):
+        p, tail = words(rng, 60), words(rng, 30)
+        changed = [rng.choice(VOCABULARY) if i % 4 == 3 else w for i, w in enumerate(tail)]
+        for i, body in enumerate((p, p + tail, p + changed)):
+            rows.append((3 * k + i, " ".join(words(rng, 25) + body + words(rng, 25))))
+        thirds.append(3 * k + 2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    results = [under(spark, plan, lambda: sorted(map(str, substring.passages(frame).collect()))) for plan in PLANS]
+    assert all(r == results[0] for r in results[1:])
+    assert len(set(results[0])) == len(results[0])
+    covered = {d: set() for d in thirds}
+    for r in substring.passages(frame).collect():
+        if r["doc_id"] in covered:
+            covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert all(len(c & set(range(25, 115))) >= 88 for c in covered.values())
+
+
+def test_no_passage_within_another():
+    rng = random.Random(22)
+    rows = [(1, a, a + rng.randint(1, 12), rng.randint(1, 3), 0, 5, 5, 1.0) for a in rng.choices(range(20), k=300)]
+    want = {r for r in rows if not any(o[1] <= r[1] and r[2] <= o[2] and ((o[1], o[2]) != (r[1], r[2]) or o[3:] < r[3:]) for o in rows)}
+    for _ in range(5):
+        rng.shuffle(rows)
+        kept = substring.Passages()
+        for r in rows:
+            kept.add(r)
+        assert set(kept.rows) == want and len(kept.rows) == len(want)
+
+
+def test_cuts_at_the_longest_stretch():
+    def plain(to, similarity=0.8, least=40):
+        equal, out = np.flatnonzero(to >= 0), []
+        todo = [(0, len(equal))]
+        while todo:
+            s, e = todo.pop()
+            at = equal[s:e]
+            if e <= s or max(at[-1] + 1 - at[0], to[at[-1]] + 1 - to[at[0]]) < least:
+                continue
+            n, m = int(at[-1] + 1 - at[0]), int(to[at[-1]] + 1 - to[at[0]])
+            if 2 * (e - s) >= similarity * (n + m):
+                if n >= least:
+                    out.append((int(at[0]), int(at[-1]) + 1, int(to[at[0]]), int(to[at[-1]]) + 1, e - s))
+                continue
+            middle = s + int((np.diff(at) + np.abs(np.diff(to[at]))).argmax()) + 1
+            todo += [(s, middle), (middle, e)]
+        return sorted(out)
+
+    rng = np.random.default_rng(4)
+    for rate in (0.3, 0.6, 0.75, 0.9):
+        for n in (50, 400):
+            to = np.where(rng.random(n) < rate, np.arange(n) + 7 * (np.arange(n) > n // 2), -1)
+            assert substring.similar_parts(to) == plain(to)
+    began = time.time()
+    assert substring.similar_parts(np.where(np.arange(200_000) % 3 == 0, np.arange(200_000), -1)) == []
+    assert time.time() - began < 10
+
+
+def test_seeds_are_counted_alike_by_groups(spark):
+    rng = random.Random(23)
+    shared = words(rng, 60)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 300) + shared * (i % 3))) for i in range(30)], "doc long, text string").repartition(4)
+    assert {tuple(r) for r in substring.repeated_seeds(docs).collect()} == {tuple(r) for r in substring.repeated_seeds(docs, n_words=1 << 50).collect()}
+
+
+def test_hot_seeds_beyond_the_listed_ones_are_dealt_out_too(spark, monkeypatch):
+    rng = random.Random(24)
+    p = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 40) + p + words(rng, 20))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(substring, "HOT_SEEDS", 3)
+    found = substring.passages(frame, hot=5).collect()
+    for d in range(1, 40):
+        assert {i for r in found if r["doc_id"] == d for i in range(r["start_word"], r["end_word"])} >= set(range(40, 100))
+
+
 def test_one_seed_in_the_middle_of_a_passage(spark):
     rng = random.Random(12)
     p = words(rng, 44)
