@@ -10,6 +10,8 @@ from ..operators.numbering import checkpoint
 #: Tables of ids up to so many rows (some 100 MB) are sent to the executors; larger ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+HEAVY = 100_000  #: keys with a larger share than one in so many are joined by broadcast
+
 
 def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """``ids`` with the hint to broadcast it if it has at most ``limit`` rows, else as it is.
@@ -19,6 +21,23 @@ def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+    """``rows`` with the columns of ``table`` but ``weight``, by a left join on ``key``, which ``table`` has once.
+
+    A small table is sent to the executors.  Else the keys that hold over a HEAVY-th of all weight,
+    fewer than HEAVY, are: their rows, which could be a third of all, stay where they are, and
+    only the others are dealt out by key.  ``table`` should be a checkpoint, ``rows`` cheap to read twice.
+    """
+    plain = table.drop(weight)
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(plain), key, "left")
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY > total
+    hot = F.broadcast(table.where(heavy).drop(weight))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(~heavy).drop(weight), key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def _near_min(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and everything in u's rows."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -5,7 +5,7 @@ holds it, half of that to the next one out, and so on; articles and main element
 shares are votes for the containers' generalised paths (tags with classes, digits as one sign), added
 up per host in Spark.  Each page is then read again and its text taken from the elements on its
 host's winning path, each widened to the article or else the main element that it is in, as headlines
-and leads stand beside a body, or else to what holds its siblings; a page without text there uses its own
+and leads stand beside a body, or else to all that holds its siblings; a page without text there uses its own
 best container.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
@@ -14,7 +14,8 @@ header only headings count.
 
 Cases: null and empty pages have the empty text; a null or odd address belongs to the host "";
 repeated rows vote and are extracted alike; broken markup is read as far as it goes; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored; a very long page is read whole, in work and memory that grow
+with its length.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import markup
 from .arrow import append_columns
-from .components import checkpoint
+from .components import checkpoint, join_spread
 
 # Words of class names, ids and roles that mark what isn't main text.
 NOISE_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
@@ -47,6 +48,7 @@ PARTS = frozenset(
     thread reply form field fields label input submit user users reader readers site page web by this the in us follow""".split()
 )
 KEPT_TAGS = frozenset("html body main article".split())
+LIKE = 4  #: what stands beside an element in the page itself is like it up to so many times its length
 #: Beyond so many hosts the winners are joined by a shuffle instead of sent to each executor.
 BROADCAST_HOSTS = 200_000
 
@@ -115,8 +117,9 @@ def _roots(page: markup.Page, path: str) -> set[int]:
     """The elements to take the text of: those on the path, widened.
 
     An element is widened to the nearest article that it is in, else the nearest main element; on a
-    page with neither to the containers around it, as long as what they add is less than it holds
-    and mostly not links.  Elements without text don't count.
+    page with neither to the containers around it, as long as what they add isn't mostly links.  The
+    page itself is one of them only if it adds less than is held, or has nothing else than siblings of
+    the same element and not of another order of length.  Elements without text don't count.
     """
     n = len(page.elements)
     held, linked = [0] * n, [0] * n
@@ -131,6 +134,13 @@ def _roots(page: markup.Page, path: str) -> set[int]:
         held[page.elements[i].parent] += held[i]
         linked[page.elements[i].parent] += linked[i]
     roots, seen = set(), set()
+    top = [i for i, e in enumerate(page.elements) if e.parent == 0 and held[i]]
+
+    def siblings(i: int) -> bool:
+        while page.elements[i].parent > 0:
+            i = page.elements[i].parent
+        return held[0] == sum(held[k] for k in top) and all(page.elements[k].tag == page.elements[i].tag and held[k] <= LIKE * held[i] for k in top)
+
     for i, e in enumerate(page.elements):
         if e.path != path or e.tag not in markup.CONTAINERS or not held[i]:
             continue
@@ -141,7 +151,7 @@ def _roots(page: markup.Page, path: str) -> set[int]:
             seen.add(i)
             above = page.elements[page.elements[i].parent].container
             more, more_links = held[above] - held[i], linked[above] - linked[i]
-            if more >= held[i] or 2 * more_links > more:
+            if 2 * more_links > more or above == 0 and more >= held[i] and not siblings(i):
                 break
             i = above
         roots.add(i)
@@ -169,7 +179,7 @@ def extract(html: str | None, path: str | None) -> tuple[str, str | None, bool]:
 
 
 def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path with most votes; equal ones go to the first in order of text."""
+    """(host, path, votes): the path with most votes, which are millionths of pages; equal ones go to the first in order of text."""
     ballot = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("share", T.LongType())]))
     fields = [T.StructField("host", T.StringType()), T.StructField("ballot", ballot)]
 
@@ -181,17 +191,15 @@ def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     cast = append_columns(pages, [url_col, html_col], fields, work, [])
     counted = cast.select("host", F.explode("ballot").alias("v")).groupBy("host", "v.path").agg(F.sum("v.share").alias("votes"))
     best = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("order"), "path")).alias("best"))
-    return best.select("host", F.col("best.path").alias("path"))
+    return best.select("host", F.col("best.path").alias("path"), (-F.col("best.order")).alias("votes"))
 
 
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """(page_id, url, text, n_chars, host, path, by_consensus), a row for each page."""
     winners = checkpoint(host_paths(pages, url_col=url_col, html_col=html_col))
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
     plain = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     named = append_columns(plain.select("page_id", "url", "html"), ["url"], [T.StructField("host", T.StringType())], lambda urls: [[host(u) for u in urls]])
-    joined = named.join(winners, "host", "left")
+    joined = join_spread(named, winners, "host", "votes", broadcast_hosts)
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("used", T.StringType()), T.StructField("by_consensus", T.BooleanType())]
 
     def work(htmls: list, paths: list) -> list:

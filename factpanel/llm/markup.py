@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -119,12 +119,14 @@ def read(html: str | None, is_noise=None) -> Page:
     """Elements and text blocks.  Unclosed elements end where HTML ends them; stray ends are ignored.
 
     ``is_noise(tag, attribute text, in_article)`` marks elements whose text isn't main text.  Work and
-    memory grow with the length of the page, however deep its elements are.
+    memory grow with the length of the page, however deep its elements are: the depths of open elements
+    are kept by name, so none is looked for along the stack.
     """
     page = Page()
     elements, blocks = page.elements, page.blocks
     elements.append(Element("body", -1, "body", ""))
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # the depths at which elements of a name are open
+    solid, scopes = [0], [0]  # the depths of open elements that aren't inline, and of those in SCOPES
     stack = [0]
     texts: list[str] = []
     owner = 0
@@ -152,11 +154,24 @@ def read(html: str | None, is_noise=None) -> Page:
 
     def pop_to(depth: int) -> None:
         nonlocal in_link
-        for i in stack[depth:]:
-            opened[elements[i].tag] -= 1
+        for i in reversed(stack[depth:]):
+            opened[elements[i].tag].pop()
             if elements[i].tag == "a":
                 in_link -= 1
         del stack[depth:]
+        for depths in (solid, scopes):
+            while depths[-1] >= depth:
+                depths.pop()
+
+    def push(element: Element) -> None:
+        depth = len(stack)
+        elements.append(element)
+        stack.append(len(elements) - 1)
+        opened[element.tag].append(depth)
+        if element.tag not in INLINE:
+            solid.append(depth)
+        if element.tag in SCOPES:
+            scopes.append(depth)
 
     html = html or ""
     at = 0
@@ -169,16 +184,12 @@ def read(html: str | None, is_noise=None) -> Page:
         if slash:
             if not opened[tag]:
                 continue
-            inline = tag in INLINE
-            for depth in range(len(stack) - 1, 0, -1):
-                other = elements[stack[depth]].tag
-                if other == tag:
-                    if not inline:
-                        flush()
-                    pop_to(depth)
-                    break
-                if inline and other not in INLINE:
-                    break
+            depth = opened[tag][-1]
+            if tag not in INLINE:
+                flush()
+                pop_to(depth)
+            elif depth > solid[-1]:  # an inline element doesn't end beyond the block that is open
+                pop_to(depth)
             continue
         if tag == "br":
             if texts:
@@ -188,25 +199,19 @@ def read(html: str | None, is_noise=None) -> Page:
             if tag == "a":
                 in_link += 1
             top = elements[stack[-1]]
-            elements.append(Element(tag, stack[-1], top.path, attribute_text, top.noise, top.header, top.heading, top.article, top.block, top.container))
-            stack.append(len(elements) - 1)
-            opened[tag] += 1
+            push(Element(tag, stack[-1], top.path, attribute_text, top.noise, top.header, top.heading, top.article, top.block, top.container))
             continue
         flush()
         if tag in ("html", "head", "body"):
             if tag == "body":
                 elements[0].attributes = attribute_text
             continue
-        ends = CLOSES.get(tag, ())
-        if opened["p"] or any(opened[e] for e in ends):
-            for depth in range(len(stack) - 1, 0, -1):
-                other = elements[stack[depth]].tag
-                if other == "p" or other in ends:
-                    pop_to(depth)
-                    if other != "p":
-                        break
-                elif other in SCOPES:
-                    break
+        ends = ("p", *CLOSES.get(tag, ()))
+        while (depth := max([opened[e][-1] for e in ends if opened[e]], default=0)) > scopes[-1]:
+            other = elements[stack[depth]].tag
+            pop_to(depth)
+            if other != "p":
+                break
         if tag in VOID:
             continue
         parent, here = elements[stack[-1]], len(elements)
@@ -223,9 +228,7 @@ def read(html: str | None, is_noise=None) -> Page:
             verdict = is_noise(tag, attribute_text, parent.article)
             element.noise = verdict == "noise"
             element.header = element.header or verdict == "header"
-        elements.append(element)
-        stack.append(here)
-        opened[tag] += 1
+        push(element)
     if at < len(html):
         take(html[at:])
     flush()

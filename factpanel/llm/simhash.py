@@ -13,7 +13,8 @@ fingerprints within the radius share such a point, and two that share one are wi
 
 Cases: a null text is the empty text; a text without words has fingerprint zero and links like any
 other; repeated rows share a component; rows with a null id take part, and a component without any
-id is null; an empty table gives no rows; extra columns are ignored.
+id is null; an empty table gives no rows; extra columns are ignored; a very long text is hashed whole, a
+block of shingles at a time when bits are counted.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from ..operators.numbering import checkpoint
 from .arrow import append_columns, fresh
-from .components import BROADCAST_IDS, connected_components, small
+from .components import BROADCAST_IDS, connected_components, join_spread, small
 
 DIGEST = "text_sha256"
 BITS = 64
@@ -188,7 +189,7 @@ def links(fingerprints: DataFrame, *, radius: int = RADIUS, large_bucket: int =
     return pairs if hot.isEmpty() else pairs.unionByName(large_links(hot, radius))
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, large_bucket: int) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, large_bucket: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, text_sha256, f, class, component_id): ``class`` is one fingerprint of those that are linked."""
 
     def work(texts: list) -> list:
@@ -197,12 +198,12 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int, width: in
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias(DIGEST))
     prints = checkpoint(append_columns(ids, ["text"], [T.StructField("f", T.LongType())], work, ["doc_id", DIGEST]))
-    distinct = prints.groupBy("f").agg(F.min("doc_id").alias("first_id"))
+    distinct = prints.groupBy("f").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("texts"))
     classes = connected_components(links(distinct.select("f"), radius=radius, large_bucket=large_bucket))
     joined = distinct.join(classes.withColumnRenamed("node", "f"), "f", "left").withColumnRenamed("component", "class")
     least = joined.where("class is not null").groupBy("class").agg(F.min("first_id").alias("least_id"))
-    named = joined.join(least, "class", "left").select("f", F.coalesce("class", "f").alias("class"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(named, "f")
+    named = joined.join(least, "class", "left").select("f", F.coalesce("class", "f").alias("class"), F.coalesce("least_id", "first_id").alias("component_id"), "texts")
+    return join_spread(prints, checkpoint(named), "f", "texts", broadcast_ids)
 
 
 def near_duplicates(
@@ -234,7 +235,7 @@ def keep_one(
     Rows with equal id and text are one; texts that aren't linked stay, whatever their ids.  Rows
     without an id, which nothing can name, stay.
     """
-    found = checkpoint(_classed(docs, id_col, text_col, radius, width, large_bucket)).where("doc_id is not null")
+    found = checkpoint(_classed(docs, id_col, text_col, radius, width, large_bucket, broadcast_ids)).where("doc_id is not null")
     key, digest, own = fresh(docs.columns, "id", DIGEST, "own_sha256")
     ids = checkpoint(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"), F.min("component_id").alias("first")))
     again = ids.where("rows > 1").select(key)

@@ -8,7 +8,9 @@ recomputed task makes the same records.
 
 Cases: a null payload is empty and gives an empty conversion; a null address or date is written as
 the empty text; responses that aren't HTTP keep their bytes as payload; repeated rows give repeated
-records; broken headers are kept as far as they read; an empty table gives no rows.
+records; broken headers are kept as far as they read; an empty table gives no rows; extra columns are
+ignored.  A body whose content encoding isn't known, such as br, has an empty conversion, and the
+metadata names the encoding; a very long body is unpacked and read whole.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import markup
-from .arrow import append_columns, explode_columns, slices
+from .arrow import append_columns, explode_columns, record_batch, slices
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of addresses, RFC 4122
 DATE = "1970-01-01T00:00:00Z"
+ENCODINGS = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}  #: content encodings that are taken off, with zlib's window bits
+PIECE = 1 << 16
 LINKED = frozenset("a link img script iframe area form".split())
 Headers = list[tuple[str, str]]
 
@@ -102,18 +107,49 @@ def _unchunked(data: bytes) -> bytes:
     return b"".join(out) if out or data.startswith(b"0") else data
 
 
-def entity(headers: Headers, payload: bytes) -> bytes:
-    """The payload without its transfer and content encodings; what can't be decoded stays as far as it reads."""
+def _inflated(data: bytes, bits: int) -> bytes | None:
+    """All members of a compressed body, as far as they read; None if the first one doesn't begin."""
+    out, read = [], False
+    while data:
+        member, size = zlib.decompressobj(bits), 0
+        try:
+            for at in range(0, len(data), PIECE):
+                part = member.decompress(data[at : at + PIECE])
+                out.append(part)
+                read, size = True, size + len(part)
+                if member.eof:
+                    break
+        except zlib.error:
+            if not size:
+                break
+            return b"".join(out)
+        if not member.eof:
+            break
+        data = member.unused_data + data[at + PIECE :]
+        if bits < 16:  # only gzip bodies have several members
+            break
+    return b"".join(out) if read else None
+
+
+def entity(headers: Headers, payload: bytes) -> tuple[bytes, list[str]]:
+    """The payload without its transfer and content encodings, and the encodings that it still has.
+
+    Encodings are taken off from the last one on; the first that isn't known ends it.  A body that
+    says it is compressed and isn't stays as it is; one that breaks off is taken as far as it reads.
+    """
     if "chunked" in (value_of(headers, "Transfer-Encoding") or "").lower():
         payload = _unchunked(payload)
-    for name in reversed([x.strip().lower() for k, v in headers if k.lower() == "content-encoding" for x in v.split(",")]):
-        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(name, ()):
-            try:
-                payload = zlib.decompressobj(bits).decompress(payload)
+    names = [x.strip().lower() for k, v in headers if k.lower() == "content-encoding" for x in v.split(",")]
+    names = [n for n in names if n and n != "identity"]
+    while names:
+        if names[-1] not in ENCODINGS:
+            return payload, names
+        for bits in ENCODINGS[names.pop()]:
+            body = _inflated(payload, bits)
+            if body is not None:
+                payload = body
                 break
-            except zlib.error:
-                continue
-    return payload
+    return payload, []
 
 
 def page_metadata(html: str) -> dict:
@@ -150,11 +186,13 @@ DERIVED = T.StructType(
 def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes) -> list[dict]:
     status, headers, payload = parse_http(block)
     charset = re.search(r"charset=[\"']?([\w-]+)", value_of(headers, "Content-Type") or "")
-    body = entity(headers, payload)
+    body, undecoded = entity(headers, payload)
     try:
         html = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         html = body.decode("utf-8", "replace")
+    if undecoded:
+        html = ""
     source = json.loads(warc_headers or "[]")
     payload_digest, block_digest = digest(payload), digest(block)
     envelope = {
@@ -173,6 +211,8 @@ def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes)
             },
         }
     }
+    if undecoded:
+        envelope["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Undecoded-Content-Encoding"] = undecoded
     text = "\n".join([b[1] for b in markup.read(html).blocks])
     out = []
     for kind, content_type, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain", text)):
@@ -245,11 +285,25 @@ def _members(data: bytes) -> Iterator[bytes]:
             return
 
 
-def parse_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """(headers, block) of each record of a WARC file, compressed by record or as a whole or not.
+def record_end(part: bytes, start: int, length: str) -> int:
+    """Where the block that begins at ``start`` ends.
 
-    A record whose length isn't a number ends where the next one begins.
+    That is where its length says, if the next record or nothing follows there; else the record ends
+    where the next one begins, so a wrong length costs one record and not those behind it.
     """
+    stop = start + int(length) if length.isdecimal() else -1
+    if start <= stop <= len(part):
+        rest = part[stop : stop + 16].lstrip(b"\r\n")
+        if rest.startswith(b"WARC/") or not rest and not part[stop:].strip():
+            return stop
+    follows = part.find(BOUNDARY, start)
+    if follows >= 0:
+        return follows
+    return stop if start <= stop <= len(part) else len(part)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """(headers, block) of each record of a WARC file, compressed by record or as a whole or not."""
     for part in _members(data):
         at = 0
         while (at := part.find(b"WARC/", at)) >= 0:
@@ -257,29 +311,59 @@ def parse_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
             if end < 0:
                 break
             headers = _headers(part[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-            length, start = value_of(headers, "Content-Length") or "", end + 4
-            if length.isdecimal():
-                stop = start + int(length)
-            else:
-                follows = part.find(b"\r\n\r\nWARC/", start)
-                stop = len(part) if follows < 0 else follows
-            yield headers, part[start:stop]
+            stop = record_end(part, end + 4, value_of(headers, "Content-Length") or "")
+            yield headers, part[end + 4 : stop]
             at = stop
 
 
+BOUNDARY = b"\r\n\r\nWARC/"
+LARGEST = 1 << 30  #: bytes of a record that is put together again
+
+
+def _whole(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Records from the texts between boundaries, with what a boundary inside a block has cut put together by its length."""
+    held: list[bytes] = []
+    missing = 0  # bytes that the held record's length still asks for
+
+    def flush() -> Iterator[bytes]:
+        if missing <= 0:
+            yield b"\r\n\r\n".join(held)
+        else:  # the length was wrong: these are records of their own
+            yield from held
+
+    for piece in pieces:
+        begins = piece.startswith(b"WARC/")  # a file's first one, which has no boundary before it
+        piece = piece if begins else b"WARC/" + piece
+        if held and not begins and missing >= len(piece) + 4:
+            held.append(piece)
+            missing -= len(piece) + 4
+            continue
+        if held:
+            yield from flush()
+        head, _, block = piece.partition(b"\r\n\r\n")
+        length = value_of(_headers(head.decode("utf-8", "replace").split("\r\n")[1:]), "Content-Length") or ""
+        held, missing = [piece], int(length) - len(block) if length.isdecimal() and int(length) <= LARGEST else 0
+    if held:
+        yield from flush()
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files; ``page_id`` numbers a file's records.
+    """Response records of WARC files of any size; ``page_id`` numbers the records.
 
-    A task reads one file, which must be below 2 GB (they are made to be about 1 GB), and unpacks a
-    record at a time.
+    Spark reads the files as texts that end at a record's boundary, so compressed files stream through a
+    task a record at a time and plain ones are split; bytes stay as they are.  A block that holds a
+    boundary itself is put together again, up to LARGEST bytes and within a split.  What follows a broken
+    member of a compressed file is left out.
     """
-    schema = T.StructType([T.StructField("page_id", T.LongType()), *RESPONSE.fields])
+    schema = T.StructType([*RESPONSE.fields])
 
-    def work(files: list) -> Iterator[dict]:
-        for data in files:
-            for i, (headers, block) in enumerate(parse_records(bytes(data))):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in _whole(v for batch in batches for v in batch.column(0).to_pylist()):
+            for headers, block in parse_records(record):
                 if value_of(headers, "WARC-Type") == "response":
                     named = (value_of(headers, f"WARC-{n}") for n in ("Record-ID", "Target-URI", "Date"))
-                    yield {k: [v] for k, v in zip(schema.names, (i, *named, json.dumps(headers), block), strict=True)}
+                    yield record_batch(schema, {k: [v] for k, v in zip(schema.names, (*named, json.dumps(headers), block), strict=True)})
 
-    return explode_columns(spark.read.format("binaryFile").load(path), ["content"], schema, work)
+    files = spark.read.option("lineSep", BOUNDARY.decode()).option("ignoreCorruptFiles", "true").text(path)
+    records = files.select(F.col("value").cast("binary")).mapInArrow(work, schema)
+    return records.select(F.monotonically_increasing_id().alias("page_id"), *schema.names)

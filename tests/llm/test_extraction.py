@@ -2,6 +2,8 @@ import re
 import time
 from html import unescape
 
+import pytest
+
 from factpanel.llm import extraction, markup, queries
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head><body class="has-sidebar">
@@ -52,6 +54,57 @@ def test_text_beside_the_winning_body(spark):
         assert r["text"] == f"Head {i} Lead {i} Body {i} {'words ' * 300}More {i}"
 
 
+@pytest.mark.parametrize("n", range(1, 9))
+@pytest.mark.parametrize("wrapped", [True, False])
+def test_sections_of_a_page_builder(n, wrapped):
+    """Sections that each stand in containers of their own, beside a menu and a footer of equal length."""
+    names = "history method results outlook intro text outro notes".split()[:n]
+    texts = {name: " ".join(f"{name}{i}" for i in range(80)) for name in names}
+    for layout in ('<section class="{0}"><div class="row"><div class="col"><p>{1}</p></div></div></section>', '<div class="{0}"><div class="wrap"><p>{1}</p></div></div>'):
+        body = "".join(layout.format(name, text) for name, text in texts.items())
+        body = f'<div class="post">{body}</div>' if wrapped else body
+        menu = "<ul>" + "".join(f'<li><a href="/{i}">menu entry {i}</a></li>' for i in range(60)) + "</ul>"
+        noise = f"<footer><p>{'footer words ' * 60}</p></footer>"
+        for page in (body, f"<nav>{menu}</nav>{body}{noise}", f'<div class="menu">{menu}</div>{body}<div class="site-footer"><p>{"foot " * 200}</p></div>'):
+            html = f"<html><body>{page}</body></html>"
+            own = extraction.extract(html, None)
+            assert own[0] == " ".join(texts.values())
+            for path in extraction.votes(markup.read(html, extraction.is_noise)):  # whichever path the host agrees on
+                assert extraction.extract(html, path)[0] == own[0]
+
+
+def test_votes_against_a_plain_account(spark):
+    """Scores from each block outwards, added up in plain Python over the elements' ancestors."""
+    pages = [(i, f"http://h{i % 2}.example/{i}", f'<body><div class="a{i}"><h1>Head</h1><p>{"one " * (20 + i)}<a href="x">{"link " * i}</a></p><section><p>{"two " * (9 * i)}</p></section></div><div class="b"><p>{"three " * 30}</p></div></body>') for i in range(1, 7)]
+    total = {}
+    for i, url, html in pages:
+        blocks = [(["body", "body/div.a#"], "Head", 0), (["body", "body/div.a#"], "one " * (20 + i) + "link " * i, len("link " * i) - 1), (["body", "body/div.a#", "body/div.a#/section"], "two " * (9 * i), 0), (["body", "body/div.b"], "three " * 30, 0)]
+        page = {}
+        for path, text, links in blocks:
+            weight = len(text.strip()) - links
+            for p in reversed(path):
+                if weight >= 1:
+                    page[p] = page.get(p, 0) + weight
+                weight /= 2
+        for p, s in page.items():
+            key = (url.split("/")[2], p)
+            total[key] = total.get(key, 0) + s / sum(page.values())
+    want = {}
+    for host in ("h0.example", "h1.example"):
+        want[host] = min((p for h, p in total if h == host), key=lambda p: (-round(total[host, p], 4), p))
+    got = extraction.host_paths(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["host"]: r["path"] for r in got} == want
+    assert all(abs(r["votes"] / 1e6 - total[r["host"], r["path"]]) < 0.05 for r in got)
+
+
+def test_large_hosts_among_many(spark, monkeypatch):
+    monkeypatch.setattr("factpanel.llm.components.HEAVY", 4)
+    rows = [(i, f"http://{'big' if i % 2 else f'h{i}'}.example/", f'<div class="story"><p>Story {i}</p></div>') for i in range(40)] + [(40, None, ""), (41, "http://big.example/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few, many = (sorted(map(str, extraction.main_text(df, broadcast_hosts=n).collect())) for n in (1000, 3))
+    assert few == many and len(few) == 42
+
+
 def test_query_against_the_article_element(spark, data):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     rows = queries.op5_html(spark, data).collect()
@@ -73,7 +126,7 @@ def test_empty_table_repeats_and_clashing_columns(spark):
 def test_work_grows_with_the_page_alone():
     for html in (
         "<div>x" * 100_000, "<b>x" * 100_000, "<x-a>x" * 100_000 + "</x-b>" * 100_000, "<a " * 300_000, "<p \"" * 100_000, "<p '\"" * 100_000,
-        "<li>" + "<i>" * 50_000 + "<li>x" * 50_000, "<!-- " * 200_000, "<" * 500_000, "<ul>" * 50_000 + "<li>x" * 50_000, "<p>" * 100_000 + "text",
+        "<li>" + "<i>" * 50_000 + "<li>x" * 50_000, "<!-- " * 200_000, "<" * 500_000, "<ul>" * 50_000 + "<li>x" * 50_000, "<p>" * 100_000 + "text", "<div>" + "<span>" * 140_000 + "x" + "<p>" * 35_000, "<a><p>" + "<i>" * 140_000 + "</a>" * 140_000,
     ):
         began = time.time()
         text = extraction.extract("<article><p>Hello.</p></article>" + html, None)[0]

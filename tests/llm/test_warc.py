@@ -2,7 +2,9 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import zlib
+from html import unescape
 
 from factpanel.llm import queries, warc
 
@@ -72,6 +74,72 @@ def test_encoded_bodies_and_all_headers():
         assert [v for k, v in headers if k == "Set-Cookie"] == ["a=1", "b=2"] and ["X-Long", "x y"] in headers
 
 
+def test_all_members_of_a_body_and_unknown_encodings():
+    html = b"<html><title>T</title><p>one</p><p>two</p></html>"
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: %s\r\n\r\n"
+    members = gzip.compress(html[:20]) + gzip.compress(html[20:33]) + gzip.compress(html[33:])
+    for body in (members, members + b"rubbish", members + gzip.compress(b"x" * 100_000)[:3]):
+        _, conversion = warc.derived_of("r", "u", "d", "[]", head % b"gzip" + body)
+        assert conversion["block"] == "one\ntwo"
+    large = b"<p>" + b" ".join(b"%d" % i for i in range(200_000))
+    cut = gzip.compress(large)[:100_000]
+    _, conversion = warc.derived_of("r", "u", "d", "[]", head % b"gzip" + cut)
+    assert large.decode()[3:].startswith(conversion["block"]) and len(conversion["block"]) > 100_000
+    for names, left in ((b"br", ["br"]), (b"br, gzip", ["br"]), (b"gzip, br", ["gzip", "br"])):
+        body = gzip.compress(b"\x8b\x00brotli<p>no") if names.endswith(b"gzip") else b"\x8b\x00brotli<p>no"
+        metadata, conversion = warc.derived_of("r", "u", "d", "[]", head % names + body)
+        response = json.loads(metadata["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+        assert conversion["block"] == "" and response["Undecoded-Content-Encoding"] == left
+        assert conversion["source_payload_digest"] == sha1(body)
+    metadata, _ = warc.derived_of("r", "u", "d", "[]", head % b"identity" + html)
+    assert "Undecoded-Content-Encoding" not in metadata["block"]
+
+
+def record(body, length=None, kind="response"):
+    return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <%s>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind.encode(), hashlib.sha1(body).hexdigest().encode(), len(body) if length is None else length, body)
+
+
+def test_a_wrong_length_costs_one_record(spark, tmp_path):
+    inner = b"a body with\r\n\r\nWARC/1.0\r\n\r\nin it"
+    bodies = [b"first", inner, b"", b"\xff\x00 bytes \xe9", b"last"]
+    good = b"".join(map(record, bodies))
+    assert [b for _, b in warc.parse_records(good)] == bodies
+    for length in (10**9, 60, 3, 0):
+        data = record(b"odd one", length) + good
+        assert [b for _, b in warc.parse_records(data)][-5:] == bodies and len(list(warc.parse_records(data))) == 6
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes(record(b"odd one", 10**8) + good)
+    (tmp_path / "in/b.warc.gz").write_bytes(b"".join(gzip.compress(record(b)) for b in bodies))
+    (tmp_path / "in/c.warc.gz").write_bytes(gzip.compress(good)[:-30] + b"broken")
+    for size in ("128m", "100b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = warc.read_responses(spark, str(tmp_path / "in")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len({r["page_id"] for r in rows}) == len(rows)
+        blocks = sorted(bytes(r["block"]) for r in rows)
+        for b in (b"first", b"last", b"odd one", b"\xff\x00 bytes \xe9"):
+            assert blocks.count(b) >= (1 if b == b"odd one" else 2), (b, blocks)
+        if size == "128m":
+            assert blocks.count(inner) >= 2
+
+
+def plain_text(html):
+    """A page's blocks, one a line, for pages of whole elements: what stands between the tags that aren't inline."""
+    html = re.sub(r"<!--.*?-->|<!.*?>|<(script|style|title|noscript|template|svg|iframe|object|select|textarea|button)\b.*?</\1\s*>", "", html, flags=re.S | re.I)
+    html = re.sub(r"<br\s*/?>", " ", html)
+    html = re.sub(r"</?(a|b|i|em|strong|span|small|code|sup|sub|u)\b[^>]*>", "", html)
+    lines = (" ".join(unescape(x).split()) for x in re.split(r"<[^>]+>", html))
+    return "\n".join(x for x in lines if x)
+
+
+def test_conversion_texts_against_a_plain_account(spark, data):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    rows = [r for r in queries.op10_warc(spark, data).collect() if r["record_type"] == "conversion"]
+    assert len(rows) == len(pages) and all(r["block"] == plain_text(pages[r["page_id"]]) for r in rows)
+
+
 def test_broken_records_are_read_as_far_as_they_go():
     good = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     odd = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nd e\r\n\r\n"
