@@ -1,8 +1,11 @@
 """The catalogue of data-quality checks over the wide and the long panel.
 
-Checks of one row stand side by side in one array, so all of them cost one scan; checks of groups and
-of the whole dataset are aggregations and joins of their own.  A condition that is null doesn't hold.
-Checks whose columns a table lacks are left out.
+``all_warnings`` runs the whole catalogue in one pass: both panels are dealt out by company, a row is
+made of each company-year with what either panel has of it, and the checks of its rows, of its groups and
+between the panels stand side by side in arrays of that row.  Each panel is scanned and shuffled once.
+What a company-year has is held together in a row: a few facts for each variable.  The other functions
+run one part of the catalogue alone.  A condition that is null doesn't hold.  Checks whose columns a table
+lacks are left out.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..sources import schemas
 from ..sources.config import Rule, Scope, rules_frame
 from . import derive, panel
-from .numbering import numbered
+from .numbering import checkpoint, numbered
 from .select import BROADCAST_RULES, MAX_FILING_YEAR_LEAD, MAX_LAG_DAYS, UNITS
 
 # Thresholds and lists of the published checks.
@@ -176,15 +180,7 @@ def with_copies(wide: DataFrame) -> DataFrame:
 def wide_warnings(wide: DataFrame, scope: Scope, this_year: int | Column) -> DataFrame:
     """Warnings of single rows of a prepared wide panel."""
     counted = with_copies(wide)
-    odd = F.transform(
-        "invalid",
-        lambda x: F.struct(
-            F.lit("high").alias("severity"), F.lit("non_numeric_financial_value").alias("check_name"), F.lit("company_year").alias("scope"), x["variable"].alias("variable"),
-            C.text(x["raw"]).alias("value"), F.lit("").alias("reference_variable"), F.lit("").alias("reference_value"), F.lit("the value isn't a number").alias("details"),
-            *[F.lit(None).cast("double").alias(n) for n in NUMBERS],
-        ),
-    )
-    return run_checks(counted, wide_checks(wide, scope, this_year), [odd])
+    return run_checks(counted, wide_checks(wide, scope, this_year), [_odd_values(F.col("invalid"))])
 
 
 def missing_columns_warning(wide: DataFrame) -> DataFrame:
@@ -198,17 +194,21 @@ def coverage_warnings(wide: DataFrame) -> DataFrame:
     core = [v for v in CORE if v in wide.columns]
     first = F.min_by(F.struct(*_context(wide)), F.struct(C.text("company_year"), C.text("research_universe_id"))).alias("first")
     counted = wide.groupBy("cik10").agg(first, F.count("*").alias("years"), *[F.count(v).alias(f"n_{v}") for v in core]).where(F.col("years") >= MIN_YEARS)
-    rows = counted.select("first.*", "years", *[f"n_{v}" for v in core])
+    return run_checks(counted.select("first.*", "years", *[f"n_{v}" for v in core]), coverage_checks(core), scope="company")
+
+
+def coverage_checks(core: Sequence[str]) -> list[Check]:
+    """Checks of a company, from the number of its ``years`` and of those with a value (n_ and the variable)."""
     checks = []
     for v in core:
         n, years = F.col(f"n_{v}"), F.col("years")
         said = F.concat(F.lit(f"{v} in "), n.cast("string"), F.lit(" of "), years.cast("string"), F.lit(" years ("), F.format_string("%.1f", 100 * n / years), F.lit("%)"))
-        checks.append(Check(f"{v}_missing_for_majority_of_years", "medium", n / years < MIN_COVERAGE, v, n, "company_year_count", years, said))
-    return run_checks(rows, checks, scope="company")
+        checks.append(Check(f"{v}_missing_for_majority_of_years", "medium", (years >= MIN_YEARS) & (n / years < MIN_COVERAGE), v, n, "company_year_count", years, said))
+    return checks
 
 
-def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None, n_rules: int = 0) -> DataFrame:
-    """Warnings of single rows of the long panel."""
+def long_checks(with_rules: bool) -> list[Check]:
+    """The checks of one row of the long panel; ``__known`` says whether a rule has its variable and tag."""
     derived = F.col("namespace") == "derived"
     value, at = F.col("value").cast("string"), F.col("variable")
     days, lag = C.period_days("start", "end"), C.lag_days("filed", "end")
@@ -228,42 +228,68 @@ def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None, n_rules: i
         Check("flow_source_fp_not_fy", "low", flow & annual & (F.upper(C.text("fp")) != "FY"), at, value, "fp", F.col("fp"), "an annual period whose fiscal period isn't FY"),
         Check("revenues_may_be_quarterly", "high", (F.col("variable") == "revenues") & ((days.isNotNull() & ~annual) | late_fp), "revenues", value, "period_days", days, origin),
     ]
-    if rules is not None:
-        keys = ["variable", "namespace", "tag"]
-        known = rules.select(*keys).distinct().withColumn("__known", F.lit(True))
-        long = long.join(F.broadcast(known) if n_rules <= BROADCAST_RULES else known, keys, "left")
+    if with_rules:
         named = F.concat_ws(":", "namespace", "tag")
         checks.append(Check("source_tag_not_in_sec_tags_config", "high", ~C.is_true(derived) & F.col("__known").isNull(), at, named, "sec_tags_config", F.lit("tag rules"), "no rule has this variable, namespace and tag"))
-    return run_checks(long, checks)
+    return checks
+
+
+def with_rules_known(long: DataFrame, rules: DataFrame | None, n_rules: int) -> DataFrame:
+    """``long`` with ``__known``: true where a rule has the row's variable, namespace and tag."""
+    if rules is None:
+        return long
+    keys = ["variable", "namespace", "tag"]
+    known = rules.select(*keys).distinct().withColumn("__known", F.lit(True))
+    return long.join(F.broadcast(known) if n_rules <= BROADCAST_RULES else known, keys, "left")
+
+
+def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None, n_rules: int = 0) -> DataFrame:
+    """Warnings of single rows of the long panel."""
+    return run_checks(with_rules_known(long, rules, n_rules), long_checks(rules is not None))
+
+
+def form_check(scope: Scope) -> Check:
+    """The check of a company-year's facts whose forms are foreign: their ``variables``, ``forms`` and number ``n``."""
+    return Check("source_form_outside_dataset_config", "high", F.col("n") > 0, F.col("variables"), F.col("n"), "accepted_forms", F.lit(";".join(scope.forms)), F.concat(F.lit("forms outside the configuration: "), "forms"))
+
+
+def is_foreign(form: Column, scope: Scope) -> Column:
+    return ~F.upper(C.strip(C.text(form))).isin(*scope.forms)
+
+
+def source_checks() -> list[Check]:
+    """The checks of a company-year's core facts, from the columns that ``source_columns`` makes."""
+    return [
+        Check("source_fy_differs_from_company_year", "medium", F.col("others") > 0, F.col("other_variables"), F.col("other_years"), "company_year", F.col("company_year"), "the source's fiscal year isn't the company year"),
+        Check("mixed_source_fiscal_years", "medium", F.col("n_fy") > 1, F.col("core_variables"), F.col("all_fy"), details="core variables come from several fiscal years"),
+        Check("mixed_source_accessions", "low", F.col("n_accn") > 1, F.col("core_variables"), F.col("n_accn"), details="core variables come from several filings"),
+        Check("mixed_source_period_ends", "medium", F.col("n_end") > 1, F.col("core_variables"), F.col("all_end"), details="core variables have several period ends"),
+    ]
+
+
+def source_columns(get) -> list[Column]:
+    """Aggregates over core facts for ``source_checks``; ``get`` gives a fact's column, null for other rows."""
+    other = C.is_true(C.number(get("fy")) != C.number(get("company_year")))
+    return [
+        C.distinct_join(get("variable")).alias("core_variables"),
+        C.distinct_join(F.when(other, get("variable"))).alias("other_variables"),
+        C.distinct_join(F.when(other, get("fy"))).alias("other_years"),
+        F.count_if(other).alias("others"),
+        *[F.size(F.collect_set(F.nullif(get(c).cast("string"), F.lit("")))).cast("long").alias(f"n_{c}") for c in ("fy", "accn", "end")],
+        *[C.distinct_join(get(c)).alias(f"all_{c}") for c in ("fy", "end")],
+    ]
 
 
 def long_groups(long: DataFrame, scope: Scope) -> DataFrame:
     """Warnings of company-years of the long panel: forms, and sources that don't agree."""
     keys = ["cik10", "company_year"]
     any_row = F.min(F.struct(*_context(long))).alias("first")
-    foreign = ~F.upper(C.strip(C.text("form"))).isin(*scope.forms)
-    forms = long.where(foreign).groupBy(*keys).agg(any_row, C.distinct_join("variable").alias("variables"), F.count("*").alias("n"), C.distinct_join("form").alias("forms"))
-    form_check = Check("source_form_outside_dataset_config", "high", F.lit(True), F.col("variables"), F.col("n"), "accepted_forms", F.lit(";".join(scope.forms)), F.concat(F.lit("forms outside the configuration: "), "forms"))
-    source = long.where(F.col("variable").isin(SOURCE))
-    other = C.is_true(C.number("fy") != C.number("company_year"))
-    mixed = source.groupBy(*keys).agg(
-        any_row,
-        C.distinct_join("variable").alias("variables"),
-        C.distinct_join(F.when(other, F.col("variable"))).alias("other_variables"),
-        C.distinct_join(F.when(other, F.col("fy"))).alias("other_years"),
-        F.count_if(other).alias("others"),
-        *[F.count_distinct(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(f"n_{c}") for c in ("fy", "accn", "end")],
-        *[C.distinct_join(c).alias(f"all_{c}") for c in ("fy", "end")],
-    )
-    checks = [
-        Check("source_fy_differs_from_company_year", "medium", F.col("others") > 0, F.col("other_variables"), F.col("other_years"), "company_year", F.col("company_year"), "the source's fiscal year isn't the company year"),
-        Check("mixed_source_fiscal_years", "medium", F.col("n_fy") > 1, F.col("variables"), F.col("all_fy"), details="core variables come from several fiscal years"),
-        Check("mixed_source_accessions", "low", F.col("n_accn") > 1, F.col("variables"), F.col("n_accn"), details="core variables come from several filings"),
-        Check("mixed_source_period_ends", "medium", F.col("n_end") > 1, F.col("variables"), F.col("all_end"), details="core variables have several period ends"),
-    ]
+    foreign = long.where(is_foreign(F.col("form"), scope))
+    forms = foreign.groupBy(*keys).agg(any_row, C.distinct_join("variable").alias("variables"), F.count("*").alias("n"), C.distinct_join("form").alias("forms"))
+    mixed = long.where(F.col("variable").isin(SOURCE)).groupBy(*keys).agg(any_row, *source_columns(F.col))
     rest = [c for c in mixed.columns if c not in keys + ["first"]]
-    by_form = run_checks(forms.select("first.*", "variables", "n", "forms"), [form_check])
-    return by_form.unionByName(run_checks(mixed.select("first.*", *rest), checks))
+    by_form = run_checks(forms.select("first.*", "variables", "n", "forms"), [form_check(scope)])
+    return by_form.unionByName(run_checks(mixed.select("first.*", *rest), source_checks()))
 
 
 def consistency_warnings(wide: DataFrame, long: DataFrame) -> DataFrame:
@@ -271,59 +297,203 @@ def consistency_warnings(wide: DataFrame, long: DataFrame) -> DataFrame:
     keys = ["cik10", "company_year"]
     context = F.min(F.struct(*_context(long))).alias("first")
     copies = long.groupBy(*keys, "variable").agg(context, F.count("*").alias("n")).where("n > 1").select("first.*", "variable", "n")
-    parts = [run_checks(copies, [Check("long_duplicate_company_year_variable", "high", F.lit(True), F.col("variable"), F.col("n"), details="more than one selected fact for the key")])]
+    parts = [run_checks(copies, [copies_check(F.col("variable"), F.col("n"))])]
     for name, left, right in (("wide_company_year_missing_from_long", wide, long), ("long_company_year_missing_from_wide", long, wide)):
         n = panel.missing_keys(left, right).agg(F.count("*").alias("n"))
-        parts.append(dataset_warning(n, name, "high", F.col("n") > 0, F.col("n"), details="company-years of one panel that the other lacks"))
+        parts.append(dataset_warning(n, name, "high", F.col("n") > 0, F.col("n"), details=LACKING))
     present = [v for v in schemas.VARIABLES if v in wide.columns]
     melted = panel.long(wide, present, value="wide_value")
     selected = long.select(*keys, "variable", C.number("value").alias("long_value"))
     off = panel.mismatches(melted, selected, keys=[*keys, "variable"], left_value="wide_value", right_value="long_value", tolerance=WIDE_LONG_GAP)
-    check = Check("wide_value_differs_from_long", "high", F.lit(True), F.col("variable"), F.col("wide_value"), "long_value", F.col("long_value"), "the two panels don't hold the same value", numbers=True)
-    return reduce(DataFrame.unionByName, parts, run_checks(off, [check]))
+    return reduce(DataFrame.unionByName, parts, run_checks(off, [value_check(F.col("variable"), F.col("wide_value"), F.col("long_value"))]))
+
+
+LACKING = "company-years of one panel that the other lacks"
+
+
+def copies_check(variable: Column, n: Column) -> Check:
+    return Check("long_duplicate_company_year_variable", "high", n > 1, variable, n, details="more than one selected fact for the key")
+
+
+def value_check(variable: Column, wide_value: Column, long_value: Column) -> Check:
+    return Check("wide_value_differs_from_long", "high", F.lit(True), variable, wide_value, "long_value", long_value, "the two panels don't hold the same value", numbers=True)
+
+
+#: (variable, tag of its derived facts, sources, formula)
+FORMULAS = [
+    ("assets", derive.ASSETS_TAG, ["liabilities_and_equity"], lambda t: t),
+    ("liabilities", derive.LIABILITIES_TAG, ["liabilities_and_equity", "equity"], lambda t, e: t - e),
+    ("operating_costs", derive.COSTS_TAG, ["revenues", "ebit"], lambda r, e: r - e),
+]
+
+
+def formula_checks(columns: Sequence[str]) -> dict[str, Check]:
+    """For each derived variable that the wide panel can check, the check of its value."""
+    return {
+        v: Check(f"derived_{v}_formula_mismatch", "high", C.differs(v, formula(*[F.col(s) for s in sources]), FORMULA_GAP), v, F.col(v), sources[0], F.col(sources[0]), "the derived value isn't what its sources give", numbers=True)
+        for v, _, sources, formula in FORMULAS
+        if {v, *sources} <= set(columns)
+    }
 
 
 def formula_warnings(wide: DataFrame, long: DataFrame) -> DataFrame | None:
     """Derived values that aren't what their formula gives from the wide panel."""
     keys = ["cik10", "company_year"]
-    formulas = [
-        ("assets", derive.ASSETS_TAG, ["liabilities_and_equity"], lambda t: t),
-        ("liabilities", derive.LIABILITIES_TAG, ["liabilities_and_equity", "equity"], lambda t, e: t - e),
-        ("operating_costs", derive.COSTS_TAG, ["revenues", "ebit"], lambda r, e: r - e),
-    ]
-    parts = []
-    for variable, tag, sources, formula in formulas:
-        if not {variable, *sources} <= set(wide.columns):
+    parts, checks = [], formula_checks(wide.columns)
+    for variable, tag, sources, _ in FORMULAS:
+        if variable not in checks:
             continue
         made = long.where((F.col("variable") == variable) & (F.col("namespace") == "derived") & (F.col("tag") == tag)).select(*keys).distinct()
         joined = made.join(wide.select(*schemas.COMPANY, "company_year", variable, *sources), keys, "left")
-        check = Check(f"derived_{variable}_formula_mismatch", "high", C.differs(variable, formula(*[F.col(s) for s in sources]), FORMULA_GAP), variable, F.col(variable), sources[0], F.col(sources[0]), "the derived value isn't what its sources give", numbers=True)
-        parts.append(run_checks(joined, [check]))
+        parts.append(run_checks(joined, [checks[variable]]))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _with_context(bodies: Column, context: Column) -> Column:
+    """Bodies as rows of a warning: each behind its context."""
+    return F.transform(bodies, lambda b: F.struct(*[context[c].alias(c) for c in CONTEXT], *[b[c].alias(c) for c in BODY + NUMBERS]))
+
+
+def _bodies(checks: Sequence[Check], where: Column | None = None, scope: str = "company_year") -> Column:
+    found = [c.body(scope) for c in checks]
+    return F.array_compact(F.array(*[f if where is None else F.when(where, f) for f in found]))
+
+
+def _odd_values(invalid: Column) -> Column:
+    """Bodies of texts that aren't numbers."""
+    return F.transform(
+        invalid,
+        lambda x: F.struct(
+            F.lit("high").alias("severity"), F.lit("non_numeric_financial_value").alias("check_name"), F.lit("company_year").alias("scope"), x["variable"].alias("variable"),
+            C.text(x["raw"]).alias("value"), F.lit("").alias("reference_variable"), F.lit("").alias("reference_value"), F.lit("the value isn't a number").alias("details"),
+            *[F.lit(None).cast("double").alias(n) for n in NUMBERS],
+        ),
+    )
+
+
+def company_years(typed: DataFrame, long: DataFrame, scope: Scope, rules: DataFrame | None, n_rules: int) -> DataFrame:
+    """A row for each company-year of either panel, with what its checks need of both.
+
+    ``ws`` are its rows of the prepared wide panel, ``ls`` its facts (variable, value, context), ``rows``
+    the warnings of single facts; the rest are aggregates.  The rows of both panels are dealt out by
+    company together, which is enough for the groups by year and for the company's own counts.
+    """
+    present = [v for v in schemas.VARIABLES if v in typed.columns]
+    context = F.struct(*_context(typed))
+    left = typed.select("cik10", "company_year", F.struct(context.alias("context"), *present, "year", "invalid").alias("w"))
+    known = with_rules_known(long, rules, n_rules)
+    found = _with_context(_bodies(long_checks(rules is not None)), F.struct(*_context(long)))
+    facts = known.select(
+        "cik10",
+        "company_year",
+        F.struct(F.struct(*_context(long)).alias("context"), F.col("company_year"), *[F.col(c) for c in ("variable", "namespace", "tag", "form", "fy", "accn", "end")], C.number("value").alias("value"), found.alias("found")).alias("l"),
+    )
+    both = left.unionByName(facts, allowMissingColumns=True).repartition("cik10")
+    fact, is_fact, is_wide = F.col("l"), F.col("l").isNotNull(), F.col("w").isNotNull()
+    foreign, source = is_fact & is_foreign(F.col("l.form"), scope), is_fact & fact["variable"].isin(SOURCE)
+    made = {v: is_fact & (fact["variable"] == v) & (fact["namespace"] == "derived") & (fact["tag"] == tag) for v, tag, _, _ in FORMULAS}
+    grouped = both.groupBy("cik10", "company_year").agg(
+        F.collect_list("w").alias("ws"),
+        F.collect_list(F.when(is_fact, F.struct(fact["variable"].alias("variable"), fact["value"].alias("value"), fact["context"].alias("context")))).alias("ls"),
+        F.flatten(F.collect_list("l.found")).alias("rows"),
+        F.min(F.when(foreign, fact["context"])).alias("foreign_context"),
+        C.distinct_join(F.when(foreign, fact["variable"])).alias("variables"),
+        F.count_if(foreign).alias("n"),
+        C.distinct_join(F.when(foreign, fact["form"])).alias("forms"),
+        F.min(F.when(source, fact["context"])).alias("source_context"),
+        *source_columns(lambda c: F.when(source, fact[c])),
+        *[F.coalesce(F.bool_or(m), F.lit(False)).alias(f"made_{v}") for v, m in made.items()],
+        F.count("l").alias("n_facts"),
+        F.count_if(is_fact & (fact["namespace"] != "derived")).alias("n_own"),
+        F.count_if(is_fact & (fact["variable"] == "revenues")).alias("n_revenues"),
+        F.min(F.when(is_wide, F.struct(C.text("company_year").alias("at"), C.text("w.context.research_universe_id").alias("id"), F.col("w.context").alias("context")))).alias("own_first"),
+        *[F.count(f"w.{v}").alias(f"own_{v}") for v in CORE if v in present],
+    )
+    company = Window.partitionBy("cik10")
+    sums = {"years": F.sum(F.size("ws").cast("long")).over(company), "first": F.min("own_first").over(company)} | {f"n_{v}": F.sum(f"own_{v}").over(company) for v in CORE if v in present}
+    place = F.row_number().over(company.orderBy(F.col("own_first").asc_nulls_last(), "company_year"))
+    return grouped.withColumns(sums).withColumn("leads", place == 1)
+
+
+def judged_years(years: DataFrame, present: Sequence[str], scope: Scope, this_year: int | Column) -> DataFrame:
+    """``found``, the warnings of company-years, and what the checks of the whole dataset count.
+
+    A year comes once for each of its rows of the wide panel, or once without any; its groups are
+    judged with the first of them.
+    """
+    opened = years.select("*", F.posexplode_outer("ws").alias("place", "w"))
+    rows = opened.select(*[c for c in opened.columns if c not in ("ws", "w")], F.col("w.context").alias("context"), *[F.col(f"w.{c}").alias(c) for c in (*present, "year", "invalid")], F.size("ws").alias("__copies"))
+    is_wide = F.col("place").isNotNull()
+    once = F.coalesce(F.col("place") == 0, F.lit(True))
+    has_keys = F.col("cik10").isNotNull() & F.col("company_year").isNotNull()  # null keys have no partner
+    none = F.filter("ls", lambda _: F.lit(False))
+    facts = F.when(has_keys, F.col("ls")).otherwise(none)
+    cells = F.map_from_arrays(F.array(*[F.lit(v) for v in present]), F.array(*[F.col(v) for v in present]))
+    key = F.struct(*[(C.text(c) if c in ("cik10", "company_year") else F.lit("")).alias(c) for c in CONTEXT])
+    off = F.filter("facts", lambda x: F.col("cells")[x["variable"]].isNotNull() & (x["value"].isNull() | (F.abs(F.col("cells")[x["variable"]] - x["value"]) > WIDE_LONG_GAP)))
+    filled = F.array_compact(F.array(*[F.when(F.col(v).isNotNull(), F.lit(v)) for v in present]))
+    alone = F.filter(filled, lambda v: ~F.array_contains(F.transform("facts", lambda x: x["variable"]), v))
+    named = F.transform("ls", lambda x: x["variable"])
+    several = F.when(F.size("named") > F.size(F.array_distinct("named")), F.filter(F.array_distinct("named"), lambda v: F.size(F.filter("named", lambda u: u.eqNullSafe(v))) > 1)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({"facts": facts, "cells": cells, "named": named}).withColumn("several", several)
+
+    def of_variable(v: Column) -> Column:
+        return F.filter("ls", lambda x: x["variable"].eqNullSafe(v))
+
+    wide = _bodies([*wide_checks(rows, scope, this_year), *[Check(c.name, c.severity, c.condition & F.col(f"made_{v}") & has_keys, c.variable, c.value, c.reference, c.reference_value, c.details, c.numbers) for v, c in formula_checks(present).items()]], is_wide)
+    parts = [
+        F.when(once, F.col("rows")),
+        _with_context(F.concat(wide, F.coalesce(_odd_values(F.col("invalid")), F.array_compact(F.array(F.lit(None).cast(_BODY_TYPE))))), F.col("context")),
+        _with_context(_bodies(coverage_checks([v for v in CORE if v in present]), once & F.col("leads"), "company"), F.col("first.context")),
+        _with_context(_bodies([form_check(scope)], once), F.col("foreign_context")),
+        _with_context(_bodies(source_checks(), once), F.col("source_context")),
+        F.when(once, F.flatten(F.transform("several", lambda v: _with_context(F.array(copies_check(v, F.size(of_variable(v)).cast("long")).body()), F.array_min(F.transform(of_variable(v), lambda x: x["context"])))))),
+        F.when(is_wide, _with_context(F.transform(off, lambda x: value_check(x["variable"], F.col("cells")[x["variable"]], x["value"]).body()), key)),
+        F.when(is_wide, _with_context(F.transform(alone, lambda v: value_check(v, F.col("cells")[v], F.lit(None).cast("double")).body()), key)),
+    ]
+    empty = F.filter("rows", lambda _: F.lit(False))
+    counts = {
+        "n_facts": F.when(once, F.col("n_facts")), "n_own": F.when(once, F.col("n_own")), "n_revenues": F.when(once, F.col("n_revenues")),
+        "lacks_long": (once & is_wide & (~has_keys | (F.col("n_facts") == 0))).cast("long"), "lacks_wide": (once & (F.col("n_facts") > 0) & (~has_keys | ~is_wide)).cast("long"),
+    }
+    return rows.select(F.concat(*[F.coalesce(p, empty) for p in parts]).alias("found"), *[c.alias(n) for n, c in counts.items()])
+
+
+_BODY_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in BODY] + [T.StructField(c, T.DoubleType()) for c in NUMBERS])
+
+
 def all_warnings(wide: DataFrame, long: DataFrame, scope: Scope, rules: Sequence[Rule], *, this_year: int | Column | None = None) -> DataFrame:
-    """The warnings of all checks, unordered.  ``wide`` and ``long`` as read or as built."""
+    """The warnings of all checks, unordered.  ``wide`` and ``long`` as read or as built, each read once.
+
+    The company-years' warnings are written to the shared folder, so that the counts for the checks of
+    the whole dataset and the warnings themselves come from one pass.
+    """
     schemas.require_columns(long, schemas.LONG, "long panel")
     spark = wide.sparkSession
     typed = prepare_wide(wide)
-    one = spark.range(1)
+    present = [v for v in schemas.VARIABLES if v in wide.columns]
     year = C.year_of_utc_now() if this_year is None else this_year
-    parts = [missing_columns_warning(wide), wide_warnings(typed, scope, year), coverage_warnings(typed)]
-    if long.isEmpty():
-        parts.append(dataset_warning(one, "long_facts_not_available", "low", F.lit(True), details="no long facts: their checks were left out"))
+    table = rules_frame(spark, list(rules)) if rules else None
+    years = company_years(typed, long, scope, table, len(rules))
+    judged = checkpoint(judged_years(years, present, scope, year))
+    n = judged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in judged.columns if c != "found"]).first()  # one row
+    one = spark.range(1)
+
+    def of_dataset(name: str, severity: str, holds: bool, value: int | None = None, details: str = "") -> DataFrame:
+        return dataset_warning(one, name, severity, F.lit(holds), None if value is None else F.lit(value), details=details)
+
+    found = judged.select(F.explode("found").alias("w")).select("w.*")
+    parts = [missing_columns_warning(wide)]
+    if not n["n_facts"]:
+        found = found.where("check_name <> 'wide_value_differs_from_long'")  # nothing to compare with
+        parts.append(of_dataset("long_facts_not_available", "low", True, details="no long facts: their checks were left out"))
     else:
-        table = rules_frame(spark, list(rules)) if rules else None
-        parts += [consistency_warnings(typed, long), long_rows(long, scope, table, len(rules)), long_groups(long, scope)]
-        formulas = formula_warnings(typed, long)
-        if formulas is not None:
-            parts.append(formulas)
+        parts.append(of_dataset("wide_company_year_missing_from_long", "high", n["lacks_long"] > 0, n["lacks_long"], LACKING))
+        parts.append(of_dataset("long_company_year_missing_from_wide", "high", n["lacks_wide"] > 0, n["lacks_wide"], LACKING))
         if table is None:
-            own = long.agg(F.count_if(F.col("namespace") != "derived").alias("n"))
-            parts.append(dataset_warning(own, "sec_tags_config_not_available", "high", F.col("n") > 0, details="no tag rules: tags weren't checked"))
-    revenues = long.agg(F.count_if(F.col("variable") == "revenues").alias("n"))
-    parts.append(dataset_warning(revenues, "revenue_metadata_not_available", "low", F.col("n") == 0, details="no revenue facts: their periods weren't checked"))
-    return reduce(DataFrame.unionByName, parts)
+            parts.append(of_dataset("sec_tags_config_not_available", "high", n["n_own"] > 0, details="no tag rules: tags weren't checked"))
+    parts.append(of_dataset("revenue_metadata_not_available", "low", not n["n_revenues"], details="no revenue facts: their periods weren't checked"))
+    return reduce(DataFrame.unionByName, parts, _shown(found))
 
 
 def _severity_rank(c: str = "severity") -> Column:
@@ -337,16 +507,22 @@ def ranked(warnings: DataFrame) -> DataFrame:
 
 
 def summary(warnings: DataFrame) -> DataFrame:
-    """(severity, check_name, warning_count, company_count, company_year_count, first_warning_id).
+    """(severity, check_name, warning_count, company_count, company_year_count, first_warning_id), unordered.
 
-    ``company_year_count`` is null for checks without company-years.
+    Warnings are numbered by severity and check first, so a check's first number follows from how many
+    warnings the checks before it have; ``warnings`` needn't be numbered.  Companies and their years are
+    counted by grouping step by step, each step a smaller one.  ``company_year_count`` is null for checks
+    without company-years.
     """
+    check = ["severity", "check_name"]
     known = (C.strip("cik10") != "") & (C.strip("company_year") != "")
-    years = F.count_distinct(F.when(known, F.struct("cik10", "company_year")))
-    grouped = warnings.groupBy("severity", "check_name").agg(
-        F.count("*").alias("warning_count"),
-        F.count_distinct(F.nullif(F.col("cik10"), F.lit(""))).alias("company_count"),
-        F.nullif(years, F.lit(0)).alias("company_year_count"),
-        F.min("warning_id").alias("first_warning_id"),
-    )
-    return grouped.orderBy(_severity_rank(), F.col("warning_count").desc(), "check_name").select(*schemas.SUMMARY)
+    by_year = warnings.groupBy(*check, F.nullif(F.col("cik10"), F.lit("")).alias("company"), F.when(known, F.struct("cik10", "company_year")).alias("year")).agg(F.count("*").alias("n"))
+    by_company = by_year.groupBy(*check, "company").agg(F.sum("n").alias("n"), F.count("year").alias("years"))
+    counted = by_company.groupBy(*check).agg(F.sum("n").alias("warning_count"), F.count("company").alias("company_count"), F.nullif(F.sum("years"), F.lit(0)).alias("company_year_count"))
+    before = Window.orderBy(_severity_rank(), "check_name").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each check
+    return counted.withColumn("first_warning_id", F.coalesce(F.sum("warning_count").over(before), F.lit(0)) + 1).select(*schemas.SUMMARY)
+
+
+def summary_order() -> list[Column]:
+    """Severity, then the most frequent check first."""
+    return [_severity_rank(), F.col("warning_count").desc(), F.col("check_name")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import derive, panel, quality
-from ..operators.numbering import checkpoint, numbered
+from ..operators.numbering import numbered
 from ..sources import schemas
 from ..sources.config import Rule, Scope
 from .driver import companies, query, table
@@ -202,21 +202,20 @@ NUMBERED_SQL = f"{ALL_SQL}, n AS (SELECT row_number() OVER (ORDER BY {_ORDER}) A
 
 
 def odd_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered warnings of the odd panel."""
-    found = quality.all_warnings(odd_wide(spark, sf_dir), odd_long(spark, sf_dir), SCOPE, RULES, this_year=THIS_YEAR)
-    return quality.ranked(checkpoint(found))
+    """The warnings of the odd panel."""
+    return quality.all_warnings(odd_wide(spark, sf_dir), odd_long(spark, sf_dir), SCOPE, RULES, this_year=THIS_YEAR)
 
 
 @query(f"WITH {NUMBERED_SQL} SELECT * FROM n")
 def all_checks_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return odd_warnings(spark, sf_dir).select("warning_id", *COLUMNS)
+    return quality.ranked(odd_warnings(spark, sf_dir)).select("warning_id", *COLUMNS)
 
 
 @query(f"""WITH {NUMBERED_SQL}, s AS (SELECT severity, check_name, count(*) AS warning_count, count(DISTINCT nullif(cik10, '')) AS company_count,
   count(DISTINCT CASE WHEN cik10 <> '' AND company_year <> '' THEN (cik10, company_year) END) AS company_year_count, min(warning_id) AS first_warning_id FROM n GROUP BY 1, 2)
 SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, warning_count DESC, check_name) AS place FROM s""")
 def all_checks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed(quality.summary(odd_warnings(spark, sf_dir))).na.fill(0, ["company_year_count"])
+    return numbered(quality.summary(odd_warnings(spark, sf_dir)), quality.summary_order(), "place").na.fill(0, ["company_year_count"])
 
 
 def placed(df: DataFrame) -> DataFrame:

@@ -248,7 +248,7 @@ def excluded_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, warning_count DESC, check_name) AS place, * FROM s) WHERE place <= 10""")
 def summary_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten rows of the summary of warnings, which a run shows."""
-    return placed(quality.summary(checks.odd_warnings(spark, sf_dir)).limit(10)).select("place", "severity", "check_name", "warning_count")
+    return placed(quality.summary(checks.odd_warnings(spark, sf_dir)).orderBy(*quality.summary_order()).limit(10)).select("place", "severity", "check_name", "warning_count")
 
 
 @query(f"WITH {FACTS_SQL} SELECT cik10, string_agg(DISTINCT form, ';' ORDER BY form) AS forms, count(DISTINCT accn) AS filings FROM facts GROUP BY cik10")

@@ -126,8 +126,8 @@ def write_panel(result: Panel, folder: str) -> None:
 
 def check_panel(result_wide: DataFrame, result_long: DataFrame, scope: Scope, rules: Sequence[Rule], *, this_year: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(numbered warnings, summary) of a panel."""
-    warnings = quality.ranked(quality.all_warnings(result_wide, result_long, scope, rules, this_year=this_year))
-    return warnings, quality.summary(warnings)
+    found = quality.all_warnings(result_wide, result_long, scope, rules, this_year=this_year)
+    return quality.ranked(found), quality.summary(found).orderBy(*quality.summary_order())
 
 
 def run(spark: SparkSession, metadata: DataFrame, documents: DataFrame, rules: Sequence[Rule], scope: Scope, folder: str, *, this_year: int | None = None) -> Panel:

@@ -1,5 +1,6 @@
 """The check catalogue on hand-written panels."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -164,6 +165,69 @@ def test_dataset_checks_and_numbers(spark):
     assert nothing.count() == 0 and quality.summary(nothing).count() == 0
 
 
+def random_panels(spark, seed, n=60):
+    """A wide and a long panel with everything that can be odd: repeated, blank and null keys, texts that aren't numbers, missing partners."""
+    rng = random.Random(seed)
+    keys = [(rng.randint(1, 9), rng.choice(["2012", "2013", "2014", "2015", "2016", "2017", "odd", "", None, "2050"])) for _ in range(n)]
+    value = lambda: rng.choice([None, "1", "-5", "100", "104.5", "2000", "x", " "])
+    wide = wide_of(spark, [(c, y, {v: value() for v in schemas.VARIABLES if rng.random() < 0.7}) for c, y in keys])
+    rows = []
+    for c, y in keys[: n // 2] + [(rng.randint(8, 12), "2014") for _ in range(10)]:
+        for variable in rng.choices(schemas.VARIABLES, k=rng.randint(0, 9)):
+            year = y if (y or "").isdigit() else "2014"
+            changes = {"form": rng.choice(["10-K", "10-K", " 10-k", "8-K"]), "fy": rng.choice([year, year, "2001", None, ""]), "accn": rng.choice("aab"), "end": rng.choice([f"{year}-12-31", f"{year}-12-31", f"{year}-09-30", None, "x"])}
+            changes |= {"start": rng.choice([f"{year}-01-01", f"{year}-10-01", None]), "filed": rng.choice([f"{int(year) + 1}-02-01", f"{year}-01-01", None]), "unit": rng.choice(["USD", "EUR", None]), "fp": rng.choice(["FY", "Q1", None])}
+            made = {"assets": "LiabilitiesAndStockholdersEquityAsAssets", "operating_costs": "RevenuesLessOperatingIncomeLoss"}.get(variable)
+            if made and rng.random() < 0.6:
+                changes |= {"namespace": "derived", "tier": rng.choice(["derived", "tier_1"]), "tag": made}
+            elif rng.random() < 0.2:
+                changes |= {"tag": rng.choice(["Other", None])}
+            rows.append((c, year, variable, rng.choice(["1", "100", "x", None]), changes))
+    long = long_of(spark, rows)
+    odd = F.when(F.col("cik") == "9", F.lit(None)).when(F.col("cik") == "8", F.lit("")).otherwise(F.col("cik10"))
+    return wide.withColumn("cik10", odd), long.withColumn("cik10", odd)
+
+
+def part_by_part(wide, long, rules):
+    """The catalogue by the functions that each run a part of it, in one union."""
+    spark, typed = wide.sparkSession, quality.prepare_wide(wide)
+    table = config.rules_frame(spark, rules) if rules else None
+    parts = [quality.wide_warnings(typed, SCOPE, 2026), quality.coverage_warnings(typed), quality.consistency_warnings(typed, long), quality.long_rows(long, SCOPE, table), quality.long_groups(long, SCOPE), quality.formula_warnings(typed, long)]
+    return sorted(str(tuple(r)) for p in parts for r in p.collect())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_pass_gives_what_the_parts_give(spark, seed):
+    wide, long = random_panels(spark, seed)
+    rules = RULES if seed % 2 else []
+    found = quality.all_warnings(wide, long, SCOPE, rules, this_year=2026).collect()
+    single = {"financial_variables_missing_from_wide", "sec_tags_config_not_available", "revenue_metadata_not_available"}
+    assert sorted(str(tuple(r)) for r in found if r["check_name"] not in single) == part_by_part(wide, long, rules)
+    assert len({r["check_name"] for r in found}) > 30
+
+
+def test_each_panel_is_read_and_dealt_out_once(spark, tmp_path):
+    wide, long = random_panels(spark, 1)
+    wide.write.parquet(str(tmp_path / "wide"))
+    long.write.parquet(str(tmp_path / "long"))
+    wide, long = (spark.read.parquet(str(tmp_path / n)) for n in ("wide", "long"))
+    years = quality.company_years(quality.prepare_wide(wide), long, SCOPE, config.rules_frame(spark, RULES), len(RULES))
+    plan = quality.judged_years(years, schemas.VARIABLES, SCOPE, 2026)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    assert len([line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "cik10" in line]) == 1
+
+
+def test_summary_counts_from_unnumbered_warnings(spark):
+    found = quality.all_warnings(*random_panels(spark, 2), SCOPE, RULES, this_year=2026)
+    rows = quality.ranked(found).collect()
+    for s in quality.summary(found).collect():
+        mine = [r for r in rows if (r["severity"], r["check_name"]) == (s["severity"], s["check_name"])]
+        years = {(r["cik10"], r["company_year"]) for r in mine if r["cik10"].strip() and r["company_year"].strip()}
+        assert (s["warning_count"], s["company_count"], s["company_year_count"], s["first_warning_id"]) == (len(mine), len({r["cik10"] for r in mine if r["cik10"]}), len(years) or None, min(r["warning_id"] for r in mine))
+    plan = quality.summary(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
 def test_numbers_are_dense_over_many_partitions(spark):
     from factpanel.operators.numbering import numbered
 
