@@ -73,9 +73,19 @@ def join_items(c: Column | str, separator: str = ";") -> Column:
     return F.coalesce(F.array_join(col(c), separator), F.lit(""))
 
 
+def distinct_set(c: Column | str) -> Column:
+    """An aggregate: the distinct non-blank values in order, as a list."""
+    return F.array_sort(F.collect_set(F.nullif(col(c).cast("string"), F.lit(""))))
+
+
+def merged_sets(c: Column | str) -> Column:
+    """An aggregate of lists of distinct values: all their values in order, each once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(col(c)))))
+
+
 def distinct_join(c: Column | str, separator: str = ";") -> Column:
     """An aggregate: the distinct non-blank values in order, joined."""
-    return F.array_join(F.array_sort(F.collect_set(F.nullif(col(c).cast("string"), F.lit("")))), separator)
+    return F.array_join(distinct_set(c), separator)
 
 
 def first_name(*names: Column | str) -> Column:

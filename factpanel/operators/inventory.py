@@ -9,29 +9,30 @@ from ..functions import columns as C
 from ..sources import facts, schemas
 
 
-def tag_inventory(opened: DataFrame) -> DataFrame:
-    """(namespace, tag, label, description, units, forms, company_count, company_year_count, fact_count).
+def tag_inventory(documents: DataFrame) -> DataFrame:
+    """(namespace, tag, label, description, units, forms, company_count, company_year_count, fact_count) of documents (source_file, text).
 
     A company counts as soon as it has the tag; a unit as soon as it is named; ``fact_count`` takes the
     lengths of the lists, with whatever is in them.  Label and description are the first non-empty
-    ones in order of file.
+    ones in order of file.  A document is parsed once and its tags, units and facts are opened in one
+    pass; distinct companies and years are counted by grouping from a company's year to the tag.
     """
-    keyed = opened.withColumn("cik10", C.company_key_or_file("cik", "source_file"))
-    tags = facts.explode_tags(keyed).select("cik10", "source_file", "namespace", "tag", "payload")
     keys = ["namespace", "tag"]
-
-    def first_text(field: str):
-        value = F.nullif(C.text(F.get_json_object("payload", f"$.{field}")), F.lit(""))
-        return F.coalesce(F.min(F.when(value.isNotNull(), F.struct("source_file", value.alias("v"))))["v"], F.lit("")).alias(field)
-
-    by_tag = tags.groupBy(*keys).agg(first_text("label"), first_text("description"), F.count_distinct("cik10").alias("company_count"))
-    units = facts.explode_units(tags.select("cik10", *keys, "payload"))
-    by_unit = units.groupBy(*keys).agg(C.distinct_join("unit").alias("units"), F.sum(F.coalesce(F.size("items"), F.lit(0)).cast("long")).alias("fact_count"))
-    found = facts.explode_facts(units).select("cik10", *keys, "form", C.inventory_year("fy", "end").alias("year"))
-    by_fact = found.groupBy(*keys).agg(
-        C.distinct_join("form").alias("forms"),
-        F.count_distinct(F.when(F.col("year") != "", F.struct("cik10", "year"))).alias("company_year_count"),
+    tags = facts.whole_tags(documents).withColumn("cik10", C.company_key_or_file("cik", "source_file"))
+    units = tags.select("cik10", "source_file", *keys, "label", "description", F.explode_outer("units").alias("unit", "items"))
+    opened = units.select("*", F.posexplode_outer("items").alias("place", "fact"))
+    year = F.when(F.col("fact").isNotNull(), C.inventory_year("fact.fy", "fact.end"))
+
+    def first_text(c: str):
+        return F.min(F.when(C.text(c) != "", F.struct("source_file", F.col(c).alias("v")))).alias(c)
+
+    size = F.when(F.coalesce(F.col("place"), F.lit(0)) == 0, F.coalesce(F.array_size("items"), F.lit(0))).otherwise(0)
+    texts, lists = ["label", "description"], ["units", "forms"]
+    by_year = opened.groupBy("cik10", *keys, year.alias("year")).agg(
+        *map(first_text, texts), C.distinct_set("unit").alias("units"), C.distinct_set("fact.form").alias("forms"), F.sum(size.cast("long")).alias("fact_count")
     )
-    joined = by_tag.join(by_unit, keys, "left").join(by_fact, keys, "left")
-    filled = joined.na.fill("", ["units", "forms"]).na.fill(0, ["fact_count", "company_year_count"])
-    return filled.select(*schemas.INVENTORY).orderBy(*keys)
+    merged = [*[F.min(c).alias(c) for c in texts], *[C.merged_sets(c).alias(c) for c in lists], F.sum("fact_count").alias("fact_count")]
+    by_company = by_year.groupBy("cik10", *keys).agg(*merged, F.count_if(F.col("year") != "").alias("years"))
+    whole = by_company.groupBy(*keys).agg(*merged, F.count("cik10").alias("company_count"), F.sum("years").alias("company_year_count"))
+    shown = {c: F.coalesce(F.col(c)["v"], F.lit("")) for c in texts} | {c: F.array_join(c, ";") for c in lists}
+    return whole.withColumns(shown).select(*schemas.INVENTORY).orderBy(*keys)

@@ -13,13 +13,17 @@ from ..sources import schemas
 
 
 def _usage(long: DataFrame, keys: Sequence[str], observations: str, companies: str, years: str, *, company: str = "cik10", year: str = "company_year") -> DataFrame:
-    return long.groupBy(*keys).agg(
-        F.count("*").alias(observations),
-        F.count_distinct(company).alias(companies),
-        F.count_distinct(F.struct(company, year)).alias(years),
-        C.distinct_join("unit").alias("units"),
-        C.distinct_join("form").alias("forms"),
-    )
+    """Counts and lists by ``keys``, with exact distinct counts of companies and company-years.
+
+    Groups of a company's year are grouped to its own and those to the keys', each step adding up what
+    the one before has counted, so no row is copied for a count.  Rows that are dealt out by company
+    are shuffled for the last step only, which is a row for each key and task.
+    """
+    by_year = long.groupBy(company, year, *keys).agg(F.count("*").alias("n"), C.distinct_set("unit").alias("units"), C.distinct_set("form").alias("forms"))
+    merged = [C.merged_sets(c).alias(c) for c in ("units", "forms")]
+    by_company = by_year.groupBy(company, *keys).agg(F.sum("n").alias("n"), F.count("*").alias("years"), *merged)
+    whole = by_company.groupBy(*keys).agg(F.sum("n").alias(observations), F.count(company).alias(companies), F.sum("years").alias(years), *merged)
+    return whole.withColumns({c: F.array_join(c, ";") for c in ("units", "forms")})
 
 
 def _ratio(part: Column, whole: int) -> Column:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import classify, derive, inventory, quality, select
+from ..operators import classify, derive, inventory, panel, quality, select
 from ..operators.numbering import checkpoint, use_shared_folder
 from ..sources import config, facts, tables
 from ..sources.config import Rule, rules_frame
 from . import checks, pipeline
 from .checks import placed
-from .driver import BEST_SQL, CLASSIFIED_SQL, FACTS_SQL, RULES_SQL, SCOPE, companies, line_facts, part_companies, query, table
+from .driver import BEST_SQL, CLASSIFIED_SQL, FACTS_SQL, RULES_SQL, SCOPE, WIDE_SQL, _long_sql, companies, line_facts, orders_wide, part_companies, query, table
 
 # ---------------------------------------------------------------- documents to a panel
 
@@ -229,6 +229,26 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path, ["cik10", "text"], compat_missing=True)
 
 
+_COMPARED = ["assets", "liabilities", "cash"]
+
+
+@query(f"""WITH {WIDE_SQL}, w AS (SELECT * FROM wide WHERE CAST(cik10 AS BIGINT) % 9 <> 4), l AS (SELECT cik10, company_year, variable, CASE WHEN CAST(company_year AS INTEGER) % 3 = 0 THEN value + 1 ELSE value END AS value
+  FROM ({_long_sql(_COMPARED)}) WHERE CAST(cik10 AS BIGINT) % 11 <> 5 AND NOT (variable = 'cash' AND CAST(company_year AS INTEGER) % 4 = 1)),
+m AS ({_long_sql(_COMPARED, "w")})
+SELECT cik10, company_year, 'missing_from_long' AS finding, NULL AS variable, NULL::DOUBLE AS wide_value, NULL::DOUBLE AS long_value FROM (SELECT cik10, company_year FROM w EXCEPT SELECT cik10, company_year FROM l) a
+UNION ALL SELECT cik10, company_year, 'missing_from_wide', NULL, NULL, NULL FROM (SELECT cik10, company_year FROM l EXCEPT SELECT cik10, company_year FROM w) b
+UNION ALL SELECT m.cik10, m.company_year, 'differs', variable, m.value, l.value FROM m LEFT JOIN l USING (cik10, company_year, variable) WHERE l.value IS NULL OR abs(m.value - l.value) > 0.5""")
+def panel_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide and the long panel of orders, stored by company and year, and all that they differ in."""
+    wide, number = orders_wide(spark, sf_dir), F.col("cik10").cast("long")
+    year = F.col("company_year").cast("int")
+    long = panel.long(wide, _COMPARED).where((number % 11 != 5) & ~((F.col("variable") == "cash") & (year % 4 == 1)))
+    long = long.withColumn("value", F.col("value") + F.when(year % 3 == 0, 1).otherwise(0))
+    run, buckets = uuid.uuid4().hex, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = [tables.write_bucketed(df, f"{name}_{run}", panel.KEYS, buckets, f"{use_shared_folder(spark)}/{name}-{run}") for name, df in (("wide", wide.where(number % 9 != 4)), ("long", long))]
+    return panel.compare(*stored, _COMPARED, tolerance=0.5)
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed,
   CASE WHEN o_orderkey % 5 < 2 THEN year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) ELSE 0 END AS number, lpad(CAST(o_orderkey % 1300 AS VARCHAR), 4, '0') AS year_end FROM orders""")
 def odd_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ FACT_FIELDS = ["val", "fy", "fp", "form", "filed", "accn", "frame", "start", "en
 FACT = "struct<" + ",".join(f"{f}:string" for f in FACT_FIELDS) + ">"
 MAP = "map<string,string>"
 TOP = "struct<cik:string,facts:string,_corrupt:string>"
+TAG = f"struct<label:string,description:string,units:map<string,array<{FACT}>>>"
+WHOLE = f"struct<cik:string,facts:map<string,map<string,{TAG}>>,_corrupt:string>"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -71,5 +73,32 @@ def explode_facts(units: DataFrame) -> DataFrame:
     return rows.select(*keep, "fact_order", F.from_json("__fact", FACT).alias("__f")).select(*keep, "fact_order", "__f.*")
 
 
+def _tag_of(payload: Column) -> Column:
+    """A tag's label, description and units, each read for itself."""
+    units = F.get_json_object(payload, "$.units")
+    lists = F.from_json(F.when(_is_object(units), units), MAP)
+    items = lambda x: F.when(C.strip(x).startswith("["), F.from_json(x, "array<string>"))
+    read = lambda x: F.transform(items(x), lambda fact: F.when(_is_object(fact), F.from_json(fact, FACT)))
+    return F.struct(F.get_json_object(payload, "$.label").alias("label"), F.get_json_object(payload, "$.description").alias("description"), F.transform_values(lists, lambda _, x: read(x)).alias("units"))
+
+
+def whole_tags(documents: DataFrame) -> DataFrame:
+    """(source_file, cik, namespace, tag, label, description, units) of documents (source_file, text), each parsed once.
+
+    ``units`` maps a unit to its facts, null for what isn't an object, or to null if it has no list.  A
+    document with a value of another kind somewhere is opened level by level, as ``explode_tags`` and
+    ``explode_units`` do it, so an odd value still costs only itself.
+    """
+    parsed = documents.select("source_file", "text", F.from_json("text", WHOLE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
+    regular = _is_object(F.col("text")) & F.col("p").isNotNull() & F.col("p._corrupt").isNull()
+    top = F.from_json("text", TOP, {"columnNameOfCorruptRecord": "_corrupt"})
+    odd = F.when(_is_object(F.col("text")) & top["_corrupt"].isNull() & _is_object(top["facts"]), F.from_json(top["facts"], MAP))
+    opened = lambda tags: F.transform_values(F.map_filter(F.from_json(F.when(_is_object(tags), tags), MAP), lambda _, x: _is_object(x)), lambda _, x: _tag_of(x))
+    layered = F.transform_values(odd, lambda _, x: opened(x))
+    rows = parsed.select("source_file", F.when(regular, F.col("p.cik")).otherwise(top["cik"]).alias("cik"), F.explode(F.when(regular, F.col("p.facts")).otherwise(layered)).alias("namespace", "tags"))
+    tags = rows.select("source_file", "cik", "namespace", F.explode("tags").alias("tag", "t")).where("t is not null")
+    return tags.select("source_file", "cik", "namespace", "tag", "t.*")
+
+
 def count_files(documents: DataFrame) -> DataFrame:
     return documents.select(F.count_distinct("source_file").alias("files"))

@@ -126,6 +126,16 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """Written as table ``name`` in ``path``, one sorted file for each bucket of the keys, and read again.
+
+    Tables with the same keys and buckets are joined and grouped by the keys without a shuffle.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     """CSV with a header, nulls as blanks.  A single file is for small results only."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")

@@ -259,6 +259,102 @@ def test_inventory_counts_tags_units_and_facts(spark):
     assert (got["U"]["company_count"], got["U"]["fact_count"], got["U"]["units"]) == (1, 0, "")
 
 
+def odd_document(rng):
+    """A document in which any value may be of another kind, or that breaks off."""
+    odd = lambda: rng.choice([None, 5, "x", [], [1], {}, True])
+    at = lambda make, p=0.95: make() if rng.random() < p else odd()
+    fact = lambda: {k: rng.choice([2012, "2013", "", None, "10-K", "2014-12-31", 1.5]) for k in rng.sample(["fy", "end", "form", "val", "x"], rng.randint(0, 4))}
+    unit = lambda: [at(fact) for _ in range(rng.randint(0, 3))]
+    units = lambda: {u: at(unit) for u in rng.sample(["USD", "EUR", ""], rng.randint(0, 3))}
+    tag = lambda: {"label": rng.choice(["L1", "", None, 7]), "description": rng.choice(["D1", "", "é"]), "units": at(units)}
+    space = lambda: {t: at(tag) for t in rng.sample("ABCD", rng.randint(0, 4))}
+    facts = lambda: {n: at(space) for n in rng.sample(["n", "m"], rng.randint(0, 2))}
+    text = json.dumps({"cik": rng.choice([1, 2, "0000000004", None]), "facts": at(facts)})
+    return text if rng.random() < 0.95 else text[:-2]
+
+
+def plain_inventory(rows):
+    """(namespace, tag) -> the inventory's other columns, in plain Python."""
+    out = {}
+    for source, text in sorted(rows):
+        try:
+            doc = json.loads(text)
+        except ValueError:
+            continue
+        cik = doc["cik"]
+        cik = source[source.index("CIK") + 3 : -5] if cik is None else str(cik).zfill(10)
+        spaces = doc["facts"] if isinstance(doc["facts"], dict) else {}
+        for space, tags in spaces.items():
+            for tag, payload in tags.items() if isinstance(tags, dict) else ():
+                if not isinstance(payload, dict):
+                    continue
+                t = out.setdefault((space, tag), {"label": "", "description": "", "units": set(), "forms": set(), "companies": set(), "years": set(), "n": 0})
+                t["companies"].add(cik)
+                for c in ("label", "description"):
+                    t[c] = t[c] or ("" if payload.get(c) is None else str(payload[c]))
+                units = payload.get("units") if isinstance(payload.get("units"), dict) else {}
+                for unit, items in units.items():
+                    t["units"].add(unit)
+                    items = items if isinstance(items, list) else []
+                    t["n"] += len(items)
+                    for fact in items:
+                        if isinstance(fact, dict):
+                            t["forms"].add("" if fact.get("form") is None else str(fact["form"]))
+                            t["years"].add((cik, fact.get("fy"), fact.get("end")))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_inventory_of_odd_documents(spark, seed):
+    from factpanel.functions import columns as C
+    from factpanel.operators.inventory import tag_inventory
+
+    rng = random.Random(seed)
+    rows = [(f"x/CIK{i:010d}.json", odd_document(rng)) for i in range(150)]
+    df = spark.createDataFrame([*rows, ("n/CIK1.json", None), ("e/CIK2.json", "")], "source_file string, text string").repartition(4)
+    got = {(r["namespace"], r["tag"]): r for r in tag_inventory(df).collect()}
+    want = plain_inventory(rows)
+    assert set(got) == set(want)
+    pairs = sorted({(str(fy) if fy is not None else None, str(end) if end is not None else None) for t in want.values() for _, fy, end in t["years"]}, key=str)
+    years = {(r["fy"], r["end"]): r["y"] for r in spark.createDataFrame(pairs, "fy string, end string").select("*", C.inventory_year("fy", "end").alias("y")).collect()}
+    for key, t in want.items():
+        of = {(c, years[None if fy is None else str(fy), None if end is None else str(end)]) for c, fy, end in t["years"]}
+        shown = (t["label"], t["description"], ";".join(sorted(t["units"] - {""})), ";".join(sorted(t["forms"] - {""})), len(t["companies"]), len({p for p in of if p[1]}), t["n"])
+        assert tuple(got[key])[2:] == shown, key
+
+
+def test_counts_copy_no_rows(spark, built):
+    from factpanel.operators.inventory import tag_inventory
+
+    long = built[-1].long
+    table = config.rules_frame(spark, config.read_rules())
+    docs = spark.createDataFrame([("a", "{}")], "source_file string, text string")
+    for df in (reports.variable_coverage(long, schemas.VARIABLES, table, 1, 1), reports.tag_usage(long, table), tag_inventory(docs)):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_panels_are_compared_without_a_shuffle(spark, tmp_path):
+    panel = panel_ops
+    from factpanel.sources import tables
+
+    rng = random.Random(8)
+    keys = [(rng.choice([None, "1", "2", "3"]), rng.choice([None, "2011", "2012"])) for _ in range(25)]
+    wide = [(*k, rng.choice([None, 1.0, 2.0]), rng.choice([None, 5.0])) for k in keys[:14]]
+    long = [(*k, rng.choice(["a", "b", "c"]), rng.choice([None, 1.0, 2.05, 5.0])) for k in keys[9:]]
+    w, f = spark.createDataFrame(wide, "cik10 string, company_year string, a double, b double"), spark.createDataFrame(long, "cik10 string, company_year string, variable string, value double")
+    stored = [tables.write_bucketed(df, f"compared_{n}", panel.KEYS, 3, str(tmp_path / n)) for n, df in (("w", w), ("f", f))]
+    got = panel.compare(*stored, ["a", "b"], tolerance=0.1)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    known = lambda k: None not in k[:2]
+    want = [(*k, "missing_from_long", None, None, None) for k in {r[:2] for r in wide} if not known(k) or k not in {r[:2] for r in long}]
+    want += [(*k, "missing_from_wide", None, None, None) for k in {r[:2] for r in long} if not known(k) or k not in {r[:2] for r in wide}]
+    for r in wide:
+        for variable, mine in zip("ab", r[2:], strict=True):
+            partners = [x[3] for x in long if known(r) and x[:3] == (*r[:2], variable)] or [None]
+            want += [(*r[:2], "differs", variable, mine, other) for other in partners if mine is not None and (other is None or abs(mine - other) > 0.1)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_wide_refuses_two_values_for_one_key(spark):
     df = spark.createDataFrame([("a", "2020", "assets", 1.0), ("a", "2020", "assets", 2.0)], "cik10 string, company_year string, variable string, value double")
     with pytest.raises(Exception, match="more than one value"):
