@@ -292,5 +292,14 @@ def with_six_digits(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns if c not in values], *[signed(lambda part, p=p: F.col(p + part)).alias(name) for name, p in at.items()])
 
 
+def utc_stamp(clock: Column | str) -> Column:
+    """A time as an ISO text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(col(clock), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def year_of_utc(clock: Column | str) -> Column:
+    return F.year(F.to_utc_timestamp(col(clock), F.current_timezone()))
+
+
 def year_of_utc_now() -> Column:
-    return F.year(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+    return year_of_utc(F.current_timestamp())

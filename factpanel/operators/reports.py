@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -83,6 +83,11 @@ def quality_report(inputs: Mapping[str, object], counts: Mapping[str, int], outp
     return "\n".join(parts)
 
 
+def write_report_table(spark: SparkSession, folder: str, text: str) -> None:
+    """A report as the one file of a folder, in whatever store Spark reaches."""
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
 def write_report(path: str | Path, text: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(text, encoding="utf-8")

@@ -651,4 +651,4 @@ def column_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, present boolean, refusal string")
 
 
-from . import checks, panels  # noqa: E402, F401  register their queries
+from . import checks, files, panels  # noqa: E402, F401  register their queries

@@ -7,7 +7,7 @@ steps Parquet is the better form; CSV is for the published edge.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +29,11 @@ def require_path(path: str | Path, hint: str = "") -> str:
     return text
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str], *, compat_missing: bool = False, hint: str = "") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], *, compat_missing: bool = False, hint: str = "", types: Mapping[str, str] | None = None) -> DataFrame:
     """Named text columns of a CSV file with a header; blank is null.
 
-    A missing column is an error.  ``compat_missing`` takes texts such as NA for missing too.
+    A missing column is an error.  ``compat_missing`` takes texts such as NA for missing too.  ``types``
+    gives some columns a type; what doesn't parse is null there.
     """
     require_path(path, hint)
     header = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').columns
@@ -42,16 +43,21 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], *, compat_m
     table = spark.read.csv(path, header=True, schema=schemas.strings(header), multiLine=True, escape='"', nullValue="", enforceSchema=False).select(*columns)
     if compat_missing:
         table = table.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in columns])
-    return table
+    return table.withColumns({c: F.col(c).try_cast(t) for c, t in (types or {}).items()})
 
 
-def read_optional(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, columns: Sequence[str], *, types: Mapping[str, str] | None = None) -> DataFrame:
     """Like read_csv; a missing file is an empty table with the columns."""
-    try:
-        require_path(path)
-    except FileNotFoundError:
-        return spark.createDataFrame([], schemas.strings(columns))
-    return read_csv(spark, path, columns)
+    if exists(spark, path):
+        return read_csv(spark, path, columns, types=types)
+    empty = spark.createDataFrame([], schemas.strings(columns))
+    return empty.withColumns({c: F.col(c).try_cast(t) for c, t in (types or {}).items()})
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reaches."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
 def wanted_keys(table: DataFrame, column: str = "cik10") -> DataFrame:
