@@ -150,6 +150,24 @@ def order_key() -> list[Column]:
     ]
 
 
+def order_value(met: Sequence[str] = ()) -> Column:
+    """The order among candidates as one value, the least of which is the best: nulls come first, later ends before earlier ones."""
+    days = F.unix_date("end_date")
+    parts = [*[F.col(c) for c in RANKS], F.col("tag_priority"), F.col("filed_date"), F.coalesce(-days, F.lit(1 << 30)), C.text("accn"), F.col("namespace"), F.col("tag"), C.text("val"), *[F.col(c) for c in met]]
+    return F.struct(*[c.alias(f"p{i}") for i, c in enumerate(parts)])
+
+
+def running_best(judged: DataFrame, *, keys: Sequence[str] = ("cik10", "variable", "company_year"), met: Sequence[str] = ()) -> DataFrame:
+    """What ``best_candidates`` gives, as an aggregation: the row of the least order of each key.
+
+    It can be kept up as facts arrive in a stream: the state of a key is its best row so far.
+    """
+    candidates = judged.where("reject_reason is null")
+    kept = [c for c in candidates.columns if c not in (*keys, "reject_reason")]
+    found = candidates.groupBy(*keys).agg(F.min(F.struct(order_value(met).alias("at"), F.struct(*kept).alias("row"))).alias("best"))
+    return found.select(*keys, "best.row.*")
+
+
 def best_candidates(judged: DataFrame, *, keys: Sequence[str] = ("cik10", "variable", "company_year"), met: Sequence[str] = ()) -> DataFrame:
     """The first candidate of each key; ``met`` names columns that settle full ties."""
     window = Window.partitionBy(*keys).orderBy(*order_key(), *met)
