@@ -63,6 +63,15 @@ def lists(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else []
 
 
+def nested(column: pa.ListArray) -> list[list[np.ndarray]]:
+    """The rows of a column of lists of lists without nulls, as lists of views of one array."""
+    inner, out, at = lists(column.flatten()), [], 0
+    for n in column.value_lengths().to_pylist():
+        out.append(inner[at : at + n])
+        at += n
+    return out
+
+
 def record_batch(schema: T.StructType, columns: dict) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.numbering import checkpoint, numbered
-from .arrow import SLICE_ROWS, append_columns, explode_columns, fresh, lists, record_batch, slices
+from .arrow import SLICE_ROWS, append_columns, explode_columns, fresh, lists, nested, record_batch, slices
 from .components import BROADCAST_IDS, small
 
 WIDTH = 5
@@ -520,7 +520,7 @@ def similar_parts(to: np.ndarray, similarity: float = SIMILARITY, min_words: int
 CHAINS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc", "source")]
     + [T.StructField(n, T.IntegerType()) for n in ("ya", "yb")]
-    + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("x", "y")]
+    + [T.StructField(n, T.ArrayType(T.ArrayType(T.IntegerType()))) for n in ("x", "y")]
 )
 
 
@@ -532,7 +532,11 @@ def turns(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chains(found: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
-    """Chains of matches: (doc, source, the source's word range to align, the seeds' places in either text)."""
+    """Chains of matches: (doc, source, the source's word range to align, and for each chain the seeds' places in either text).
+
+    Chains of a document with one range of a source are one row: where either text repeats itself, the
+    same words of the source are matched again and again.
+    """
     margin = max(MARGIN, min_words)
 
     def chained(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -545,10 +549,16 @@ def chains(found: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) ->
             p, q = pos[s : s + n], at[s : s + n]
             for path in chain(p, q, width):
                 rows += [(s, *turns(x, y)) for x, y in cut(p[path], q[path])]
-        of = np.array([r[0] for r in rows])
         ends = np.array([(y[0], y[-1]) for _, _, y in rows])
         low, high = np.maximum(0, ends[:, 0] - margin) // GRID * GRID, -(-(ends[:, 1] + width + margin) // GRID) * GRID
-        return record_batch(CHAINS, dict(zip(CHAINS.names, (doc[of], source[of], low, high, [r[1] for r in rows], [r[2] for r in rows]), strict=True)))
+        ranges: dict[tuple[int, int, int], tuple[list, list]] = {}
+        for (s, x, y), ya, yb in zip(rows, low.tolist(), high.tolist(), strict=True):
+            xs, ys = ranges.setdefault((s, ya, yb), ([], []))
+            xs.append(x)
+            ys.append(y)
+        of = np.array([k[0] for k in ranges])
+        columns = (doc[of], source[of], [k[1] for k in ranges], [k[2] for k in ranges], [v[0] for v in ranges.values()], [v[1] for v in ranges.values()])
+        return record_batch(CHAINS, dict(zip(CHAINS.names, columns, strict=True)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
@@ -588,6 +598,20 @@ def reach(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, width: int
     return i - before, k + _extend(a[k : k + n] == b[m : m + n])
 
 
+def covering(rows: list[tuple]) -> list[tuple]:
+    """Passages without those that the ones before and behind them cover together; none of ``rows`` lies within another."""
+    rows = sorted(rows, key=lambda r: r[1])
+    out: list[tuple] = []
+    i = 0
+    while i < len(rows):
+        if out and rows[i][1] <= out[-1][2]:
+            while i + 1 < len(rows) and rows[i + 1][1] <= out[-1][2]:
+                i += 1  # of those that go on from the last one the one that reaches furthest
+        out.append(rows[i])
+        i += 1
+    return out
+
+
 class Passages:
     """Passages of one document, of which none lies within another; of equal ranges the one with the least source stays."""
 
@@ -609,9 +633,11 @@ class Passages:
 def _aligned(found: DataFrame, docs: DataFrame, width: int, min_words: int, similarity: float, broadcast_ids: int) -> DataFrame:
     """The passages of chains, without some of those that lie within others.
 
-    Every chain is aligned, unless all that its alignment could touch lies within a passage of the
-    document that is found already.  Which chains of a document come together hangs on the plan; what
-    is left when ``widest`` has dropped all that lies within others doesn't.
+    The chains of a row, which are those with one range of a source, are aligned together, and of
+    their passages those stay that cover all of them: a stretch of repeated words gives a passage for
+    each stretch of the source and not for each way to lay one over the other.  A row is left out if all that
+    its alignments could touch lies within passages that are found already.  Which rows of a document come
+    together hangs on the plan; what is left when ``widest`` has dropped all that lies within others doesn't.
     """
     ids = checkpoint(found.select("doc").unionByName(found.select(F.col("source").alias("doc"))).distinct())
     words = _words(docs.join(small(ids, broadcast_ids), "doc", "left_semi"))  # the texts are cut down to those with chains, where their ids are few
@@ -619,21 +645,35 @@ def _aligned(found: DataFrame, docs: DataFrame, width: int, min_words: int, simi
     ranges = found.groupBy("source").agg(F.collect_set(F.struct("ya", "yb")).alias("ranges"))
     cut_out = F.transform("ranges", lambda r: F.struct(r["ya"].alias("ya"), r["yb"].alias("yb"), F.slice("words", r["ya"] + 1, r["yb"] - r["ya"]).alias("theirs")))
     theirs = ranges.join(words.withColumnRenamed("doc", "source"), "source").select("source", F.explode(cut_out).alias("r")).select("source", "r.*")
-    both = found.join(theirs, ["source", "ya", "yb"]).join(words, "doc").select("doc", "source", "ya", "x", "y", "theirs", "words")
+    # merged by document, so that its chains come one behind the other
+    both = found.join(theirs, ["source", "ya", "yb"]).join(words.hint("merge"), "doc").select("doc", "source", "ya", "x", "y", "theirs", "words")
     margin = max(MARGIN, min_words)
 
-    def of_document(rows: list[tuple]) -> list[tuple]:
-        kept, a = Passages(), rows[0][6]
-        for doc, source, ya, x, y, b, _ in sorted(rows, key=lambda r: (r[3][0] - r[3][-1], r[1], r[3][0], r[4][0])):
+    def of_row(a: np.ndarray, row: tuple, known: Passages) -> list[tuple]:
+        doc, source, ya, xs, ys, b, _ = row
+        todo = []
+        for x, y in zip(xs, ys, strict=True):
             xa = max(0, int(x[0]) - margin)
             mine, x, y = a[xa : int(x[-1]) + width + margin], x - xa, y - ya
             if len(x) == 1 and not _may_hold(mine, b, int(x[0]), int(y[0]), width, min_words, similarity):
                 continue
             start, end = reach(mine, b, x, y, width)
-            if end - start < min_words or kept.holds(xa + start, xa + end, source):
-                continue
-            for s, e, low, high, equal in similar_parts(align(mine, b, x, y, width), similarity, min_words):
-                kept.add((doc, xa + s, xa + e, source, ya + low, ya + high, equal, 2 * equal / (e - s + high - low)))
+            if end - start >= min_words:
+                todo.append((xa, mine, x, y, xa + start, xa + end))
+        if all(known.holds(start, end, source) for *_, start, end in todo):
+            return []
+        own = Passages()
+        for xa, mine, x, y, start, end in todo:
+            if not own.holds(start, end, source):
+                for s, e, low, high, equal in similar_parts(align(mine, b, x, y, width), similarity, min_words):
+                    own.add((doc, xa + s, xa + e, source, ya + low, ya + high, equal, 2 * equal / (e - s + high - low)))
+        return covering(own.rows)
+
+    def of_document(rows: list[tuple]) -> list[tuple]:
+        kept = Passages()
+        for row in sorted(rows, key=lambda r: (-max(int(x[-1] - x[0]) for x in r[3]), *r[1:3])):
+            for passage in of_row(rows[0][6], row, kept):
+                kept.add(passage)
         return kept.rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -644,13 +684,13 @@ def _aligned(found: DataFrame, docs: DataFrame, width: int, min_words: int, simi
         for batch in batches:
             out, last = [], None
             words = batch.column(6)
-            for i, (doc, source, ya, x, y, b) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:3]], *map(lists, batch.columns[3:6]), strict=True)):
+            for i, (doc, source, ya, x, y, b) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:3]], *map(nested, batch.columns[3:5]), lists(batch.column(5)), strict=True)):
                 if held and held[0][0] != doc:
                     out += of_document(held)
                     held = []
                 if not held or last is None:
                     last = words[i].values.to_numpy(zero_copy_only=False)
-                held.append((doc, source, ya, x.astype(np.int64), y.astype(np.int64), b, last))
+                held.append((doc, source, ya, [v.astype(np.int64) for v in x], [v.astype(np.int64) for v in y], b, last))
             yield found_in(out)
         if held:
             yield found_in(of_document(held))

@@ -193,6 +193,32 @@ def test_no_passage_within_another():
         assert set(kept.rows) == want and len(kept.rows) == len(want)
 
 
+def test_covering_passages():
+    rng = random.Random(25)
+    for _ in range(200):
+        kept = substring.Passages()
+        for a in rng.choices(range(60), k=rng.randint(1, 25)):
+            kept.add((1, a, a + rng.randint(1, 15), rng.randint(1, 3), 0, 5, 5, 1.0))
+        out = substring.covering(kept.rows)
+        words_of = lambda rows: {i for r in rows for i in range(r[1], r[2])}
+        assert words_of(out) == words_of(kept.rows) and set(out) <= set(kept.rows)
+        assert all(words_of(out) - words_of([o]) != words_of(out) or len(out) == 1 for o in out)
+        assert all(a[1] < b[1] and a[2] < b[2] for a, b in zip(out, out[1:]))
+        assert all(a[2] < c[1] for a, c in zip(out, out[2:]))  # no third one meets the first
+
+
+def test_repeated_words_give_few_passages(spark):
+    """Documents of one pair of words again and again: all of it is found, by about one passage for each stretch."""
+    rng = random.Random(26)
+    rows = [(i, " ".join(words(rng, 30) + ["aa", "bb"] * (23 if i == 0 else 200) + words(rng, 30))) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    results = [under(spark, plan, lambda: sorted(map(tuple, substring.passages(frame).collect()))) for plan in PLANS]
+    assert all(r == results[0] for r in results[1:])
+    for d in range(1, 12):
+        mine = [r for r in results[0] if r[0] == d]
+        assert len({i for r in mine for i in range(r[1], r[2])} & set(range(30, 430))) >= 396 and len(mine) < 30
+
+
 def test_cuts_at_the_longest_stretch():
     def plain(to, similarity=0.8, least=40):
         equal, out = np.flatnonzero(to >= 0), []
@@ -246,7 +272,7 @@ def test_one_seed_in_the_middle_of_a_passage(spark):
     rows = [(1, " ".join(words(rng, 60) + p)), (2, " ".join(q + words(rng, 60)))]
     one = spark.createDataFrame([(2, 19, 1, 79)], "doc long, pos int, source long, at int")  # the match of one seed
     found = substring.chains(one).collect()
-    assert [(r["x"], r["y"], r["ya"] <= 60) for r in found] == [([19], [79], True)]
+    assert [(r["x"], r["y"], r["ya"] <= 60) for r in found] == [([[19]], [[79]], True)]
     assert overlap(substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 2, 1, 0, 44) >= 0.9
 
 
