@@ -7,7 +7,8 @@ disposal (keep, background, previous), frame delays.  ``encode_samples`` stores
 
 Cases: a null text is the empty text (64 zero bytes); equal texts give equal values; repeated rows
 stay; a null or broken file, or one whose images are beyond ``MAX_PIXELS``, has null columns; an empty
-table gives no rows; other columns are kept, those named as a result are replaced.
+table gives no rows; other columns are kept, those named as a result are replaced; a very long text is
+stored whole, in as many frames as it takes.
 """
 
 from __future__ import annotations

@@ -87,6 +87,7 @@ required.
 LICENSES: list[tuple[str, str]] = [
     ("MIT", _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
     ("MIT", "MIT License\n\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
+    ("MIT", "The MIT License\n\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
     ("MIT-0", _MIT_GRANT.replace(", subject to the following conditions:", ".") + _MIT_WARRANTY),
     ("BSD-2-Clause", _BSD_TERMS + _BSD_WARRANTY),
@@ -164,6 +165,8 @@ LEGAL = (
     r"|copyright\s*\z|\(c\)\s+(?:you|the|under|for|to|in|any|if|that|such|with|changes|modifications|representations|accompany|provide|by|must|give|is|it|each)\b)"
 )
 MARK = "\x01"
+#: A line that begins like a notice and has a year or a sign is one, whatever the holder is called; so is what follows a licence's title on its line.
+DATED = r"(^|\n)([^\n]{0,60}licen[cs]e(?: *\([a-z0-9 .-]{1,12}\))?[ \t*#/;.,:-]+)?[ \t*#/;.-]*copyright\b[^\n]*?(?:\b(?:19|20)[0-9][0-9]\b|\(c\)|©)[^\n]*"
 NOTICE = r"(^|\n)[ \t*#/;.-]*(?:copyright[^\x01a-z0-9_\n][^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\n]*)"
 PUNCTUATION = r"[\x00-\x09\x0b-\x20!-/:-@\[-`{-~“”‘’«»–—•©\x{a0}]+"
 LINES = r" *\n[ \n]*"
@@ -175,7 +178,8 @@ def _python(pattern: str) -> str:
 
 
 def _plain(text: str) -> str:
-    text = re.sub(_python(LEGAL), rf"\1{MARK}\2\3", text.lower())
+    text = re.sub(DATED, r"\1\2", text.lower())
+    text = re.sub(_python(LEGAL), rf"\1{MARK}\2\3", text)
     text = re.sub(NOTICE, r"\1", text)
     return re.sub(EDGES, "", re.sub(LINES, "\n", re.sub(_python(PUNCTUATION), " ", text)))
 
@@ -197,7 +201,8 @@ def _digest(text: str) -> str:
 
 def plain(text: Column) -> Column:
     """The canonical form but for spellings, lines kept."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(text), LEGAL, f"$1{MARK}$2$3"), NOTICE, "$1")
+    dated = F.regexp_replace(F.lower(text), DATED, "$1$2")
+    text = F.regexp_replace(F.regexp_replace(dated, LEGAL, f"$1{MARK}$2$3"), NOTICE, "$1")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PUNCTUATION, " "), LINES, "\n"), EDGES, "")
 
 
@@ -261,7 +266,8 @@ def oracle_sql() -> str:
             text = f"replace({text}, {quoted(a)}, {quoted(b)})"
         return text
 
-    text = f"regexp_replace(lower(coalesce(text, '')), {quoted(LEGAL)}, '\\1' || chr(1) || '\\2\\3', 'g')"
+    text = f"regexp_replace(lower(coalesce(text, '')), {quoted(DATED)}, '\\1\\2', 'g')"
+    text = f"regexp_replace({text}, {quoted(LEGAL)}, '\\1' || chr(1) || '\\2\\3', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {quoted(NOTICE)}, '\\1', 'g'), {quoted(PUNCTUATION)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {quoted(LINES)}, chr(10), 'g'), {quoted(EDGES)}, '', 'g')"
     rows = {k: ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in v.items()) for k, v in (("l", known_licenses()), ("n", known(NOTICES)))}

@@ -8,7 +8,8 @@ sequences from one bucket.
 
 Cases: a null text is the empty text; an empty text is the end id alone (one piece of length 1);
 repeated rows and repeated ids are packed one by one, each with its own sequences; a null id stays
-null; an empty table gives no rows.
+null; an empty table gives no rows; extra columns are ignored, whatever their names.  A very long text is
+encoded whole and cut into as many pieces as it takes.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ longer than ``LONGEST_CHUNK``, so its size has a bound; the chunks that it lacks
 segmented where they stand.  That changes no result.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows give equal
-rows; an empty table gives no rows; other columns are kept, those named as a result are replaced.
+rows; an empty table gives no rows; other columns are kept, those named as a result are replaced; a very
+long text is cut into its chunks and encoded whole.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ as long as what the matches leave out.
 Cases: a null text is the empty text; texts without a match have zero counts and an empty list; runs of
 equal scores are flagged or not together;
 repeated rows are scanned alike; too few null cases to reach ``q`` add nothing; an empty table gives no rows;
-extra columns are ignored by ``scan`` and kept by ``redact``.
+extra columns are ignored by ``scan`` and kept by ``redact``; a very long text is scanned whole, and the
+places of its matches are added up by blocks, so the work grows with its length.
 """
 
 from __future__ import annotations

@@ -47,6 +47,20 @@ copyright notice and this permission notice appear in all copies.
     assert [(i, got[i], n) for i, n in enumerate([*want, "ISC", None]) if got[i] != n] == []
 
 
+HEADS = [
+    "MIT License\n\nCopyright (c) 2020 Jane", "MIT License Copyright (c) 2020 Jane", "The MIT License - Copyright 2020 Jane", "MIT License\nCopyright and Sons Ltd 2020", "MIT License\nCopyright In Motion 2020",
+    "MIT License\nCopyright Notice Software GmbH (c) 2019", "MIT License\n(c) 2020 Jane", "The MIT License (MIT) Copyright (c) 2020 Jane", "MIT License\n© 2020 Jane\nAll rights reserved.", "MIT License\nCopyright Orange SA", "// MIT License\n// Copyright 2020, Holder & Co", "Copyright On Time Inc., 2001-2020", "MIT License\nCopyright to the people 1999",
+]
+
+
+def test_holders_of_any_name_and_titles_on_their_line(spark):
+    body = licenses.LICENSES[0][1]
+    rows = [(i, f"{head}\n\n{body}") for i, head in enumerate(HEADS)]
+    rows += [(100, f"MIT License Copyright holders may not 2020 copy\n\n{body} and more")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {h: got[i] for i, h in enumerate(HEADS)} == dict.fromkeys(HEADS, "MIT") and got[100] is None
+
+
 PUBLISHED = Path("/usr/share/common-licenses")
 
 
