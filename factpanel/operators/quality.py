@@ -405,7 +405,7 @@ def company_years(typed: DataFrame, long: DataFrame, scope: Scope, rules: DataFr
         *[F.coalesce(F.bool_or(m), F.lit(False)).alias(f"made_{v}") for v, m in made.items()],
         F.count("l").alias("n_facts"),
         F.count_if(is_fact & (fact["namespace"] != "derived")).alias("n_own"),
-        F.count_if(is_fact & (fact["variable"] == "revenues")).alias("n_revenues"),
+        F.count_if(is_fact & (fact["variable"] == "revenues")).alias("revenue_facts"),
         F.min(F.when(is_wide, F.struct(C.text("company_year").alias("at"), C.text("w.context.research_universe_id").alias("id"), F.col("w.context").alias("context")))).alias("own_first"),
         *[F.count(f"w.{v}").alias(f"own_{v}") for v in CORE if v in present],
     )
@@ -453,7 +453,7 @@ def judged_years(years: DataFrame, present: Sequence[str], scope: Scope, this_ye
     ]
     empty = F.filter("rows", lambda _: F.lit(False))
     counts = {
-        "n_facts": F.when(once, F.col("n_facts")), "n_own": F.when(once, F.col("n_own")), "n_revenues": F.when(once, F.col("n_revenues")),
+        "n_facts": F.when(once, F.col("n_facts")), "n_own": F.when(once, F.col("n_own")), "revenue_facts": F.when(once, F.col("revenue_facts")),
         "lacks_long": (once & is_wide & (~has_keys | (F.col("n_facts") == 0))).cast("long"), "lacks_wide": (once & (F.col("n_facts") > 0) & (~has_keys | ~is_wide)).cast("long"),
     }
     return rows.select(F.concat(*[F.coalesce(p, empty) for p in parts]).alias("found"), *[c.alias(n) for n, c in counts.items()])
@@ -492,7 +492,7 @@ def all_warnings(wide: DataFrame, long: DataFrame, scope: Scope, rules: Sequence
         parts.append(of_dataset("long_company_year_missing_from_wide", "high", n["lacks_wide"] > 0, n["lacks_wide"], LACKING))
         if table is None:
             parts.append(of_dataset("sec_tags_config_not_available", "high", n["n_own"] > 0, details="no tag rules: tags weren't checked"))
-    parts.append(of_dataset("revenue_metadata_not_available", "low", not n["n_revenues"], details="no revenue facts: their periods weren't checked"))
+    parts.append(of_dataset("revenue_metadata_not_available", "low", not n["revenue_facts"], details="no revenue facts: their periods weren't checked"))
     return reduce(DataFrame.unionByName, parts, _shown(found))
 
 

@@ -38,6 +38,12 @@ def map_to_rules(rows: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     return rows.join(F.broadcast(rules) if n_rules <= BROADCAST_RULES else rules, ["namespace", "tag"])
 
 
+def unmapped(rows: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+    """Rows whose (namespace, tag) no rule has."""
+    known = rules.select("namespace", "tag").distinct()
+    return rows.join(F.broadcast(known) if n_rules <= BROADCAST_RULES else known, ["namespace", "tag"], "left_anti")
+
+
 def _year_in_scope(value: Column, scope: Scope) -> Column:
     held = value.isNotNull()
     if scope.start_year is not None:

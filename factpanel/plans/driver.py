@@ -186,8 +186,8 @@ def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FACTS_SQL}, {RULES_SQL} SELECT namespace, tag, count(*) AS facts FROM facts f WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.namespace = f.namespace AND r.tag = f.tag AND r.tier = 'tier_1') GROUP BY ALL")
 def rules_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = rules_frame(spark, [r for r in RULES if r.tier == "tier_1"]).select("namespace", "tag")
-    return line_facts(spark, sf_dir).join(F.broadcast(first), ["namespace", "tag"], "left_anti").groupBy("namespace", "tag").agg(F.count("*").alias("facts"))
+    first = [r for r in RULES if r.tier == "tier_1"]
+    return select.unmapped(line_facts(spark, sf_dir), rules_frame(spark, first), len(first)).groupBy("namespace", "tag").agg(F.count("*").alias("facts"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS group_size FROM lineitem QUALIFY group_size > 1")
@@ -205,14 +205,15 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BEST_SQL} SELECT cik10, company_year, string_agg(DISTINCT variable, ';' ORDER BY variable) AS variables,
   count(DISTINCT accn) AS filings, count(DISTINCT "end") AS ends FROM best GROUP BY ALL HAVING count(DISTINCT accn) > 1 OR count(DISTINCT "end") > 1""")
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = best_lines(spark, sf_dir).groupBy("cik10", "company_year").agg(C.distinct_join("variable").alias("variables"), F.count_distinct("accn").alias("filings"), F.count_distinct("end").alias("ends"))
-    return grouped.where("filings > 1 or ends > 1")
+    grouped = best_lines(spark, sf_dir).groupBy("cik10", "company_year").agg(*quality.source_columns(F.col))
+    named = grouped.select("cik10", "company_year", F.col("core_variables").alias("variables"), F.col("n_accn").alias("filings"), F.col("n_end").alias("ends"))
+    return named.where("filings > 1 or ends > 1")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT cik10, substr("end", 1, 4) AS company_year, string_agg(DISTINCT form, ';' ORDER BY form) AS forms, count(*) AS facts
 FROM facts WHERE form NOT IN ({_FORMS}) GROUP BY ALL""")
 def form_outside_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    foreign = line_facts(spark, sf_dir).where(~F.upper(C.strip(C.text("form"))).isin(*SCOPE.forms))
+    foreign = line_facts(spark, sf_dir).where(quality.is_foreign(F.col("form"), SCOPE))
     return foreign.groupBy("cik10", F.substring("end", 1, 4).alias("company_year")).agg(C.distinct_join("form").alias("forms"), F.count("*").alias("facts"))
 
 
@@ -220,10 +221,9 @@ def form_outside_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT accn, start, "end", fp, frame, CAST(days AS INTEGER) AS days FROM d
 WHERE NOT days BETWEEN 300 AND 400 OR (upper(fp) IN ('Q1', 'Q2', 'Q3') AND NOT coalesce(regexp_full_match(frame, 'CY[0-9]{{4}}(Q4I)?'), false) AND NOT days BETWEEN 300 AND 400)""")
 def quarterly_period_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = C.period_days("start", "end")
-    annual = C.between(days, *C.ANNUAL_DAYS)
-    by_period = F.upper(C.text("fp")).isin("Q1", "Q2", "Q3") & ~C.is_annual_frame("frame") & ~annual
-    return line_facts(spark, sf_dir).where("namespace = 'F'").where((days.isNotNull() & ~annual) | by_period).select("accn", "start", "end", "fp", "frame", days.alias("days"))
+    check = next(c for c in quality.long_checks(False) if c.name == "revenues_may_be_quarterly")
+    revenues = line_facts(spark, sf_dir).where("namespace = 'F'").withColumn("variable", F.lit("revenues"))
+    return revenues.where(C.is_true(check.condition)).select("accn", "start", "end", "fp", "frame", C.period_days("start", "end").alias("days"))
 
 
 USAGE_SQL = "count(*) AS selected_observations, count(DISTINCT cik10) AS {0}, count(DISTINCT (cik10, company_year)) AS {1}, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, string_agg(DISTINCT form, ';' ORDER BY form) AS forms"

@@ -99,15 +99,16 @@ UNION ALL SELECT 'json_parse_errors', n FROM broken UNION ALL SELECT 'files_with
 UNION ALL SELECT 'missing_companyfacts_files', count(*) FROM customer WHERE c_custkey % 50 <> 0 AND lpad(CAST(c_custkey AS VARCHAR), 10, '0') NOT IN (SELECT cik10 FROM docs)
 UNION ALL SELECT coalesce(reject_reason, 'candidate_facts'), count(*) FROM judged GROUP BY 1
 UNION ALL SELECT 'derived_' || variable, count(*) FROM made m WHERE variable <> 'operating_costs' GROUP BY variable
-UNION ALL SELECT 'derived_operating_costs' || CASE WHEN b.cik10 IS NULL THEN '' ELSE '_replaced' END, count(*) FROM costs c LEFT JOIN (SELECT * FROM best WHERE variable = 'operating_costs') b USING (cik10, company_year) GROUP BY 1""")
+UNION ALL SELECT 'derived_operating_costs' || CASE WHEN b.cik10 IS NULL THEN '' ELSE '_replaced' END, count(*) FROM costs c LEFT JOIN (SELECT * FROM best WHERE variable = 'operating_costs') b USING (cik10, company_year) GROUP BY 1
+UNION ALL SELECT 'derived_assets_rejected', 0 UNION ALL SELECT 'derived_liabilities_rejected', count(*) FROM best t JOIN best e USING (cik10, company_year) WHERE t.variable = 'liabilities_and_equity' AND e.variable = 'equity' AND CAST(t.val AS DOUBLE) < CAST(e.val AS DOUBLE)
+UNION ALL SELECT 'derived_operating_costs_rejected', count(*) FROM best t JOIN best e USING (cik10, company_year) WHERE t.variable = 'revenues' AND e.variable = 'ebit' AND CAST(t.val AS DOUBLE) < CAST(e.val AS DOUBLE)""")
 def panel_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counters of a run that aren't zero, and those of odd files."""
+    """The counters of a run that aren't zero, and those of odd files and rejected derivations."""
     result = line_panel(spark, sf_dir)
     stats = checkpoint(result.stats)
     result.release()
     long = stats.select(*[F.col(c).cast("long").alias(c) for c in stats.columns]).unpivot([], stats.columns, "metric", "value")
-    # rejected derivations are told in derived_counters
-    return long.where("(value > 0 or metric in ('files_without_facts', 'missing_companyfacts_files')) and not metric like 'derived%rejected'")
+    return long.where("value > 0 or metric in ('files_without_facts', 'missing_companyfacts_files') or metric like 'derived%rejected'")
 
 
 @query(f"WITH {PANEL_SQL} SELECT cik10, company_year, variable, number, accn, filed, {', '.join(f'CAST({r} AS INTEGER) AS {r}' for r in select.RANKS)} FROM full_panel WHERE tier = 'derived'")

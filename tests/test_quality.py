@@ -204,6 +204,9 @@ def test_one_pass_gives_what_the_parts_give(spark, seed):
     single = {"financial_variables_missing_from_wide", "sec_tags_config_not_available", "revenue_metadata_not_available"}
     assert sorted(str(tuple(r)) for r in found if r["check_name"] not in single) == part_by_part(wide, long, rules)
     assert len({r["check_name"] for r in found}) > 30
+    assert not any(r["check_name"] == "revenue_metadata_not_available" for r in found)
+    without = quality.all_warnings(wide, long.where("variable <> 'revenues'"), SCOPE, rules, this_year=2026)
+    assert names(without)["revenue_metadata_not_available"] == 1
 
 
 def test_each_panel_is_read_and_dealt_out_once(spark, tmp_path):
