@@ -12,7 +12,8 @@ it; ties go to the most lenient.  A stratum with too few labels to prove anythin
 
 Cases: a null text has no words; a null stratum is a stratum of its own; labels that contradict each
 other or are null are no evidence; repeated rows are judged one by one and alike; no labels or an
-empty table leave the base rule alone; extra columns are ignored by ``judge`` and kept by ``keep``.
+empty table leave the base rule alone; extra columns are ignored by ``judge`` and kept by ``keep``; a very
+long text is counted whole, in memory that grows with its words.
 """
 
 from __future__ import annotations
