@@ -15,6 +15,9 @@ A block gives each vector's number of links and the links of a spanning forest,
 vectors are one, with a weight.  Cosines within 1e-9 of the threshold are computed again by one
 formula, so the answer doesn't depend on who visited whom.
 
+What the inequality can't rule out is compared: vectors in general position, all about as far from each
+other, visit most blocks, and then work and visits grow with the square of their number.
+
 Cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing;
 vectors of different lengths neither; a null id takes part, a component without any id is null, and a
 null id is kept if its component is null; rows with equal id and vector are rows of their own that
