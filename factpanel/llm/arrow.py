@@ -34,6 +34,16 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, "8MB")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly where it has fewer partitions than the cluster has cores.
+
+    A file of one row group is read by one task, however many cores wait for its texts.  A partition of
+    a scan is of bounded size, so what is shuffled here is too; larger inputs are left as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` characters each (one row at least)."""
     start = size = 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embeddings, extraction, fim, gif, licenses, packing, pieces, quality, runs, secrets, simhash, substring, warc
-from .arrow import ready
+from .arrow import ready, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,48 +15,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_texts(spark, sf_dir))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_texts(spark, sf_dir))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_texts(spark, sf_dir))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.judge(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.main_text(_table(spark, sf_dir, "pages"))
+    return extraction.main_text(_texts(spark, sf_dir, "pages"))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.passages(_table(spark, sf_dir, "documents"))
+    return substring.passages(_texts(spark, sf_dir))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return pieces.encode_decode(_texts(spark, sf_dir), keep=["doc_id"])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_texts(spark, sf_dir))
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.store_texts(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return gif.store_texts(_texts(spark, sf_dir), keep=["doc_id"])
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return warc.derive(warc.responses(_texts(spark, sf_dir, "pages")))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.digests(_table(spark, sf_dir, "documents"))
+    return runs.digests(_texts(spark, sf_dir))
 
 
 def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fim.digests(_table(spark, sf_dir, "documents"))
+    return fim.digests(_texts(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
