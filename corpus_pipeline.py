@@ -19,13 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factpanel.llm import packing, quality, secrets, simhash, substring
-from factpanel.llm.arrow import ready
+from factpanel.llm.arrow import ready, spread
 from factpanel.operators.numbering import use_shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(spread(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
