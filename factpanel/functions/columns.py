@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 NON_ANNUAL = 99
 LAG_UNKNOWN = 999_999
 ANNUAL_DAYS = (300, 400)
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
-INTEGER = r"^[+-]?\d+(\.0*)?\z"
+NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+INTEGER = r"([+-]?\d+)(?:\.0*)?"
+DATE = r"(\d{4}-\d{2}-\d{2})"
 #: What counts as white space in text.
 SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
@@ -30,6 +31,11 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col(c).cast("string"), F.lit(SPACES))
 
 
+def _within_spaces(c: Column | str, pattern: str) -> Column:
+    """The group of a pattern that a text holds between white space, else the empty text: one reading, which nothing repeats."""
+    return F.regexp_extract(col(c).cast("string"), rf"^[{SPACES}]*+{pattern}[{SPACES}]*\z", 1)
+
+
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
@@ -94,8 +100,7 @@ def first_name(*names: Column | str) -> Column:
 
 def number(c: Column | str) -> Column:
     """A finite double, or null; unlike a cast it takes no type letters, NaN or infinity."""
-    stripped = strip(c)
-    return F.when(stripped.rlike(NUMBER), stripped.try_cast("double"))
+    return _within_spaces(c, NUMBER).try_cast("double")
 
 
 def invalid_number(c: Column | str) -> Column:
@@ -105,8 +110,7 @@ def invalid_number(c: Column | str) -> Column:
 
 def integer(c: Column | str) -> Column:
     """A whole number as a long, or null; 2020 and 2020.0 are whole."""
-    stripped = strip(c)
-    return F.when(stripped.rlike(INTEGER), F.substring_index(stripped, ".", 1).try_cast("long"))
+    return _within_spaces(c, INTEGER).try_cast("long")
 
 
 def industry_code(c: Column | str) -> Column:
@@ -136,8 +140,7 @@ def contains_any(c: Column | str, words: Iterable[str]) -> Column:
 
 def iso_date(c: Column | str) -> Column:
     """A date from YYYY-MM-DD, else null.  Compact and week forms aren't taken."""
-    stripped = strip(c)
-    return F.when(stripped.rlike(r"^\d{4}-\d{2}-\d{2}\z"), stripped.try_cast("date"))
+    return _within_spaces(c, DATE).try_cast("date")
 
 
 def date_number(c: Column | str) -> Column:

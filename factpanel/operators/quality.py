@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,15 +207,27 @@ def coverage_checks(core: Sequence[str]) -> list[Check]:
     return checks
 
 
+def with_periods(long: DataFrame) -> DataFrame:
+    """``long`` with the days, lag and years that its checks ask for, each text parsed once."""
+    dated = long.withColumns({"__start": C.iso_date("start"), "__end": C.iso_date("end"), "__filed": C.iso_date("filed")})
+    counted = dated.withColumns(
+        {
+            "__days": F.datediff("__end", "__start") + 1,
+            "__lag": F.datediff("__filed", "__end"),
+            "__ahead": F.year("__filed") - C.integer("company_year"),
+            "__fp": F.upper(C.text("fp")),
+        }
+    )
+    return counted.withColumn("__annual", C.between("__days", *C.ANNUAL_DAYS)).drop("__start", "__end", "__filed")
+
+
 def long_checks(with_rules: bool) -> list[Check]:
-    """The checks of one row of the long panel; ``__known`` says whether a rule has its variable and tag."""
+    """The checks of one row ``with_periods`` of the long panel; ``__known`` says whether a rule has its variable and tag."""
     derived = F.col("namespace") == "derived"
     value, at = F.col("value").cast("string"), F.col("variable")
-    days, lag = C.period_days("start", "end"), C.lag_days("filed", "end")
-    ahead = F.year(C.iso_date("filed")) - C.integer("company_year")
-    annual = C.between(days, *C.ANNUAL_DAYS)
+    days, lag, ahead, annual = F.col("__days"), F.col("__lag"), F.col("__ahead"), F.col("__annual")
     flow = F.col("variable").isin(schemas.FLOWS)
-    late_fp = F.upper(C.text("fp")).isin("Q1", "Q2", "Q3") & ~C.is_annual_frame("frame") & ~annual
+    late_fp = F.col("__fp").isin("Q1", "Q2", "Q3") & ~C.is_annual_frame("frame") & ~annual
     origin = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), C.text(c)) for c in ("fp", "form", "start", "end", "accn")])
     d0, d1 = C.ANNUAL_DAYS
     checks = [
@@ -225,7 +237,7 @@ def long_checks(with_rules: bool) -> list[Check]:
         Check("source_filing_lag_too_long", "high", ~C.is_true(derived) & (lag > MAX_LAG_DAYS), at, F.col("filed"), "filing_lag_days", lag, f"filed more than {MAX_LAG_DAYS} days after the period's end"),
         Check("source_filing_year_after_company_year_window", "high", ~C.is_true(derived) & (ahead > MAX_FILING_YEAR_LEAD), at, F.col("filed"), "company_year", F.col("company_year"), f"filed more than {MAX_FILING_YEAR_LEAD} year after the company year"),
         Check("flow_period_not_annual", "high", flow & ~annual, at, value, "period_days", days, f"the period isn't {d0} to {d1} days long"),
-        Check("flow_source_fp_not_fy", "low", flow & annual & (F.upper(C.text("fp")) != "FY"), at, value, "fp", F.col("fp"), "an annual period whose fiscal period isn't FY"),
+        Check("flow_source_fp_not_fy", "low", flow & annual & (F.col("__fp") != "FY"), at, value, "fp", F.col("fp"), "an annual period whose fiscal period isn't FY"),
         Check("revenues_may_be_quarterly", "high", (F.col("variable") == "revenues") & ((days.isNotNull() & ~annual) | late_fp), "revenues", value, "period_days", days, origin),
     ]
     if with_rules:
@@ -245,7 +257,7 @@ def with_rules_known(long: DataFrame, rules: DataFrame | None, n_rules: int) ->
 
 def long_rows(long: DataFrame, scope: Scope, rules: DataFrame | None, n_rules: int = 0) -> DataFrame:
     """Warnings of single rows of the long panel."""
-    return run_checks(with_rules_known(long, rules, n_rules), long_checks(rules is not None))
+    return run_checks(with_periods(with_rules_known(long, rules, n_rules)), long_checks(rules is not None))
 
 
 def form_check(scope: Scope) -> Check:
@@ -381,7 +393,7 @@ def company_years(typed: DataFrame, long: DataFrame, scope: Scope, rules: DataFr
     present = [v for v in schemas.VARIABLES if v in typed.columns]
     context = F.struct(*_context(typed))
     left = typed.select("cik10", "company_year", F.struct(context.alias("context"), *present, "year", "invalid").alias("w"))
-    known = with_rules_known(long, rules, n_rules)
+    known = with_periods(with_rules_known(long, rules, n_rules))
     found = _with_context(_bodies(long_checks(rules is not None)), F.struct(*_context(long)))
     facts = known.select(
         "cik10",
@@ -462,6 +474,44 @@ def judged_years(years: DataFrame, present: Sequence[str], scope: Scope, this_ye
 _BODY_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in BODY] + [T.StructField(c, T.DoubleType()) for c in NUMBERS])
 
 
+def dataset_counts(wide: DataFrame, long: DataFrame) -> DataFrame:
+    """One row: what the checks of the whole dataset count, by company-years of either panel."""
+    own, revenues = F.col("namespace") != "derived", F.col("variable") == "revenues"
+    left = wide.select("cik10", "company_year", F.lit(True).alias("is_wide"), *[F.lit(False).alias(c) for c in ("own", "revenues")])
+    right = long.select("cik10", "company_year", F.lit(False).alias("is_wide"), C.is_true(own).alias("own"), C.is_true(revenues).alias("revenues"))
+    years = left.unionByName(right).groupBy("cik10", "company_year").agg(
+        F.count_if("is_wide").alias("n_wide"), F.count_if(~F.col("is_wide")).alias("n_facts"), F.count_if("own").alias("n_own"), F.count_if("revenues").alias("revenue_facts")
+    )
+    has_keys = F.col("cik10").isNotNull() & F.col("company_year").isNotNull()  # null keys have no partner
+    lacks = {"lacks_long": (F.col("n_wide") > 0) & (~has_keys | (F.col("n_facts") == 0)), "lacks_wide": (F.col("n_facts") > 0) & (~has_keys | (F.col("n_wide") == 0))}
+    return years.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_facts", "n_own", "revenue_facts")], *[F.count_if(c).alias(n) for n, c in lacks.items()])
+
+
+def dataset_warnings(wide: DataFrame, long: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The warnings of ``all_warnings`` that belong to no company; no row is checked for them, only counted."""
+    schemas.require_columns(long, schemas.LONG, "long panel")
+    schemas.require_columns(wide, [*schemas.COMPANY, "company_year"], "wide panel")
+    return _dataset_warnings(wide, dataset_counts(wide, long).first(), bool(rules))  # one row
+
+
+def _dataset_warnings(wide: DataFrame, n: Row, with_rules: bool) -> DataFrame:
+    one = wide.sparkSession.range(1)
+
+    def of_dataset(name: str, severity: str, holds: bool, value: int | None = None, details: str = "") -> DataFrame:
+        return dataset_warning(one, name, severity, F.lit(holds), None if value is None else F.lit(value), details=details)
+
+    parts = [missing_columns_warning(wide)]
+    if not n["n_facts"]:
+        parts.append(of_dataset("long_facts_not_available", "low", True, details="no long facts: their checks were left out"))
+    else:
+        parts.append(of_dataset("wide_company_year_missing_from_long", "high", n["lacks_long"] > 0, n["lacks_long"], LACKING))
+        parts.append(of_dataset("long_company_year_missing_from_wide", "high", n["lacks_wide"] > 0, n["lacks_wide"], LACKING))
+        if not with_rules:
+            parts.append(of_dataset("sec_tags_config_not_available", "high", n["n_own"] > 0, details="no tag rules: tags weren't checked"))
+    parts.append(of_dataset("revenue_metadata_not_available", "low", not n["revenue_facts"], details="no revenue facts: their periods weren't checked"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def all_warnings(wide: DataFrame, long: DataFrame, scope: Scope, rules: Sequence[Rule], *, this_year: int | Column | None = None) -> DataFrame:
     """The warnings of all checks, unordered.  ``wide`` and ``long`` as read or as built, each read once.
 
@@ -469,31 +519,17 @@ def all_warnings(wide: DataFrame, long: DataFrame, scope: Scope, rules: Sequence
     the whole dataset and the warnings themselves come from one pass.
     """
     schemas.require_columns(long, schemas.LONG, "long panel")
-    spark = wide.sparkSession
     typed = prepare_wide(wide)
     present = [v for v in schemas.VARIABLES if v in wide.columns]
     year = C.year_of_utc_now() if this_year is None else this_year
-    table = rules_frame(spark, list(rules)) if rules else None
+    table = rules_frame(wide.sparkSession, list(rules)) if rules else None
     years = company_years(typed, long, scope, table, len(rules))
     judged = checkpoint(judged_years(years, present, scope, year))
     n = judged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in judged.columns if c != "found"]).first()  # one row
-    one = spark.range(1)
-
-    def of_dataset(name: str, severity: str, holds: bool, value: int | None = None, details: str = "") -> DataFrame:
-        return dataset_warning(one, name, severity, F.lit(holds), None if value is None else F.lit(value), details=details)
-
     found = judged.select(F.explode("found").alias("w")).select("w.*")
-    parts = [missing_columns_warning(wide)]
     if not n["n_facts"]:
         found = found.where("check_name <> 'wide_value_differs_from_long'")  # nothing to compare with
-        parts.append(of_dataset("long_facts_not_available", "low", True, details="no long facts: their checks were left out"))
-    else:
-        parts.append(of_dataset("wide_company_year_missing_from_long", "high", n["lacks_long"] > 0, n["lacks_long"], LACKING))
-        parts.append(of_dataset("long_company_year_missing_from_wide", "high", n["lacks_wide"] > 0, n["lacks_wide"], LACKING))
-        if table is None:
-            parts.append(of_dataset("sec_tags_config_not_available", "high", n["n_own"] > 0, details="no tag rules: tags weren't checked"))
-    parts.append(of_dataset("revenue_metadata_not_available", "low", not n["revenue_facts"], details="no revenue facts: their periods weren't checked"))
-    return reduce(DataFrame.unionByName, parts, _shown(found))
+    return _shown(found).unionByName(_dataset_warnings(wide, n, table is not None))
 
 
 def _severity_rank(c: str = "severity") -> Column:

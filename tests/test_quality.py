@@ -209,6 +209,21 @@ def test_one_pass_gives_what_the_parts_give(spark, seed):
     assert names(without)["revenue_metadata_not_available"] == 1
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_dataset_warnings_are_those_of_the_whole_run_and_only_counted(spark, seed):
+    wide, long = random_panels(spark, seed)
+    for facts, rules in ((long, RULES), (long, []), (long.where("variable <> 'revenues'"), []), (long.where("false"), RULES)):
+        whole = quality.all_warnings(wide, facts, SCOPE, rules, this_year=2026).where("scope = 'dataset'")
+        assert sorted(map(str, quality.dataset_warnings(wide, facts, rules).collect())) == sorted(map(str, whole.collect()))
+    plan = quality.dataset_counts(wide, long)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "regexp" not in plan
+
+
+def test_texts_of_facts_are_parsed_once(spark):
+    plan = quality.long_rows(random_panels(spark, 0)[1], SCOPE, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\d{4}-\d{2}-\d{2}") == 3  # start, end and filed
+
+
 def test_each_panel_is_read_and_dealt_out_once(spark, tmp_path):
     wide, long = random_panels(spark, 1)
     wide.write.parquet(str(tmp_path / "wide"))
