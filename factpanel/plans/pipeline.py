@@ -47,11 +47,28 @@ def companies_of(universe: DataFrame) -> DataFrame:
     return tables.keep_first(keyed, ["cik10"], order).select(*schemas.COMPANY)
 
 
-def mapped_facts(companies: DataFrame, opened: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
-    """Units of configured tags of the companies' documents, with their rule."""
-    documents = opened.withColumnRenamed("file_key", "cik10").drop("cik", "text")
-    files = documents.join(companies.select("cik10"), "cik10", "left_semi")
-    return facts.explode_units(select.map_to_rules(facts.explode_tags(files), rules, n_rules))
+def listed_rows(companies: DataFrame, documents: DataFrame, rules: DataFrame, n_rules: int, units: Sequence[str]) -> DataFrame:
+    """What the documents hold, dealt out by company, each document read once: facts under configured tags of accepted units, with their rule.
+
+    Besides them stand a row for each document, with its ``status``, and one for each foreign unit, with
+    the number of its facts (``foreign``); both have no ``fact_order``.  Of companies not asked for only the documents are listed.
+    """
+    none = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("namespace", "string"), ("tag", "string"), ("units", facts.UNITS))])
+    tags = lambda space: F.transform(F.filter(F.map_entries(space["value"]), lambda t: t["value"].isNotNull()), lambda t: F.struct(space["key"].alias("namespace"), t["key"].alias("tag"), t["value"]["units"].alias("units")))
+    spaces = F.filter(F.map_entries("facts"), lambda x: x["value"].isNotNull())
+    entries = F.concat(F.array(none), F.coalesce(F.flatten(F.transform(spaces, tags)), F.array().cast(f"array<struct<namespace:string,tag:string,units:{facts.UNITS}>>")))
+    opened = facts.whole_documents(documents).select("source_file", F.col("file_key").alias("cik10"), "status", F.posexplode(entries).alias("place", "t"))
+    rows = opened.select("source_file", "cik10", F.when(F.col("place") == 0, F.col("status")).alias("status"), "t.*")
+    known = rows.join(F.broadcast(rules) if n_rules <= select.BROADCAST_RULES else rules, ["namespace", "tag"], "left").where("variable is not null or status is not null")
+    keep = [c for c in known.columns if c != "units"]
+    listed = known.select(*keep, F.posexplode_outer("units").alias("unit_order", "unit", "items")).where("unit is not null or status is not null")
+    accepted = F.col("unit").isin(*units)
+    counted = listed.select(*keep, "unit_order", "unit", F.when(~accepted, F.size("items")).alias("foreign"), F.when(accepted, F.col("items")).alias("items"))
+    held = [c for c in counted.columns if c != "items"]
+    single = counted.select(*held, F.posexplode_outer("items").alias("fact_order", "f")).where("f is not null or status is not null or foreign is not null")
+    asked = companies.select("cik10").distinct().withColumn("asked", F.lit(True))
+    dealt = single.select(*held, "fact_order", "f.*").repartition("cik10")
+    return dealt.join(asked, "cik10", "left").where("asked or status is not null").drop("asked")
 
 
 def build_panel(companies: DataFrame, documents: DataFrame, rules: Sequence[Rule], scope: Scope, *, units: Sequence[str] = select.UNITS) -> Panel:
@@ -62,10 +79,8 @@ def build_panel(companies: DataFrame, documents: DataFrame, rules: Sequence[Rule
     """
     spark = documents.sparkSession
     table, variables = rules_frame(spark, list(rules)), variables_of(list(rules))
-    opened = facts.open_documents(documents)
-    listed = mapped_facts(companies, opened, table, len(rules)).persist(StorageLevel.DISK_ONLY)
-    wanted = listed.where(F.col("unit").isin(*units))
-    judged = select.judge(facts.explode_facts(wanted), scope, units=units).repartition("cik10").persist(StorageLevel.DISK_ONLY)
+    rows = select.judge(listed_rows(companies, documents, table, len(rules), units), scope, units=units).persist(StorageLevel.DISK_ONLY)
+    judged = rows.where("fact_order is not null")
     met = ["rule_order", "unit_order", "fact_order"]
     best = select.best_candidates(judged, met=met).withColumn("number", C.number("val"))
     kept = best.select("cik10", "company_year", "variable", "val", "number", *[c for c in schemas.FACT if c not in ("source_file",)], "source_file", *select.RANKS, "rule_order")
@@ -75,7 +90,7 @@ def build_panel(companies: DataFrame, documents: DataFrame, rules: Sequence[Rule
     long = named.withColumn("value", F.col("val")).orderBy("cik10", "company_year", "tier_rank", "tag_priority", "rule_order", "variable").select(*schemas.LONG)
     values = panel.wide(full.select("cik10", "company_year", "variable", F.col("number").alias("value")), variables)
     wide = panel.with_companies(values, companies, variables)
-    counts = _stats(companies, opened, listed, judged, found, units)
+    counts = _stats(companies, rows, judged, found)
     n_companies, n_wide = companies.count(), values.count()
     return Panel(
         long,
@@ -84,13 +99,14 @@ def build_panel(companies: DataFrame, documents: DataFrame, rules: Sequence[Rule
         reports.tag_usage(full, table),
         reports.missing_by_company(full, companies, variables),
         counts,
-        (listed, judged, full),
+        (rows, full),
     )
 
 
-def _stats(companies: DataFrame, opened: DataFrame, listed: DataFrame, judged: DataFrame, found: DataFrame, units: Sequence[str]) -> DataFrame:
-    """One row of counters over companies, files, facts and derivations."""
-    states = companies.select("cik10").join(opened.select(F.col("file_key").alias("cik10"), "status"), "cik10", "left").agg(
+def _stats(companies: DataFrame, rows: DataFrame, judged: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of counters over companies, files, facts and derivations, from what ``listed_rows`` lists."""
+    opened = rows.where("status is not null")
+    states = companies.select("cik10").join(opened.select("cik10", "status"), "cik10", "left").agg(
         F.count_distinct("cik10").alias("companies_in_universe"),
         F.count_if(F.col("status").isin("ok", "no_facts")).alias("companyfacts_files_parsed"),
         F.count_if(F.col("status").isNull()).alias("missing_companyfacts_files"),
@@ -98,8 +114,7 @@ def _stats(companies: DataFrame, opened: DataFrame, listed: DataFrame, judged: D
         F.count_if(F.col("status") == "no_facts").alias("files_without_facts"),
     )
     files = opened.agg(F.count_distinct("source_file").alias("companyfacts_files_found"))
-    foreign = F.when(~F.col("unit").isin(*units), F.size("items")).otherwise(0)
-    by_unit = listed.agg(F.coalesce(F.sum(foreign.cast("long")), F.lit(0)).alias("facts_rejected_unit"))
+    by_unit = rows.agg(F.coalesce(F.sum(F.col("foreign").cast("long")), F.lit(0)).alias("facts_rejected_unit"))
     by_fact = judged.agg(
         F.count_if(F.col("reject_reason").isNull()).alias("candidate_facts"),
         *[F.count_if(F.col("reject_reason") == r).alias(r) for r in select.REASONS if r != "facts_rejected_unit"],

@@ -16,7 +16,8 @@ FACT_FIELDS = ["val", "fy", "fp", "form", "filed", "accn", "frame", "start", "en
 FACT = "struct<" + ",".join(f"{f}:string" for f in FACT_FIELDS) + ">"
 MAP = "map<string,string>"
 TOP = "struct<cik:string,facts:string,_corrupt:string>"
-TAG = f"struct<label:string,description:string,units:map<string,array<{FACT}>>>"
+UNITS = f"map<string,array<{FACT}>>"
+TAG = f"struct<label:string,description:string,units:{UNITS}>"
 WHOLE = f"struct<cik:string,facts:map<string,map<string,{TAG}>>,_corrupt:string>"
 
 
@@ -27,7 +28,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _is_object(c: Column) -> Column:
-    return F.coalesce(C.strip(c).startswith("{"), F.lit(False))
+    return F.coalesce(F.ltrim(c, F.lit(C.SPACES)).startswith("{"), F.lit(False))  # the end of a long text isn't looked at
 
 
 def open_documents(documents: DataFrame) -> DataFrame:
@@ -37,18 +38,25 @@ def open_documents(documents: DataFrame) -> DataFrame:
     """
     top = F.from_json("text", TOP, {"columnNameOfCorruptRecord": "_corrupt"})
     opened = documents.withColumn("__top", top)
-    corrupt = F.coalesce(F.col("__top._corrupt").isNotNull(), F.lit(True)) | ~_is_object(F.col("text"))
-    named = F.coalesce(F.array_contains(F.json_object_keys("text"), "facts"), F.lit(False))
-    status = F.when(corrupt, "corrupt").when(_is_object(F.col("__top.facts")), "ok").when(named, "no_facts").otherwise("ok")
     return opened.select(
         *documents.columns,
         F.col("__top.cik").alias("cik"),
         F.col("__top.facts").alias("facts"),
-        status.alias("status"),
-        C.company_key(F.regexp_extract("source_file", r"([^/]*?)(\.[^./]*)?\z", 1)).alias("file_key"),
+        _status(F.col("__top")).alias("status"),
+        _key_of_file().alias("file_key"),
     )
 
 
+def _status(top: Column) -> Column:
+    corrupt = F.coalesce(top["_corrupt"].isNotNull(), F.lit(True)) | ~_is_object(F.col("text"))
+    named = F.coalesce(F.array_contains(F.json_object_keys("text"), "facts"), F.lit(False))
+    return F.when(corrupt, "corrupt").when(_is_object(top["facts"]), "ok").when(named, "no_facts").otherwise("ok")
+
+
+def _key_of_file() -> Column:
+    return C.company_key(F.regexp_extract("source_file", r"([^/]*?)(\.[^./]*)?\z", 1))
+
+
 def explode_tags(opened: DataFrame) -> DataFrame:
     """(the input's other columns, namespace, tag, payload): a row for each tag that is an object."""
     keep = [c for c in opened.columns if c not in ("text", "facts")]
@@ -82,12 +90,13 @@ def _tag_of(payload: Column) -> Column:
     return F.struct(F.get_json_object(payload, "$.label").alias("label"), F.get_json_object(payload, "$.description").alias("description"), F.transform_values(lists, lambda _, x: read(x)).alias("units"))
 
 
-def whole_tags(documents: DataFrame) -> DataFrame:
-    """(source_file, cik, namespace, tag, label, description, units) of documents (source_file, text), each parsed once.
+def whole_documents(documents: DataFrame) -> DataFrame:
+    """(source_file, file_key, cik, status, facts) of documents (source_file, text), each parsed once; ``status`` is that of ``open_documents``.
 
-    ``units`` maps a unit to its facts, null for what isn't an object, or to null if it has no list.  A
-    document with a value of another kind somewhere is opened level by level, as ``explode_tags`` and
-    ``explode_units`` do it, so an odd value still costs only itself.
+    ``facts`` maps a namespace to its tags and a tag to its label, description and units; a unit to its
+    facts, null for what isn't an object, or to null if it has no list.  A document with a value of
+    another kind somewhere is opened level by level, as ``explode_tags`` and ``explode_units`` do it, so
+    an odd value still costs only itself.
     """
     parsed = documents.select("source_file", "text", F.from_json("text", WHOLE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
     regular = _is_object(F.col("text")) & F.col("p").isNotNull() & F.col("p._corrupt").isNull()
@@ -95,7 +104,18 @@ def whole_tags(documents: DataFrame) -> DataFrame:
     odd = F.when(_is_object(F.col("text")) & top["_corrupt"].isNull() & _is_object(top["facts"]), F.from_json(top["facts"], MAP))
     opened = lambda tags: F.transform_values(F.map_filter(F.from_json(F.when(_is_object(tags), tags), MAP), lambda _, x: _is_object(x)), lambda _, x: _tag_of(x))
     layered = F.transform_values(odd, lambda _, x: opened(x))
-    rows = parsed.select("source_file", F.when(regular, F.col("p.cik")).otherwise(top["cik"]).alias("cik"), F.explode(F.when(regular, F.col("p.facts")).otherwise(layered)).alias("namespace", "tags"))
+    return parsed.select(
+        "source_file",
+        _key_of_file().alias("file_key"),
+        F.when(regular, F.col("p.cik")).otherwise(top["cik"]).alias("cik"),
+        F.when(regular & F.col("p.facts").isNotNull(), "ok").otherwise(_status(top)).alias("status"),
+        F.when(regular, F.col("p.facts")).otherwise(layered).alias("facts"),
+    )
+
+
+def whole_tags(documents: DataFrame) -> DataFrame:
+    """(source_file, cik, namespace, tag, label, description, units): a row for each tag of ``whole_documents``."""
+    rows = whole_documents(documents).select("source_file", "cik", F.explode("facts").alias("namespace", "tags"))
     tags = rows.select("source_file", "cik", "namespace", F.explode("tags").alias("tag", "t")).where("t is not null")
     return tags.select("source_file", "cik", "namespace", "tag", "t.*")
 

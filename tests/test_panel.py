@@ -384,3 +384,19 @@ def test_report_and_whole_run(spark, tmp_path, built):
     assert ids == list(range(1, len(ids) + 1)) and ids
     total = spark.read.parquet(f"{tmp_path}/warnings_summary").agg(F.sum("warning_count")).first()[0]
     assert total == len(ids)
+
+
+def test_a_run_reads_each_document_once(spark):
+    texts = ['{"cik": 1, "facts": {"us-gaap": {"A": {"units": {"USD": [{"val": 1, "fy": 2020}, 7], "EUR": [{"val": 2}]}}, "B": 3}, "x": null}}', '{"facts": {', '{"facts": 7}', '{"facts": null}', "{}", "[1]", "", ' {"facts": {}} ', '{"facts": {"us-gaap": 5}}', None]
+    documents = spark.createDataFrame([(f"a/CIK{i:010d}.json", t) for i, t in enumerate(texts)], "source_file string, text string")
+    want = facts.open_documents(documents).select("source_file", "file_key", "cik", "status")
+    whole = facts.whole_documents(documents)
+    assert sorted(map(str, whole.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    companies = spark.createDataFrame([("0000000000",)], "cik10 string")
+    rules = config.rules_frame(spark, [config.Rule("assets", "tier_1", 1, "us-gaap", "A", 1, 0)])
+    rows = pipeline.listed_rows(companies, documents, rules, 1, ["USD"])
+    assert [(r["val"], r["fact_order"]) for r in rows.where("fact_order is not null").collect()] == [("1", 0)]
+    assert [(r["unit"], r["foreign"]) for r in rows.where("foreign is not null").collect()] == [("EUR", 1)]
+    assert rows.where("status is not null").count() == len(texts)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3  # documents, rules and companies
