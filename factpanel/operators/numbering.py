@@ -35,7 +35,12 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     The sorted rows are written once; each partition's rows are numbered by their place in it and
     the number of rows before it, of which there is one per partition.
     """
-    ordered = checkpoint(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    return placed(df.orderBy(*order), name)
+
+
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row in the order that it comes in, from 1; rows that are sorted aren't sorted again."""
+    ordered = checkpoint(df.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import classify, derive, inventory, panel, quality, select
-from ..operators.numbering import checkpoint, use_shared_folder
+from ..operators.numbering import checkpoint, placed, use_shared_folder
 from ..sources import config, facts, tables
 from ..sources.config import Rule, rules_frame
 from . import checks, pipeline
-from .checks import placed
 from .driver import BEST_SQL, CLASSIFIED_SQL, FACTS_SQL, RULES_SQL, SCOPE, WIDE_SQL, _long_sql, companies, line_facts, orders_wide, part_companies, query, table
 
 # ---------------------------------------------------------------- documents to a panel
@@ -60,10 +59,19 @@ def line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     fields = ["start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame"]
     f = line_facts(spark, sf_dir).withColumn("part", F.floor(F.col("accn").cast("long") / 100)).withColumn("val", F.when(F.col("val") != "", F.col("val").cast("long")))
-    by_unit = f.groupBy("cik10", "part", "namespace", "tag", "unit").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
-    by_tag = by_unit.groupBy("cik10", "part", "namespace", "tag").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("unit", "items"))).alias("units")).alias("payload"))
-    by_space = by_tag.groupBy("cik10", "part", "namespace").agg(F.map_from_entries(F.collect_list(F.struct("tag", "payload"))).alias("tags"))
-    whole = by_space.groupBy("cik10", "part").agg(F.map_from_entries(F.collect_list(F.struct("namespace", "tags"))).alias("facts"))
+    levels = ["namespace", "tag", "unit"]
+    lists = f.groupBy("cik10", "part").agg(F.sort_array(F.collect_list(F.struct(*levels, F.struct(*fields).alias("fact")))).alias("all"))
+
+    def opened(items, depth: int):
+        """A document's facts by the names of a level, which follow each other in its sorted list, and of those below it."""
+        if depth == len(levels):
+            return F.transform(items, lambda x: x["fact"])
+        names = F.array_distinct(F.transform(items, lambda x: x[levels[depth]]))
+        below = F.transform(names, lambda v: F.struct(v.alias("k"), opened(F.filter(items, lambda x: x[levels[depth]] == v), depth + 1).alias("v")))
+        by_name = F.map_from_entries(below)
+        return F.struct(by_name.alias("units")) if levels[depth] == "unit" else by_name
+
+    whole = lists.select("cik10", "part", opened(F.col("all"), 0).alias("facts"))
     name = lambda part: F.concat(part, F.lit("/CIK"), F.col("cik10"), F.lit(".json"))
     good = whole.select(name(F.col("part").cast("string")).alias("source_file"), F.to_json(F.struct(F.col("cik10").alias("cik"), "facts")).alias("text"))
     broken = companies(spark, sf_dir).where("cast(cik10 as long) % 50 = 0").select(name(F.lit("broken")).alias("source_file"), F.lit('{"facts": {').alias("text"))
