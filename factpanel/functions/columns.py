@@ -32,8 +32,11 @@ def strip(c: Column | str) -> Column:
 
 
 def _within_spaces(c: Column | str, pattern: str) -> Column:
-    """The group of a pattern that a text holds between white space, else the empty text: one reading, which nothing repeats."""
-    return F.regexp_extract(col(c).cast("string"), rf"^[{SPACES}]*+{pattern}[{SPACES}]*\z", 1)
+    """The group of a pattern that a text holds between white space, else null: one reading, which nothing repeats.
+
+    Null reaches no cast; one that fails is an exception within, which costs more than all the rest.
+    """
+    return F.get(F.regexp_extract_all(col(c).cast("string"), F.lit(rf"^[{SPACES}]*+{pattern}[{SPACES}]*\z"), F.lit(1)), F.lit(0))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -261,7 +264,7 @@ def with_six_digits(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     def exact(x, name: str) -> dict[str, Column]:
         # the shortest decimal form, filled with zeros: one digit, the point, sixteen digits, the power
         c = values[name].cast("double")
-        return {"c": c, "exact": F.format_string("%.16e", F.abs(c))}
+        return {"c": c, "exact": F.when(F.abs(c) < float("inf"), F.format_string("%.16e", F.abs(c)))}  # else no digits: they would fail to parse, one by one
 
     def parts(x, name: str) -> dict[str, Column]:
         digits = F.concat(F.substring(x("exact"), 1, 1), F.substring(x("exact"), 3, 16))

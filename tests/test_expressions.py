@@ -179,3 +179,9 @@ def test_landing(tmp_path):
     assert landing.land(["1"], str, tmp_path, opener, sleep=pauses.append).skipped == 1
     (tmp_path / "0000000007.json").write_text("{}")
     assert landing.rename_plain(tmp_path) == 1 and landing.landed_keys(tmp_path) == ["0000000007"]
+
+
+def test_texts_without_a_number_reach_no_cast(spark):
+    """What isn't a number is null before it is cast, as a cast that fails is an exception within."""
+    seen = spark.createDataFrame([("",), (" ",), ("x",), ("7.0 ",), (None,)], "t string").select("t", C._within_spaces("t", C.INTEGER).alias("i"), C.integer("t").alias("n"))
+    assert [(r.i, r.n) for r in seen.collect()] == [(None, None), (None, None), (None, None), ("7", 7), (None, None)]
