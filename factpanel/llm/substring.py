@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.numbering import checkpoint, numbered
-from .arrow import SLICE_ROWS, append_columns, explode_columns, fresh, lists, nested, record_batch, slices
+from .arrow import append_columns, fresh, lists, nested, record_batch
 from .components import BROADCAST_IDS, small
 
 WIDTH = 5
@@ -63,9 +63,10 @@ MAX_GAP = 40
 MARGIN = MIN_WORDS  #: words beyond a chain's ends that alignment may take, ``min_words`` at least: one seed can be anywhere in a passage
 MULTIPLIER = 0x9E3779B97F4A7C15
 
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+NO_SPACE = bytes(int(i not in (9, 10, 11, 12, 13, 32)) for i in range(256))
 BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
 BLOCK = 1 << 20
+ROWS_BLOCK = 1 << 17  #: bytes of texts that are worked on as one, so that arrays of eight bytes for each stay in a core's cache
 
 
 @lru_cache(maxsize=4)
@@ -84,30 +85,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
-def _block_hashes(data: bytes) -> np.ndarray:
-    """Polynomial hashes of the words of a block, from running sums of its bytes."""
+def _words_of(data: bytes, rows: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are in a word, and at which places (one more than bytes) a word goes on; none does at ``rows``."""
+    word = np.frombuffer(data.translate(NO_SPACE), bool)
+    on = np.concatenate([[False], word[1:] & word[:-1], [False]])
+    if rows is not None:
+        on[rows] = False
+    return word, on
+
+
+def _block_hashes(data: bytes, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of the words of a block, from running sums of its bytes, and where they start; no word goes on at a place in ``rows``."""
     letters = np.frombuffer(data, np.uint8)
-    word = ~SPACE[letters]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
-    starts, ends = edges[::2], edges[1::2]
-    powers, inverses = _powers(max(BLOCK, 1 << max(0, len(data)).bit_length()) if len(data) > 4096 else 4096)
+    word, on = _words_of(data, rows)
+    starts, ends = np.flatnonzero(word & ~on[:-1]), np.flatnonzero(word & ~on[1:]) + 1
+    powers, inverses = _powers(max(BLOCK, 1 << max(0, len(data)).bit_length()) if len(data) > 2 * ROWS_BLOCK else 2 * ROWS_BLOCK if len(data) > 4096 else 4096)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * inverses[starts])
+    np.cumsum(np.add(letters, 1, dtype=np.uint64) * powers[: len(data)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * inverses[starts]), starts
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word; words are cut at ASCII white space, A-Z in lower case."""
     data = (text or "").encode().lower()
     if len(data) <= BLOCK:
-        return _block_hashes(data)
+        return _block_hashes(data)[0]
     parts, at = [], 0
     while at < len(data):
         end = len(data) if at + BLOCK >= len(data) else max(data.rfind(c, at, at + BLOCK) for c in b" \t\n\v\f\r") + 1
         if end <= at:  # a word longer than a block ends at the next white space
             found = [i for c in b" \t\n\v\f\r" if (i := data.find(c, at)) >= 0]
             end = min(found) if found else len(data)
-        parts.append(_block_hashes(data[at:end]))
+        parts.append(_block_hashes(data[at:end])[0])
         at = end
     return np.concatenate(parts)
 
@@ -116,48 +125,111 @@ def shingle_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(width):
-        h = h * np.uint64(MULTIPLIER) + words[j : j + n]
+    h = words[:n].copy()
+    for j in range(1, width):
+        h *= np.uint64(MULTIPLIER)
+        h += words[j : j + n]
     return _mixed(h)
 
 
-def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of seeds; of a run of equal shingles only the first can be one."""
+def winnow(h: np.ndarray, window: int = WINDOW, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Positions of seeds; of a run of equal shingles only the first can be one.  ``sizes`` are those of texts, if there are several."""
+    sizes = np.array([len(h)]) if sizes is None else sizes
     if not len(h):
         return np.zeros(0, np.int64)
-    if len(h) <= window:
-        return np.array([h.argmin()])
-    # the place within sixteen takes the lowest bits, so the least value of a window tells where it is
-    low = (h & ~np.uint64(15)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(15))
-    size = 1
-    while 2 * size <= window:
-        low, size = np.minimum(low[:-size], low[size:]), 2 * size
-    if size < window:
-        low = np.minimum(low[: size - window], low[window - size :])
-    starts = np.arange(len(low))
+    heads = np.cumsum(sizes) - sizes
     chosen = np.zeros(len(h), bool)
-    chosen[starts + ((low & np.uint64(15)).astype(np.int64) - starts) % 16] = True
-    chosen[1:] &= h[1:] != h[:-1]
-    return np.flatnonzero(chosen)
+    for start, n in zip(heads[(sizes > 0) & (sizes <= window)].tolist(), sizes[(sizes > 0) & (sizes <= window)].tolist(), strict=True):
+        chosen[start + h[start : start + n].argmin()] = True
+    if len(h) >= window:
+        # the place within sixteen takes the lowest bits, so the least value of a window tells where it is
+        place = np.arange(len(h)) - np.repeat(heads, sizes)
+        low = (h & ~np.uint64(15)) | (place & 15).astype(np.uint64)
+        size = 1
+        while 2 * size <= window:
+            low, size = np.minimum(low[:-size], low[size:]), 2 * size
+        if size < window:
+            low = np.minimum(low[: size - window], low[window - size :])
+        starts = np.flatnonzero((place + window <= np.repeat(np.where(sizes > window, sizes, 0), sizes))[: len(low)])
+        chosen[starts + (((low[starts] & np.uint64(15)).astype(np.int64) - place[starts]) & 15)] = True
+    again = np.concatenate([[False], h[1:] == h[:-1]])
+    again[heads[sizes > 0]] = False
+    return np.flatnonzero(chosen & ~again)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, length: int, ends: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ma.MaskedArray:
+    """32-bit hashes of the ``length`` words from each place on; masked where the text, whose end is in ``ends``, ends before."""
+    sums = run_sums(words) if sums is None else sums
+    short = at + length > (len(words) if ends is None else ends)
+    h = _mixed((sums[np.where(short, at, at + length)] - sums[at]) * _powers(_run_size(words))[1][at]) >> np.uint64(32)
+    return np.ma.MaskedArray(h.astype(np.uint32).view(np.int32), short)
 
 
-def run_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ma.MaskedArray:
-    """32-bit hashes of the ``length`` words from each place on; masked where the text ends before."""
-    powers, inverses = _powers(1 << max(12, len(words).bit_length()))
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers[: len(words)], out=sums[1:])
-    short = at + length > len(words)
-    ends = np.where(short, at, at + length)
-    h = _mixed((sums[ends] - sums[at]) * inverses[at]) >> np.uint64(32)
-    return np.ma.MaskedArray(h.astype(np.uint32).view(np.int32), short)
+def _run_size(words: np.ndarray) -> int:
+    return 1 << max(16, len(words).bit_length())
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of batches (doc, text), some rows at a time."""
+def run_sums(words: np.ndarray) -> np.ndarray:
+    """Running sums of words, from which the hashes of runs of any length are made."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(_run_size(words))[0][: len(words)], out=sums[1:])
+    return sums
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(first, last row + 1, bytes, where each row starts in them) of about ROWS_BLOCK bytes of the texts (null: empty) at a time."""
+    texts = texts.fill_null("")
+    if not len(texts):
+        return
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data, at = memoryview(texts.buffers()[2] or b""), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS_BLOCK, "right")) - 1)
+        yield at, to, bytes(data[ends[at] : ends[to]]), ends[at:to] - ends[at]
+        at = to
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, numbers of words, hashes of all words) of batches (doc, text), for texts of about ROWS_BLOCK bytes at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield tuple(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns)
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for at, to, data, rows in _pieces(batch.column(1)):
+            if len(data) > 2 * ROWS_BLOCK:  # one long text
+                words = word_hashes(data.decode())
+                yield ids[at:to], np.array([len(words)]), words
+            else:
+                words, starts = _block_hashes(data.lower(), rows)
+                yield ids[at:to], np.diff(np.searchsorted(starts, rows), append=len(starts)), words
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """(doc, text_sha256, n_words) of documents (doc, text, text_sha256); a null text has null words."""
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField(DIGEST, T.StringType()), T.StructField("n_words", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.zeros(0, np.int64)]
+            for _, _, data, rows in _pieces(batch.column(1)):
+                word, on = _words_of(data, rows)
+                n.append(np.diff(np.searchsorted(np.flatnonzero(word & ~on[:-1]), rows), append=np.count_nonzero(word & ~on[:-1])))
+            none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            yield record_batch(schema, {"doc": batch.column(0), DIGEST: batch.column(2), "n_words": np.ma.MaskedArray(np.concatenate(n), none)})
+
+    return docs.select("doc", "text", DIGEST).mapInArrow(work, schema)
+
+
+def _seeds_of(n_words: np.ndarray, words: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of the text, place among all words) of the seeds of texts that have ``n_words`` of the words, one after the other."""
+    ends = np.cumsum(n_words)
+    whole = np.ones(len(words), bool)  # a shingle begins here and ends within the text
+    for k in range(1, width):
+        whole[(ends - k)[n_words >= k]] = False
+    sizes = np.maximum(0, n_words - width + 1)
+    places = np.flatnonzero(whole)
+    h = shingle_hashes(words, width)[places] if len(places) else np.zeros(0, np.uint64)
+    at = winnow(h, window, sizes)
+    return h[at], np.repeat(np.arange(len(sizes)), sizes)[at], places[at]
 
 
 COUNTS = T.StructType([T.StructField("part", T.LongType())] + [T.StructField(n, T.ArrayType(T.LongType() if n == "h" else T.IntegerType())) for n in ("h", "docs", "places")])
@@ -192,16 +264,17 @@ def repeated_seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, ch
             held.clear()
             return record_batch(COUNTS, dict(zip(COUNTS.names, [names.astype(np.int64), *cut], strict=True)))
 
-        for _, texts in _texts(batches):
-            for text in texts:
-                h = shingle_hashes(word_hashes(text), width)
-                h, places = np.unique(h[winnow(h, window)], return_counts=True)
-                if len(h):
-                    held.append((h, np.ones(len(h), np.int64), places))
-                    size += len(h)
-                if size >= chunk:
-                    yield flush()
-                    size = 0
+        for _, n_words, words in _blocks(batches):
+            h, text, _ = _seeds_of(n_words, words, width, window)
+            if len(h):
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                starts = np.flatnonzero(_changes(h, text))  # what one text has of a seed
+                held.append((h[starts], np.ones(len(starts), np.int64), np.diff(np.append(starts, len(h)))))
+                size += len(starts)
+            if size >= chunk:
+                yield flush()
+                size = 0
         if held:
             yield flush()
 
@@ -265,28 +338,25 @@ def seeds(docs: DataFrame, width: int = WIDTH, window: int = WINDOW, only: Broad
 
     hot_hashes, hot_keys = np.array([h for h, _ in dealt], np.int64), np.array([n for _, n in dealt], np.int64)
 
-    def work(ids: list, texts: list) -> Iterator[dict]:
-        for a, b in slices(texts):
-            parts: list[list[np.ndarray]] = [[] for _ in SEEDS]
-            for doc, text in zip(ids[a:b], texts[a:b], strict=True):
-                words = word_hashes(text)
-                h = shingle_hashes(words, width)
-                at = winnow(h, window)
-                if only is not None:
-                    at = at[within(only.value, h[at])]
-                found, keys = h[at].view(np.int64), np.zeros(len(at), np.int64)
-                if warm is not None:
-                    keys[within(warm[0].value, h[at])] = warm[1]
-                if len(hot_hashes):
-                    k = np.minimum(np.searchsorted(hot_hashes, found), len(hot_hashes) - 1)
-                    keys = np.where(hot_hashes[k] == found, hot_keys[k], keys)
-                salt = np.where(keys > 0, 1 + (doc * 0x9E3779B1 >> 7 & 0x7FFFFFFF) % np.maximum(keys, 1), 0).astype(np.int32)
-                runs = [run_hashes(words, at, n) for n in LENGTHS]
-                for part, values in zip(parts, (found, salt, np.full(len(at), doc, np.int64), at.astype(np.int32), *runs), strict=True):
-                    part.append(values)
-            yield dict(zip(SEEDS.names, map(np.ma.concatenate, parts), strict=True))
-
-    return explode_columns(docs, ["doc", "text"], SEEDS, work)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, n_words, words in _blocks(batches):
+            h, text, at = _seeds_of(n_words, words, width, window)
+            if only is not None:
+                kept = within(only.value, h)
+                h, text, at = h[kept], text[kept], at[kept]
+            doc, ends = ids.astype(np.int64)[text], np.cumsum(n_words)
+            found, keys = h.view(np.int64), np.zeros(len(h), np.int64)
+            if warm is not None:
+                keys[within(warm[0].value, h)] = warm[1]
+            if len(hot_hashes):
+                k = np.minimum(np.searchsorted(hot_hashes, found), len(hot_hashes) - 1)
+                keys = np.where(hot_hashes[k] == found, hot_keys[k], keys)
+            salt = np.where(keys > 0, 1 + (doc * 0x9E3779B1 >> 7 & 0x7FFFFFFF) % np.maximum(keys, 1), 0).astype(np.int32)
+            sums = run_sums(words)
+            runs = [run_hashes(words, at, n, ends[text], sums) for n in LENGTHS]
+            yield record_batch(SEEDS, dict(zip(SEEDS.names, (found, salt, doc, (at - (ends - n_words)[text]).astype(np.int32), *runs), strict=True)))
+
+    return docs.select("doc", "text").mapInArrow(work, SEEDS)
 
 
 MATCHES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("source", T.LongType()), T.StructField("at", T.IntegerType())])
@@ -299,25 +369,35 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 def partners(h: np.ndarray, salt: np.ndarray, doc: np.ndarray, pos: np.ndarray, runs: list[np.ma.MaskedArray]) -> np.ndarray:
     """Rows (doc, pos, source, at): seeds of one key or run with its first document, those of a key also with the last one before."""
+    order = np.lexsort((pos, doc, salt, h))
+    h, salt, doc, pos = (c[order] for c in (h, salt, doc, pos))
+    key = np.cumsum(_changes(h, salt)) if len(h) else h
     found = []
     for run in (None, *runs):
-        rows = np.arange(len(h)) if run is None else np.flatnonzero(~np.ma.getmaskarray(run))
-        key = [h, salt] if run is None else [h, salt, np.ma.getdata(run)]
-        key = [k[rows] for k in key]
-        order = np.lexsort((pos[rows], doc[rows], *key[::-1]))
-        rows, key = rows[order], [k[order] for k in key]
-        if not len(rows):
+        if run is None:
+            of, d, p = key, doc, pos
+        else:
+            rows = np.flatnonzero(~np.ma.getmaskarray(run)[order])
+            of = (key[rows] << 32) | (np.ma.getdata(run)[order[rows]].astype(np.int64) & 0xFFFFFFFF)
+            again = np.argsort(of, kind="stable")  # documents and places stay in order
+            of, rows = of[again], rows[again]
+            d, p = doc[rows], pos[rows]
+        if not len(of):
             continue
-        d, p = doc[rows], pos[rows]
-        group, holder = _changes(*key), _changes(*key, d)
+        group, holder = _changes(of), _changes(of, d)
         heads = np.flatnonzero(holder)  # a document's first place in a group
         first = np.flatnonzero(group)[np.cumsum(group) - 1]
         before = np.concatenate([[0], heads[:-1]])[np.cumsum(holder) - 1]
         links = [first] if run is not None else [first, np.maximum(first, before)]
         for link in links:
-            later = d != d[link]
-            found.append(np.column_stack([d[later], p[later], d[link[later]], p[link[later]]]))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+            later = np.flatnonzero(d != d[link])
+            found.append((d[later], p[later], d[link[later]], p[link[later]]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+    if not len(columns[0]):
+        return np.zeros((0, 4), np.int64)
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    return np.column_stack(columns)[_changes(*columns)]
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -584,8 +664,14 @@ PASSAGES = T.StructType(
 
 def _words(docs: DataFrame) -> DataFrame:
     """(doc, words): 16-bit hashes of the words of documents (doc, text)."""
-    field = T.StructField("words", T.ArrayType(T.ShortType()))
-    return append_columns(docs, ["text"], [field], lambda texts: [[(word_hashes(t) >> np.uint64(48)).astype(np.uint16).view(np.int16) for t in texts]], ["doc"])
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("words", T.ArrayType(T.ShortType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, n_words, words in _blocks(batches):
+            short = (words >> np.uint64(48)).astype(np.uint16).view(np.int16)
+            yield record_batch(schema, {"doc": ids.astype(np.int64), "words": pa.ListArray.from_arrays(np.append(0, np.cumsum(n_words)).astype(np.int32), short)})
+
+    return docs.select("doc", "text").mapInArrow(work, schema)
 
 
 def reach(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[int, int]:
@@ -740,9 +826,7 @@ def units(docs: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> tu
     a number in the order of id and digest, and the names are (doc, doc_id, text_sha256).
     """
     doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    n_words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = docs.select(doc.alias("doc"), _digest(text).alias(DIGEST), n_words.cast("long").alias("n_words")).where("doc is not null")
-    rows = checkpoint(rows)
+    rows = checkpoint(with_counts(docs.select(doc.alias("doc"), text.alias("text"), _digest(text).alias(DIGEST)).where("doc is not null")))
     plain = docs.select(doc.alias("doc"), text.alias("text")).where("doc is not null")
     again = checkpoint(rows.groupBy("doc").agg(F.count("*").alias("n"), F.min(DIGEST).alias("a"), F.max(DIGEST).alias("b")).where("n > 1"))
     names = None

@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,6 +62,32 @@ def test_seeds_cover_every_window():
     assert len(substring.winnow(substring.shingle_hashes(substring.word_hashes("a b c")))) == 0
 
 
+def test_texts_worked_on_as_one_have_the_seeds_of_each(spark, monkeypatch):
+    """Words, seeds and runs don't reach from one text into the next, however texts are put together."""
+    rng = random.Random(27)
+    texts = [None, "", " ", "a b", "a b c d e", "é b", "c"] + [" ".join(rng.choices(VOCABULARY[: rng.choice([2, 4000])], k=rng.randint(1, 90))) for _ in range(200)] + ["x " * 4000, " y", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) - 1)), pa.array(texts)[1:]], names=["doc", "text"])
+    for size in (1, 300, 1 << 17):
+        monkeypatch.setattr(substring, "ROWS_BLOCK", size)
+        seen, blocks = [], 0
+        for ids, n_words, w in substring._blocks([batch]):
+            h, text, at = substring._seeds_of(n_words, w, substring.WIDTH, substring.WINDOW)
+            ends, blocks = np.cumsum(n_words), blocks + 1
+            runs = substring.run_hashes(w, at, 16, ends[text], substring.run_sums(w))
+            for i, doc in enumerate(ids.tolist()):
+                own, mine = substring.word_hashes(texts[doc + 1]), text == i
+                shingles = substring.shingle_hashes(own)
+                want = substring.winnow(shingles)
+                assert n_words[i] == len(own) and w[ends[i] - n_words[i] : ends[i]].tolist() == own.tolist()
+                assert (at[mine] - (ends[i] - n_words[i])).tolist() == want.tolist() and h[mine].tolist() == shingles[want].tolist()
+                assert runs[mine].tolist() == substring.run_hashes(own, want, 16).tolist()
+            seen += ids.tolist()
+        assert seen == list(range(len(texts) - 1))
+    assert blocks == 1  # 209 texts at once
+    frame = spark.createDataFrame([(i, t, "d") for i, t in enumerate(texts)], "doc long, text string, text_sha256 string")
+    assert {r["doc"]: r["n_words"] for r in substring.with_counts(frame).collect()} == {i: None if t is None else len(t.split()) for i, t in enumerate(texts)}
+
+
 def test_alignment_of_shifts_and_changes():
     rng = random.Random(2)
     a = np.array([rng.randrange(10**6) for _ in range(200)], np.int32)
