@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -21,14 +21,22 @@ RAW = "script style noscript template title svg iframe object select textarea bu
 CONTAINERS = frozenset("body main article section div td center".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article section main div body".split())
+PAGE = frozenset("html head body".split())
 
 LONGEST_PATH = 300
+BEGINS = r"<(?:(/?)([a-zA-Z][^\s/>]*+)"
+OTHERS = r">|(?=[!?]|/?[a-zA-Z]))"
+#: A tag whose quotes are all closed, or one without quotes; a group is empty where something else begins.
+TAG = re.compile(BEGINS + r"""([^'"<>]*+(?:(?:"[^"]*+"|'[^']*+')[^'"<>]*+)*+)""" + OTHERS)
+BARE = re.compile(BEGINS + r"""([^'"<>]*+)""" + OTHERS)
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+NOT_OF_NAMES = re.compile(r"<[!?/]")
 RUN = re.compile(r"[^'\"<>]*")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 DIGITS = re.compile(r"[0-9]+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+Token = tuple[int, int, str, str, str]
 
 
 @dataclass
@@ -60,7 +68,7 @@ def squeeze(text: str) -> str:
     return " ".join(unescape(text).split()) if text else ""
 
 
-def tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+def tokens(html: str) -> Iterator[Token]:
     """(start, end, slash, name, attribute text) of tags and of what is skipped.
 
     The slash of an element that is skipped with its content is "raw"; comments have no name.
@@ -68,51 +76,113 @@ def tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
     Any text is read in one pass: a tag ends at its ">" outside quotes, and one that meets "<" or the
     end before is text; a quote that isn't closed anywhere is looked for once.
     """
-    at, open_quotes = 0, set()
-    while (start := html.find("<", at)) >= 0:
-        at = start + 1
-        if html.startswith("<!--", start):
-            end = html.find("-->", start + 4)
-            at = len(html) if end < 0 else end + 3
-            yield start, at, "", "", ""
+    at, find, open_quotes = 0, TAG.search, set()
+    while found := find(html, at):
+        start, end = found.span()
+        slash, name, attribute_text = found.groups()
+        if name is None:  # what isn't a plain tag
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = len(html) if end < 0 else end + 3
+                yield start, at, "", "", ""
+                continue
+            if html.startswith(("<!", "<?"), start):
+                end = html.find(">", start)
+                if end < 0:
+                    return
+                at = end + 1
+                yield start, at, "", "", ""
+                continue
+            m = NAME.match(html, start)
+            i = m.end()
+            while i < len(html):
+                i = RUN.match(html, i).end()
+                quote = html[i : i + 1]
+                if quote not in ("'", '"'):
+                    break
+                if quote in open_quotes:
+                    quote = ""
+                    break
+                end = html.find(quote, i + 1)
+                if end < 0:
+                    open_quotes.add(quote)
+                    find, quote = BARE.search, ""
+                    break
+                i = end + 1
+            else:
+                quote = ""
+            if quote != ">":  # nor is a tag that begins within its name, as it would end alike
+                other = NOT_OF_NAMES.search(html, start + 1, m.end() + 1)
+                at = other.start() if other else m.end()
+                continue
+            end, slash, name, attribute_text = i + 1, m[1], m[2], html[m.end() : i]
+        name = name.lower()
+        if not slash and name in RAW_END:
+            if html[end - 2] != "/":
+                closing = RAW_END[name].search(html, end)
+                end = closing.end() if closing else len(html)
+            slash = "raw"
+        at = end
+        yield start, end, slash, name, attribute_text
+
+
+def close_before(tag: str, opened: dict[str, list[int]], scopes: list[int], pop_to: Callable[[int], None]) -> None:
+    """Closes what the start of an element ends: open paragraphs, then one element of its kind, within the scope."""
+    ends = CLOSES.get(tag, ())
+    while (depth := max([opened[e][-1] for e in ("p", *ends) if opened[e]], default=0)) > scopes[-1]:
+        paragraph = opened["p"] and opened["p"][-1] == depth
+        pop_to(depth)
+        if not paragraph:
+            break
+
+
+def lines(html: str, found: Iterable[Token]) -> list[str]:
+    """The texts of the blocks that ``read`` finds, made of the page's tokens without its elements.
+
+    Inline elements neither end a block nor close what isn't inline, so only the others are followed.
+    """
+    out: list[str] = []
+    texts: list[str] = []
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # as in read, of elements that aren't inline
+    stack, scopes = ["body"], [0]
+    at = 0
+
+    def pop_to(depth: int) -> None:
+        for tag in reversed(stack[depth:]):
+            opened[tag].pop()
+        del stack[depth:]
+        while scopes[-1] >= depth:
+            scopes.pop()
+
+    for start, end, slash, tag, _ in found:
+        if start > at:
+            texts.append(html[at:start])
+        at = end
+        if not tag or slash == "raw" or tag in INLINE or slash and not opened[tag]:
             continue
-        if html.startswith(("<!", "<?"), start):
-            end = html.find(">", start)
-            if end < 0:
-                return
-            at = end + 1
-            yield start, at, "", "", ""
+        if tag == "br" and not slash:
+            texts.append(" ")
             continue
-        m = NAME.match(html, start)
-        if not m:
+        if texts:
+            if text := squeeze("".join(texts)):
+                out.append(text)
+            texts.clear()
+        if slash:
+            pop_to(opened[tag][-1])
             continue
-        i = m.end()
-        while i < len(html):
-            i = RUN.match(html, i).end()
-            quote = html[i : i + 1]
-            if quote not in ("'", '"'):
-                break
-            if quote in open_quotes:
-                quote = ""
-                break
-            end = html.find(quote, i + 1)
-            if end < 0:
-                open_quotes.add(quote)
-                quote = ""
-                break
-            i = end + 1
-        else:
-            quote = ""
-        if quote != ">":
+        if tag in PAGE:
             continue
-        at, name = i + 1, m[2].lower()
-        if not m[1] and name in RAW_END:
-            if html[i - 1] != "/":
-                end = RAW_END[name].search(html, at)
-                at = end.end() if end else len(html)
-            yield start, at, "raw", name, html[m.end() : i]
-        else:
-            yield start, at, m[1], name, html[m.end() : i]
+        if opened["p"] or tag in CLOSES:
+            close_before(tag, opened, scopes, pop_to)
+        if tag not in VOID:
+            opened[tag].append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            stack.append(tag)
+    texts.append(html[at:])
+    if text := squeeze("".join(texts)):
+        out.append(text)
+    return out
 
 
 def read(html: str | None, is_noise=None) -> Page:
@@ -202,16 +272,11 @@ def read(html: str | None, is_noise=None) -> Page:
             push(Element(tag, stack[-1], top.path, attribute_text, top.noise, top.header, top.heading, top.article, top.block, top.container))
             continue
         flush()
-        if tag in ("html", "head", "body"):
+        if tag in PAGE:
             if tag == "body":
                 elements[0].attributes = attribute_text
             continue
-        ends = ("p", *CLOSES.get(tag, ()))
-        while (depth := max([opened[e][-1] for e in ends if opened[e]], default=0)) > scopes[-1]:
-            other = elements[stack[depth]].tag
-            pop_to(depth)
-            if other != "p":
-                break
+        close_before(tag, opened, scopes, pop_to)
         if tag in VOID:
             continue
         parent, here = elements[stack[-1]], len(elements)

@@ -152,9 +152,9 @@ def entity(headers: Headers, payload: bytes) -> tuple[bytes, list[str]]:
     return payload, []
 
 
-def page_metadata(html: str) -> dict:
+def page_metadata(html: str, found: list[markup.Token]) -> dict:
     title, metas, links = "", [], []
-    for start, end, slash, tag, attribute_text in markup.tokens(html):
+    for start, end, slash, tag, attribute_text in found:
         if tag == "title" and slash == "raw" and not title:
             title = markup.squeeze(re.sub(r"</title\s*>\Z", "", html[start:end].partition(">")[2], flags=re.I))
         named = markup.attributes(attribute_text) if tag == "meta" or tag in LINKED and slash != "/" else {}
@@ -193,6 +193,7 @@ def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes)
         html = body.decode("utf-8", "replace")
     if undecoded:
         html = ""
+    found = list(markup.tokens(html))
     source = json.loads(warc_headers or "[]")
     payload_digest, block_digest = digest(payload), digest(block)
     envelope = {
@@ -206,14 +207,14 @@ def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes)
                     "Headers": headers,
                     "Entity-Length": len(payload),
                     "Entity-Digest": payload_digest,
-                    "HTML-Metadata": page_metadata(html),
+                    "HTML-Metadata": page_metadata(html, found),
                 },
             },
         }
     }
     if undecoded:
         envelope["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Undecoded-Content-Encoding"] = undecoded
-    text = "\n".join([b[1] for b in markup.read(html).blocks])
+    text = "\n".join(markup.lines(html, found))
     out = []
     for kind, content_type, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain", text)):
         data = body.encode("utf-8", "replace")

@@ -2,11 +2,13 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import re
+import time
 import zlib
 from html import unescape
 
-from factpanel.llm import queries, warc
+from factpanel.llm import markup, queries, warc
 
 
 def sha1(data):
@@ -146,3 +148,29 @@ def test_broken_records_are_read_as_far_as_they_go():
     assert [b for _, b in warc.parse_records(odd + good)] == [b"d e", b"abc"]
     assert [b for _, b in warc.parse_records(gzip.compress(good) * 3 + gzip.compress(odd)[:20])][:3] == [b"abc"] * 3
     assert list(warc.parse_records(b"\x1f\x8bbroken")) == [] and list(warc.parse_records(b"")) == []
+
+
+def test_a_page_is_cut_into_tokens_once(monkeypatch):
+    calls, tokens = [], markup.tokens
+    monkeypatch.setattr(markup, "tokens", lambda html: calls.append(html) or tokens(html))
+    html = "<title>T</title><p>one <a href=/x>l</a><br><li>two</div>three"
+    metadata, conversion = warc.derived_of("r", "u", "d", "[]", html.encode())
+    assert conversion["block"] == "one l\ntwothree" and '"/x"' in metadata["block"]
+    assert calls == [html]
+
+
+def test_lines_are_the_texts_of_blocks():
+    parts = "<p> </p> <div> </div> <ul> <li> </ul> <table> <tr> <td> </table> <b> </b> <a> </a> <br> </br> <script> </script> <img> <dl> <dt> <dd> </dl> <body> </body> <!--x--> <a'b> <a<b < > ' \" x &amp; &am p;".split()
+    choose = random.Random(5)
+    for _ in range(2000):
+        html = " ".join(choose.choices(parts, k=25))
+        assert markup.lines(html, markup.tokens(html)) == [b[1] for b in markup.read(html).blocks], html
+
+
+def test_names_without_an_end_are_read_once():
+    before = time.process_time()
+    html = "<a" * 40_000
+    assert list(markup.tokens(html)) == [] and warc.derived_of("r", "u", "d", "[]", html.encode())[1]["block"] == html
+    assert [t[:2] for t in markup.tokens("<a<b</i <!--x--><c <d>")] == [(8, 16), (19, 22)]
+    assert [t[:2] for t in markup.tokens("<a<!--x <b>--><i>")] == [(2, 14), (14, 17)]
+    assert time.process_time() - before < 5
