@@ -21,7 +21,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -152,17 +152,23 @@ def entity(headers: Headers, payload: bytes) -> tuple[bytes, list[str]]:
     return payload, []
 
 
-def page_metadata(html: str, found: list[markup.Token]) -> dict:
-    title, metas, links = "", [], []
-    for start, end, slash, tag, attribute_text in found:
-        if tag == "title" and slash == "raw" and not title:
-            title = markup.squeeze(re.sub(r"</title\s*>\Z", "", html[start:end].partition(">")[2], flags=re.I))
+def page_metadata() -> dict:
+    return {"Head": {"Title": "", "Metas": []}, "Links": []}
+
+
+def noted(html: str, found: Iterable[markup.Token], metadata: dict) -> Iterator[markup.Token]:
+    """The page's tokens, handed on one by one, with its title, meta tags and links put into the metadata on the way."""
+    head, metas, links = metadata["Head"], metadata["Head"]["Metas"], metadata["Links"]
+    for token in found:
+        start, end, slash, tag, attribute_text = token
+        if tag == "title" and slash == "raw" and not head["Title"]:
+            head["Title"] = markup.squeeze(re.sub(r"</title\s*>\Z", "", html[start:end].partition(">")[2], flags=re.I))
         named = markup.attributes(attribute_text) if tag == "meta" or tag in LINKED and slash != "/" else {}
         if tag == "meta" and named:
             metas.append(named)
         elif named:
             links += [{"path": f"{tag.upper()}@/{key}", "url": named[key]} for key in ("href", "src", "action") if key in named]
-    return {"Head": {"Title": title, "Metas": metas}, "Links": links}
+        yield token
 
 
 DERIVED = T.StructType(
@@ -193,7 +199,8 @@ def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes)
         html = body.decode("utf-8", "replace")
     if undecoded:
         html = ""
-    found = list(markup.tokens(html))
+    metadata = page_metadata()
+    text = "\n".join(markup.lines(html, noted(html, markup.tokens(html), metadata)))
     source = json.loads(warc_headers or "[]")
     payload_digest, block_digest = digest(payload), digest(block)
     envelope = {
@@ -207,14 +214,13 @@ def derived_of(name: str, uri: str, date: str, warc_headers: str, block: bytes)
                     "Headers": headers,
                     "Entity-Length": len(payload),
                     "Entity-Digest": payload_digest,
-                    "HTML-Metadata": page_metadata(html, found),
+                    "HTML-Metadata": metadata,
                 },
             },
         }
     }
     if undecoded:
         envelope["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Undecoded-Content-Encoding"] = undecoded
-    text = "\n".join(markup.lines(html, found))
     out = []
     for kind, content_type, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain", text)):
         data = body.encode("utf-8", "replace")
